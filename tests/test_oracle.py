@@ -4,7 +4,7 @@ import pytest
 
 from conftest import SF01
 from oracle import compare
-from voltsight import catalog
+from voltsight import catalog, queries  # noqa: F401
 
 
 @pytest.mark.parametrize("name", sorted(catalog.ORACLE))

@@ -77,7 +77,7 @@ def with_position(df: DataFrame, keys, order: str = "ts", tiebreak=(), bucket_un
     # otherwise need is the one the row_number window below needs anyway.
     d = d.join(offsets, on=keys + [bkt], how="inner")
     w = Window.partitionBy(*keys, bkt).orderBy(F.col(order), *[F.col(c) for c in tiebreak])
-    return d.withColumn(IDX, F.col("_off") + F.row_number().over(w) - 1).drop(bkt, "_off")
+    return d.withColumn(IDX, (F.col("_off") + F.row_number().over(w) - 1).cast("bigint")).drop(bkt, "_off")
 
 
 def max_series_rows(df: DataFrame, keys) -> int:
@@ -96,7 +96,7 @@ def layout(df: DataFrame, keys, order: str = "ts", back: int = 0, fwd: int = 0,
         strategy = "blocks" if max_series_rows(df, keys) > SERIES_ROW_LIMIT else "series"
     if strategy == "series":
         w = Window.partitionBy(*keys).orderBy(F.col(order), *[F.col(c) for c in tiebreak])
-        return Layout(df.withColumn(IDX, F.row_number().over(w) - 1), keys, keys, False)
+        return Layout(df.withColumn(IDX, (F.row_number().over(w) - 1).cast("bigint")), keys, keys, False)
     B = int(block_size or DEFAULT_BLOCK)
     if back > B or fwd > B:
         raise ValueError(f"block size {B} must be >= halo ({back} back, {fwd} forward)")
