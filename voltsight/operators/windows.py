@@ -244,17 +244,44 @@ def interpolate_linear(lay: Layout, df: DataFrame, x: str, out: str) -> DataFram
 
 
 # ------------------------------------------------------------ W9 / W10
+def running_sums(df: DataFrame, keys, order: str, cols, inclusive: bool = True, n_buckets: int = 256,
+                 rel_err: float = 0.001) -> DataFrame:
+    """Running sums of ``cols`` along ``order`` within ``keys`` without a
+    window over a whole key.
+
+    Approximate quantiles of ``order`` (``n_buckets - 1`` split points, a
+    bounded driver list) cut the rows into ordered range buckets; bucket
+    totals are summed over the small (keys, bucket) table and joined back;
+    the in-bucket running sum is a window over (keys, bucket).  Exact: the
+    buckets only decide where work is split, every row is counted.
+    """
+    keys = list(keys)
+    splits = sorted(set(df.approxQuantile(order, [i / n_buckets for i in range(1, n_buckets)], rel_err)))
+    arr = F.array(*[F.lit(float(v)) for v in splits]) if splits else F.array().cast("array<double>")
+    b = F.size(F.filter(arr, lambda s: s < F.col(order).cast("double")))
+    d = df.withColumn("_rb", b)
+    tot = d.groupBy(*keys, "_rb").agg(*[F.sum(c).alias(f"_t_{c}") for c in cols])
+    wb = Window.partitionBy(*keys).orderBy("_rb").rowsBetween(Window.unboundedPreceding, -1)
+    tot = tot.select(*keys, "_rb", *[F.coalesce(F.sum(f"_t_{c}").over(wb), F.lit(0)).alias(f"_o_{c}") for c in cols])
+    d = d.join(tot, on=keys + ["_rb"], how="inner")
+    w = Window.partitionBy(*keys, "_rb").orderBy(order).rowsBetween(
+        Window.unboundedPreceding, 0 if inclusive else -1)
+    out = {f"cum_{c}": F.col(f"_o_{c}") + F.coalesce(F.sum(c).over(w), F.lit(0)) for c in cols}
+    return d.withColumns(out).drop("_rb", *[f"_o_{c}" for c in cols])
+
+
 def average_rank(df: DataFrame, x: str, out: str, keys=()) -> DataFrame:
     """``rank(method='average')``: ties share the mean of their ranks.
 
     Distributed form: distinct values with counts (partial aggregation keeps
-    the shuffle to one row per value and task), a running sum over the
-    distinct table, then a join back.  Null stays null.
+    the shuffle to one row per value and task, so a hot value costs
+    nothing), an exclusive running count over the distinct table
+    (``running_sums``), then a join back.  Null stays null.
     """
     keys = list(keys)
     cnt = df.where(F.col(x).isNotNull()).groupBy(*keys, x).agg(F.count(F.lit(1)).alias("_c"))
-    w = Window.partitionBy(*keys).orderBy(x).rowsBetween(Window.unboundedPreceding, -1)
-    ranks = cnt.select(*keys, x, (F.coalesce(F.sum("_c").over(w), F.lit(0)) + (F.col("_c") + 1) / 2.0).alias(out))
+    ranks = running_sums(cnt, keys, x, ["_c"], inclusive=False)
+    ranks = ranks.select(*keys, x, (F.col("cum__c") + (F.col("_c") + 1) / 2.0).alias(out))
     return df.join(ranks, on=keys + [x], how="left")
 
 

@@ -2,3 +2,4 @@
 
 from . import scans  # noqa: F401
 from . import windows  # noqa: F401
+from . import profile  # noqa: F401
