@@ -23,7 +23,10 @@ def canon(df: DataFrame, digits: int = DIGITS) -> DataFrame:
         c = F.col(f"`{f.name}`")
         t = f.dataType
         if isinstance(t, (T.DoubleType, T.FloatType, T.DecimalType)):
-            c = F.round(c.cast("double"), digits)
+            # round half away from zero on the binary value (x * 10^d), the
+            # same arithmetic as the SQL side's round(x, d)
+            scale = F.lit(float(10 ** digits))
+            c = F.round(c.cast("double") * scale, 0) / scale
         elif isinstance(t, (T.TimestampType, T.TimestampNTZType)):
             c = F.date_format(c, "yyyy-MM-dd HH:mm:ss")
         elif isinstance(t, T.DateType):

@@ -123,3 +123,15 @@ class FeatureSpec:
 
 
 FLOW_SPEC = FeatureSpec(demand_lags=(1, 24), price_lags=(1, 24), required=("demand_lag_24h", "price_lag_24h"))
+
+# ---- fixed values: defaults of the entered-values feature forms (M4) -------
+DEMAND_FORM_DEFAULTS = {
+    "demand_lag_1h": 28000.0, "demand_lag_24h": 27500.0, "price_lag_1h": 58.0, "price_lag_24h": 57.5,
+    "demand_avg_24h": 27800.0, "price_avg_24h": 58.0, "forecast wind onshore day ahead": 7800.0,
+    "forecast solar day ahead": 4200.0, "total load forecast": 28000.0,
+}
+PRICE_FORM_DEFAULTS = {
+    "price_lag_1h": 58.0, "price_lag_12h": 57.0, "demand_lag_1h": 28000.0, "demand_lag_12h": 27200.0,
+    "forecast wind onshore day ahead": 7800.0, "forecast solar day ahead": 4200.0,
+    "price_avg_24h": 58.0, "demand_avg_24h": 27800.0, "total load forecast": 28000.0,
+}

@@ -90,3 +90,20 @@ def refresh_history(new_df: DataFrame, path: str, required=C.REQUIRED_COLUMNS) -
         new_df.write.mode("overwrite").parquet(path)
     status["replaced"] = status["ok"]
     return status
+
+
+def requests_from_events(spark: SparkSession, sf_dir: str, n_series: int = 8) -> DataFrame:
+    """Scoring requests derived from ``events``: one request per event.
+
+    ``view``/``click`` requests sit on the hour (exact history matches), the
+    others keep their sub-second time (as-of fallback); the event value is
+    the entered generation of the source its type plays, others default 0.
+    """
+    ev = read_table(spark, sf_dir, "events").select("event_id", "ts", "user_id", "event_type", "value")
+    on_hour = F.col("event_type").isin("view", "click")
+    cols = {name: F.when(F.col("event_type") == et, F.col("value")).otherwise(F.lit(0.0))
+            for et, name in _EVENT_MEASURE.items()}
+    return ev.select(F.col("event_id").alias("request_id"),
+                     (F.col("user_id") % F.lit(n_series)).cast("bigint").alias("series_id"),
+                     F.when(on_hour, F.date_trunc("hour", "ts")).otherwise(F.col("ts")).cast("timestamp_ntz").alias("ts"),
+                     *[c.alias(n) for n, c in cols.items()], F.lit(0.0).alias("hydro"))
