@@ -148,7 +148,7 @@ def rule_sentence(antecedents, consequents, confidence, lift) -> Column:
         "When [%s], then [%s] with %s%% confidence (lift=%s)",
         sorted_set_text(antecedents), sorted_set_text(consequents),
         F.bround(_col(confidence) * 100.0, 1).cast("string"),
-        F.format_number(_col(lift), 2).cast("string"),
+        F.format_string("%.2f", _col(lift)),
     )
 
 
@@ -181,7 +181,7 @@ def parse_item_list(text, sort: bool = True) -> Column:
     """
     s = F.regexp_replace(_col(text), r"[\n|]", ",")
     s = F.regexp_replace(s, r"^[\[\(\{\]\)\}\s'\"]+|[\[\(\{\]\)\}\s'\"]+$", "")
-    parts = F.transform(F.split(s, r"[;,\\/]"), lambda p: F.trim(F.regexp_replace(p, r"^['\"]+|['\"]+$", "")))
+    parts = F.transform(F.split(s, r"[;,\\/]"), lambda p: F.trim(F.regexp_replace(F.trim(p), r"^['\"]+|['\"]+$", "")))
     parts = F.filter(parts, lambda p: p != "")
     if sort:
         parts = F.array_sort(F.array_distinct(parts))

@@ -4,3 +4,4 @@ from . import scans  # noqa: F401
 from . import windows  # noqa: F401
 from . import profile  # noqa: F401
 from . import lookup  # noqa: F401
+from . import rules  # noqa: F401
