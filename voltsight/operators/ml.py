@@ -327,23 +327,21 @@ def kmeans_fit(df: DataFrame, features, k: int, seeds=range(10), max_iter: int =
     return best[1]
 
 
-def centre_table(spark, model, features) -> DataFrame:
-    """Centres of a fitted KMeans model as a small DataFrame (k rows)."""
-    rows = [(i, *[float(v) for v in c]) for i, c in enumerate(model.clusterCenters())]
-    return spark.createDataFrame(rows, ["cluster", *features])
-
-
-def assign_nearest(df: DataFrame, centres: DataFrame, features, out: str = "cluster") -> DataFrame:
-    """Arg-min squared distance to k centres (k fixed by the model, so
-    the centre table is broadcast with a proven bound)."""
-    cs = centres.select("cluster", F.array(*[F.col(f).cast("double") for f in features]).alias("_c"))
-    arr = F.collect_list(F.struct("cluster", "_c"))
-    allc = scalars(cs.agg(F.array_sort(arr).alias("_all")))["_all"]
-    x = F.array(*[F.col(f).cast("double") for f in features])
-    dist = F.transform(allc, lambda c: F.struct(
-        F.aggregate(F.zip_with(c["_c"], x, lambda a, b: (a - b) * (a - b)), F.lit(0.0), lambda acc, v: acc + v).alias("d"),
-        c["cluster"].alias("cluster")))
-    return df.withColumn(out, F.array_min(dist)["cluster"])
+def assign_nearest(df: DataFrame, centres, features, out: str = "cluster") -> DataFrame:
+    """Arg-min squared Euclidean distance to the k centres of a model.
+
+    ``centres`` is the model's k x d list (as ``KMeansModel.clusterCenters``):
+    it is part of the fitted model, so it enters the plan as literals - no
+    join and no per-row Python.  Ties go to the lower cluster index.
+    """
+    dists = []
+    for ci, c in enumerate(centres):
+        d = None
+        for f, v in zip(features, c):
+            term = (F.col(f).cast("double") - F.lit(float(v))) * (F.col(f).cast("double") - F.lit(float(v)))
+            d = term if d is None else d + term
+        dists.append(F.struct(d.alias("d"), F.lit(ci).alias("cluster")))
+    return df.withColumn(out, F.array_min(F.array(*dists))["cluster"])
 
 
 def silhouette_sampled(df: DataFrame, features, label: str, n: int = 5000, seed: int = 42):

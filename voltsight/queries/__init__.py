@@ -5,3 +5,4 @@ from . import windows  # noqa: F401
 from . import profile  # noqa: F401
 from . import lookup  # noqa: F401
 from . import rules  # noqa: F401
+from . import similarity  # noqa: F401
