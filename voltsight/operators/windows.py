@@ -87,13 +87,21 @@ def max_series_rows(df: DataFrame, keys) -> int:
     return int(row[0] or 0)
 
 
+def resolve_strategy(df: DataFrame, keys, strategy: str = "auto") -> str:
+    """'auto' -> 'blocks' when the longest series exceeds ``SERIES_ROW_LIMIT``
+    (one small aggregate job), else 'series'.  Resolve once per plan and pass
+    the answer to every layout of that plan."""
+    if strategy != "auto":
+        return strategy
+    return "blocks" if max_series_rows(df, keys) > SERIES_ROW_LIMIT else "series"
+
+
 def layout(df: DataFrame, keys, order: str = "ts", back: int = 0, fwd: int = 0,
            block_size: int | None = None, strategy: str = "auto", tiebreak=(),
            bucket_unit: str = "day") -> Layout:
     """Lay ``df`` out for positional windows needing ``back``/``fwd`` rows of context."""
     keys = list(keys)
-    if strategy == "auto":
-        strategy = "blocks" if max_series_rows(df, keys) > SERIES_ROW_LIMIT else "series"
+    strategy = resolve_strategy(df, keys, strategy)
     if strategy == "series":
         w = Window.partitionBy(*keys).orderBy(F.col(order), *[F.col(c) for c in tiebreak])
         return Layout(df.withColumn(IDX, (F.row_number().over(w) - 1).cast("bigint")), keys, keys, False)

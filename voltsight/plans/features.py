@@ -74,6 +74,7 @@ def training_features(df: DataFrame, spec: C.FeatureSpec | None = None, keys=("s
                       order: str = "ts", strategy: str = "auto", block_size=None) -> DataFrame:
     """M1: the training feature table (one row per kept hour and series)."""
     spec = spec or C.FeatureSpec()
+    strategy = win.resolve_strategy(df, keys, strategy)
     d = col.with_generation_groups(df, spec.groups)
     d = d.drop(*[c for c in RAW_MEASURES if c in d.columns])
     d = col.with_calendar(d, order, spec.month_offset)

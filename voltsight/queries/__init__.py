@@ -6,3 +6,4 @@ from . import profile  # noqa: F401
 from . import lookup  # noqa: F401
 from . import rules  # noqa: F401
 from . import similarity  # noqa: F401
+from . import models  # noqa: F401
