@@ -76,19 +76,27 @@ def standard_scaler(train: DataFrame, cols) -> dict:
     return {"kind": "standard", "cols": list(cols), "stats": train.agg(*aggs)}
 
 
+def fitted_stats(scaler: dict) -> dict:
+    """Materialise a scaler's per-column statistics (d small vectors), as a
+    fitted scaler model holds them; computed once, reused by every apply."""
+    if "values" not in scaler:
+        row = scaler["stats"].first()
+        vals = {}
+        for c in scaler["cols"]:
+            s = row[c]
+            if scaler["kind"] == "robust":
+                center, spread = s[1], s[2] - s[0]
+            else:
+                center, spread = s[0], s[1]
+            vals[c] = (float(center), 1.0 if (spread is None or spread == 0) else float(spread))
+        scaler["values"] = vals
+    return scaler["values"]
+
+
 def scale(df: DataFrame, scaler: dict, suffix: str = "") -> DataFrame:
-    """Apply a fitted scaler; statistics enter as scalar subqueries."""
-    sc = scalars(scaler["stats"])
-    out = {}
-    for c in scaler["cols"]:
-        s = sc[c]
-        if scaler["kind"] == "robust":
-            center, spread = s[1], s[2] - s[0]
-        else:
-            center, spread = s[0], s[1]
-        spread = F.when(spread == 0, F.lit(1.0)).otherwise(spread)
-        out[c + suffix] = (F.col(c) - center) / spread
-    return df.withColumns(out)
+    """Apply a fitted scaler: ``(x - center) / spread`` with literal statistics."""
+    vals = fitted_stats(scaler)
+    return df.withColumns({c + suffix: (F.col(c) - F.lit(vals[c][0])) / F.lit(vals[c][1]) for c in scaler["cols"]})
 
 
 # ----------------------------------------------------------------- A15-A17
@@ -316,14 +324,13 @@ def pca_transform(df: DataFrame, model: dict, prefix: str = "pc") -> DataFrame:
 def kmeans_fit(df: DataFrame, features, k: int, seeds=range(10), max_iter: int = 100):
     """Best-of-``seeds`` KMeans by training cost (n_init analogue)."""
     from pyspark.ml.clustering import KMeans
-    data = assembler(features).transform(df).select("features").cache()
+    data = assembler(features).transform(df).select("features")
     best = None
     for s in seeds:
         m = KMeans(k=k, seed=int(s), maxIter=max_iter, featuresCol="features").fit(data)
         cost = m.summary.trainingCost
         if best is None or cost < best[0]:
             best = (cost, m)
-    data.unpersist()
     return best[1]
 
 

@@ -7,3 +7,5 @@ from . import lookup  # noqa: F401
 from . import rules  # noqa: F401
 from . import similarity  # noqa: F401
 from . import models  # noqa: F401
+from . import extra  # noqa: F401
+from . import ml_models  # noqa: F401
