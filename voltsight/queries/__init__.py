@@ -9,3 +9,4 @@ from . import similarity  # noqa: F401
 from . import models  # noqa: F401
 from . import extra  # noqa: F401
 from . import ml_models  # noqa: F401
+from . import recommend  # noqa: F401
