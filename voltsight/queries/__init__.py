@@ -10,3 +10,4 @@ from . import models  # noqa: F401
 from . import extra  # noqa: F401
 from . import ml_models  # noqa: F401
 from . import recommend  # noqa: F401
+from . import timeseries  # noqa: F401
