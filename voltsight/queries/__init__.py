@@ -12,3 +12,4 @@ from . import ml_models  # noqa: F401
 from . import recommend  # noqa: F401
 from . import timeseries  # noqa: F401
 from . import streaming  # noqa: F401
+from . import artifacts  # noqa: F401
