@@ -1,4 +1,8 @@
-"""Every registered query with an oracle equals its DuckDB SQL at sf0.01."""
+"""Every registered query with an oracle equals its DuckDB SQL at sf0.01;
+the others run and return rows.  Estimator-heavy queries (minutes of model
+fitting) run only with VOLTSIGHT_SLOW=1."""
+
+import os
 
 import pytest
 
@@ -6,6 +10,10 @@ from conftest import SF01
 from oracle import compare
 from voltsight import catalog, queries  # noqa: F401
 
+SLOW = {"m8_m11_m12_regressors", "m13_gbt_regressors", "m14_m16_classifiers", "m19_cv_regressors",
+        "m20_binary_classifiers", "m21_kmeans_sweep", "m35_training_job", "d3_stl", "m12_regularised_forest"}
+RUN_SLOW = os.environ.get("VOLTSIGHT_SLOW") == "1"
+
 
 @pytest.mark.parametrize("name", sorted(catalog.ORACLE))
 def test_query_matches_oracle(spark, name):
@@ -14,5 +22,7 @@ def test_query_matches_oracle(spark, name):
 
 @pytest.mark.parametrize("name", sorted(set(catalog.QUERIES) - set(catalog.ORACLE)))
 def test_query_without_oracle_runs(spark, name):
+    if name in SLOW and not RUN_SLOW:
+        pytest.skip("estimator-heavy; set VOLTSIGHT_SLOW=1")
     df = catalog.QUERIES[name](spark, SF01)
-    assert df.count() >= 0
+    assert df.count() > 0
