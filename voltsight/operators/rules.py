@@ -25,7 +25,17 @@ TRANSACTION_COLS = ("demand_level", "price_level", "renewable_level", "fossil_le
                     "time_period", "season", "weekend_flag")
 
 
-def tercile_levels(df: DataFrame, x: str, prefix: str, out: str) -> tuple[DataFrame, str]:
+_PROBS = (0.0, 1 / 3, 2 / 3, 1.0)
+
+
+def _edges(df: DataFrame, cols) -> dict:
+    """Exact quartile-style edges (0, 1/3, 2/3, 1) of several columns in one job."""
+    probs = F.array(*[F.lit(p) for p in _PROBS])
+    row = df.agg(*[F.percentile(F.col(c), probs).alias(c) for c in cols]).first()
+    return {c: row[c] for c in cols}
+
+
+def tercile_levels(df: DataFrame, x: str, prefix: str, out: str, edges=None) -> tuple[DataFrame, str]:
     """``qcut(q=3)`` labels ``{prefix}_LOW/MED/HIGH``.
 
     Edges are exact quantiles (0, 1/3, 2/3, 1); bins are right-closed with
@@ -34,17 +44,12 @@ def tercile_levels(df: DataFrame, x: str, prefix: str, out: str) -> tuple[DataFr
     the returned mode says so.
     """
     labels = [f"{prefix}_{s}" for s in C.LEVEL_SUFFIXES]
-    probs = F.array(*[F.lit(p) for p in (0.0, 1 / 3, 2 / 3, 1.0)])
-
-    def edges_of(c):
-        return df.agg(F.percentile(F.col(c), probs).alias("e")).first()["e"]
-
-    e = edges_of(x)
+    e = edges if edges is not None else _edges(df, [x])[x]
     mode, src = "values", x
     if e is None or len(set(e)) < 4:
         df = win.average_rank(df, x, f"_rk_{x}")
         src, mode = f"_rk_{x}", "ranks"
-        e = edges_of(src)
+        e = _edges(df, [src])[src]
         if e is None or len(set(e)) < 4:
             mode = "collapsed"
     v = F.col(src)
@@ -70,10 +75,11 @@ def transactions(df: DataFrame, ts: str = "ts", demand: str = "load", price: str
     d = col.with_generation_groups(df, groups)
     d = (d.withColumn("hour", F.hour(ts)).withColumn("month", F.month(ts)).withColumn("is_weekend", col.is_weekend(ts)))
     d = d.where(F.col(demand).isNotNull())
-    d, _ = tercile_levels(d, demand, "demand", "demand_level")
-    d, _ = tercile_levels(d, price, "price", "price_level")
-    d, _ = tercile_levels(d, "renewable_pct", "renewable", "renewable_level")
-    d, _ = tercile_levels(d, "fossil", "fossil", "fossil_level")
+    e = _edges(d, [demand, price, "renewable_pct", "fossil"])
+    d, _ = tercile_levels(d, demand, "demand", "demand_level", e[demand])
+    d, _ = tercile_levels(d, price, "price", "price_level", e[price])
+    d, _ = tercile_levels(d, "renewable_pct", "renewable", "renewable_level", e["renewable_pct"])
+    d, _ = tercile_levels(d, "fossil", "fossil", "fossil_level", e["fossil"])
     d = (d.withColumn("time_period", col.part_of_day("hour")).withColumn("season", col.season("month"))
           .withColumn("weekend_flag", col.weekend_label("is_weekend")))
     d = d.dropna(subset=list(TRANSACTION_COLS))

@@ -42,15 +42,23 @@ met AS (
 
 
 def _prepared(spark, sf_dir):
+    """Feature table + chronological split, materialised once (reliable
+    checkpoint): fits, scalers and metrics all read it."""
+    from ..session import cut_lineage
     f = fe.training_features(src.grid_hourly(spark, sf_dir, n_series=1))
-    return ml.chrono_split_label(f, ["series_id"], "ts", guard=False)
+    return cut_lineage(ml.chrono_split_label(f, ["series_id"], "ts", guard=False))
+
+
+def _fit(train, y, x):
+    r = ml.fit_linear_1d(train, y, x).first()       # a fitted model: two numbers
+    return {"slope": F.lit(r["slope"]), "intercept": F.lit(r["intercept"])}
 
 
 def _predictions(spark, sf_dir):
     sp = _prepared(spark, sf_dir)
     train = sp.where(F.col("split") == "train")
-    fd = scalars(ml.fit_linear_1d(train, "demand_12h", "demand_lag_12h"))
-    fp = scalars(ml.fit_linear_1d(train, "price_12h", "price_lag_12h"))
+    fd = _fit(train, "demand_12h", "demand_lag_12h")
+    fp = _fit(train, "price_12h", "price_lag_12h")
     parts = [
         sp.select(F.lit("persistence").alias("model"), F.lit("demand").alias("target"), "split",
                   F.col("demand_12h").alias("y"), F.col("demand_lag_12h").alias("p")),
