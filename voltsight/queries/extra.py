@@ -52,3 +52,51 @@ def q_text_functions(spark, sf_dir):
     return o.select("o_orderkey", col.slugify("o_orderpriority").alias("priority_slug"),
                     col.py_round("o_totalprice", 0).alias("total_rounded"),
                     col.fmt_datetime("o_orderdate").alias("order_time"))
+
+
+# ---- S1 + S2 + P1 (full variant) over a raw energy-format CSV -------------------
+RAW_NAMES = {"load": "total load actual", "price": "price actual", "solar": "generation solar",
+             "wind": "generation wind onshore", "gas": "generation fossil gas",
+             "coal": "generation fossil hard coal", "nuclear": "generation nuclear"}
+
+
+@register("s1_s2_raw_csv_scan", f"""
+WITH g AS ({GRID_SQL.replace("CAST(user_id % 8 AS BIGINT)", "CAST(0 AS BIGINT)")})
+SELECT {ts_text('ts')} AS ts, {R('load')} AS load,
+       {R('coalesce(solar, 0) + coalesce(wind, 0)')} AS renewable, {R('coalesce(gas, 0) + coalesce(coal, 0)')} AS fossil,
+       {R('coalesce(nuclear, 0)')} AS nuclear
+FROM g
+""")
+def q_raw_csv_scan(spark, sf_dir):
+    """S1 + S2 + P1: the hourly table written as a raw energy CSV (long column
+    names, '+00:00' offsets), scanned back with an explicit schema, parsed to
+    UTC and summed with the 'full' column-group variant (absent members = 0)."""
+    import os
+    from .. import config as C
+    from ..functions.columns import with_generation_groups
+    from ..sources.tables import read_energy_csv
+    from ..streaming.jobs import run_dir
+    g = src.grid_hourly(spark, sf_dir, n_series=1)
+    raw = g.select(F.date_format("ts", "yyyy-MM-dd HH:mm:ss'+00:00'").alias("time"),
+                   *[F.col(k).alias(v) for k, v in RAW_NAMES.items()])
+    path = os.path.join(run_dir(spark, "raw-csv"), "energy")
+    raw.write.mode("overwrite").option("header", True).csv(path)
+    df = read_energy_csv(spark, path, columns=["time", *RAW_NAMES.values()])
+    df = with_generation_groups(df, C.RAW_GROUP_SPECS["full"])
+    return df.select("ts", F.col("total load actual").alias("load"), "renewable", "fossil", "nuclear")
+
+
+@register("f8_regime_labels", f"""
+WITH g AS ({GRID_SQL}),
+q AS (SELECT series_id, quantile_cont(load, 0.33) AS q33, quantile_cont(load, 0.66) AS q66 FROM g GROUP BY 1)
+SELECT g.series_id, {ts_text('ts')} AS ts,
+       CASE WHEN load < q33 THEN 'Low Demand Regime' WHEN load < q66 THEN 'Medium Demand Regime'
+            ELSE 'High Demand Regime' END AS regime
+FROM g JOIN q USING (series_id)
+""")
+def q_regime_labels(spark, sf_dir):
+    """F8: regime label by 0.33 / 0.66 quantiles with strict bounds (quantiles computed once per series)."""
+    from ..operators.profile import exact_quantiles
+    g = src.grid_hourly(spark, sf_dir)
+    q = exact_quantiles(g, "load", [.33, .66], ["series_id"])
+    return g.join(q, "series_id").select("series_id", "ts", col.regime_label("load", F.col("q33"), F.col("q66")).alias("regime"))

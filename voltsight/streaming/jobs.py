@@ -4,7 +4,10 @@
   (required fields present) in ``foreachBatch``; valid rows are appended to
   the history table, rejected rows to a quarantine table.
 * K2 hourly series: event-time tumbling windows of one hour per series with
-  a watermark; rows later than the watermark are dropped by Spark.
+  a watermark that bounds the window state (windows ending before the
+  watermark are purged).  Spark does not guarantee that a row older than
+  the watermark is dropped: in update mode it can still open (and emit) a
+  window that was already purged.
 * K3 scoring: a request stream joined per micro-batch with the static
   history (request features, M3) and a fitted model.
 
