@@ -58,25 +58,41 @@ def stl_numpy(y: np.ndarray, period: int, seasonal: int = 13, trend: int | None
         return float(np.sum(w * yv[nleft - 1:nright]))
 
     def ess(yv, q, rw):
+        """LOESS at every position at once (same windows and weights as
+        the point-by-point form)."""
         nn = len(yv)
-        out = np.empty(nn)
         if nn < 2:
             return yv.copy()
+        pos = np.arange(1, nn + 1)
         if q >= nn:
-            nleft, nright = 1, nn
-            for i in range(1, nn + 1):
-                v = est(yv, nn, q, i, nleft, nright, rw)
-                out[i - 1] = yv[i - 1] if v is None else v
-            return out
-        nsh = (q + 1) // 2
-        nleft, nright = 1, q
-        for i in range(1, nn + 1):
-            if i > nsh and nright != nn:
-                nleft += 1
-                nright += 1
-            v = est(yv, nn, q, i, nleft, nright, rw)
-            out[i - 1] = yv[i - 1] if v is None else v
-        return out
+            left = np.ones(nn, dtype=int)
+            width = nn
+        else:
+            nsh = (q + 1) // 2
+            left = np.clip(pos - nsh + 1, 1, nn - q + 1)
+            width = q
+        J = left[:, None] + np.arange(width)[None, :]
+        right = left + width - 1
+        h = np.maximum(pos - left, right - pos).astype(float)
+        if q > nn:
+            h = h + (q - nn) // 2
+        r = np.abs(J - pos[:, None]).astype(float)
+        hh = h[:, None]
+        with np.errstate(divide="ignore", invalid="ignore"):
+            w = np.where(r <= 0.999 * hh, np.where(r <= 0.001 * hh, 1.0, (1 - (r / hh) ** 3) ** 3), 0.0)
+        if rw is not None:
+            w = w * rw[J - 1]
+        a = w.sum(axis=1)
+        ok = a > 0
+        w = np.where(ok[:, None], w / np.where(ok, a, 1.0)[:, None], 0.0)
+        c0 = np.sum(w * J, axis=1)
+        c = np.sum(w * (J - c0[:, None]) ** 2, axis=1)
+        lin = (h > 0) & (np.sqrt(c) > 0.001 * (nn - 1))
+        with np.errstate(divide="ignore", invalid="ignore"):
+            b = np.where(lin, (pos - c0) / np.where(lin, c, 1.0), 0.0)
+        w = np.where(lin[:, None], w * (b[:, None] * (J - c0[:, None]) + 1.0), w)
+        out = np.sum(w * yv[J - 1], axis=1)
+        return np.where(ok, out, yv)
 
     def ma(x, length):
         c = np.cumsum(np.insert(x, 0, 0.0))
