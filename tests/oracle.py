@@ -22,11 +22,14 @@ def duck(sf_dir: str):
     return con
 
 
+_SPARK_TO_DUCK = {"double": "DOUBLE", "bigint": "BIGINT", "string": "VARCHAR", "boolean": "BOOLEAN"}
+
+
 def _norm(v):
     if isinstance(v, float):
         if math.isnan(v):
             return None
-        return v
+        return (v, math.copysign(1.0, v))   # -0.0 and 0.0 hash differently
     if isinstance(v, (list, tuple)):
         return tuple(_norm(x) for x in v)
     return v
@@ -47,6 +50,10 @@ def compare(spark, name, fn, sql, sf_dir):
     dcols = [d[0] for d in res.description]
     drows = res.fetchall()
     assert sorted(scols) == sorted(dcols), f"{name}: columns {sorted(scols)} != {sorted(dcols)}"
+    stypes = {f.name: _SPARK_TO_DUCK.get(f.dataType.simpleString(), f.dataType.simpleString()) for f in sdf.schema.fields}
+    dtypes = {d[0]: str(d[1]) for d in res.description}
+    bad_t = {c: (stypes[c], dtypes[c]) for c in scols if stypes[c] != dtypes[c]}
+    assert not bad_t, f"{name}: column types differ (spark, duckdb): {bad_t}"
     a, b = rows_of(scols, srows), rows_of(dcols, drows)
     assert len(a) == len(b), f"{name}: {len(a)} rows vs oracle {len(b)}"
     bad = [(x, y) for x, y in zip(a, b) if x != y]

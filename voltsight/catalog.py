@@ -26,7 +26,7 @@ def canon(df: DataFrame, digits: int = DIGITS) -> DataFrame:
             # round half away from zero on the binary value (x * 10^d), the
             # same arithmetic as the SQL side's round(x, d)
             scale = F.lit(float(10 ** digits))
-            c = F.round(c.cast("double") * scale, 0) / scale
+            c = F.round(c.cast("double") * scale, 0) / scale + F.lit(0.0)
         elif isinstance(t, (T.TimestampType, T.TimestampNTZType)):
             c = F.date_format(c, "yyyy-MM-dd HH:mm:ss")
         elif isinstance(t, T.DateType):
@@ -77,7 +77,8 @@ GRID1_SQL = GRID_SQL.replace("CAST(user_id % 8 AS BIGINT)", "CAST(0 AS BIGINT)")
 
 
 def R(expr: str, d: int = DIGITS) -> str:
-    return f"round({expr}, {d})"
+    # "+ 0.0" turns a rounded negative zero into +0.0 (Spark's round never yields -0.0)
+    return f"(round({expr}, {d}) + 0.0)"
 
 
 # Hourly base with groups and calendar columns (before positional work).

@@ -157,7 +157,8 @@ l AS (SELECT series_id, ts,
 SELECT {R('coalesce(demand_lag_1h, 28000.0)')} AS demand_lag_1h, {R('coalesce(demand_lag_24h, 27500.0)')} AS demand_lag_24h,
   {R('coalesce(price_lag_1h, 58.0)')} AS price_lag_1h, {R('coalesce(price_lag_24h, 57.5)')} AS price_lag_24h,
   {R('coalesce(demand_avg_24h, 27800.0)')} AS demand_avg_24h, {R('coalesce(price_avg_24h, 58.0)')} AS price_avg_24h,
-  7800.0 AS "forecast wind onshore day ahead", 4200.0 AS "forecast solar day ahead", 28000.0 AS "total load forecast"
+  CAST(7800.0 AS DOUBLE) AS "forecast wind onshore day ahead", CAST(4200.0 AS DOUBLE) AS "forecast solar day ahead",
+  CAST(28000.0 AS DOUBLE) AS "total load forecast"
 FROM l
 """)
 def q_form_defaults(spark, sf_dir):

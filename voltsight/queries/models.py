@@ -217,7 +217,7 @@ def _classes(spark, sf_dir):
 
 
 @register("a16_classification_report", CLS_SQL + f"""
-SELECT cls, {R('precision')} AS precision, {R('recall')} AS recall, {R('f1')} AS f1, support FROM rep2
+SELECT cls, {R('precision')} AS precision, {R('recall')} AS recall, {R('f1')} AS f1, CAST(support AS BIGINT) AS support FROM rep2
 """)
 def q_classification_report(spark, sf_dir):
     """A16 + M17: per-class report of the regression->class baseline on the test split."""

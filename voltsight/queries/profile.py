@@ -63,10 +63,11 @@ def q_medians(spark, sf_dir):
 
 @register("a5_zero_counts", """
 SELECT column_name, zeros, non_zeros FROM (
-  SELECT 'l_quantity' AS column_name, count_if(l_quantity = 0) AS zeros, count(*) - count_if(l_quantity = 0) AS non_zeros FROM lineitem
-  UNION ALL SELECT 'l_extendedprice', count_if(l_extendedprice = 0), count(*) - count_if(l_extendedprice = 0) FROM lineitem
-  UNION ALL SELECT 'l_discount', count_if(l_discount = 0), count(*) - count_if(l_discount = 0) FROM lineitem
-  UNION ALL SELECT 'l_tax', count_if(l_tax = 0), count(*) - count_if(l_tax = 0) FROM lineitem)
+  SELECT 'l_quantity' AS column_name, CAST(count_if(l_quantity = 0) AS BIGINT) AS zeros,
+         CAST(count(*) - count_if(l_quantity = 0) AS BIGINT) AS non_zeros FROM lineitem
+  UNION ALL SELECT 'l_extendedprice', CAST(count_if(l_extendedprice = 0) AS BIGINT), CAST(count(*) - count_if(l_extendedprice = 0) AS BIGINT) FROM lineitem
+  UNION ALL SELECT 'l_discount', CAST(count_if(l_discount = 0) AS BIGINT), CAST(count(*) - count_if(l_discount = 0) AS BIGINT) FROM lineitem
+  UNION ALL SELECT 'l_tax', CAST(count_if(l_tax = 0) AS BIGINT), CAST(count(*) - count_if(l_tax = 0) AS BIGINT) FROM lineitem)
 """)
 def q_zero_counts(spark, sf_dir):
     """A5: zero / non-zero counts per column."""
@@ -100,7 +101,7 @@ def q_duplicates(spark, sf_dir):
 
 @register("a8_target_checks", f"""
 WITH g AS ({GRID_SQL})
-SELECT count(price) AS n_values, stddev_samp(price) = 0 AS zero_variance, count_if(price < 0) AS n_negative FROM g
+SELECT count(price) AS n_values, stddev_samp(price) = 0 AS zero_variance, CAST(count_if(price < 0) AS BIGINT) AS n_negative FROM g
 """)
 def q_target_checks(spark, sf_dir):
     """Target checks (no values, zero variance, negatives)."""
@@ -188,7 +189,7 @@ def q_box_summary(spark, sf_dir):
 WITH g AS ({GRID_SQL}),
 q AS (SELECT series_id, quantile_cont(load, 0.25) AS q1, quantile_cont(load, 0.75) AS q3 FROM g GROUP BY 1),
 b AS (SELECT series_id, q1 - 1.5 * (q3 - q1) AS lo, q3 + 1.5 * (q3 - q1) AS hi FROM q)
-SELECT series_id, count_if(load < lo OR load > hi) AS n_outliers, count(*) AS n_rows,
+SELECT series_id, CAST(count_if(load < lo OR load > hi) AS BIGINT) AS n_outliers, count(*) AS n_rows,
        {R('count_if(load < lo OR load > hi) / count(*) * 100.0')} AS outlier_pct
 FROM g JOIN b USING (series_id) GROUP BY 1
 """)
@@ -232,7 +233,8 @@ def q_median_impute(spark, sf_dir):
 @register("p7_auto_features", FEATURES_SQL + f"""
 SELECT series_id, {R('coalesce(load, 0)')} AS load, {R('nuclear')} AS nuclear, {R('renewable')} AS renewable,
   {R('fossil')} AS fossil, {R('total_gen')} AS total_gen, {R('renewable_pct')} AS renewable_pct,
-  {R('hour')} AS hour, {R('day_of_week')} AS day_of_week, {R('month')} AS month, {R('is_weekend')} AS is_weekend,
+  CAST(hour AS DOUBLE) AS hour, CAST(day_of_week AS DOUBLE) AS day_of_week, CAST(month AS DOUBLE) AS month,
+  CAST(is_weekend AS DOUBLE) AS is_weekend,
   {R('hour_sin')} AS hour_sin, {R('hour_cos')} AS hour_cos, {R('month_sin')} AS month_sin, {R('month_cos')} AS month_cos
 FROM f WHERE price_12h IS NOT NULL AND isfinite(price_12h)
 """)
@@ -314,7 +316,7 @@ def q_positional_slices(spark, sf_dir):
 
 @register("p17_feature_row", FEATURES_SQL + f"""
 SELECT {R('coalesce(demand_lag_1h, 0.0)')} AS demand_lag_1h, {R('coalesce(price_lag_1h, 0.0)')} AS price_lag_1h,
-       {R('coalesce(hour_sin, 0.0)')} AS hour_sin, 0.0 AS forecast_solar_day_ahead,
+       {R('coalesce(hour_sin, 0.0)')} AS hour_sin, CAST(0.0 AS DOUBLE) AS forecast_solar_day_ahead,
        {R('coalesce(renewable_pct, 0.0)')} AS renewable_pct FROM f
 """)
 def q_feature_row(spark, sf_dir):
