@@ -77,3 +77,18 @@ def test_feature_table_blocks_equal_series(spark):
     b = _pdf(training_features(g, strategy="series"))
     pd.testing.assert_frame_equal(a, b, check_exact=False, rtol=1e-12)
     assert len(a) > 300
+
+
+def test_position_with_quantile_buckets(spark):
+    from voltsight.operators import windows as w2
+    ev = src.read_table(spark, SF01, "events").select("ts", "event_id", (F.col("user_id") % 2).alias("series_id"))
+    old = w2.ROWS_PER_BUCKET
+    w2.ROWS_PER_BUCKET = 700          # force ~15 equal-count buckets on 10k rows
+    try:
+        got = _pdf(win.with_position(ev, ["series_id"], "ts", tiebreak=["event_id"], bucket_unit="quantile"),
+                   ("series_id", "ts", "event_id"))
+    finally:
+        w2.ROWS_PER_BUCKET = old
+    got["expect"] = got.groupby("series_id").cumcount()
+    assert (got[win.IDX] == got["expect"]).all()
+    assert got.groupby(["series_id"]).size().min() > 1000

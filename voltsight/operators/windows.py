@@ -23,7 +23,6 @@ layouts give identical results (tests check it).
 
 from __future__ import annotations
 
-import math
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, Window
@@ -55,6 +54,29 @@ class Layout:
         return out.drop(*[c for c in drop if c in out.columns])
 
 
+ROWS_PER_BUCKET = 1_000_000
+
+
+def with_quantile_bucket(df: DataFrame, order: str, out: str, rows_per_bucket: int | None = None) -> DataFrame:
+    """Equal-count range buckets of the order column (approximate quantiles,
+    a bounded split list on the driver, applied by ``Bucketizer``): a hot day
+    or hour is cut into as many buckets as its row count needs.  Exactness
+    does not depend on the split points - they only decide where work is
+    divided."""
+    from pyspark.ml.feature import Bucketizer
+    is_ts = dict(df.dtypes)[order].startswith("timestamp")
+    key = F.unix_micros(F.col(order).cast("timestamp")) if is_ts else F.col(order)
+    d = df.withColumn("_qk", key.cast("double"))
+    n = d.count()
+    nb = max(1, -(-n // (rows_per_bucket or ROWS_PER_BUCKET)))
+    if nb == 1:
+        return d.drop("_qk").withColumn(out, F.lit(0))
+    splits = sorted(set(d.approxQuantile("_qk", [i / nb for i in range(1, nb)], 0.5 / nb)))
+    b = Bucketizer(splits=[float("-inf"), *splits, float("inf")], inputCol="_qk", outputCol=out,
+                   handleInvalid="keep")
+    return b.transform(d).drop("_qk")
+
+
 def _bucket(order: str, unit: str) -> Column:
     return F.date_trunc(unit, F.col(order)) if unit else F.lit(0)
 
@@ -64,11 +86,14 @@ def with_position(df: DataFrame, keys, order: str = "ts", tiebreak=(), bucket_un
 
     The per-bucket count table has one row per (series, bucket); its running
     sum is the only window whose partition spans a whole series, and it is
-    tiny (days, not rows).
+    tiny (days, not rows).  ``bucket_unit='day'`` bounds a bucket by the
+    grain (24 rows for the hourly table); ``'quantile'`` uses equal-count
+    time ranges for inputs with no such bound (raw sub-second readings).
     """
     keys = list(keys)
     bkt = "_bkt"
-    d = df.withColumn(bkt, _bucket(order, bucket_unit))
+    d = with_quantile_bucket(df, order, bkt) if bucket_unit == "quantile" else \
+        df.withColumn(bkt, _bucket(order, bucket_unit))
     counts = d.groupBy(*keys, bkt).agg(F.count(F.lit(1)).alias("_n"))
     wrun = Window.partitionBy(*keys).orderBy(bkt).rowsBetween(Window.unboundedPreceding, -1)
     offsets = counts.select(*keys, bkt, F.coalesce(F.sum("_n").over(wrun), F.lit(0)).alias("_off"))
@@ -263,11 +288,15 @@ def running_sums(df: DataFrame, keys, order: str, cols, inclusive: bool = True,
     the in-bucket running sum is a window over (keys, bucket).  Exact: the
     buckets only decide where work is split, every row is counted.
     """
+    from pyspark.ml.feature import Bucketizer
     keys = list(keys)
-    splits = sorted(set(df.approxQuantile(order, [i / n_buckets for i in range(1, n_buckets)], rel_err)))
-    arr = F.array(*[F.lit(float(v)) for v in splits]) if splits else F.array().cast("array<double>")
-    b = F.size(F.filter(arr, lambda s: s < F.col(order).cast("double")))
-    d = df.withColumn("_rb", b)
+    d = df.withColumn("_rk", F.col(order).cast("double"))
+    splits = sorted(set(d.approxQuantile("_rk", [i / n_buckets for i in range(1, n_buckets)], rel_err)))
+    if splits:
+        d = Bucketizer(splits=[float("-inf"), *splits, float("inf")], inputCol="_rk", outputCol="_rb",
+                       handleInvalid="keep").transform(d).drop("_rk")
+    else:
+        d = d.drop("_rk").withColumn("_rb", F.lit(0.0))
     tot = d.groupBy(*keys, "_rb").agg(*[F.sum(c).alias(f"_t_{c}") for c in cols])
     wb = Window.partitionBy(*keys).orderBy("_rb").rowsBetween(Window.unboundedPreceding, -1)
     tot = tot.select(*keys, "_rb", *[F.coalesce(F.sum(f"_t_{c}").over(wb), F.lit(0)).alias(f"_o_{c}") for c in cols])
@@ -298,13 +327,3 @@ def rank_sorted(df: DataFrame, score: str, name: str, out: str = "rank", ascendi
     o = F.col(score).asc() if ascending else F.col(score).desc()
     return df.withColumn(out, F.row_number().over(Window.orderBy(o, F.col(name))))
 
-
-def ewm_alpha(span: float) -> float:
-    return 2.0 / (span + 1.0)
-
-
-def halo_for(*ks: int) -> int:
-    return max([0, *ks])
-
-
-assert math.isclose(ewm_alpha(24), 0.08)
