@@ -43,7 +43,8 @@ def q_drop_columns(spark, sf_dir):
 @register("f11_f13_text_functions", """
 SELECT o_orderkey, replace(replace(lower(o_orderpriority), ' ', '_'), '/', '_') AS priority_slug,
        round_even(o_totalprice, 0) AS total_rounded,
-       strftime(o_orderdate, '%Y-%m-%d %H:%M') AS order_time
+       strftime(o_orderdate, '%Y-%m-%d %H:%M') AS order_time,
+       format('{:,.2f}', o_totalprice) AS total_text
 FROM orders
 """)
 def q_text_functions(spark, sf_dir):
@@ -51,7 +52,8 @@ def q_text_functions(spark, sf_dir):
     o = src.read_table(spark, sf_dir, "orders").select("o_orderkey", "o_orderpriority", "o_totalprice", "o_orderdate")
     return o.select("o_orderkey", col.slugify("o_orderpriority").alias("priority_slug"),
                     col.py_round("o_totalprice", 0).alias("total_rounded"),
-                    col.fmt_datetime("o_orderdate").alias("order_time"))
+                    col.fmt_datetime("o_orderdate").alias("order_time"),
+                    col.fmt_number("o_totalprice", 2).alias("total_text"))
 
 
 # ---- S1 + S2 + P1 (full variant) over a raw energy-format CSV -------------------

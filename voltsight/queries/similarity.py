@@ -83,3 +83,18 @@ def q_nearest_centre(spark, sf_dir):
     out = ml.assign_nearest(e, [r["v"] for r in rows], [f"f{i}" for i in range(dim)])
     labels = F.array(*[F.lit(int(r["label"])) for r in rows])
     return out.select("vec_id", labels[F.col("cluster")].alias("cluster"))
+
+
+@register("m10_knn_weighted", f"""
+WITH s AS (SELECT a.vec_id, b.label AS y,
+                  list_distance(CAST(a.embedding AS DOUBLE[]), CAST(b.embedding AS DOUBLE[])) AS d, b.vec_id AS nb
+           FROM embeddings a JOIN embeddings b ON a.vec_id <> b.vec_id),
+r AS (SELECT *, row_number() OVER (PARTITION BY vec_id ORDER BY d, nb) AS rank FROM s)
+SELECT vec_id, {R('CASE WHEN max(CAST(d = 0 AS INTEGER)) = 1 THEN avg(y) FILTER (WHERE d = 0) '
+                  'ELSE sum(y / d) FILTER (WHERE d > 0) / sum(1.0 / d) FILTER (WHERE d > 0) END', 4)} AS prediction
+FROM r WHERE rank <= 20 GROUP BY vec_id
+""", digits=4)
+def q_knn_weighted(spark, sf_dir):
+    """k=20 inverse-distance weighted kNN regression (a zero distance takes all weight)."""
+    emb = _emb(spark, sf_dir)
+    return sim.knn_regress(emb, emb, "vec_id", "vec_id", "embedding", "label", k=20, weighted=True, exclude_self=True)
