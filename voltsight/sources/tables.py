@@ -27,6 +27,14 @@ def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(os.path.join(sf_dir, f"{name}.parquet"))
 
 
+def replicate_events(events: DataFrame, copies: int, n_series: int = 8) -> DataFrame:
+    """``copies`` disjoint copies of the events with distinct series ids
+    (copy c maps user u to u + c * n_series), for scale-out measurements."""
+    c = F.explode(F.sequence(F.lit(0), F.lit(copies - 1)))
+    return events.withColumn("_c", c).withColumn(
+        "user_id", (F.col("user_id") % F.lit(n_series)) + F.col("_c") * F.lit(n_series)).drop("_c")
+
+
 def grid_hourly(spark: SparkSession, sf_dir: str, n_series: int = 8) -> DataFrame:
     """Hourly grid table derived from ``events``.
 
@@ -35,7 +43,12 @@ def grid_hourly(spark: SparkSession, sf_dir: str, n_series: int = 8) -> DataFram
     (map-side) combine: the shuffle carries at most one row per
     (task, series, hour), so it shrinks the data before the exchange.
     """
-    ev = read_table(spark, sf_dir, "events").select("ts", "user_id", "event_type", "value")
+    return grid_from_events(read_table(spark, sf_dir, "events"), n_series)
+
+
+def grid_from_events(events: DataFrame, n_series: int = 8) -> DataFrame:
+    """The hourly grid aggregation over any events DataFrame."""
+    ev = events.select("ts", "user_id", "event_type", "value")
     sid = (F.col("user_id") % F.lit(n_series)) if n_series > 1 else F.lit(0).cast("bigint")
     ev = ev.select(sid.cast("bigint").alias("series_id"),
                    F.date_trunc("hour", F.col("ts")).alias("ts"), "event_type", "value")
