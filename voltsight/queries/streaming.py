@@ -6,7 +6,6 @@ from pyspark.sql import functions as F
 
 from ..catalog import GRID_SQL, R, register, ts_text
 from ..streaming import jobs
-from .lookup import ASOF_SQL
 
 _M3_COLS = ("request_id", "series_id", "hour", "day_of_week", "month", "is_weekend", "hour_sin", "hour_cos",
             "month_sin", "month_cos", "renewable", "fossil", "nuclear", "total_gen", "renewable_pct",
