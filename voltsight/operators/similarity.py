@@ -21,6 +21,10 @@ from pyspark.sql import functions as F
 
 BLOCK_ROWS = 4096
 QUERY_CHUNK = 1024
+# A profile side up to this many bytes (rows x dim x 8) is broadcast as a
+# matrix and queries are scored in place with mapInPandas (no shuffle of the
+# query side); a larger one goes through the blocked cogroup.
+BROADCAST_BYTES = 64 * 1024 * 1024
 
 
 def _blocks(n: int, rows: int) -> int:
@@ -29,7 +33,7 @@ def _blocks(n: int, rows: int) -> int:
 
 def topk_similar(queries: DataFrame, profiles: DataFrame, qid: str, pid: str, qvec: str, pvec: str,
                  k: int = 5, metric: str = "cosine", exclude_self: bool = False,
-                 block_rows: int = BLOCK_ROWS) -> DataFrame:
+                 block_rows: int = BLOCK_ROWS, broadcast_bytes: int | None = None) -> DataFrame:
     """Top-``k`` profiles per query; returns (qid, rank, pid, score).
 
     ``metric='cosine'`` scores by cosine similarity (higher first);
@@ -37,6 +41,12 @@ def topk_similar(queries: DataFrame, profiles: DataFrame, qid: str, pid: str, qv
     profile id.  ``exclude_self`` drops pairs with equal ids (J6).
     """
     nq, npf = queries.count(), profiles.count()
+    cosine = metric == "cosine"
+    dim = len(profiles.select(pvec).first()[0]) if npf else 0
+    if broadcast_bytes is None:
+        broadcast_bytes = BROADCAST_BYTES
+    if npf and npf * dim * 8 <= broadcast_bytes:
+        return _topk_broadcast(queries, profiles, qid, pid, qvec, pvec, k, cosine, exclude_self)
     QB, PB = _blocks(nq, block_rows), _blocks(npf, block_rows)
     q = (queries.select(F.col(qid).cast("bigint").alias("qid"), F.col(qvec).cast("array<double>").alias("v"))
                 .withColumn("_qb", F.pmod(F.xxhash64("qid"), F.lit(QB)).cast("int"))
@@ -44,7 +54,6 @@ def topk_similar(queries: DataFrame, profiles: DataFrame, qid: str, pid: str, qv
     p = (profiles.select(F.col(pid).cast("bigint").alias("pid"), F.col(pvec).cast("array<double>").alias("v"))
                  .withColumn("_pb", F.pmod(F.xxhash64("pid"), F.lit(PB)).cast("int"))
                  .withColumn("_qb", F.explode(F.sequence(F.lit(0), F.lit(QB - 1)))))
-    cosine = metric == "cosine"
     chunk = QUERY_CHUNK
 
     # Self-contained closure (shipped by value to the Python workers).
@@ -110,6 +119,76 @@ def topk_similar(queries: DataFrame, profiles: DataFrame, qid: str, pid: str, qv
     return top.select(F.col("qid").alias(qid), "rank", F.col("pid").alias(f"neighbor_{pid}"), "score")
 
 
+def _score_rows(Q, qids, P, pids, k, cosine, exclude_self):
+    """Exact top-k of each query row against matrix P (same rules as the
+    blocked path: ties to the smaller id, exact Euclidean ranking)."""
+    import numpy as np
+    if cosine:
+        qn = np.linalg.norm(Q, axis=1)
+        S = (Q / np.where(qn == 0, 1.0, qn)[:, None]) @ P.T
+        key = -S
+    else:
+        q2 = np.einsum("ij,ij->i", Q, Q)
+        p2 = np.einsum("ij,ij->i", P, P)
+        key = q2[:, None] + p2[None, :] - 2.0 * (Q @ P.T)
+    if exclude_self:
+        key[qids[:, None] == pids[None, :]] = np.inf
+    kk = min(k, key.shape[1])
+    idx = np.argpartition(key, kk - 1, axis=1)[:, :kk] if kk < key.shape[1] else \
+        np.tile(np.arange(key.shape[1]), (key.shape[0], 1))
+    thr = np.take_along_axis(key, idx, axis=1).max(axis=1)
+    if not cosine:
+        thr = thr + 1e-9 * (q2 + p2.max()) + 1e-12
+    out_q, out_p, out_s, out_r = [], [], [], []
+    for r in range(key.shape[0]):
+        cand = np.nonzero(key[r] <= thr[r])[0]
+        cand = cand[np.isfinite(key[r, cand])]
+        if cosine:
+            sc = S[r, cand]
+            order = np.lexsort((pids[cand], -sc))[:kk]
+        else:
+            sc = np.sqrt(np.sum((P[cand] - Q[r]) ** 2, axis=1))
+            order = np.lexsort((pids[cand], sc))[:kk]
+        out_q += [qids[r]] * len(order)
+        out_p += list(pids[cand[order]])
+        out_s += list(sc[order])
+        out_r += list(range(1, len(order) + 1))
+    return out_q, out_r, out_p, out_s
+
+
+def _topk_broadcast(queries, profiles, qid, pid, qvec, pvec, k, cosine, exclude_self):
+    """Size-checked fast path: the profile matrix is broadcast; each query
+    partition is scored in place (mapInPandas), no shuffle of queries."""
+    import numpy as np
+    rows = profiles.select(F.col(pid).cast("bigint").alias("p"), F.col(pvec).cast("array<double>").alias("v")).collect()
+    P = np.vstack([np.asarray(r["v"], dtype=np.float64) for r in rows])
+    pids = np.asarray([r["p"] for r in rows], dtype=np.int64)
+    if cosine:
+        nrm = np.linalg.norm(P, axis=1)
+        P = P / np.where(nrm == 0, 1.0, nrm)[:, None]
+    bc = queries.sparkSession.sparkContext.broadcast((P, pids))
+    score = _score_rows
+    chunk = QUERY_CHUNK
+
+    def run(batches):
+        import numpy as np
+        import pandas as pd
+        Pm, pi = bc.value
+        for b in batches:
+            for s0 in range(0, len(b), chunk):
+                part = b.iloc[s0:s0 + chunk]
+                if part.empty:
+                    continue
+                Q = np.vstack([np.asarray(v, dtype=np.float64) for v in part["v"].to_numpy()])
+                q, r, p, sc = score(Q, part["qid"].to_numpy(dtype=np.int64), Pm, pi, k, cosine, exclude_self)
+                yield pd.DataFrame({"qid": np.asarray(q, dtype=np.int64), "rank": np.asarray(r, dtype=np.int32),
+                                    "pid": np.asarray(p, dtype=np.int64), "score": np.asarray(sc, dtype=np.float64)})
+
+    q = queries.select(F.col(qid).cast("bigint").alias("qid"), F.col(qvec).cast("array<double>").alias("v"))
+    out = q.mapInPandas(run, "qid bigint, rank int, pid bigint, score double")
+    return out.select(F.col("qid").alias(qid), "rank", F.col("pid").alias(f"neighbor_{pid}"), "score")
+
+
 def l2_normalise(df: DataFrame, vec: str, out: str) -> DataFrame:
     """Unit-length vector (zero vector stays zero)."""
     v = F.col(vec).cast("array<double>")
