@@ -138,3 +138,9 @@ def test_running_sums_exact(spark):
     df = spark.range(5000).select(F.col("id").alias("k"), (F.col("id") % 7).cast("double").alias("v"))
     got = win.running_sums(df, [], "k", ["v"], n_buckets=16).toPandas().sort_values("k")
     np.testing.assert_allclose(got["cum_v"].to_numpy(), np.cumsum((np.arange(5000) % 7).astype(float)))
+
+
+def test_adf_pvalue_consistent_with_critical_values():
+    # the p-value approximation and the asymptotic critical values agree
+    for k, p in (("1%", 0.01), ("5%", 0.05), ("10%", 0.10)):
+        assert abs(st.adf_pvalue(st.ADF_CRIT[k][0]) - p) < 0.002

@@ -56,60 +56,28 @@ def topk_similar(queries: DataFrame, profiles: DataFrame, qid: str, pid: str, qv
                  .withColumn("_qb", F.explode(F.sequence(F.lit(0), F.lit(QB - 1)))))
     chunk = QUERY_CHUNK
 
-    # Self-contained closure (shipped by value to the Python workers).
+    score = _score_rows
+
     def score_block(qdf: pd.DataFrame, pdf: pd.DataFrame) -> pd.DataFrame:
         import numpy as np
         import pandas as pd
-
-        def _matrix(series):
-            return np.vstack([np.asarray(v, dtype=np.float64) for v in series.to_numpy()])
-
         empty = pd.DataFrame({"qid": pd.Series([], dtype="int64"), "pid": pd.Series([], dtype="int64"),
                               "score": pd.Series([], dtype="float64")})
         if qdf.empty or pdf.empty:
             return empty
-        P = _matrix(pdf["v"])
+        P = np.vstack([np.asarray(v, dtype=np.float64) for v in pdf["v"].to_numpy()])
         pids = pdf["pid"].to_numpy(dtype=np.int64)
         if cosine:
             nrm = np.linalg.norm(P, axis=1)
             P = P / np.where(nrm == 0, 1.0, nrm)[:, None]
-        else:
-            p2 = np.einsum("ij,ij->i", P, P)
-        out = []
-        for s in range(0, len(qdf), chunk):
-            part = qdf.iloc[s:s + chunk]
-            Q = _matrix(part["v"])
-            qids = part["qid"].to_numpy(dtype=np.int64)
-            if cosine:
-                qn = np.linalg.norm(Q, axis=1)
-                S = (Q / np.where(qn == 0, 1.0, qn)[:, None]) @ P.T
-                key = -S
-            else:
-                q2 = np.einsum("ij,ij->i", Q, Q)
-                # matmul distances only pick candidates; exact distances rank them
-                key = q2[:, None] + p2[None, :] - 2.0 * (Q @ P.T)
-                S = None
-            if exclude_self:
-                key[qids[:, None] == pids[None, :]] = np.inf
-            kk = min(k, key.shape[1])
-            # best kk by (key, pid): lexsort on a candidate superset is exact
-            idx = np.argpartition(key, kk - 1, axis=1)[:, :kk] if kk < key.shape[1] else \
-                np.tile(np.arange(key.shape[1]), (key.shape[0], 1))
-            thr = np.take_along_axis(key, idx, axis=1).max(axis=1)
-            if not cosine:
-                thr = thr + 1e-9 * (q2 + p2.max()) + 1e-12
-            for r in range(key.shape[0]):
-                cand = np.nonzero(key[r] <= thr[r])[0]          # includes every tie at the threshold
-                cand = cand[np.isfinite(key[r, cand])]
-                if cosine:
-                    sc = S[r, cand]
-                    order = np.lexsort((pids[cand], -sc))[:kk]
-                else:
-                    sc = np.sqrt(np.sum((P[cand] - Q[r]) ** 2, axis=1))
-                    order = np.lexsort((pids[cand], sc))[:kk]
-                out.append(pd.DataFrame({"qid": np.full(len(order), qids[r], dtype=np.int64),
-                                         "pid": pids[cand[order]], "score": sc[order]}))
-        return pd.concat(out, ignore_index=True) if out else empty
+        parts = []
+        for s0 in range(0, len(qdf), chunk):
+            part = qdf.iloc[s0:s0 + chunk]
+            Q = np.vstack([np.asarray(v, dtype=np.float64) for v in part["v"].to_numpy()])
+            q, _, p, sc = score(Q, part["qid"].to_numpy(dtype=np.int64), P, pids, k, cosine, exclude_self)
+            parts.append(pd.DataFrame({"qid": np.asarray(q, dtype=np.int64), "pid": np.asarray(p, dtype=np.int64),
+                                       "score": np.asarray(sc, dtype=np.float64)}))
+        return pd.concat(parts, ignore_index=True) if parts else empty
 
     cand = q.groupBy("_qb", "_pb").cogroup(p.groupBy("_qb", "_pb")).applyInPandas(
         score_block, "qid bigint, pid bigint, score double")
