@@ -146,57 +146,67 @@ def layout(df: DataFrame, keys, order: str = "ts", back: int = 0, fwd: int = 0,
     return Layout(d, keys, keys + [BLK], True)
 
 
-def carry_forward(lay: Layout, df: DataFrame, value: str, out: str, idx_col: str | None = None) -> DataFrame:
-    """Forward fill ``value`` (owner rows only) across the whole series.
-
-    In-block ``last(ignorenulls)`` plus, for blocks that start without a
-    value, the last value of earlier blocks from the small block table.
-    With ``idx_col`` also returns the position the value came from.
+def carry(lay: Layout, df: DataFrame, forward=(), backward=()) -> DataFrame:
+    """Fill values across the whole series, several columns at once.
+
+    ``forward``/``backward`` hold ``(value, out, idx_out or None)``: ``out``
+    is the last (next) non-null ``value`` of an owner row at or before
+    (after) the row, ``idx_out`` its position.  In-block ``last/first
+    (ignorenulls)`` windows, plus - for blocks without such a value - one
+    summary aggregation over the small block table, windows over it, and a
+    single join back.
     """
-    w = lay.window().rowsBetween(Window.unboundedPreceding, 0)
-    v = F.when(F.col(OWN), F.col(value)) if lay.blocked else F.col(value)
-    df = df.withColumn(out, F.last(v, ignorenulls=True).over(w))
-    if idx_col:
-        df = df.withColumn(idx_col, F.last(F.when(v.isNotNull(), F.col(IDX)), ignorenulls=True).over(w))
+    wf = lay.window().rowsBetween(Window.unboundedPreceding, 0)
+    wbk = lay.window().rowsBetween(0, Window.unboundedFollowing)
+    cols = {}
+    for value, out, idx_out in forward:
+        v = F.when(F.col(OWN), F.col(value)) if lay.blocked else F.col(value)
+        cols[out] = F.last(v, ignorenulls=True).over(wf)
+        if idx_out:
+            cols[idx_out] = F.last(F.when(v.isNotNull(), F.col(IDX)), ignorenulls=True).over(wf)
+    for value, out, idx_out in backward:
+        v = F.when(F.col(OWN), F.col(value)) if lay.blocked else F.col(value)
+        cols[out] = F.first(v, ignorenulls=True).over(wbk)
+        if idx_out:
+            cols[idx_out] = F.first(F.when(v.isNotNull(), F.col(IDX)), ignorenulls=True).over(wbk)
+    df = df.withColumns(cols)
     if not lay.blocked:
         return df
-    own = df.where(F.col(OWN))
-    summ = own.groupBy(*lay.part).agg(
-        F.max_by(F.col(value), F.when(F.col(value).isNotNull(), F.col(IDX))).alias("_lv"),
-        F.max(F.when(F.col(value).isNotNull(), F.col(IDX))).alias("_li"))
-    wb = Window.partitionBy(*lay.keys).orderBy(BLK).rowsBetween(Window.unboundedPreceding, -1)
-    summ = summ.select(*lay.part,
-                       F.last("_lv", ignorenulls=True).over(wb).alias("_cv"),
-                       F.last("_li", ignorenulls=True).over(wb).alias("_ci"))
+    aggs, sel = [], []
+    wprev = Window.partitionBy(*lay.keys).orderBy(BLK).rowsBetween(Window.unboundedPreceding, -1)
+    wnext = Window.partitionBy(*lay.keys).orderBy(BLK).rowsBetween(1, Window.unboundedFollowing)
+    fills = []
+    for n, (value, out, idx_out) in enumerate(forward):
+        at = F.when(F.col(value).isNotNull(), F.col(IDX))
+        aggs += [F.max_by(F.col(value), at).alias(f"_fv{n}"), F.max(at).alias(f"_fi{n}")]
+        sel += [F.last(f"_fv{n}", ignorenulls=True).over(wprev).alias(f"_cfv{n}"),
+                F.last(f"_fi{n}", ignorenulls=True).over(wprev).alias(f"_cfi{n}")]
+        fills.append((out, f"_cfv{n}"))
+        if idx_out:
+            fills.append((idx_out, f"_cfi{n}"))
+    for n, (value, out, idx_out) in enumerate(backward):
+        at = F.when(F.col(value).isNotNull(), F.col(IDX))
+        aggs += [F.min_by(F.col(value), at).alias(f"_bv{n}"), F.min(at).alias(f"_bi{n}")]
+        sel += [F.first(f"_bv{n}", ignorenulls=True).over(wnext).alias(f"_cbv{n}"),
+                F.first(f"_bi{n}", ignorenulls=True).over(wnext).alias(f"_cbi{n}")]
+        fills.append((out, f"_cbv{n}"))
+        if idx_out:
+            fills.append((idx_out, f"_cbi{n}"))
+    summ = df.where(F.col(OWN)).groupBy(*lay.part).agg(*aggs).select(*lay.part, *sel)
     df = df.join(summ, on=lay.part, how="left")
-    df = df.withColumn(out, F.coalesce(F.col(out), F.col("_cv")))
-    if idx_col:
-        df = df.withColumn(idx_col, F.coalesce(F.col(idx_col), F.col("_ci")))
-    return df.drop("_cv", "_ci")
+    df = df.withColumns({out: F.coalesce(F.col(out), F.col(c)) for out, c in fills})
+    tmp = [f"_c{d}{k}{n}" for d, items in (("f", forward), ("b", backward)) for n in range(len(items)) for k in "vi"]
+    return df.drop(*tmp)
+
+
+def carry_forward(lay: Layout, df: DataFrame, value: str, out: str, idx_col: str | None = None) -> DataFrame:
+    """Forward fill ``value`` (owner rows only) across the whole series."""
+    return carry(lay, df, forward=[(value, out, idx_col)])
 
 
 def carry_backward(lay: Layout, df: DataFrame, value: str, out: str, idx_col: str | None = None) -> DataFrame:
-    """Backward fill (next non-null at or after the row), mirror of ``carry_forward``."""
-    w = lay.window().rowsBetween(0, Window.unboundedFollowing)
-    v = F.when(F.col(OWN), F.col(value)) if lay.blocked else F.col(value)
-    df = df.withColumn(out, F.first(v, ignorenulls=True).over(w))
-    if idx_col:
-        df = df.withColumn(idx_col, F.first(F.when(v.isNotNull(), F.col(IDX)), ignorenulls=True).over(w))
-    if not lay.blocked:
-        return df
-    own = df.where(F.col(OWN))
-    summ = own.groupBy(*lay.part).agg(
-        F.min_by(F.col(value), F.when(F.col(value).isNotNull(), F.col(IDX))).alias("_fv"),
-        F.min(F.when(F.col(value).isNotNull(), F.col(IDX))).alias("_fi"))
-    wb = Window.partitionBy(*lay.keys).orderBy(BLK).rowsBetween(1, Window.unboundedFollowing)
-    summ = summ.select(*lay.part,
-                       F.first("_fv", ignorenulls=True).over(wb).alias("_cv"),
-                       F.first("_fi", ignorenulls=True).over(wb).alias("_ci"))
-    df = df.join(summ, on=lay.part, how="left")
-    df = df.withColumn(out, F.coalesce(F.col(out), F.col("_cv")))
-    if idx_col:
-        df = df.withColumn(idx_col, F.coalesce(F.col(idx_col), F.col("_ci")))
-    return df.drop("_cv", "_ci")
+    """Backward fill (next non-null at or after the row)."""
+    return carry(lay, df, backward=[(value, out, idx_col)])
 
 
 # ---------------------------------------------------------------- operators
@@ -237,8 +247,9 @@ def centred_ma(x: str, period: int, w) -> Column:
 EWM_HALO = 450
 
 
-def ewm_mean(lay: Layout, df: DataFrame, x: str, out: str, span: float = 24.0) -> DataFrame:
-    """``ewm(span).mean()`` (adjust=True, nulls decay the weights).
+def ewm_means(lay: Layout, df: DataFrame, pairs, span: float = 24.0) -> DataFrame:
+    """``ewm(span).mean()`` (adjust=True, nulls decay the weights) of
+    several ``(column, out)`` pairs, sharing one carry step.
 
     Needs the block layout with ``back >= EWM_HALO``.  At an owner row with a
     value, the running ``sum(w_j x_j) / sum(w_j)`` from the block's first
@@ -249,25 +260,30 @@ def ewm_mean(lay: Layout, df: DataFrame, x: str, out: str, span: float = 24.0) -
     forward, which is exact since nulls scale numerator and denominator alike.
     """
     if not lay.blocked:
-        raise ValueError("ewm_mean needs layout(..., strategy='blocks', back>=EWM_HALO)")
+        raise ValueError("ewm_means needs layout(..., strategy='blocks', back>=EWM_HALO)")
     r = 1.0 - 2.0 / (span + 1.0)
     run = lay.window().rowsBetween(Window.unboundedPreceding, 0)
     base = F.min(F.col(IDX)).over(Window.partitionBy(*lay.part))
     rel = (F.col(IDX) - base).cast("double")
-    xv = F.col(x)
-    wt = F.when(xv.isNotNull(), F.pow(F.lit(1.0 / r), rel))
-    tmp = "_ewm_at"
-    df = df.withColumn(tmp, F.when(xv.isNotNull() & F.col(OWN),
-                                   F.sum(wt * xv).over(run) / F.sum(wt).over(run)))
-    df = carry_forward(lay, df, tmp, out)
-    return df.drop(tmp)
+    tmp = {}
+    for n, (x, _) in enumerate(pairs):
+        xv = F.col(x)
+        wt = F.when(xv.isNotNull(), F.pow(F.lit(1.0 / r), rel))
+        tmp[f"_ewm_at{n}"] = F.when(xv.isNotNull() & F.col(OWN), F.sum(wt * xv).over(run) / F.sum(wt).over(run))
+    df = df.withColumns(tmp)
+    df = carry(lay, df, forward=[(f"_ewm_at{n}", out, None) for n, (_, out) in enumerate(pairs)])
+    return df.drop(*tmp)
+
+
+def ewm_mean(lay: Layout, df: DataFrame, x: str, out: str, span: float = 24.0) -> DataFrame:
+    """W6 for one column (see ``ewm_means``)."""
+    return ewm_means(lay, df, [(x, out)], span)
 
 
 def interpolate_linear(lay: Layout, df: DataFrame, x: str, out: str) -> DataFrame:
     """Pandas ``interpolate()`` (linear in position); leading nulls stay
     null, trailing nulls take the last value."""
-    df = carry_forward(lay, df, x, "_pv", "_pi")
-    df = carry_backward(lay, df, x, "_nv", "_ni")
+    df = carry(lay, df, forward=[(x, "_pv", "_pi")], backward=[(x, "_nv", "_ni")])
     frac = (F.col(IDX) - F.col("_pi")).cast("double") / (F.col("_ni") - F.col("_pi")).cast("double")
     val = (F.when(F.col(x).isNotNull(), F.col(x))
             .when(F.col("_pv").isNull(), F.lit(None))

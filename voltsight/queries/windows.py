@@ -71,9 +71,7 @@ def q_ewm(spark, sf_dir):
     """Exponentially weighted mean, span 24, nulls decay the weights."""
     g = src.grid_hourly(spark, sf_dir).select("series_id", "ts", "load", "price")
     lay = win.layout(g, ["series_id"], "ts", back=win.EWM_HALO, strategy="blocks")
-    d = win.ewm_mean(lay, lay.df, "load", "load_ewm24")
-    d = win.ewm_mean(lay, d, "price", "price_ewm24")
-    return lay.finish(d)
+    return lay.finish(win.ewm_means(lay, lay.df, [("load", "load_ewm24"), ("price", "price_ewm24")]))
 
 
 @register("w7_interpolate", f"""
