@@ -236,7 +236,7 @@ def assembler(features, out: str = "features") -> VectorAssembler:
 
 
 def regressor(kind: str, label: str, **kw):
-    """Spark ML regressors keyed by the reference's model names."""
+    """Spark ML regressors (linear, tree, forest, boosted trees)."""
     from pyspark.ml import regression as R
     common = dict(featuresCol="features", labelCol=label, predictionCol="prediction")
     if kind == "linear":
