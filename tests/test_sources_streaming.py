@@ -27,7 +27,7 @@ def _events(rows):
         {"event_id": "int64", "user_id": "int64", "value": "float64"})
 
 
-def test_windows_update_across_batches(spark):
+def test_watermark_drops_late_rows(spark):
     d = tempfile.mkdtemp(prefix="vs-stream-")
     t = pd.Timestamp
     f1 = _events([(1, t("2024-01-01 10:05"), 0, "view", 1.0, ""), (2, t("2024-01-01 12:10"), 0, "view", 2.0, "")])
@@ -44,9 +44,8 @@ def test_windows_update_across_batches(spark):
     hours = {r.ts.hour: r.load for r in res.itertuples()}
     # on-time rows of the second micro-batch update the 12:00 window
     assert hours[12] == 7.0 and hours[10] == 1.0
-    # the 07:30 row is older than the watermark (10:10); Spark bounds state but
-    # gives no drop guarantee, so it may open a window again (documented)
-    assert set(hours) <= {7, 10, 12}
+    # the 07:30 row is older than the watermark (12:10 - 2 h): dropped
+    assert 7 not in hours
 
 
 def test_ingest_quarantines_incomplete_rows(spark):

@@ -3,11 +3,12 @@
 * K1 ingest: a file stream of raw readings; each micro-batch is validated
   (required fields present) in ``foreachBatch``; valid rows are appended to
   the history table, rejected rows to a quarantine table.
-* K2 hourly series: event-time tumbling windows of one hour per series with
-  a watermark that bounds the window state (windows ending before the
-  watermark are purged).  Spark does not guarantee that a row older than
-  the watermark is dropped: in update mode it can still open (and emit) a
-  window that was already purged.
+* K2 hourly series: ``hourly_series`` is the stateful form (event-time
+  tumbling windows with ``withWatermark``; Spark bounds state by the
+  watermark but does not promise to drop older rows).  ``run_hourly_series``
+  gives strict semantics: per micro-batch, rows older than the job's
+  watermark are dropped and partial aggregates are written idempotently per
+  epoch; ``hourly_from_partials`` combines them.
 * K3 scoring: a request stream joined per micro-batch with the static
   history (request features, M3) and a fitted model.
 
@@ -18,6 +19,7 @@ job resumes from its own offsets and state.
 
 from __future__ import annotations
 
+import datetime as dt
 import os
 import uuid
 
@@ -78,24 +80,69 @@ def hourly_series(stream: DataFrame, n_series: int = 8, watermark: str = "2 hour
     return agg.select("series_id", F.col("window.start").cast("timestamp_ntz").alias("ts"), *src.GRID_MEASURES)
 
 
-def run_hourly_series(spark: SparkSession, sf_dir: str, out_dir: str, n_series: int = 8) -> str:
-    """K2 driver: update-mode windows written per micro-batch (one row per
-    window and batch); the latest version of a window wins on read."""
-    hs = hourly_series(event_stream(spark, sf_dir), n_series)
+def _partials(df: DataFrame, n_series: int) -> DataFrame:
+    """Per-batch partial aggregates of the hourly grid (sums and counts, so
+    batches combine exactly)."""
+    ev = df.select((F.col("user_id") % F.lit(n_series)).cast("bigint").alias("series_id"),
+                   F.date_trunc("hour", F.col("ts")).cast("timestamp_ntz").alias("ts"), "event_type", "value")
+    aggs = [F.sum("value").alias("p_load"), F.count("value").alias("n_load"),
+            F.sum(F.when(F.col("event_type") == "purchase", F.col("value"))).alias("p_purchase"),
+            F.count(F.when(F.col("event_type") == "purchase", F.col("value"))).alias("n_purchase")]
+    for et, name in src._EVENT_MEASURE.items():
+        aggs += [F.sum(F.when(F.col("event_type") == et, F.col("value"))).alias(f"p_{name}"),
+                 F.count(F.when(F.col("event_type") == et, F.col("value"))).alias(f"n_{name}")]
+    return ev.groupBy("series_id", "ts").agg(*aggs)
+
+
+def run_hourly_series(spark: SparkSession, sf_dir: str, out_dir: str, n_series: int = 8,
+                      watermark_hours: int = 2) -> str:
+    """K2 driver with strict late-data semantics.
+
+    Each micro-batch (``foreachBatch``): the job's watermark is the largest
+    event time of all earlier batches minus ``watermark_hours`` (read from
+    the per-epoch progress table, so a restarted job sees the same value);
+    rows older than it are dropped; the rest become partial aggregates
+    written to ``partials/epoch=N`` with overwrite, so a replayed epoch
+    replaces itself (exactly-once into the sink).  ``hourly_from_partials``
+    combines them.
+    """
+    progress = os.path.join(out_dir, "progress")
+    partials = os.path.join(out_dir, "partials")
 
     def batch(df: DataFrame, epoch: int) -> None:
-        df.withColumn("_epoch", F.lit(epoch)).write.mode("append").parquet(os.path.join(out_dir, "hourly"))
-
-    q = (hs.writeStream.outputMode("update").foreachBatch(batch)
+        wm = None
+        try:
+            prev = spark.read.parquet(progress).where(F.col("epoch") < epoch).agg(F.max("max_ts")).first()[0]
+            if prev is not None:
+                wm = prev - dt.timedelta(hours=watermark_hours)
+        except Exception:       # no earlier batch yet
+            pass
+        kept = df if wm is None else df.where(F.col("ts") >= F.lit(wm).cast("timestamp_ntz"))
+        _partials(kept, n_series).write.mode("overwrite").parquet(os.path.join(partials, f"epoch={epoch}"))
+        mx = df.agg(F.max("ts").alias("max_ts")).withColumn("epoch", F.lit(epoch))
+        mx.write.mode("overwrite").parquet(os.path.join(progress, f"e={epoch}"))
+
+    q = (event_stream(spark, sf_dir).writeStream.foreachBatch(batch)
            .option("checkpointLocation", os.path.join(out_dir, "_ckpt")).trigger(availableNow=True).start())
     _await(q)
-    return os.path.join(out_dir, "hourly")
+    return partials
+
+
+def hourly_from_partials(spark: SparkSession, path: str) -> DataFrame:
+    """Combine per-batch partials into the hourly grid table."""
+    p = spark.read.parquet(path)
+    sums = [F.sum(c).alias(c) for c in p.columns if c.startswith(("p_", "n_"))]
+    a = p.groupBy("series_id", "ts").agg(*sums)
+    cols = [F.col("p_load").alias("load"),
+            F.when(F.col("n_purchase") > 0, F.col("p_purchase") / F.col("n_purchase")).alias("price")]
+    for name in src._EVENT_MEASURE.values():
+        cols.append(F.when(F.col(f"n_{name}") > 0, F.col(f"p_{name}")).alias(name))
+    return a.select("series_id", "ts", *cols)
 
 
 def latest_windows(spark: SparkSession, path: str) -> DataFrame:
-    d = spark.read.parquet(path)
-    latest = d.groupBy("series_id", "ts").agg(F.max("_epoch").alias("_epoch"))
-    return d.join(latest, ["series_id", "ts", "_epoch"]).drop("_epoch")
+    """Hourly table of a ``run_hourly_series`` sink."""
+    return hourly_from_partials(spark, path)
 
 
 def run_request_scoring(spark: SparkSession, sf_dir: str, out_dir: str) -> str:
