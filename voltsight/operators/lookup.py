@@ -7,7 +7,7 @@
   are copied to every salt so a hot series-day of requests is spread over
   ``salts`` tasks.  No pairs are emitted.
 * J2 interval mean: a range join on an equi-key (series, day): each request
-  is exploded to the (at most two) days its 24 h window touches.  History
+  is exploded to the days its window touches (two for 24 h).  History
   has one row per series-hour (the grain of the hourly table), so each
   request meets at most 25 history rows.
 """
@@ -89,7 +89,9 @@ def interval_mean(requests: DataFrame, history: DataFrame, keys, req_ts: str, hi
     lo = F.col(req_ts) - F.make_dt_interval(hours=F.lit(start_hours))
     hi = F.col(req_ts) - F.make_dt_interval(hours=F.lit(end_hours))
     r = requests.select(id_col, *keys, lo.alias("_lo"), hi.alias("_hi"))
-    r = r.withColumn("_b", F.explode(F.array_distinct(F.array(_bucket(F.col("_lo"), "day"), _bucket(F.col("_hi"), "day")))))
+    # every day the window touches (two for a 24 h window)
+    r = r.withColumn("_b", F.explode(F.sequence(_bucket(F.col("_lo"), "day"), _bucket(F.col("_hi"), "day"),
+                                                F.expr("INTERVAL 1 DAY"))))
     h = history.select(*keys, F.col(hist_ts).alias("_t"), *values).withColumn("_b", _bucket(F.col("_t"), "day"))
     j = r.join(h, on=keys + ["_b"], how="inner").where(F.col("_t").between(F.col("_lo"), F.col("_hi")))
     return j.groupBy(id_col).agg(F.count(F.lit(1)).alias("n_hist"), *[F.avg(v).alias(f"avg_{v}") for v in values])

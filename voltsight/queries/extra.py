@@ -8,7 +8,7 @@ from ..plans import features as fe
 from ..sources import tables as src
 
 
-@register("m2_flow_features", f"""
+M2_SQL = f"""
 WITH g AS ({GRID_SQL}),
 b AS (SELECT *, coalesce(solar, 0) + coalesce(wind, 0) AS renewable, coalesce(gas, 0) + coalesce(coal, 0) AS fossil,
              CAST(hour(ts) AS BIGINT) AS hour, CAST(isodow(ts) - 1 AS BIGINT) AS day_of_week,
@@ -24,12 +24,21 @@ SELECT series_id, {ts_text('ts')} AS ts, {R('load')} AS load, {R('price')} AS pr
 FROM l WHERE load IS NOT NULL AND price IS NOT NULL AND solar IS NOT NULL AND wind IS NOT NULL AND gas IS NOT NULL
   AND coal IS NOT NULL AND nuclear IS NOT NULL AND demand_lag_1h IS NOT NULL AND price_lag_1h IS NOT NULL
   AND demand_12h IS NOT NULL AND price_12h IS NOT NULL
-""")
+"""
+
+
+@register("m2_flow_features", M2_SQL)
 def q_flow_features(spark, sf_dir):
     """M2: minimal flow features, rows with any null dropped."""
     return fe.flow_features(src.grid_hourly(spark, sf_dir))
 
 
+@register("m2_flow_features_single", M2_SQL.replace(GRID_SQL, GRID_SQL.replace("CAST(user_id % 8 AS BIGINT)", "CAST(0 AS BIGINT)")))
+def q_flow_features_single(spark, sf_dir):
+    """M2 on the single-series grid table."""
+    return fe.flow_features(src.grid_hourly(spark, sf_dir, n_series=1))
+
+
 @register("p3_drop_columns", f"""
 WITH g AS ({GRID_SQL})
 SELECT series_id, {ts_text('ts')} AS ts, {R('load')} AS load, {R('price')} AS price FROM g
