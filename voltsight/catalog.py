@@ -71,7 +71,7 @@ SELECT CAST(user_id % 8 AS BIGINT) AS series_id, date_trunc('hour', ts) AS ts,
 FROM events GROUP BY 1, 2
 """
 
-GRID1_SQL = GRID_SQL.replace("CAST(user_id % 8 AS BIGINT)", "CAST(0 AS BIGINT)")
+GRID1_SQL = GRID_SQL.replace("CAST(user_id % 8 AS BIGINT)", "CAST(user_id % 1 AS BIGINT)")
 
 
 def R(expr: str, d: int = DIGITS) -> str:

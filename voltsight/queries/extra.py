@@ -33,7 +33,7 @@ def q_flow_features(spark, sf_dir):
     return fe.flow_features(src.grid_hourly(spark, sf_dir))
 
 
-@register("m2_flow_features_single", M2_SQL.replace(GRID_SQL, GRID_SQL.replace("CAST(user_id % 8 AS BIGINT)", "CAST(0 AS BIGINT)")))
+@register("m2_flow_features_single", M2_SQL.replace(GRID_SQL, GRID_SQL.replace("CAST(user_id % 8 AS BIGINT)", "CAST(user_id % 1 AS BIGINT)")))
 def q_flow_features_single(spark, sf_dir):
     """M2 on the single-series grid table."""
     return fe.flow_features(src.grid_hourly(spark, sf_dir, n_series=1))
@@ -72,7 +72,7 @@ RAW_NAMES = {"load": "total load actual", "price": "price actual", "solar": "gen
 
 
 @register("s1_s2_raw_csv_scan", f"""
-WITH g AS ({GRID_SQL.replace("CAST(user_id % 8 AS BIGINT)", "CAST(0 AS BIGINT)")})
+WITH g AS ({GRID_SQL.replace("CAST(user_id % 8 AS BIGINT)", "CAST(user_id % 1 AS BIGINT)")})
 SELECT {ts_text('ts')} AS ts, {R('load')} AS load,
        {R('coalesce(solar, 0) + coalesce(wind, 0)')} AS renewable, {R('coalesce(gas, 0) + coalesce(coal, 0)')} AS fossil,
        {R('coalesce(nuclear, 0)')} AS nuclear

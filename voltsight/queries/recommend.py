@@ -121,7 +121,7 @@ def q_recommend_by_index(spark, sf_dir):
         "ts", "demand_class", "price_class", "confidence", "similar_hours", "recommendation")
 
 
-REQ1_SQL = REQ_SQL.replace("CAST(user_id % 8 AS BIGINT)", "CAST(0 AS BIGINT)")
+REQ1_SQL = REQ_SQL.replace("CAST(user_id % 8 AS BIGINT)", "CAST(user_id % 1 AS BIGINT)")
 ASOF_TAIL = ASOF_SQL.split(f"WITH g AS ({GRID_SQL}),", 1)[1].replace(REQ_SQL, REQ1_SQL)
 
 
