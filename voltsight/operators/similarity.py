@@ -40,13 +40,14 @@ def topk_similar(queries: DataFrame, profiles: DataFrame, qid: str, pid: str, qv
     ``'euclidean'`` by distance (lower first).  Ties go to the smaller
     profile id.  ``exclude_self`` drops pairs with equal ids (J6).
     """
-    nq, npf = queries.count(), profiles.count()
     cosine = metric == "cosine"
-    dim = len(profiles.select(pvec).first()[0]) if npf else 0
+    st = profiles.agg(F.count(F.lit(1)).alias("n"), F.max(F.size(pvec)).alias("d")).first()
+    npf, dim = int(st["n"]), int(st["d"] or 0)
     if broadcast_bytes is None:
         broadcast_bytes = BROADCAST_BYTES
     if npf and npf * dim * 8 <= broadcast_bytes:
         return _topk_broadcast(queries, profiles, qid, pid, qvec, pvec, k, cosine, exclude_self)
+    nq = queries.count()
     QB, PB = _blocks(nq, block_rows), _blocks(npf, block_rows)
     q = (queries.select(F.col(qid).cast("bigint").alias("qid"), F.col(qvec).cast("array<double>").alias("v"))
                 .withColumn("_qb", F.pmod(F.xxhash64("qid"), F.lit(QB)).cast("int"))
