@@ -144,3 +144,21 @@ def test_adf_pvalue_consistent_with_critical_values():
     # the p-value approximation and the asymptotic critical values agree
     for k, p in (("1%", 0.01), ("5%", 0.05), ("10%", 0.10)):
         assert abs(st.adf_pvalue(st.ADF_CRIT[k][0]) - p) < 0.002
+
+
+def test_interval_mean_matches_brute_force(spark):
+    req = src.requests_from_events(spark, SF01).select("request_id", "series_id", "ts")
+    hist = src.grid_hourly(spark, SF01).select("series_id", "ts", "price")
+    got = lk.interval_mean(req, hist, ["series_id"], "ts", "ts", ["price"], "request_id").toPandas().set_index("request_id")
+    r = req.toPandas().sample(300, random_state=0)
+    h = hist.toPandas()
+    for row in r.itertuples():
+        m = h[(h.series_id == row.series_id) & (h.ts >= row.ts - pd.Timedelta(hours=24)) &
+              (h.ts <= row.ts - pd.Timedelta(hours=1))]
+        if len(m) == 0:
+            assert row.request_id not in got.index
+            continue
+        g = got.loc[row.request_id]
+        assert g.n_hist == len(m)
+        exp = m.price.mean()
+        assert (pd.isna(exp) and pd.isna(g.avg_price)) or abs(exp - g.avg_price) < 1e-9
