@@ -79,7 +79,7 @@ class Model:
         for b in range(bits):
             self.weight[b] = np.log(p[self.code[:, b] > 0].mean(0)) - np.log(p[self.code[:, b] < 0].mean(0))
         expected = p @ self.weight.T if bits else np.zeros((len(langs), 0))
-        self.scale = np.abs(expected).mean(0) + 1e-9
+        self.scale = (np.abs(expected).mean(0) if len(langs) else np.zeros(bits)) + 1e-9
         shown = np.maximum(self.code * expected / self.scale, 1e-3) if bits else expected
         self.trust = shown / shown.sum(1, keepdims=True) if bits else shown
 

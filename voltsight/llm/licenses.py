@@ -71,8 +71,8 @@ RULES = {
 }
 
 _FOLD = re.compile(r"[^a-z0-9]+")
-# A sentence ends at . ; : ? (and marks after it) before a blank, or at an empty line.
-_END = re.compile(r"(?<=[.;:?])[^\w\s]*(?=\s|$)|\n\s*\n")
+# A sentence ends at . ; : ? (and marks after it) before a blank, but not after "v.", or at an empty line.
+_END = re.compile(r"(?<=[.;:?])(?<!\s[vV]\.)[^\w\s]*(?=\s|$)|\n\s*\n")
 MENTION = re.compile(r"\blicen[sc]ed? under\b|\bcopyright\b|\bunder the terms of\b")
 
 
@@ -94,7 +94,7 @@ class Rules:
                     self.known[normalised(form.format(title))] = f"declares {name}"
         self.rules.sort(key=lambda r: -len(r[0]))
         self.longest = max(k.count(" ") + 1 for k in self.known)
-        anchors = ("licen", "copyright", "permission", "redistribut", "warrant", "software")
+        anchors = ("licen", "copyright", "permission", "redistribut", "warrant", "software", "mit", "gpl")
         self.anchors = anchors if all(any(a in k for a in anchors) for k in self.known) else ("",)
 
     def sentences(self, text: str):
@@ -122,7 +122,9 @@ class Rules:
 
     def licenses(self, text: str | None) -> tuple[list[str], list[str], bool]:
         """Licences in order, known identifiers in order, and the unknown flag."""
-        low = (text or "").lower()
+        if not text:
+            return [], [], False
+        low = text.lower()
         if not any(a in low for a in self.anchors):
             return [], [], False
         found = [(n, ident) for n, ident in enumerate(self.sentences(text)) if ident]

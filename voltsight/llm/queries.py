@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from . import decontam, langid, licenses, linedup, mixing, pii, secrets, sharding, simhash, topk
+from . import decontam, langid, licenses, linedup, mixing, pii, secrets, sharding, simhash, sql, topk
 from .common import table
 
 #: Target weights of the mixing query.
@@ -56,7 +56,7 @@ def op5_decontamination(spark, sf_dir):
     """Benchmark contamination of every document by winnowing."""
     found = decontam.contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
     return found.select("doc_id", "n_words", "n_hit", F.size("items").cast("bigint").alias("n_items"),
-                        decontam.sha256_of().alias("items_sha256"), (F.col("n_hit") > 0).alias("contaminated"), "spans")
+                        decontam.sha256_of().alias("items_sha256"), (F.col("n_hit") > 0).alias("contaminated"))
 
 
 @query
@@ -98,3 +98,7 @@ def pipeline(spark, sf_dir):
     """All stages of ``corpus_pipeline.py`` over the documents."""
     import corpus_pipeline
     return corpus_pipeline.run(spark, sf_dir)
+
+
+ORACLE |= {"op5_decontamination": sql.decontamination(decontam.GUARANTEE), "op7_source_mixing": sql.mixing(WEIGHTS, 4, 1.0, 17),
+           "op9_top_k": sql.top_k(topk.K)}

@@ -31,7 +31,7 @@ HEX = re.compile(r"(?<![0-9a-f])[0-9a-f]{16,}")
 LEAST = {"assign": 12, "access": 18, "hex": 16}
 KINDS = ("assign", "access", "hex", "random")
 
-MIN_RUN, MIN_WORD, MIN_LLR, SMOOTHING = 16, 6, 14.0, 0.5
+MIN_RUN, MIN_WORD, MIN_LLR, SMOOTHING, BACKOFF = 16, 6, 14.0, 0.5, 200.0
 _ALPHABET = b"ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/_=-"
 STATES = len(_ALPHABET) + 1                              # and the state before the first character
 _STATE = np.full(256, -1, np.int16)
@@ -113,8 +113,10 @@ def train(docs: DataFrame) -> np.ndarray:
     counts = np.zeros((2, STATES * STATES))
     for r in sample_counts(docs).collect():              # at most 2 x STATES^2 rows
         counts[r.label, r.cell] = r.n
-    counts = counts.reshape(2, STATES, STATES)[:, :, 1:] + SMOOTHING
-    p = counts / counts.sum(2, keepdims=True)
+    counts = counts.reshape(2, STATES, STATES)[:, :, 1:]
+    single = counts.sum(1) + SMOOTHING                   # rare states fall back on the frequency of characters
+    single /= single.sum(1, keepdims=True)
+    p = (counts + BACKOFF * single[:, None]) / (counts.sum(2, keepdims=True) + BACKOFF)
     ratio = np.zeros((STATES, STATES))
     ratio[:, 1:] = np.log(p[1]) - np.log(p[0])
     return ratio
