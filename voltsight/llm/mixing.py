@@ -9,7 +9,9 @@ ancestors.  Each level is one closed-form water-filling over windows of the
 small tree tables.  A leaf takes whole epochs of its documents and then the
 prefix of one more epoch, whose order is the md5 of seed, epoch and id: first
 whole hash buckets by their totals, then row by row in the one bucket where the
-quota ends, so a leaf of any size is never sorted in one task.
+quota ends, so a leaf of any size is never sorted in one task.  The leaf table
+meets the documents as a broadcast if it counts at most
+``MAX_BROADCAST_LEAVES`` rows, else by a join on the leaf.
 
 Defined results: a null domain, language or source is the branch ``?``; null
 and empty texts have no tokens - such a row is taken if its place in the epoch
@@ -27,6 +29,7 @@ from .common import materialised
 
 LEVELS = ("domain", "language", "leaf_source")
 BUCKET_DIGITS = 4
+MAX_BROADCAST_LEAVES = 100_000
 WORD = r"[^ \t\n\r]+"
 
 
@@ -99,6 +102,11 @@ def _bucket() -> Column:
     return F.substring("place", 1, BUCKET_DIGITS)
 
 
+def _small(leaves: DataFrame, n: int) -> DataFrame:
+    """Broadcast the leaf table if its counted rows are few; else it is joined by key."""
+    return F.broadcast(leaves) if n <= MAX_BROADCAST_LEAVES else leaves
+
+
 def plan(docs: DataFrame, weights: dict, epochs: int, share: float, seed: int, domain: Column | None = None) -> DataFrame:
     """One row per leaf: ``quota``, whole epochs ``epoch``, rest, and the hash
     ``bucket`` in which the rest ends (with the tokens of all earlier buckets)."""
@@ -108,7 +116,7 @@ def plan(docs: DataFrame, weights: dict, epochs: int, share: float, seed: int, d
     q = quotas(leaves, weights, epochs, share).withColumn(
         "epoch", F.coalesce(F.floor(F.expr("quota / nullif(tokens, 0)")), F.lit(0)).cast("bigint"))
     q = materialised(q.withColumn("rest", F.col("quota") - F.col("epoch") * F.col("tokens")))
-    each = slim.join(q.select(*LEVELS, "epoch", "rest"), list(LEVELS)).withColumn("place", _order(seed))
+    each = slim.join(_small(q.select(*LEVELS, "epoch", "rest"), q.count()), list(LEVELS)).withColumn("place", _order(seed))
     buckets = each.groupBy(*LEVELS, _bucket().alias("bucket")).agg(
         F.sum("tokens").alias("n"), F.first("rest").alias("rest"))
     earlier = Window.partitionBy(*LEVELS).orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
@@ -128,7 +136,7 @@ def mixed(docs: DataFrame, weights: dict | None = None, epochs: int = 4, share:
     mark = "_mix_"
     own = {f"{mark}{n}": c for n, c in leaf.items()}
     right = decided.select(*[F.col(c).alias(f"{mark}{c}" if c in LEVELS else f"{mark}p_{c}") for c in decided.columns])
-    rows = docs.withColumns(own).join(right, list(own))
+    rows = docs.withColumns(own).join(_small(right, decided.count()), list(own))
     place = F.md5(F.concat_ws(":", F.lit(str(seed)), F.col(f"{mark}p_epoch").cast("string"),
                               F.coalesce(F.col("doc_id").cast("string"), F.lit("?"))))
     rows = rows.withColumn(f"{mark}place", place)
