@@ -33,7 +33,7 @@ def replicated(spark, sf_dir: str, copies: int = 10) -> dict:
     out["m1_training_features"] = round(time.perf_counter() - t0, 3)
     t0 = time.perf_counter()
     g = src.grid_from_events(ev, 8 * copies).select("series_id", "ts", "load", "price")
-    lay = win.layout(g, ["series_id"], "ts", back=win.EWM_HALO, strategy="blocks")
+    lay = win.layout(g, ["series_id"], "ts", back=win.EWM_HALO)
     d = win.interpolate_linear(lay, win.ewm_mean(lay, lay.df, "load", "load_ewm24"), "price", "price_interp")
     lay.finish(d).write.format("noop").mode("overwrite").save()
     out["w6_w7_ewm_interpolate"] = round(time.perf_counter() - t0, 3)

@@ -32,7 +32,8 @@ def test_watermark_drops_late_rows(spark):
     t = pd.Timestamp
     f1 = _events([(1, t("2024-01-01 10:05"), 0, "view", 1.0, ""), (2, t("2024-01-01 12:10"), 0, "view", 2.0, "")])
     f2 = _events([(3, t("2024-01-01 07:30"), 0, "view", 100.0, ""), (4, t("2024-01-01 12:20"), 0, "view", 5.0, "")])
-    for i, f in enumerate((f1, f2)):
+    f1b = _events([(9, t("2024-01-01 12:15"), 0, "view", 0.0, "")])
+    for i, f in enumerate((f1, f1b, f2)):
         spark.createDataFrame(f).withColumn("ts", F.col("ts").cast("timestamp_ntz")).coalesce(1) \
              .write.mode("overwrite").parquet(os.path.join(d, f"part{i}"))
         # flatten into the folder the stream reads, one file per trigger, in order
@@ -44,7 +45,7 @@ def test_watermark_drops_late_rows(spark):
     hours = {r.ts.hour: r.load for r in res.itertuples()}
     # on-time rows of the second micro-batch update the 12:00 window
     assert hours[12] == 7.0 and hours[10] == 1.0
-    # the 07:30 row is older than the watermark (12:10 - 2 h): dropped
+    # the 07:30 row is older than the watermark before the previous batch ended (12:10 - 2 h): dropped
     assert 7 not in hours
 
 

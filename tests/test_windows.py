@@ -3,6 +3,7 @@
 import numpy as np
 import pandas as pd
 import pytest
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from conftest import SF01
@@ -24,14 +25,17 @@ def daily(spark):
 
 @pytest.mark.parametrize("block", [64, 500])
 def test_lag_lead_rolling_blocks_equal_series(daily, block):
-    def run(strategy):
-        lay = win.layout(daily, ["series_id"], "ts", back=24, fwd=12, strategy=strategy, block_size=block)
+    def plain():
+        w = Window.partitionBy("series_id").orderBy("ts")
+        return win.Layout(daily.withColumn(win.IDX, (F.row_number().over(w) - 1).cast("bigint")), ["series_id"], ["series_id"], False)
+
+    def run(lay):
         w = lay.window()
         return _pdf(lay.finish(lay.df.withColumns({
             "lag7": win.lag_rows("revenue", 7, w), "lead12": win.lead_rows("revenue", 12, w),
             "prev24": win.rolling_mean("revenue", 24, w),
             "full24": win.rolling_mean("revenue", 24, w, include_current=True, full=True)}), keep_idx=True))
-    a, b = run("blocks"), run("series")
+    a, b = run(win.layout(daily, ["series_id"], "ts", back=24, fwd=12, block_size=block)), run(plain())
     pd.testing.assert_frame_equal(a, b, check_exact=False, rtol=1e-12)
 
 
@@ -42,7 +46,7 @@ def test_position_matches_row_number(daily):
 
 
 def test_pandas_parity_windows(daily):
-    lay = win.layout(daily, ["series_id"], "ts", back=win.EWM_HALO, fwd=0, strategy="blocks", block_size=500)
+    lay = win.layout(daily, ["series_id"], "ts", back=win.EWM_HALO, fwd=0, block_size=500)
     d = win.ewm_mean(lay, lay.df, "revenue", "ewm")
     d = win.interpolate_linear(lay, d, "revenue", "interp")
     w = lay.window()
@@ -63,18 +67,18 @@ def test_ewm_long_null_run_is_carried(spark):
     vals = [float(i % 13) if (i < 50 or i > 1500) else None for i in range(2000)]
     pdf = pd.DataFrame({"series_id": 0, "ts": pd.date_range("2020-01-01", periods=2000, freq="h"), "x": vals})
     df = spark.createDataFrame(pdf).withColumn("ts", F.col("ts").cast("timestamp_ntz"))
-    lay = win.layout(df, ["series_id"], "ts", back=win.EWM_HALO, strategy="blocks", block_size=500)
+    lay = win.layout(df, ["series_id"], "ts", back=win.EWM_HALO, block_size=500)
     got = _pdf(lay.finish(win.ewm_mean(lay, lay.df, "x", "ewm")))
     np.testing.assert_allclose(got["ewm"], pdf["x"].ewm(span=24).mean(), rtol=1e-9)
-    lay2 = win.layout(df, ["series_id"], "ts", strategy="blocks", block_size=64)
+    lay2 = win.layout(df, ["series_id"], "ts", block_size=64)
     got2 = _pdf(lay2.finish(win.interpolate_linear(lay2, lay2.df, "x", "i")))
     np.testing.assert_allclose(got2["i"], pdf["x"].interpolate(), rtol=1e-12)
 
 
-def test_feature_table_blocks_equal_series(spark):
+def test_feature_table_does_not_depend_on_the_block_size(spark):
     g = src.grid_hourly(spark, SF01, n_series=1)
-    a = _pdf(training_features(g, strategy="blocks", block_size=200))
-    b = _pdf(training_features(g, strategy="series"))
+    a = _pdf(training_features(g, block_size=200))
+    b = _pdf(training_features(g, block_size=5000))
     pd.testing.assert_frame_equal(a, b, check_exact=False, rtol=1e-12)
     assert len(a) > 300
 

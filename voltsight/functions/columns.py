@@ -173,16 +173,18 @@ def fmt_datetime(ts, pattern: str = "yyyy-MM-dd HH:mm") -> Column:
 
 
 def parse_item_list(text, sort: bool = True) -> Column:
-    """Tolerant list parsing of a rule cell.
+    """Items of a rule cell, whatever its notation.
 
-    Newlines and pipes become commas, surrounding brackets and quotes are
-    stripped, the text splits on ``, ; / \\``, parts are trimmed and blanks
-    dropped; with ``sort`` the parts are also de-duplicated and sorted.
+    A bracketed list literal yields its quoted items whole.  Any other cell
+    is a separated text (``, ; / \\ |`` or line ends) whose outer brackets,
+    quotes and blanks don't belong to the items.  Blank items are dropped;
+    with ``sort`` the items are de-duplicated and sorted.
     """
-    s = F.regexp_replace(_col(text), r"[\n|]", ",")
-    s = F.regexp_replace(s, r"^[\[\(\{\]\)\}\s'\"]+|[\[\(\{\]\)\}\s'\"]+$", "")
-    parts = F.transform(F.split(s, r"[;,\\/]"), lambda p: F.trim(F.regexp_replace(F.trim(p), r"^['\"]+|['\"]+$", "")))
-    parts = F.filter(parts, lambda p: p != "")
+    cell = _col(text)
+    edges, quotes = F.lit("[]{}()'\" \t\n"), F.lit("'\" ")
+    literal = F.transform(F.regexp_extract_all(cell, F.lit("'[^']*'|\"[^\"]*\""), F.lit(0)), lambda q: F.btrim(q, quotes))
+    separated = F.transform(F.split(F.btrim(cell, edges), r"[,;/\\|\n]"), lambda q: F.btrim(q, quotes))
+    parts = F.filter(F.when(cell.rlike(r"^\s*[\[({]") & (F.size(literal) > 0), literal).otherwise(separated), lambda q: q != "")
     if sort:
         parts = F.array_sort(F.array_distinct(parts))
     return F.when(_col(text).isNull(), F.array().cast("array<string>")).otherwise(parts)

@@ -20,13 +20,13 @@ from .profile import scalars
 
 # ----------------------------------------------------------------- P13 / M18
 def chrono_split_label(df: DataFrame, keys, ts: str, frac: float = 0.8, guard: bool = True,
-                       out: str = "split", strategy: str = "auto") -> DataFrame:
+                       out: str = "split") -> DataFrame:
     """First ``floor(frac * n)`` rows of each series are 'train'.
 
     With ``guard`` both sides keep at least one row when ``n >= 2``.
     """
     keys = list(keys)
-    lay = win.layout(df, keys, ts, strategy=strategy)
+    lay = win.layout(df, keys, ts)
     d = lay.finish(keep_idx=True)
     n = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"))
     d = d.join(n, on=keys, how="inner")
@@ -36,7 +36,7 @@ def chrono_split_label(df: DataFrame, keys, ts: str, frac: float = 0.8, guard: b
     return d.withColumn(out, F.when(F.col(win.IDX) < cut, "train").otherwise("test")).drop("_n", win.IDX)
 
 
-def time_series_folds(df: DataFrame, keys, ts: str, n_splits: int = 5, strategy: str = "auto") -> DataFrame:
+def time_series_folds(df: DataFrame, keys, ts: str, n_splits: int = 5) -> DataFrame:
     """Expanding-window folds (scikit-learn ``TimeSeriesSplit`` layout).
 
     ``test_size = n // (n_splits + 1)``; fold i tests rows
@@ -45,7 +45,7 @@ def time_series_folds(df: DataFrame, keys, ts: str, n_splits: int = 5, strategy:
     ``n_splits`` copies - a parameter, not data-sized).
     """
     keys = list(keys)
-    lay = win.layout(df, keys, ts, strategy=strategy)
+    lay = win.layout(df, keys, ts)
     d = lay.finish(keep_idx=True)
     n = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"))
     d = d.join(n, on=keys, how="inner")
@@ -351,14 +351,12 @@ def assign_nearest(df: DataFrame, centres, features, out: str = "cluster") -> Da
     return df.withColumn(out, F.array_min(F.array(*dists))["cluster"])
 
 
-def silhouette_sampled(df: DataFrame, features, label: str, n: int = 5000, seed: int = 42):
-    """M21 silhouette on a seeded hash sample of at most ``n`` rows (exact
-    Euclidean; the pair count is bounded by n^2, a parameter)."""
+def silhouette(df: DataFrame, features, label: str) -> float:
+    """Squared-Euclidean silhouette over all rows (linear in the rows:
+    Spark evaluates it from per-cluster sums)."""
     from pyspark.ml.evaluation import ClusteringEvaluator
-    s = df.orderBy(F.xxhash64(*[F.col(f) for f in features], F.lit(seed))).limit(n)
-    v = assembler(features).transform(s)
     ev = ClusteringEvaluator(featuresCol="features", predictionCol=label, distanceMeasure="squaredEuclidean")
-    return float(ev.evaluate(v))
+    return float(ev.evaluate(assembler(features).transform(df)))
 
 
 def ks_drift(train: DataFrame, test: DataFrame, col: str) -> DataFrame:

@@ -101,10 +101,9 @@ def target_checks(df: DataFrame, target: str) -> DataFrame:
 def column_checks(df: DataFrame, cols) -> DataFrame:
     """Entirely-null and <= 1 distinct value per column."""
     row = df.agg(*[F.count(F.col(c)).alias(f"n__{c}") for c in cols],
-                 *[F.count_distinct(F.col(c)).alias(f"d__{c}") for c in cols])
-    out = _stack(row, cols, ["n", "d"], ["n_values", "n_unique"])
-    return out.select("column_name", (F.col("n_values") == 0).alias("all_null"),
-                      (F.col("n_unique") <= 1).alias("low_variance"))
+                 *[F.coalesce(F.min(c) == F.max(c), F.lit(True)).cast("bigint").alias(f"d__{c}") for c in cols])
+    out = _stack(row, cols, ["n", "d"], ["n_values", "single"])
+    return out.select("column_name", (F.col("n_values") == 0).alias("all_null"), (F.col("single") == 1).alias("low_variance"))
 
 
 def integrity_findings(df: DataFrame, target: str) -> DataFrame:
@@ -203,7 +202,10 @@ def kde_curve(df: DataFrame, x: str, points: int = 64) -> DataFrame:
 # ----------------------------------------------------------------- A14, A20, P10
 def mode_smallest(df: DataFrame, x: str, keys=()) -> DataFrame:
     """Most frequent value, smallest on ties."""
-    return df.groupBy(*keys).agg(F.mode(F.col(x), True).alias(f"{x}_mode"))
+    counts = df.where(F.col(x).isNotNull()).groupBy(*keys, x).agg(F.count("*").alias("_n"))
+    best = counts.groupBy(*keys).agg(F.min(F.struct((-F.col("_n")).alias("n"), F.col(x).alias("x"))).alias("_b"))
+    best = best.select(*keys, F.col("_b.x").alias(f"{x}_mode"))
+    return df.select(*keys).distinct().join(best, list(keys), "left") if keys else best
 
 
 def box_summary(df: DataFrame, x: str, keys=()) -> DataFrame:

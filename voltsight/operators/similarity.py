@@ -21,10 +21,7 @@ from pyspark.sql import functions as F
 
 BLOCK_ROWS = 4096
 QUERY_CHUNK = 1024
-# A profile side up to this many bytes (rows x dim x 8) is broadcast as a
-# matrix and queries are scored in place with mapInPandas (no shuffle of the
-# query side); a larger one goes through the blocked cogroup.
-BROADCAST_BYTES = 64 * 1024 * 1024
+# A task holds at most QUERY_CHUNK x BLOCK_ROWS scores (32 MB) at a time.
 
 
 def _blocks(n: int, rows: int) -> int:
@@ -33,7 +30,7 @@ def _blocks(n: int, rows: int) -> int:
 
 def topk_similar(queries: DataFrame, profiles: DataFrame, qid: str, pid: str, qvec: str, pvec: str,
                  k: int = 5, metric: str = "cosine", exclude_self: bool = False,
-                 block_rows: int = BLOCK_ROWS, broadcast_bytes: int | None = None) -> DataFrame:
+                 block_rows: int = BLOCK_ROWS) -> DataFrame:
     """Top-``k`` profiles per query; returns (qid, rank, pid, score).
 
     ``metric='cosine'`` scores by cosine similarity (higher first);
@@ -41,13 +38,7 @@ def topk_similar(queries: DataFrame, profiles: DataFrame, qid: str, pid: str, qv
     profile id.  ``exclude_self`` drops pairs with equal ids (J6).
     """
     cosine = metric == "cosine"
-    st = profiles.agg(F.count(F.lit(1)).alias("n"), F.max(F.size(pvec)).alias("d")).first()
-    npf, dim = int(st["n"]), int(st["d"] or 0)
-    if broadcast_bytes is None:
-        broadcast_bytes = BROADCAST_BYTES
-    if npf and npf * dim * 8 <= broadcast_bytes:
-        return _topk_broadcast(queries, profiles, qid, pid, qvec, pvec, k, cosine, exclude_self)
-    nq = queries.count()
+    npf, nq = profiles.count(), queries.count()
     QB, PB = _blocks(nq, block_rows), _blocks(npf, block_rows)
     q = (queries.select(F.col(qid).cast("bigint").alias("qid"), F.col(qvec).cast("array<double>").alias("v"))
                 .withColumn("_qb", F.pmod(F.xxhash64("qid"), F.lit(QB)).cast("int"))
@@ -89,8 +80,7 @@ def topk_similar(queries: DataFrame, profiles: DataFrame, qid: str, pid: str, qv
 
 
 def _score_rows(Q, qids, P, pids, k, cosine, exclude_self):
-    """Exact top-k of each query row against matrix P (same rules as the
-    blocked path: ties to the smaller id, exact Euclidean ranking)."""
+    """Exact top-k of each query row against matrix P (ties to the smaller id, exact Euclidean ranking)."""
     import numpy as np
     if cosine:
         qn = np.linalg.norm(Q, axis=1)
@@ -125,39 +115,6 @@ def _score_rows(Q, qids, P, pids, k, cosine, exclude_self):
     return out_q, out_r, out_p, out_s
 
 
-def _topk_broadcast(queries, profiles, qid, pid, qvec, pvec, k, cosine, exclude_self):
-    """Size-checked fast path: the profile matrix is broadcast; each query
-    partition is scored in place (mapInPandas), no shuffle of queries."""
-    import numpy as np
-    rows = profiles.select(F.col(pid).cast("bigint").alias("p"), F.col(pvec).cast("array<double>").alias("v")).collect()
-    P = np.vstack([np.asarray(r["v"], dtype=np.float64) for r in rows])
-    pids = np.asarray([r["p"] for r in rows], dtype=np.int64)
-    if cosine:
-        nrm = np.linalg.norm(P, axis=1)
-        P = P / np.where(nrm == 0, 1.0, nrm)[:, None]
-    bc = queries.sparkSession.sparkContext.broadcast((P, pids))
-    score = _score_rows
-    chunk = QUERY_CHUNK
-
-    def run(batches):
-        import numpy as np
-        import pandas as pd
-        Pm, pi = bc.value
-        for b in batches:
-            for s0 in range(0, len(b), chunk):
-                part = b.iloc[s0:s0 + chunk]
-                if part.empty:
-                    continue
-                Q = np.vstack([np.asarray(v, dtype=np.float64) for v in part["v"].to_numpy()])
-                q, r, p, sc = score(Q, part["qid"].to_numpy(dtype=np.int64), Pm, pi, k, cosine, exclude_self)
-                yield pd.DataFrame({"qid": np.asarray(q, dtype=np.int64), "rank": np.asarray(r, dtype=np.int32),
-                                    "pid": np.asarray(p, dtype=np.int64), "score": np.asarray(sc, dtype=np.float64)})
-
-    q = queries.select(F.col(qid).cast("bigint").alias("qid"), F.col(qvec).cast("array<double>").alias("v"))
-    out = q.mapInPandas(run, "qid bigint, rank int, pid bigint, score double")
-    return out.select(F.col("qid").alias(qid), "rank", F.col("pid").alias(f"neighbor_{pid}"), "score")
-
-
 def l2_normalise(df: DataFrame, vec: str, out: str) -> DataFrame:
     """Unit-length vector (zero vector stays zero)."""
     v = F.col(vec).cast("array<double>")
@@ -180,8 +137,3 @@ def knn_regress(queries: DataFrame, train: DataFrame, qid: str, pid: str, vec: s
                 F.sum(F.when(~zero, 1.0 / F.col("score"))))
     return j.groupBy(qid).agg(F.when(F.max(zero.cast("int")) == 1, F.avg(F.when(zero, F.col("_y"))))
                                .otherwise(inv_mean).alias("prediction"))
-
-
-def mode_of(df: DataFrame, key: str, x: str, out: str) -> DataFrame:
-    """A14 per group: most frequent value, smallest on ties."""
-    return df.groupBy(key).agg(F.mode(F.col(x), True).alias(out))

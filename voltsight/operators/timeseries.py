@@ -27,7 +27,7 @@ def resample_mean(df: DataFrame, keys, ts: str, cols, unit: str = "day", step: s
 
 
 def decompose(df: DataFrame, x: str, keys=("series_id",), ts: str = "ts", period: int = 24,
-              strategy: str = "auto", block_size=None) -> DataFrame:
+              block_size=None) -> DataFrame:
     """Classical additive and multiplicative decomposition.
 
     trend = centred 2x``period`` moving average (W8); phase = position mod
@@ -38,7 +38,7 @@ def decompose(df: DataFrame, x: str, keys=("series_id",), ts: str = "ts", period
     """
     keys = list(keys)
     h = period // 2
-    lay = win.layout(df, keys, ts, back=h, fwd=h, strategy=strategy, block_size=block_size)
+    lay = win.layout(df, keys, ts, back=h, fwd=h, block_size=block_size)
     w = lay.window()
     d = lay.finish(lay.df.withColumn("trend", win.centred_ma(x, period, w)), keep_idx=True)
     d = d.withColumn("phase", (F.col(win.IDX) % period).cast("int"))

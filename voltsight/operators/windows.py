@@ -17,8 +17,7 @@ third of all rows.  The layout used here instead:
    interpolation, exact EWM) combine the in-block result with a per-block
    summary carried across the small block table.
 
-Short series (``strategy='series'``) use the plain per-series window; both
-layouts give identical results (tests check it).
+There is one layout for every size; tests hold it against the plain window.
 """
 
 from __future__ import annotations
@@ -30,8 +29,6 @@ from pyspark.sql import functions as F
 
 IDX, BLK, OWN = "_idx", "_blk", "_own"
 DEFAULT_BLOCK = 4096
-# Per-series row count above which the halo-block layout is used.
-SERIES_ROW_LIMIT = 2_000_000
 
 
 @dataclass
@@ -105,31 +102,11 @@ def with_position(df: DataFrame, keys, order: str = "ts", tiebreak=(), bucket_un
     return d.withColumn(IDX, (F.col("_off") + F.row_number().over(w) - 1).cast("bigint")).drop(bkt, "_off")
 
 
-def max_series_rows(df: DataFrame, keys) -> int:
-    """Largest series length (one small aggregate job)."""
-    keys = list(keys)
-    row = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("n")).agg(F.max("n")).first()
-    return int(row[0] or 0)
-
-
-def resolve_strategy(df: DataFrame, keys, strategy: str = "auto") -> str:
-    """'auto' -> 'blocks' when the longest series exceeds ``SERIES_ROW_LIMIT``
-    (one small aggregate job), else 'series'.  Resolve once per plan and pass
-    the answer to every layout of that plan."""
-    if strategy != "auto":
-        return strategy
-    return "blocks" if max_series_rows(df, keys) > SERIES_ROW_LIMIT else "series"
-
-
 def layout(df: DataFrame, keys, order: str = "ts", back: int = 0, fwd: int = 0,
-           block_size: int | None = None, strategy: str = "auto", tiebreak=(),
+           block_size: int | None = None, tiebreak=(),
            bucket_unit: str = "day") -> Layout:
     """Lay ``df`` out for positional windows needing ``back``/``fwd`` rows of context."""
     keys = list(keys)
-    strategy = resolve_strategy(df, keys, strategy)
-    if strategy == "series":
-        w = Window.partitionBy(*keys).orderBy(F.col(order), *[F.col(c) for c in tiebreak])
-        return Layout(df.withColumn(IDX, (F.row_number().over(w) - 1).cast("bigint")), keys, keys, False)
     B = int(block_size or DEFAULT_BLOCK)
     if back > B or fwd > B:
         raise ValueError(f"block size {B} must be >= halo ({back} back, {fwd} forward)")
@@ -260,7 +237,7 @@ def ewm_means(lay: Layout, df: DataFrame, pairs, span: float = 24.0) -> DataFram
     forward, which is exact since nulls scale numerator and denominator alike.
     """
     if not lay.blocked:
-        raise ValueError("ewm_means needs layout(..., strategy='blocks', back>=EWM_HALO)")
+        raise ValueError("ewm_means needs layout(..., back>=EWM_HALO)")
     r = 1.0 - 2.0 / (span + 1.0)
     run = lay.window().rowsBetween(Window.unboundedPreceding, 0)
     base = F.min(F.col(IDX)).over(Window.partitionBy(*lay.part))

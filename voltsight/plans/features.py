@@ -44,10 +44,10 @@ def existing(df: DataFrame, features) -> list:
 
 
 def add_lags(df: DataFrame, spec: C.FeatureSpec, keys=("series_id",), order="ts",
-             strategy="auto", block_size=None) -> DataFrame:
+             block_size=None) -> DataFrame:
     """W1 + W3: positional lags and the leak-free trailing mean."""
     back = max([*spec.demand_lags, *spec.price_lags, spec.rolling])
-    lay = win.layout(df, keys, order, back=back, strategy=strategy, block_size=block_size)
+    lay = win.layout(df, keys, order, back=back, block_size=block_size)
     w = lay.window()
     cols = {}
     for k in spec.demand_lags:
@@ -61,9 +61,9 @@ def add_lags(df: DataFrame, spec: C.FeatureSpec, keys=("series_id",), order="ts"
 
 
 def add_targets(df: DataFrame, spec: C.FeatureSpec, keys=("series_id",), order="ts",
-                strategy="auto", block_size=None) -> DataFrame:
+                block_size=None) -> DataFrame:
     """``horizon``-step lead targets."""
-    lay = win.layout(df, keys, order, fwd=spec.horizon, strategy=strategy, block_size=block_size)
+    lay = win.layout(df, keys, order, fwd=spec.horizon, block_size=block_size)
     w = lay.window()
     return lay.finish(lay.df.withColumns({
         "demand_12h": win.lead_rows(spec.demand_col, spec.horizon, w),
@@ -71,21 +71,20 @@ def add_targets(df: DataFrame, spec: C.FeatureSpec, keys=("series_id",), order="
 
 
 def training_features(df: DataFrame, spec: C.FeatureSpec | None = None, keys=("series_id",),
-                      order: str = "ts", strategy: str = "auto", block_size=None) -> DataFrame:
+                      order: str = "ts", block_size=None) -> DataFrame:
     """M1: the training feature table (one row per kept hour and series)."""
     spec = spec or C.FeatureSpec()
-    strategy = win.resolve_strategy(df, keys, strategy)
     d = col.with_generation_groups(df, spec.groups)
     d = d.drop(*[c for c in RAW_MEASURES if c in d.columns])
     d = col.with_calendar(d, order, spec.month_offset)
-    d = add_lags(d, spec, keys, order, strategy, block_size)
+    d = add_lags(d, spec, keys, order, block_size)
     d = d.dropna(subset=list(spec.required))
-    d = add_targets(d, spec, keys, order, strategy, block_size)
+    d = add_targets(d, spec, keys, order, block_size)
     required = ordered_union(existing(d, DEMAND_FEATURES), existing(d, PRICE_FEATURES), TARGETS)
     return d.dropna(subset=required)
 
 
-def flow_features(df: DataFrame, keys=("series_id",), order="ts", strategy="auto", block_size=None) -> DataFrame:
+def flow_features(df: DataFrame, keys=("series_id",), order="ts", block_size=None) -> DataFrame:
     """M2: minimal flow features (renewable, fossil, hour, dow, hour cyclic,
     lag 1, 12-step targets), rows with any null dropped."""
     spec = C.FeatureSpec(groups=C.GroupSpec("flow", renewable=("solar", "wind"), fossil=("gas", "coal"),
@@ -95,7 +94,7 @@ def flow_features(df: DataFrame, keys=("series_id",), order="ts", strategy="auto
     d = (d.withColumn("hour", F.hour(order)).withColumn("day_of_week", col.day_of_week(order))
           .withColumn("hour_sin", col.cyclic(F.hour(order), 24, "sin"))
           .withColumn("hour_cos", col.cyclic(F.hour(order), 24, "cos")))
-    lay = win.layout(d, keys, order, back=1, fwd=spec.horizon, strategy=strategy, block_size=block_size)
+    lay = win.layout(d, keys, order, back=1, fwd=spec.horizon, block_size=block_size)
     w = lay.window()
     d = lay.finish(lay.df.withColumns({
         "demand_lag_1h": win.lag_rows("load", 1, w), "price_lag_1h": win.lag_rows("price", 1, w),
@@ -113,13 +112,13 @@ def degenerate_columns(df: DataFrame, exclude=()) -> DataFrame:
            if f.name not in exclude and f.dataType.typeName() in ("double", "float", "integer", "long", "short")]
     aggs = []
     for c in num:
-        aggs += [F.count_if(F.col(c) == 0).alias(f"z__{c}"), F.count_distinct(F.col(c)).alias(f"d__{c}")]
+        aggs += [F.count_if(F.col(c) == 0).alias(f"z__{c}"), F.coalesce(F.min(c) == F.max(c), F.lit(False)).alias(f"d__{c}")]
     row = df.agg(F.count(F.lit(1)).alias("n__"), *aggs)
     stack = ", ".join(f"'{c}', `z__{c}`, `d__{c}`" for c in num)
-    return row.selectExpr(f"stack({len(num)}, {stack}) as (column_name, n_zero, n_distinct)", "n__") \
+    return row.selectExpr(f"stack({len(num)}, {stack}) as (column_name, n_zero, single)", "n__") \
               .select("column_name",
                       (F.col("n_zero") == F.col("n__")).alias("all_zero"),
-                      (F.col("n_distinct") == 1).alias("constant"))
+                      F.col("single").alias("constant"))
 
 
 def drop_degenerate(df: DataFrame, exclude=()) -> DataFrame:

@@ -25,7 +25,7 @@ def vote(neighbors: DataFrame, profiles: DataFrame, qid: str, pid: str, k: int)
     p = profiles.select(F.col(pid).alias(f"neighbor_{pid}"), "demand_class_enc", "price_class_enc",
                         F.col("ts").alias("_nts"))
     j = neighbors.join(p, on=f"neighbor_{pid}", how="inner")
-    modes = j.groupBy(qid).agg(F.mode("demand_class_enc", True).alias("_dm"), F.mode("price_class_enc", True).alias("_pm"))
+    modes = j.groupBy(qid).agg(F.mode("demand_class_enc", True).alias("_dm"), F.mode("price_class_enc", True).alias("_pm"))  # k rows a query
     j = j.join(modes, on=qid, how="inner")
     agree = (F.col("demand_class_enc") == F.col("_dm")) & (F.col("price_class_enc") == F.col("_pm"))
     out = j.groupBy(qid, "_dm", "_pm").agg(
@@ -39,11 +39,21 @@ def vote(neighbors: DataFrame, profiles: DataFrame, qid: str, pid: str, k: int)
     return lk.recommend_text(out, "demand_class", "price_class")
 
 
-def recommend_by_index(profiles: DataFrame, pid: str = "profile_id", k: int = 5) -> DataFrame:
-    """For every stored profile, the k most similar other profiles."""
-    v = profile_vector(profiles)
-    nb = sim.topk_similar(v, v, pid, pid, "vec", "vec", k=k, exclude_self=True)
-    return vote(nb, profiles, pid, pid, k)
+def recommend_by_index(profiles: DataFrame, pid: str = "profile_id", k: int = 5, index: int | None = None) -> DataFrame:
+    """The k most similar other profiles of the stored profile ``index``
+    (of every stored profile, if none is given); an index that isn't stored
+    raises ``IndexError``.  The vote's classes choose the advice and come as
+    ``voted_...``; the row's own classes are its profile's."""
+    asked = profiles if index is None else profiles.where(F.col(pid) == index)
+    if index is not None and asked.isEmpty():
+        raise IndexError(f"no stored profile {index}")
+    nb = sim.topk_similar(profile_vector(asked), profile_vector(profiles), pid, pid, "vec", "vec", k=k, exclude_self=True)
+    voted = vote(nb, profiles, pid, pid, k).withColumnsRenamed(
+        {"demand_class": "voted_demand_class", "price_class": "voted_price_class"})
+    own = asked.select(pid, "ts", "pred_demand", "pred_price", "cluster",
+                       col.class_label("demand_class_enc").alias("demand_class"),
+                       col.class_label("price_class_enc").alias("price_class"))
+    return voted.join(own, pid)
 
 
 def recommend_from_queries(queries: DataFrame, profiles: DataFrame, qid: str, pid: str = "profile_id",

@@ -207,7 +207,7 @@ CLUSTER_X = ["hour_sin", "hour_cos", "demand_lag_1h", "demand_lag_12h", "price_l
 @register("m21_kmeans_sweep")
 def q_kmeans_sweep(spark, sf_dir):
     """KMeans for k = 2..10 (best of 10 seeds) on robust-scaled features,
-    squared-Euclidean silhouette on a seeded 5,000-row hash sample."""
+    squared-Euclidean silhouette over all rows."""
     sp = _prepared(spark, sf_dir)
     sc = ml.robust_scaler(sp, CLUSTER_X)
     from ..session import cut_lineage
@@ -216,7 +216,7 @@ def q_kmeans_sweep(spark, sf_dir):
     def task(k):
         m = ml.kmeans_fit(x, CLUSTER_X, k, seeds=range(10))
         lab = m.transform(ml.assembler(CLUSTER_X).transform(x)).select(*CLUSTER_X, F.col("prediction").alias("cluster"))
-        return [(k, ml.silhouette_sampled(lab, CLUSTER_X, "cluster", 5000), float(m.summary.trainingCost))]
+        return [(k, ml.silhouette(lab, CLUSTER_X, "cluster"), float(m.summary.trainingCost))]
     rows = _run_parallel([lambda k=k: task(k) for k in range(2, 11)])
     out = spark.createDataFrame(rows, "k int, silhouette double, training_cost double")
     best = max(rows, key=lambda r: (r[1], -r[0]))[0]
@@ -241,17 +241,19 @@ def q_cluster_profiles(spark, sf_dir):
 
 @register("m23_pca_map")
 def q_pca_map(spark, sf_dir):
-    """2-D PCA map with cluster labels on a seeded sample of at most 3,000 rows."""
+    """Scaler, PCA and KMeans fitted on all rows; the 2-D map shows a seeded
+    sample of at most 3,000 of them (P14)."""
     from ..operators.profile import deterministic_sample
     sp = _prepared(spark, sf_dir)
-    s = deterministic_sample(sp.dropna(subset=CLUSTER_X), 3000, ["ts"], seed=42)
+    s = sp.dropna(subset=CLUSTER_X)
     sc = ml.standard_scaler(s, CLUSTER_X)
     x = ml.scale(s, sc, suffix="_z")
     z = [c + "_z" for c in CLUSTER_X]
     p = ml.pca_fit(x, z, k=2, variance=None)
     xp = ml.pca_transform(x, p)
     km = ml.kmeans_fit(xp, ["pc1", "pc2"], 3, seeds=range(3))
-    return ml.assign_nearest(xp, [list(c) for c in km.clusterCenters()], ["pc1", "pc2"]).select("ts", "pc1", "pc2", "cluster")
+    labelled = ml.assign_nearest(xp, [list(c) for c in km.clusterCenters()], ["pc1", "pc2"])
+    return deterministic_sample(labelled, 3000, ["ts"], seed=42).select("ts", "pc1", "pc2", "cluster")
 
 
 @register("m25_m26_batch_scoring")

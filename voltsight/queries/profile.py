@@ -2,7 +2,7 @@
 
 from pyspark.sql import functions as F
 
-from ..catalog import FEATURES_SQL, GRID_SQL, GRID1_SQL, R, register, ts_text
+from ..catalog import FEATURE_COLS_DOUBLE, FEATURE_COLS_INT, FEATURES_SQL, GRID_SQL, GRID1_SQL, R, register, ts_text
 from ..operators import profile as pr
 from ..operators import windows as win
 from ..plans import features as fe
@@ -91,12 +91,12 @@ def q_null_ratios(spark, sf_dir):
 
 
 @register("a7_duplicates", """
-SELECT CAST(count(*) - (SELECT count(*) FROM (SELECT DISTINCT l_partkey, l_suppkey, l_quantity FROM lineitem)) AS BIGINT) AS duplicates
+SELECT CAST(count(*) - (SELECT count(*) FROM (SELECT DISTINCT * FROM lineitem)) AS BIGINT) AS duplicates
 FROM lineitem
 """)
 def q_duplicates(spark, sf_dir):
     """Duplicate rows beyond the first occurrence."""
-    return pr.duplicate_rows(_li(spark, sf_dir, ["l_partkey", "l_suppkey", "l_quantity"]))
+    return pr.duplicate_rows(src.read_table(spark, sf_dir, "lineitem"))
 
 
 @register("a8_target_checks", f"""
@@ -110,7 +110,7 @@ def q_target_checks(spark, sf_dir):
 
 def _col_checks_sql():
     parts = [f"SELECT '{c}' AS column_name, count({c}) = 0 AS all_null, count(DISTINCT {c}) <= 1 AS low_variance FROM f"
-             for c in ("month", "month_sin", "hour", "price", "renewable_pct")]
+             for c in FEATURE_COLS_DOUBLE + FEATURE_COLS_INT]
     return FEATURES_SQL + " " + " UNION ALL ".join(parts)
 
 
@@ -118,7 +118,7 @@ def _col_checks_sql():
 def q_column_checks(spark, sf_dir):
     """Entirely-null / single-valued columns of the feature table."""
     f = fe.training_features(_grid(spark, sf_dir))
-    return pr.column_checks(f, ["month", "month_sin", "hour", "price", "renewable_pct"])
+    return pr.column_checks(f, list(FEATURE_COLS_DOUBLE + FEATURE_COLS_INT))
 
 
 def _corr_sql():

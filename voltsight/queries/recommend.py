@@ -56,6 +56,8 @@ res AS (SELECT lab.*, coalesce(rec.recommendation, 'No recommendation available.
 def _fitted(spark, sf_dir):
     sp = ml.chrono_split_label(fe.training_features(src.grid_hourly(spark, sf_dir, n_series=1)),
                                ["series_id"], "ts", guard=False)
+    from ..session import cut_lineage
+    sp = cut_lineage(sp)          # read by every fit, the profiles and the neighbours
     train = sp.where(F.col("split") == "train")
     st = train.agg(F.regr_slope("demand_12h", "demand_lag_24h").alias("bd"),
                    F.regr_intercept("demand_12h", "demand_lag_24h").alias("ad"),
@@ -110,15 +112,19 @@ def q_profile_table(spark, sf_dir):
 pairs AS (SELECT a.profile_id AS qid, a.ts AS qts, b.profile_id AS nid, b.ts AS nts, b.demand_class_enc, b.price_class_enc,
                  list_cosine_similarity(a.vec, b.vec) AS score FROM pv a JOIN pv b ON a.profile_id <> b.profile_id)
 """ + _vote_sql("pairs") + f"""
-SELECT {ts_text('pv.ts')} AS ts, demand_class, price_class, round(confidence, 2) AS confidence, similar_hours, recommendation
+SELECT {ts_text('pv.ts')} AS ts, {R('pred_demand')} AS pred_demand, {R('pred_price')} AS pred_price, CAST(cluster AS BIGINT) AS cluster,
+       CASE demand_class_enc WHEN 0 THEN 'Low' WHEN 1 THEN 'Medium' WHEN 2 THEN 'High' END AS demand_class,
+       CASE price_class_enc WHEN 0 THEN 'Low' WHEN 1 THEN 'Medium' WHEN 2 THEN 'High' END AS price_class,
+       demand_class AS voted_demand_class, price_class AS voted_price_class,
+       round(confidence, 2) AS confidence, similar_hours, recommendation
 FROM res JOIN pv ON res.qid = pv.profile_id
 """)
 def q_recommend_by_index(spark, sf_dir):
     """Neighbours of every stored hour (self excluded) -> vote -> advice."""
     p, _ = profiles(spark, sf_dir)
-    r = rc.recommend_by_index(p, "profile_id", 5)
-    return r.join(p.select("profile_id", "ts"), "profile_id").select(
-        "ts", "demand_class", "price_class", "confidence", "similar_hours", "recommendation")
+    return rc.recommend_by_index(p, "profile_id", 5).select(
+        "ts", "pred_demand", "pred_price", "cluster", "demand_class", "price_class",
+        "voted_demand_class", "voted_price_class", "confidence", "similar_hours", "recommendation")
 
 
 REQ1_SQL = REQ_SQL.replace("CAST(user_id % 8 AS BIGINT)", "CAST(user_id % 1 AS BIGINT)")

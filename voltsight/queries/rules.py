@@ -127,12 +127,22 @@ def q_rules_diag(spark, sf_dir):
     return ru.rules_diagnostics(ru.association_rules(ru.frequent_itemsets(_tx(spark, sf_dir))))
 
 
-@register("s10_rule_text_parse", TX_SQL + """
-, t2 AS (SELECT '[' || array_to_string(list_transform(con, lambda x: '''' || x || ''''), ' | ') || ']' AS raw FROM rules)
-SELECT raw, array_to_string(list_sort(list_distinct(list_filter(list_transform(
-         string_split_regex(regexp_replace(regexp_replace(raw, '[\\n|]', ',', 'g'),
-                                           '^[\\[\\(\\{\\]\\)\\}\\s''"]+|[\\[\\(\\{\\]\\)\\}\\s''"]+$', '', 'g'), '[;,\\\\/]'),
-         lambda p: trim(regexp_replace(trim(p), '^[''"]+|[''"]+$', '', 'g'))), lambda p: p <> ''))), ', ') AS parsed
+_EDGES, _QUOTES = """'[]{}()''" ' || chr(9) || chr(10)""", """'''" '"""
+
+
+def _items_sql(cell: str) -> str:
+    literal = (f"""list_transform(regexp_extract_all({cell}, '''[^'']*''|"[^"]*"'), lambda q: trim(q, {_QUOTES}))""")
+    separated = (f"""list_transform(string_split_regex(trim({cell}, {_EDGES}), """
+                 r"""'[,;/\\|\n]'), lambda q: trim(q, """ + f"{_QUOTES}))")
+    bracketed = rf"""regexp_matches({cell}, '^\s*[\[({{]') AND len({literal}) > 0"""
+    both = f"CASE WHEN {bracketed} THEN {literal} ELSE {separated} END"
+    return f"array_to_string(list_sort(list_distinct(list_filter({both}, lambda q: q <> ''))), ' & ')"
+
+
+@register("s10_rule_text_parse", TX_SQL + f"""
+, t2 AS (SELECT '[' || array_to_string(list_transform(con, lambda x: '''' || x || ''''), ' | ') || ']' AS raw,
+                '[''' || array_to_string(con, '/') || ''', "c, d"]' AS quoted, array_to_string(con, ' ; ') AS plain FROM rules)
+SELECT raw, quoted, plain, {_items_sql('raw')} AS parsed, {_items_sql('quoted')} AS parsed_quoted, {_items_sql('plain')} AS parsed_plain
 FROM t2
 """)
 def q_rule_text_parse(spark, sf_dir):
@@ -140,5 +150,7 @@ def q_rule_text_parse(spark, sf_dir):
     r = ru.association_rules(ru.frequent_itemsets(_tx(spark, sf_dir)))
     raw = F.concat(F.lit("["), F.array_join(F.transform("consequents", lambda x: F.concat(F.lit("'"), x, F.lit("'"))), " | "),
                    F.lit("]"))
-    t = r.select(raw.alias("raw"))
-    return t.select("raw", F.array_join(col.parse_item_list("raw"), ", ").alias("parsed"))
+    t = r.select(raw.alias("raw"), F.concat(F.lit("['"), F.array_join("consequents", "/"), F.lit("', \"c, d\"]")).alias("quoted"),
+                 F.array_join("consequents", " ; ").alias("plain"))
+    parsed = {"raw": "parsed", "quoted": "parsed_quoted", "plain": "parsed_plain"}
+    return t.select("*", *[F.array_join(col.parse_item_list(c), " & ").alias(n) for c, n in parsed.items()])

@@ -39,7 +39,7 @@ FROM o WINDOW w AS (PARTITION BY series_id ORDER BY ts)
 def q_orders_daily_windows(spark, sf_dir):
     """W1/W2/W3/W4/W5 on the daily order series (one series per priority)."""
     d = src.orders_daily(spark, sf_dir)
-    lay = win.layout(d, ["series_id"], "ts", back=24, fwd=12, strategy="blocks")
+    lay = win.layout(d, ["series_id"], "ts", back=24, fwd=12)
     w = lay.window()
     return lay.finish(lay.df.withColumns({
         "orders_lag_1": win.lag_rows("n_orders", 1, w),
@@ -70,7 +70,7 @@ FROM p
 def q_ewm(spark, sf_dir):
     """Exponentially weighted mean, span 24, nulls decay the weights."""
     g = src.grid_hourly(spark, sf_dir).select("series_id", "ts", "load", "price")
-    lay = win.layout(g, ["series_id"], "ts", back=win.EWM_HALO, strategy="blocks")
+    lay = win.layout(g, ["series_id"], "ts", back=win.EWM_HALO)
     return lay.finish(win.ewm_means(lay, lay.df, [("load", "load_ewm24"), ("price", "price_ewm24")]))
 
 
@@ -91,7 +91,7 @@ FROM q
 def q_interpolate(spark, sf_dir):
     """Linear positional interpolation of price (two-level carry)."""
     g = src.grid_hourly(spark, sf_dir).select("series_id", "ts", "price")
-    lay = win.layout(g, ["series_id"], "ts", strategy="blocks")
+    lay = win.layout(g, ["series_id"], "ts")
     return lay.finish(win.interpolate_linear(lay, lay.df, "price", "price_interp"))
 
 

@@ -42,13 +42,19 @@ def save_model(model, path: str) -> str:
     return path
 
 
+def _absent(error: Exception) -> bool:
+    """True if the path does not exist; any other error is not an absence."""
+    return any(x in str(error) for x in ("PATH_NOT_FOUND", "Path does not exist", "Input path does not exist",
+                                         "FileNotFoundException"))
+
+
 def load_model(path: str, required: bool = True, default=None):
     """Load a ``PipelineModel``; optional artifacts fall back to a default."""
     from pyspark.ml import PipelineModel
     try:
         return PipelineModel.load(path)
-    except Exception:
-        if required:
+    except Exception as e:
+        if required or not _absent(e):
             raise
         return default
 
@@ -65,7 +71,9 @@ def load_table(spark: SparkSession, path: str, default: DataFrame | None = None)
         return spark.read.parquet(path)
     try:
         return spark.read.parquet(path)
-    except Exception:
+    except Exception as e:
+        if not _absent(e):
+            raise
         return default
 
 

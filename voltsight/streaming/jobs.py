@@ -19,7 +19,6 @@ job resumes from its own offsets and state.
 
 from __future__ import annotations
 
-import datetime as dt
 import os
 import uuid
 
@@ -58,8 +57,9 @@ def ingest_validated(spark: SparkSession, stream: DataFrame, required, out_dir:
 
     def batch(df: DataFrame, epoch: int) -> None:
         tagged = df.withColumn("_ok", F.coalesce(ok, F.lit(False)))
-        tagged.where("_ok").drop("_ok").write.mode("append").parquet(os.path.join(out_dir, "history"))
-        tagged.where("not _ok").drop("_ok").write.mode("append").parquet(os.path.join(out_dir, "quarantine"))
+        # one folder per epoch, replaced if the epoch is replayed
+        tagged.where("_ok").drop("_ok").write.mode("overwrite").parquet(os.path.join(out_dir, "history", f"epoch={epoch}"))
+        tagged.where("not _ok").drop("_ok").write.mode("overwrite").parquet(os.path.join(out_dir, "quarantine", f"epoch={epoch}"))
 
     q = (stream.writeStream.foreachBatch(batch).option("checkpointLocation", os.path.join(out_dir, "_ckpt"))
                .trigger(availableNow=True).start())
@@ -80,69 +80,32 @@ def hourly_series(stream: DataFrame, n_series: int = 8, watermark: str = "2 hour
     return agg.select("series_id", F.col("window.start").cast("timestamp_ntz").alias("ts"), *src.GRID_MEASURES)
 
 
-def _partials(df: DataFrame, n_series: int) -> DataFrame:
-    """Per-batch partial aggregates of the hourly grid (sums and counts, so
-    batches combine exactly)."""
-    ev = df.select((F.col("user_id") % F.lit(n_series)).cast("bigint").alias("series_id"),
-                   F.date_trunc("hour", F.col("ts")).cast("timestamp_ntz").alias("ts"), "event_type", "value")
-    aggs = [F.sum("value").alias("p_load"), F.count("value").alias("n_load"),
-            F.sum(F.when(F.col("event_type") == "purchase", F.col("value"))).alias("p_purchase"),
-            F.count(F.when(F.col("event_type") == "purchase", F.col("value"))).alias("n_purchase")]
-    for et, name in src._EVENT_MEASURE.items():
-        aggs += [F.sum(F.when(F.col("event_type") == et, F.col("value"))).alias(f"p_{name}"),
-                 F.count(F.when(F.col("event_type") == et, F.col("value"))).alias(f"n_{name}")]
-    return ev.groupBy("series_id", "ts").agg(*aggs)
-
-
 def run_hourly_series(spark: SparkSession, sf_dir: str, out_dir: str, n_series: int = 8,
                       watermark_hours: int = 2) -> str:
-    """K2 driver with strict late-data semantics.
-
-    Each micro-batch (``foreachBatch``): the job's watermark is the largest
-    event time of all earlier batches minus ``watermark_hours`` (read from
-    the per-epoch progress table, so a restarted job sees the same value);
-    rows older than it are dropped; the rest become partial aggregates
-    written to ``partials/epoch=N`` with overwrite, so a replayed epoch
-    replaces itself (exactly-once into the sink).  ``hourly_from_partials``
-    combines them.
+    """K2 driver: ``hourly_series`` in update mode, one folder per epoch.
+
+    State, watermark and late rows are the engine's: a row is never dropped
+    while its hour is open; a row of an hour that the watermark had closed
+    before the previous micro-batch ended is dropped.  An epoch's changed hours
+    replace its own folder, so a replayed epoch writes the same rows again.
     """
-    progress = os.path.join(out_dir, "progress")
-    partials = os.path.join(out_dir, "partials")
+    path = os.path.join(out_dir, "hourly")
 
     def batch(df: DataFrame, epoch: int) -> None:
-        wm = None
-        try:
-            prev = spark.read.parquet(progress).where(F.col("epoch") < epoch).agg(F.max("max_ts")).first()[0]
-            if prev is not None:
-                wm = prev - dt.timedelta(hours=watermark_hours)
-        except Exception:       # no earlier batch yet
-            pass
-        kept = df if wm is None else df.where(F.col("ts") >= F.lit(wm).cast("timestamp_ntz"))
-        _partials(kept, n_series).write.mode("overwrite").parquet(os.path.join(partials, f"epoch={epoch}"))
-        mx = df.agg(F.max("ts").alias("max_ts")).withColumn("epoch", F.lit(epoch))
-        mx.write.mode("overwrite").parquet(os.path.join(progress, f"e={epoch}"))
-
-    q = (event_stream(spark, sf_dir).writeStream.foreachBatch(batch)
-           .option("checkpointLocation", os.path.join(out_dir, "_ckpt")).trigger(availableNow=True).start())
-    _await(q)
-    return partials
-
+        df.write.mode("overwrite").parquet(os.path.join(path, f"epoch={epoch}"))
 
-def hourly_from_partials(spark: SparkSession, path: str) -> DataFrame:
-    """Combine per-batch partials into the hourly grid table."""
-    p = spark.read.parquet(path)
-    sums = [F.sum(c).alias(c) for c in p.columns if c.startswith(("p_", "n_"))]
-    a = p.groupBy("series_id", "ts").agg(*sums)
-    cols = [F.col("p_load").alias("load"),
-            F.when(F.col("n_purchase") > 0, F.col("p_purchase") / F.col("n_purchase")).alias("price")]
-    for name in src._EVENT_MEASURE.values():
-        cols.append(F.when(F.col(f"n_{name}") > 0, F.col(f"p_{name}")).alias(name))
-    return a.select("series_id", "ts", *cols)
+    agg = hourly_series(event_stream(spark, sf_dir), n_series, f"{watermark_hours} hours")
+    q = (agg.writeStream.outputMode("update").foreachBatch(batch)
+            .option("checkpointLocation", os.path.join(out_dir, "_ckpt")).trigger(availableNow=True).start())
+    _await(q)
+    return path
 
 
 def latest_windows(spark: SparkSession, path: str) -> DataFrame:
-    """Hourly table of a ``run_hourly_series`` sink."""
-    return hourly_from_partials(spark, path)
+    """Hourly table of a ``run_hourly_series`` sink: each hour as last written."""
+    last = spark.read.parquet(path).groupBy("series_id", "ts").agg(
+        F.max_by(F.struct(*src.GRID_MEASURES), "epoch").alias("m"))
+    return last.select("series_id", "ts", "m.*")
 
 
 def run_request_scoring(spark: SparkSession, sf_dir: str, out_dir: str) -> str:
@@ -159,7 +122,7 @@ def run_request_scoring(spark: SparkSession, sf_dir: str, out_dir: str) -> str:
 
     def batch(df: DataFrame, epoch: int) -> None:
         feats = request_features(df, history)
-        feats.write.mode("append").parquet(os.path.join(out_dir, "scored"))
+        feats.write.mode("overwrite").parquet(os.path.join(out_dir, "scored", f"epoch={epoch}"))
 
     q = (req.writeStream.foreachBatch(batch).option("checkpointLocation", os.path.join(out_dir, "_ckpt"))
             .trigger(availableNow=True).start())
