@@ -152,9 +152,11 @@ def test_license_rules(spark):
     disordered = " ".join(licenses.SENTENCES[k] for k in ("bsd-binary", "bsd-grant"))
     texts = [mit, wrapped, commented, "Some text.\nReleased under the MIT License.\nMore.", disordered, "No terms here.", None, "",
              "Licensed under the Apache License, Version 2.0.### released", "All of this is licensed under our own terms.",
-             "This work is licensed under the GNU General Public License, version 3. " + licenses.SENTENCES["mpl-2"]]
+             "This work is licensed under the GNU General Public License, version 3. " + licenses.SENTENCES["mpl-2"],
+             "x.\nLicensed under CC BY-NC 4.0.", "This work is licensed under a Creative Commons Attribution-ShareAlike 4.0 International License."]
+    assert licenses.Rules().anchors != ("",)
     got = by_id(licenses.licenses(docs_of(spark, texts)))
-    want = [["MIT"], ["MIT"], ["MIT"], ["MIT"], [], [], [], [], ["Apache-2.0"], [], ["GPL-3.0", "MPL-2.0"]]
+    want = [["MIT"], ["MIT"], ["MIT"], ["MIT"], [], [], [], [], ["Apache-2.0"], [], ["GPL-3.0", "MPL-2.0"], ["CC-BY-NC-4.0"], ["CC-BY-SA-4.0"]]
     assert [got[i].licenses for i in range(len(texts))] == want
     assert [i for i in range(len(texts)) if got[i].unknown] == [4, 9]
 

@@ -48,17 +48,25 @@ SENTENCES = {
 }
 # Names under which licences are declared, and the forms of a declaration.
 NAMES = {
-    "MIT": ["MIT License", "MIT Licence", "MIT"], "Apache-2.0": ["Apache License, Version 2.0", "Apache License 2.0", "Apache 2.0 License"],
+    "MIT": ["MIT License", "MIT Licence", "MIT"], "Apache-2.0": ["Apache License, Version 2.0", "Apache License 2.0", "Apache 2.0 License", "Apache 2.0"],
     "BSD-2-Clause": ["BSD 2-Clause License", "Simplified BSD License"], "BSD-3-Clause": ["BSD 3-Clause License", "New BSD License"],
     "ISC": ["ISC License"], "MPL-2.0": ["Mozilla Public License, Version 2.0", "Mozilla Public License 2.0"],
     "GPL-2.0": ["GNU General Public License, version 2", "GNU General Public License v2.0", "GNU GPL v2"],
     "GPL-3.0": ["GNU General Public License, version 3", "GNU General Public License v3.0", "GNU GPL v3"],
     "LGPL-2.1": ["GNU Lesser General Public License, version 2.1"], "LGPL-3.0": ["GNU Lesser General Public License, version 3"],
     "AGPL-3.0": ["GNU Affero General Public License, version 3"], "BSL-1.0": ["Boost Software License, Version 1.0"],
-    "CC0-1.0": ["CC0 1.0 Universal License"], "CC-BY-4.0": ["Creative Commons Attribution 4.0 International License"],
-    "CC-BY-SA-4.0": ["Creative Commons Attribution-ShareAlike 4.0 International License"],
+    "CC0-1.0": ["CC0 1.0 Universal License", "CC0 1.0"],
 }
-FORMS = ("Released under the {}.", "Licensed under the {}.", "Distributed under the {}.", "Available under the {}.",
+# Parts of the Creative Commons names, from which NAMES gets all kinds and versions.
+CC_PARTS = {"BY": "Attribution", "NC": "NonCommercial", "ND": "NoDerivatives", "SA": "ShareAlike"}
+CC_KINDS = ("BY", "BY-SA", "BY-ND", "BY-NC", "BY-NC-SA", "BY-NC-ND")
+for _kind in CC_KINDS:
+    for _version in ("2.0", "2.5", "3.0", "4.0"):
+        _long = "Creative Commons " + "-".join(CC_PARTS[x] for x in _kind.split("-")) + " " + _version
+        NAMES[f"CC-{_kind}-{_version}"] = [f"CC {_kind} {_version}", f"CC {_kind} {_version} License", f"{_long} License",
+                                           f"{_long} International License"]
+FORMS = ("Released under {}.", "Licensed under {}.", "Distributed under {}.", "Available under {}.",
+         "This work is licensed under {}.", "Released under the {}.", "Licensed under the {}.", "Distributed under the {}.", "Available under the {}.",
          "This work is licensed under the {}.", "This work is licensed under a {}.", "This project is licensed under the {}.",
          "This software is released under the {}.", "This file is licensed under the {}.",
          "This project is licensed under the terms of the {}.")
@@ -94,7 +102,8 @@ class Rules:
                     self.known[normalised(form.format(title))] = f"declares {name}"
         self.rules.sort(key=lambda r: -len(r[0]))
         self.longest = max(k.count(" ") + 1 for k in self.known)
-        anchors = ("licen", "copyright", "permission", "redistribut", "warrant", "software", "mit", "gpl")
+        # every known sentence holds one of these; a text without them holds none
+        anchors = ("licen", "copyright", "permission", "redistribut", "warrant", "software", "mit", "gpl", "apache", "cc", "creative")
         self.anchors = anchors if all(any(a in k for a in anchors) for k in self.known) else ("",)
 
     def sentences(self, text: str):
