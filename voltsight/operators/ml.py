@@ -341,13 +341,11 @@ def assign_nearest(df: DataFrame, centres, features, out: str = "cluster") -> Da
     it is part of the fitted model, so it enters the plan as literals - no
     join and no per-row Python.  Ties go to the lower cluster index.
     """
+    x = F.array(*[F.col(f).cast("double") for f in features])
     dists = []
     for ci, c in enumerate(centres):
-        d = None
-        for f, v in zip(features, c):
-            term = (F.col(f).cast("double") - F.lit(float(v))) * (F.col(f).cast("double") - F.lit(float(v)))
-            d = term if d is None else d + term
-        dists.append(F.struct(d.alias("d"), F.lit(ci).alias("cluster")))
+        steps = F.zip_with(x, F.lit([float(v) for v in c]), lambda p, q: (p - q) * (p - q))
+        dists.append(F.struct(F.aggregate(steps, F.lit(0.0), lambda t, v: t + v).alias("d"), F.lit(ci).alias("cluster")))
     return df.withColumn(out, F.array_min(F.array(*dists))["cluster"])
 
 
