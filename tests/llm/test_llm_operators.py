@@ -246,6 +246,30 @@ def test_frequent_long_lines_keep_their_first_place_only(spark):
     assert [got[i].deleted for i in range(40)] == [""] + ["1"] * 39
 
 
+def test_line_runs_cover_every_block():
+    rng = random.Random(9)
+    for _ in range(200):
+        texts = [[rng.choice([0, 1, 3, 6, 12]) for _ in range(rng.randint(1, 9))] for _ in range(3)]
+        words = np.array([w for t in texts for w in t])
+        bounds = np.concatenate([[0], np.cumsum([len(t) for t in texts])])
+        found = list(zip(*(x.tolist() for x in linedup.line_runs(words, bounds, 10))))
+        for lo, hi in zip(bounds[:-1], bounds[1:]):
+            for a in range(lo, hi):
+                for b in range(a + 1, hi + 1):
+                    if words[a:b].sum() >= 10:
+                        held = {i for s, e in found if a <= s and e <= b for i in range(s, e)}
+                        assert {i for i in range(a, b) if words[i]} <= held
+        assert all(words[s:e].sum() >= 10 and any(lo <= s and e <= hi for lo, hi in zip(bounds, bounds[1:])) for s, e in found)
+
+
+def test_blocks_of_frequent_short_lines_are_found(spark):
+    lines = [f"s{i} aa bb cc" for i in range(3)]
+    texts = [f"{lines[i % 3]}\nown line {i} of this text" for i in range(60)]
+    texts += ["\n".join(["one more head", *lines, "its tail"]), "\n".join(["another head", *lines, "some tail"])]
+    got = by_id(linedup.deduplicated(docs_of(spark, texts)))
+    assert [got[i].deleted for i in range(62)] == [""] * 61 + ["1,2,3"]
+
+
 # ---- 7 mixing ---------------------------------------------------------------------------------
 
 def _fill(children, budget):

@@ -1,9 +1,13 @@
 """Line dedup by pairwise alignment.
 
-Documents that share lines are found by line hashes: a rare line (in at most
-``RARE`` distinct texts) links each text with every earlier one that has it; a
-frequent line links each text with the earliest one, so its links grow with its
-occurrences, not with their square, and none is left out.  Linked texts are
+Documents that can share a block are found by line hashes.  A block needs
+``MIN_WORDS`` words, so the hashes looked up are those of the shortest runs of
+lines that reach them - a line that is long enough by itself, or a short line
+with those after it or those before it.  Every line with words of a common
+block lies in such a run within that block.  A rare run (in at most ``RARE``
+distinct texts) links each text with every earlier one that has it; a frequent
+run links each text with the earliest one, which holds those lines as well, so
+links grow with occurrences, not with their square, and no run is left out.  Linked texts are
 aligned by patience diff (common head and tail, then lines unique on both
 sides, longest increasing subsequence, and the gaps between), and an aligned
 common block of at least ``MIN_WORDS`` words is deleted from the later text.
@@ -31,32 +35,53 @@ from .common import SpanHasher, materialised, runs, same, text_key, utf8_chunks
 RARE, MIN_WORDS = 8, 10
 
 
-def line_sequences(docs: DataFrame) -> DataFrame:
-    """``doc_id, key, hashes, words``: hash and word count of each line."""
+def line_runs(words: np.ndarray, bounds: np.ndarray, least: int) -> tuple[np.ndarray, np.ndarray]:
+    """Starts and ends of the shortest runs of lines with at least ``least`` words
+    that start or end at each line with words; ``bounds`` are the texts' first lines."""
+    total = np.concatenate([[0], np.cumsum(words, dtype=np.int64)])
+    line = np.flatnonzero(words > 0)
+    text = np.searchsorted(bounds, line, side="right") - 1
+    after = np.searchsorted(total, total[line] + least, side="left")
+    before = np.searchsorted(total, total[line + 1] - least, side="right") - 1
+    fits, reaches = after <= bounds[text + 1], before >= bounds[text]
+    both = np.concatenate([np.stack([line, after], 1)[fits], np.stack([before, line + 1], 1)[reaches]])
+    both = np.unique(both, axis=0)
+    return both[:, 0], both[:, 1]
+
+
+def line_sequences(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
+    """``doc_id, key, hashes, words, runs``: hash and word count of each line, and
+    the hashes of the runs of lines by which texts are linked."""
     id_type = docs.schema["doc_id"].dataType.simpleString()
 
     def run(batches):
         hasher = SpanHasher()
         for b in batches:
-            hashes, counts, sizes = [], [], []
+            hashes, counts, sizes, marks, n_marks = [], [], [], [], []
             for _, data, bounds in utf8_chunks(b.column(2)):
                 newline = np.flatnonzero(data == 10)
                 row = np.searchsorted(bounds, newline, side="right") - 1
                 starts = np.sort(np.concatenate([bounds[:-1], newline + 1]), kind="stable")
                 ends = np.sort(np.concatenate([bounds[1:], newline]), kind="stable")
-                hashes.append((hasher(data, starts, ends) if len(data) else np.zeros(len(starts), np.uint64)).view(np.int64))
+                line = hasher(data, starts, ends) if len(data) else np.zeros(len(starts), np.uint64)
+                hashes.append(line.view(np.int64))
                 word, _ = runs((data != 32) & ((data < 9) | (data > 13)), bounds)
                 counts.append((np.searchsorted(word, ends) - np.searchsorted(word, starts)).astype(np.int32))
                 sizes.append(np.bincount(row, minlength=len(bounds) - 1) + 1)
+                first = np.concatenate([[0], np.cumsum(sizes[-1])])
+                begin, end = line_runs(counts[-1], first, min_words)
+                marks.append(hasher(line, begin, end).view(np.int64))
+                n_marks.append(np.diff(np.searchsorted(begin, first)))
             if not sizes:
                 continue
-            off = pa.array(np.concatenate([[0], np.cumsum(np.concatenate(sizes))]).astype(np.int32))
+            off, mark_off = (pa.array(np.concatenate([[0], np.cumsum(np.concatenate(n))]).astype(np.int32)) for n in (sizes, n_marks))
             yield pa.RecordBatch.from_arrays(
                 [b.column(0), b.column(1), pa.ListArray.from_arrays(off, pa.array(np.concatenate(hashes))),
-                 pa.ListArray.from_arrays(off, pa.array(np.concatenate(counts)))], ["doc_id", "key", "hashes", "words"])
+                 pa.ListArray.from_arrays(off, pa.array(np.concatenate(counts))),
+                 pa.ListArray.from_arrays(mark_off, pa.array(np.concatenate(marks)))], ["doc_id", "key", "hashes", "words", "runs"])
 
     return docs.where("text IS NOT NULL").select("doc_id", text_key().alias("key"), "text").mapInArrow(
-        run, f"doc_id {id_type}, key struct<a:bigint,b:bigint>, hashes array<bigint>, words array<int>")
+        run, f"doc_id {id_type}, key struct<a:bigint,b:bigint>, hashes array<bigint>, words array<int>, runs array<bigint>")
 
 
 def _increasing(pairs: list[tuple[int, int]]) -> list[tuple[int, int]]:
@@ -120,12 +145,12 @@ def common_blocks(later: list, earlier: list, words: list[int], least: int = MIN
 
 def _links(classes: DataFrame, rare: int) -> DataFrame:
     """``later, earlier``: keys of distinct texts to align."""
-    seen = classes.select("rank", F.explode(F.array_distinct("hashes")).alias("line"))
-    lines = seen.groupBy("line").agg(F.count("*").alias("df"), F.min("rank").alias("first")).where("df > 1")
-    shared = materialised(seen.join(lines, "line"))
+    seen = classes.select("rank", F.explode(F.array_distinct("runs")).alias("run"))
+    lines = seen.groupBy("run").agg(F.count("*").alias("df"), F.min("rank").alias("first")).where("df > 1")
+    shared = materialised(seen.join(lines, "run"))
     frequent = shared.where((F.col("df") > rare) & (F.col("rank") != F.col("first"))).select(
         F.col("rank").alias("later"), F.col("first").alias("earlier"))
-    few = shared.where(F.col("df") <= rare).groupBy("line").agg(F.collect_list("rank").alias("ranks"))   # at most `rare`
+    few = shared.where(F.col("df") <= rare).groupBy("run").agg(F.collect_list("rank").alias("ranks"))   # at most `rare`
     few = few.select(F.explode("ranks").alias("later"), "ranks").select("later", F.explode("ranks").alias("earlier")).where(
         F.col("later") > F.col("earlier"))
     return frequent.union(few).distinct().select(F.col("later.key").alias("later"), F.col("earlier.key").alias("earlier"))
@@ -135,9 +160,10 @@ def deletions(docs: DataFrame, min_words: int = MIN_WORDS, rare: int = RARE) ->
     """``key, lines``: lines to delete of each distinct text that loses any, and
     ``copies_lose``: whether later exact copies lose everything; ``first`` is
     the id of the row that is not a later copy."""
-    seqs = materialised(line_sequences(docs))
+    seqs = materialised(line_sequences(docs, min_words))
     classes = seqs.groupBy("key").agg(F.min(F.struct(F.col("doc_id").isNull().alias("n"), "doc_id")).alias("first"),
-                                      F.first("hashes").alias("hashes"), F.first("words").alias("words"))
+                                      F.first("hashes").alias("hashes"), F.first("words").alias("words"),
+                                      F.first("runs").alias("runs"))
     classes = materialised(classes.withColumn("rank", F.struct(F.col("first.n").alias("n"), F.col("first.doc_id").alias("id"), "key")))
     pairs = _links(classes, rare)
     side = classes.select("key", "hashes", "words")
