@@ -192,23 +192,21 @@ def deduplicated(docs: DataFrame, min_words: int = MIN_WORDS, rare: int = RARE)
     gone = deletions(docs, min_words, rare).where("copies_lose OR lines IS NOT NULL").select(
         F.col("key").alias("_key"), F.col("first").alias("_first"), F.col("copies_lose").alias("_lose"), F.col("lines").alias("_lines"))
     own = docs.select("doc_id", "text", text_key().alias("_key")).join(gone, "_key", "left")
-    whole = F.col("_lose") & ~same(F.col("doc_id"), F.col("_first"))
-    own = own.select("doc_id", "text", F.coalesce(whole, F.lit(False)).alias("_whole"), "_lines")
-
-    def run(batches):
-        for b in batches:
-            texts, sizes, dropped = [], [], []
-            for t, whole, lines in zip(b.column(1), b.column(2), b.column(3)):
-                t = t.as_py()
-                parts = [] if t is None else t.split("\n")
-                cut = list(range(len(parts))) if whole.as_py() else lines.as_py() or []
-                out = set(cut)
-                texts.append(t if not cut else "\n".join(p for i, p in enumerate(parts) if i not in out))
-                sizes.append(len(parts)), dropped.append(cut)
-            yield pa.RecordBatch.from_arrays(
-                [b.column(0), pa.array(texts, pa.string()), pa.array(sizes, pa.int64()),
-                 pa.array([len(c) for c in dropped], pa.int64()), pa.array([",".join(map(str, c)) for c in dropped], pa.string())],
-                ["doc_id", "text", "n_lines", "n_deleted", "deleted"])
-
-    id_type = docs.schema["doc_id"].dataType.simpleString()
-    return own.mapInArrow(run, f"doc_id {id_type}, text string, n_lines bigint, n_deleted bigint, deleted string")
+    whole = F.coalesce(F.col("_lose") & ~same(F.col("doc_id"), F.col("_first")), F.lit(False))
+    partly = ~whole & F.col("_lines").isNotNull()
+    n_lines = F.when(F.col("text").isNull(), 0).otherwise(F.regexp_count("text", F.lit("\n")) + 1)
+    every = F.when(whole, F.sequence(F.lit(0), n_lines - 1)).otherwise(F.coalesce("_lines", F.array().cast("array<int>")))
+
+    @F.arrow_udf("string")
+    def without(texts: pa.Array, cuts: pa.Array) -> pa.Array:
+        kept = []
+        for t, c in zip(texts, cuts):
+            out = set(c.as_py() or ())
+            kept.append("\n".join(x for i, x in enumerate(t.as_py().split("\n")) if i not in out) if t.is_valid else None)
+        return pa.array(kept, pa.string())
+
+    # Only texts that lose some of their lines travel to Python.
+    left = without(F.when(partly, F.col("text")), F.when(partly, F.col("_lines")))
+    text = F.when(whole, "").when(partly, left).otherwise(F.col("text"))
+    return own.select("doc_id", text.alias("text"), n_lines.cast("bigint").alias("n_lines"),
+                      F.size(every).cast("bigint").alias("n_deleted"), F.array_join(every, ",").alias("deleted"))
