@@ -33,3 +33,10 @@ def test_no_cartesian_products(spark):
                  "p13_chrono_split", "j3_recommendation_lookup", "m18_time_series_folds", "m29_profile_table"):
         p = _plan(catalog.QUERIES[name](spark, SF01))
         assert "CartesianProduct" not in p and "BroadcastNestedLoopJoin" not in p, name
+
+
+def test_quantiles_keep_no_key_in_one_buffer(spark):
+    for name in ("a3_quantiles", "a4_medians", "a20_box_summary", "p6_median_impute", "p10_iqr_outliers", "p15_median_split",
+                 "f8_regime_labels", "j3_recommendation_lookup"):
+        p = _plan(catalog.QUERIES[name](spark, SF01))
+        assert "percentile" not in p and "mode(" not in p, name

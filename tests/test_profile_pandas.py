@@ -2,6 +2,7 @@
 
 import numpy as np
 import pandas as pd
+import pytest
 from pyspark.sql import functions as F
 
 from conftest import SF01
@@ -54,3 +55,17 @@ def test_zero_and_null_rules_like_pandas(spark):
     for c in "abc":
         assert bool(rep.loc[c, "all_zero"]) == bool((pdf[c] == 0).all())
         assert bool(rep.loc[c, "constant"]) == bool(pdf[c].nunique() == 1)
+
+
+def test_quantiles_equal_numpy_for_every_key(spark):
+    rng = np.random.default_rng(3)
+    rows = [("hot", float(v)) for v in rng.integers(0, 5, 400)] + [("one", 7.5), ("none", None), (None, 1.0), (None, 4.0)]
+    rows += [("wide", float(v)) for v in rng.normal(0, 1e6, 301)]
+    df = spark.createDataFrame(rows, "k string, x double")
+    probs = [0.0, .25, 1 / 3, .5, .9, 1.0]
+    got = {r.k: r for r in pr.exact_quantiles(df, "x", probs, ["k"], list("abcdef")).collect()}
+    assert set(got) == {"hot", "one", "none", "wide", None}
+    for k, r in got.items():
+        x = [v for n, v in rows if n == k and v is not None]
+        assert list(r)[1:] == ([None] * 6 if not x else pytest.approx(list(np.quantile(x, probs)), rel=1e-12))
+    assert pr.column_medians(df.withColumn("y", F.lit(None).cast("double")), ["x", "y"]).first().y is None

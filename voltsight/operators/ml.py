@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import windows as win
-from .profile import scalars
+from .profile import quantile_row, scalars
 
 
 # ----------------------------------------------------------------- P13 / M18
@@ -62,10 +62,10 @@ def time_series_folds(df: DataFrame, keys, ts: str, n_splits: int = 5) -> DataFr
 # ----------------------------------------------------------------- M5 / M6
 def robust_scaler(train: DataFrame, cols) -> dict:
     """M5 fit: exact median and IQR per column; zero IQR scales by 1."""
-    aggs = []
-    for c in cols:
-        aggs.append(F.percentile(F.col(c), F.array(F.lit(.25), F.lit(.5), F.lit(.75))).alias(c))
-    return {"kind": "robust", "cols": list(cols), "stats": train.agg(*aggs)}
+    probs = (.25, .5, .75)
+    row = quantile_row(train, {f"{c}__{p}": (c, p) for c in cols for p in probs})
+    return {"kind": "robust", "cols": list(cols),
+            "stats": row.select(*[F.array(*[F.col(f"`{c}__{p}`") for p in probs]).alias(c) for c in cols])}
 
 
 def standard_scaler(train: DataFrame, cols) -> dict:

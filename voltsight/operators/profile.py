@@ -16,6 +16,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..session import cut_lineage
+from . import windows as win
+
 NUMERIC = (T.DoubleType, T.FloatType, T.IntegerType, T.LongType, T.ShortType, T.ByteType, T.DecimalType)
 
 
@@ -51,17 +54,56 @@ def value_counts(df: DataFrame, key: str) -> DataFrame:
     return df.groupBy(key).agg(F.count(F.lit(1)).alias("count"))
 
 
+def _order_statistics(values: DataFrame, x: str, probs, names) -> DataFrame:
+    """Linear-interpolated quantiles (numpy default) of ``x`` per struct ``_g``.
+
+    Values are counted first, a distributed running count places them, and each
+    quantile reads its two neighbours off it: no key's values meet in one buffer.
+    """
+    counts = cut_lineage(values.where(F.col(x).isNotNull()).groupBy("_g", x).agg(F.count(F.lit(1)).alias("_c")))
+    placed = win.running_sums(counts, ["_g"], x, ["_c"])
+    totals = counts.groupBy("_g").agg(F.sum("_c").alias("_n"))
+    placed = placed.join(totals, "_g")
+    at = [(F.lit(float(p)) * (F.col("_n") - 1)) for p in probs]
+    ends = []
+    for i, pos in enumerate(at):
+        for side, k in (("lo", F.floor(pos)), ("hi", F.ceil(pos))):
+            ends.append(F.min(F.when(F.col("cum__c") > k, F.col(x))).alias(f"_{side}{i}"))
+    found = placed.groupBy("_g").agg(F.max("_n").alias("_n"), *ends)
+    out = []
+    for i, (pos, name) in enumerate(zip(at, names)):
+        lo, hi = F.col(f"_lo{i}"), F.col(f"_hi{i}")
+        between = (F.ceil(pos) - pos) * lo + (pos - F.floor(pos)) * hi
+        out.append(F.when(lo == hi, lo).otherwise(between).alias(name))
+    return found.select("_g", *out)
+
+
 def exact_quantiles(df: DataFrame, col: str, probs, keys=(), names=None) -> DataFrame:
-    """A3: exact linear-interpolated quantiles (numpy default)."""
+    """A3: exact linear-interpolated quantiles (numpy default) per key; a key
+    without values has null quantiles."""
     names = names or [f"q{int(round(p * 100))}" for p in probs]
-    q = F.percentile(F.col(col), F.array(*[F.lit(float(p)) for p in probs]))
-    agg = df.groupBy(*keys).agg(q.alias("_q"))
-    return agg.select(*keys, *[F.col("_q")[i].alias(n) for i, n in enumerate(names)])
+    keys = list(keys)
+    if not keys:
+        return quantile_row(df, {n: (col, p) for n, p in zip(names, probs)})
+    d = df.select(F.struct(*[F.col(k) for k in keys]).alias("_g"), F.col(col).cast("double").alias("_x"))
+    out = d.select("_g").distinct().join(_order_statistics(d, "_x", probs, names), "_g", "left")
+    return out.select(*[F.col(f"_g.{k}").alias(k) for k in keys], *names)
+
+
+def quantile_row(df: DataFrame, wanted: dict) -> DataFrame:
+    """One row of exact quantiles: ``wanted`` maps an output name to ``(column, p)``."""
+    cols = sorted({c for c, _ in wanted.values()})
+    probs = sorted({p for _, p in wanted.values()})
+    long = df.select(*[F.col(c).cast("double").alias(c) for c in cols]).unpivot([], cols, "_col", "_x")
+    q = _order_statistics(long.select(F.struct("_col").alias("_g"), "_x"), "_x", probs,
+                          [f"_q{i}" for i in range(len(probs))])
+    return q.agg(*[F.max(F.when(F.col("_g._col") == c, F.col(f"_q{probs.index(p)}"))).alias(name)
+                   for name, (c, p) in wanted.items()])
 
 
 def column_medians(df: DataFrame, cols) -> DataFrame:
-    """A4: median of every listed column, one aggregation."""
-    return df.agg(*[F.percentile(F.col(c), 0.5).alias(c) for c in cols])
+    """A4: median of every listed column, one pass over all of them."""
+    return quantile_row(df, {c: (c, 0.5) for c in cols})
 
 
 # ----------------------------------------------------------------- A5-A9
@@ -260,7 +302,7 @@ def date_range(df: DataFrame, ts: str, start: str, end: str) -> DataFrame:
 def median_split(df: DataFrame, x: str, out: str, keys=()) -> DataFrame:
     """``x > median(x)`` as 0/1 (null stays null)."""
     keys = list(keys)
-    m = df.groupBy(*keys).agg(F.percentile(F.col(x), 0.5).alias("_med"))
+    m = exact_quantiles(df, x, [0.5], keys, ["_med"])
     d = df.join(m, on=keys, how="left") if keys else df.withColumn("_med", scalars(m)["_med"])
     return d.withColumn(out, (F.col(x) > F.col("_med")).cast("int")).drop("_med")
 

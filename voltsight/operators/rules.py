@@ -20,6 +20,7 @@ from pyspark.sql import functions as F
 from .. import config as C
 from ..functions import columns as col
 from . import windows as win
+from .profile import quantile_row
 
 TRANSACTION_COLS = ("demand_level", "price_level", "renewable_level", "fossil_level",
                     "time_period", "season", "weekend_flag")
@@ -30,9 +31,9 @@ _PROBS = (0.0, 1 / 3, 2 / 3, 1.0)
 
 def _edges(df: DataFrame, cols) -> dict:
     """Exact quartile-style edges (0, 1/3, 2/3, 1) of several columns in one job."""
-    probs = F.array(*[F.lit(p) for p in _PROBS])
-    row = df.agg(*[F.percentile(F.col(c), probs).alias(c) for c in cols]).first()
-    return {c: row[c] for c in cols}
+    row = quantile_row(df, {f"{c}__{i}": (c, p) for c in cols for i, p in enumerate(_PROBS)}).first()
+    edges = {c: [row[f"{c}__{i}"] for i in range(len(_PROBS))] for c in cols}
+    return {c: None if e[0] is None else e for c, e in edges.items()}
 
 
 def tercile_levels(df: DataFrame, x: str, prefix: str, out: str, edges=None) -> tuple[DataFrame, str]:

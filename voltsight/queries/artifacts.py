@@ -39,13 +39,14 @@ def q_metrics_json(spark, sf_dir):
 def q_model_roundtrip(spark, sf_dir):
     """S8 + S9: fitted pipeline and threshold table persisted, loaded back, used to score."""
     from ..operators import ml
+    from ..operators.profile import quantile_row
     from .ml_models import DEMAND_X, _prepared, _split
     sp = _prepared(spark, sf_dir)
     train, test = _split(sp)
     base = run_dir(spark, "models")
     m = ml.fit_regressor(train, DEMAND_X, "demand_12h", "linear")
     art.save_model(m, os.path.join(base, "reg_demand"))
-    th = train.agg(F.percentile("demand_12h", 0.33).alias("d33"), F.percentile("demand_12h", 0.66).alias("d66"))
+    th = quantile_row(train, {"d33": ("demand_12h", 0.33), "d66": ("demand_12h", 0.66)})
     art.save_table(th, os.path.join(base, "thresholds"))
     loaded = art.load_model(os.path.join(base, "reg_demand"))
     missing = art.load_model(os.path.join(base, "not_there"), required=False, default=None)

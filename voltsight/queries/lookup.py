@@ -117,12 +117,11 @@ FROM c LEFT JOIN rec ON c.demand_class = rec.dc AND c.price_class = rec.pc
 def q_recommendation_lookup(spark, sf_dir):
     """F7 + J3 + J4: train-split thresholds -> classes -> codes -> advice text."""
     from ..operators.ml import chrono_split_label
-    from ..operators.profile import scalars
+    from ..operators.profile import quantile_row, scalars
     f = fe.training_features(src.grid_hourly(spark, sf_dir, n_series=1))
     f = chrono_split_label(f, ["series_id"], "ts", guard=False)
-    th = f.where(F.col("split") == "train").agg(
-        F.percentile("demand_12h", 0.33).alias("d33"), F.percentile("demand_12h", 0.66).alias("d66"),
-        F.percentile("price_12h", 0.33).alias("p33"), F.percentile("price_12h", 0.66).alias("p66"))
+    th = quantile_row(f.where(F.col("split") == "train"), {
+        "d33": ("demand_12h", 0.33), "d66": ("demand_12h", 0.66), "p33": ("price_12h", 0.33), "p66": ("price_12h", 0.66)})
     t = scalars(th)
     c = f.select("ts", col.three_class("demand_12h", t["d33"], t["d66"]).alias("demand_class"),
                  col.three_class("price_12h", t["p33"], t["p66"]).alias("price_class"))

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from ..catalog import FEATURES_SQL, GRID_SQL, GRID1_SQL, register, ts_text
 from ..functions import columns as col
 from ..operators import ml
-from ..operators.profile import scalars
+from ..operators.profile import quantile_row, scalars
 from ..plans import features as fe
 from ..sources import tables as src
 
@@ -127,8 +127,7 @@ def q_regularised_forest(spark, sf_dir):
 
 def _class_frame(spark, sf_dir):
     sp = _prepared(spark, sf_dir)
-    th = scalars(sp.where(F.col("split") == "train").agg(
-        F.percentile("demand_12h", 0.33).alias("t1"), F.percentile("demand_12h", 0.66).alias("t2")))
+    th = scalars(quantile_row(sp.where(F.col("split") == "train"), {"t1": ("demand_12h", 0.33), "t2": ("demand_12h", 0.66)}))
     return sp.withColumn("demand_class", col.three_class("demand_12h", th["t1"], th["t2"])) \
              .withColumn("label", col.class_code("demand_class").cast("double"))
 
@@ -269,7 +268,7 @@ def q_batch_scoring(spark, sf_dir):
              "demand_avg_24h", "price_avg_24h"]
     md = ml.fit_regressor(train, feats, "demand_12h", "linear")
     mp = ml.fit_regressor(train, feats, "price_12h", "linear")
-    th = scalars(train.agg(F.percentile("demand_12h", 0.33).alias("t1"), F.percentile("demand_12h", 0.66).alias("t2")))
+    th = scalars(quantile_row(train, {"t1": ("demand_12h", 0.33), "t2": ("demand_12h", 0.66)}))
     req = request_features(src.requests_from_events(spark, sf_dir, n_series=1), src.grid_hourly(spark, sf_dir, n_series=1))
     scored = md.transform(req).withColumnRenamed("prediction", "pred_demand").drop("features")
     scored = mp.transform(scored).withColumnRenamed("prediction", "pred_price").drop("features")

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from ..catalog import FEATURES_SQL, GRID_SQL, GRID1_SQL, R, register
 from ..functions import columns as col
 from ..operators import ml
-from ..operators.profile import scalars
+from ..operators.profile import quantile_row, scalars
 from ..plans import features as fe
 from ..sources import tables as src
 
@@ -209,8 +209,7 @@ rep2 AS (SELECT *, CASE WHEN precision + recall > 0 THEN 2 * precision * recall
 
 def _classes(spark, sf_dir):
     pr = _predictions(spark, sf_dir).where((F.col("model") == "persistence") & (F.col("target") == "demand"))
-    th = scalars(pr.where(F.col("split") == "train").agg(F.percentile("y", 0.33).alias("t1"),
-                                                          F.percentile("y", 0.66).alias("t2")))
+    th = scalars(quantile_row(pr.where(F.col("split") == "train"), {"t1": ("y", 0.33), "t2": ("y", 0.66)}))
     test = pr.where(F.col("split") == "test")
     return test.select(col.three_class("y", th["t1"], th["t2"]).alias("label"),
                        col.three_class("p", th["t1"], th["t2"]).alias("pred"))

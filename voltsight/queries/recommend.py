@@ -6,6 +6,7 @@ from .. import config as C
 from ..catalog import GRID_SQL, R, register, ts_text
 from ..functions import columns as col
 from ..operators import ml
+from ..operators.profile import quantile_row
 from ..plans import features as fe
 from ..plans import recommend as rc
 from ..plans.requests import request_features
@@ -62,12 +63,12 @@ def _fitted(spark, sf_dir):
     st = train.agg(F.regr_slope("demand_12h", "demand_lag_24h").alias("bd"),
                    F.regr_intercept("demand_12h", "demand_lag_24h").alias("ad"),
                    F.regr_slope("price_12h", "price_lag_24h").alias("bp"),
-                   F.regr_intercept("price_12h", "price_lag_24h").alias("ap"),
-                   F.percentile("demand_12h", 0.33).alias("d33"), F.percentile("demand_12h", 0.66).alias("d66"),
-                   F.percentile("price_12h", 0.33).alias("p33"), F.percentile("price_12h", 0.66).alias("p66")).first()
-    rq = sp.agg(F.percentile("demand_12h", 0.33).alias("r33"), F.percentile("demand_12h", 0.66).alias("r66")).first()
+                   F.regr_intercept("price_12h", "price_lag_24h").alias("ap")).first()
+    th = quantile_row(train, {"d33": ("demand_12h", 0.33), "d66": ("demand_12h", 0.66),
+                              "p33": ("price_12h", 0.33), "p66": ("price_12h", 0.66)}).first()
+    rq = quantile_row(sp, {"r33": ("demand_12h", 0.33), "r66": ("demand_12h", 0.66)}).first()
     # a fitted model: a handful of numbers, held on the driver like any model
-    return sp, {**st.asDict(), **rq.asDict()}
+    return sp, {**st.asDict(), **th.asDict(), **rq.asDict()}
 
 
 def _predict(df, m):
