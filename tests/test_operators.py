@@ -15,6 +15,7 @@ from voltsight.operators import similarity as sim
 from voltsight.operators import stationarity as st
 from voltsight.operators import stl
 from voltsight.operators import windows as win
+from voltsight.plans.requests import slot_lags, slot_means
 from voltsight.sources import tables as src
 
 
@@ -157,3 +158,26 @@ def test_interval_mean_matches_brute_force(spark):
         assert g.n_hist == len(m)
         exp = m.price.mean()
         assert (pd.isna(exp) and pd.isna(g.avg_price)) or abs(exp - g.avg_price) < 1e-9
+
+
+def test_by_slot_equals_lookups_per_request(spark):
+    at = lambda *xs: [pd.Timestamp(x) for x in xs]
+    hist = pd.DataFrame({"series_id": [0, 0, 0, 1], "load": [1.0, None, 3.0, 9.0], "price": [5.0, 6.0, None, 7.0],
+                         "ts": at("2024-01-01 05:00", "2024-01-01 06:00", "2024-01-02 09:00", "2024-01-01 00:00")})
+    times = at("2023-12-31 23:00", "2024-01-01 05:00", "2024-01-01 06:00", "2024-01-01 06:59:59.5", "2024-01-01 07:00",
+               "2024-01-01 07:30", "2024-01-02 06:00", "2024-01-02 06:00:01", "2024-01-02 10:00", "2024-03-01 12:34")
+    req = pd.DataFrame([(100 * s + i, s, t) for s in (0, 1, 2) for i, t in enumerate(times * 2)], columns=["request_id", "series_id", "ts"])
+    h = spark.createDataFrame(hist).withColumn("ts", F.col("ts").cast("timestamp_ntz"))
+    r = spark.createDataFrame(req).withColumn("ts", F.col("ts").cast("timestamp_ntz"))
+    r = r.union(spark.sql("SELECT 900, 0, CAST(NULL AS TIMESTAMP_NTZ) UNION ALL SELECT 901, NULL, TIMESTAMP_NTZ'2024-01-01 07:00'"))
+    wanted = {"lag1": ("load", 1, -1.0), "lag24": ("price", 24, -2.0)}
+    got = lk.by_slot(r, ["series_id"], "ts", slot_lags(h, ["series_id"], "ts", wanted), slot_means(h, ["series_id"], "ts"))
+    rows = {x.request_id: x for x in got.collect()}
+    assert len(rows) == r.count()
+    lags = {x.request_id: x for x in lk.asof_values(r, h, ["series_id"], "ts", "ts", wanted, "request_id").collect()}
+    means = {x.request_id: x for x in lk.interval_mean(r, h, ["series_id"], "ts", "ts", ["load", "price"], "request_id").collect()}
+    for k, x in rows.items():
+        assert (x.lag1, x.lag24) == (lags[k].lag1, lags[k].lag24), x
+        m = means.get(k)
+        assert (x.n_hist, x.avg_load, x.avg_price) == ((m.n_hist, m.avg_load, m.avg_price) if m else (None, None, None)), x
+    assert rows[0].lag1 == -1.0 and rows[4].lag1 is None and rows[9].lag1 == 3.0   # before the history, a matched null, after it

@@ -40,3 +40,8 @@ def test_quantiles_keep_no_key_in_one_buffer(spark):
                  "f8_regime_labels", "j3_recommendation_lookup"):
         p = _plan(catalog.QUERIES[name](spark, SF01))
         assert "percentile" not in p and "mode(" not in p, name
+
+
+def test_requests_are_neither_exploded_nor_regrouped(spark):
+    p = _plan(catalog.QUERIES["m3_request_features"](spark, SF01))
+    assert p.count("Scan parquet") == 2          # the requests, once as rows (tree and details); lookups read checkpoints

@@ -10,6 +10,10 @@
   is exploded to the days its window touches (two for 24 h).  History
   has one row per series-hour (the grain of the hourly table), so each
   request meets at most 25 history rows.
+* ``by_slot``: against an hourly history all requests of one series and hour
+  (those on the hour apart from those within it) have the same answer, so the
+  lookups run once per distinct slot - at most 48 a series-day, however many
+  requests there are - and the requests take one equi-join on their slot.
 """
 
 from __future__ import annotations
@@ -18,6 +22,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .. import config as C
+from ..session import cut_lineage
 
 
 def _bucket(col: Column, unit: str) -> Column:
@@ -97,6 +102,27 @@ def interval_mean(requests: DataFrame, history: DataFrame, keys, req_ts: str, hi
     return j.groupBy(id_col).agg(F.count(F.lit(1)).alias("n_hist"), *[F.avg(v).alias(f"avg_{v}") for v in values])
 
 
+def by_slot(requests: DataFrame, keys, req_ts: str, *lookups) -> DataFrame:
+    """``requests`` with the columns of every lookup, for a history whose rows
+    all lie on whole hours.
+
+    A lookup takes ``(slots, id_col)`` and returns ``id_col`` and its values;
+    ``slots`` has ``keys`` and ``req_ts``, one row per series and either an hour
+    or the half hour that stands for all times within it.  A request with a null
+    key or time keeps its row, with whatever the lookup says of such a slot.
+    """
+    keys = list(keys)
+    hour = _bucket(F.col(req_ts), "hour")
+    slot = F.when(F.col(req_ts) == hour, hour).otherwise(hour + F.make_dt_interval(mins=F.lit(30)))
+    tagged = requests.withColumn("_slot", F.struct(*keys, slot.alias(req_ts)))
+    slots = cut_lineage(tagged.select("_slot").distinct().select("_slot", "_slot.*"))     # read by every lookup
+    for n, lookup in enumerate(lookups):
+        id_col = f"_slot{n}"
+        found = lookup(slots.withColumnRenamed("_slot", id_col), id_col)
+        tagged = tagged.join(found, F.col("_slot").eqNullSafe(F.col(id_col)), "left").drop(id_col)
+    return tagged.drop("_slot")
+
+
 def recommendation_table(spark) -> DataFrame:
     """The 9-row (demand_class, price_class) -> text table."""
     rows = [(d, p, t) for (d, p), t in C.REC_TABLE.items()]

@@ -23,9 +23,19 @@ LAG_LOOKUPS = {
 }
 
 
+def slot_lags(history: DataFrame, keys, ts: str, lookups: dict):
+    """J1 for ``by_slot``; slots are few per series-day, so they need no salts."""
+    return lambda slots, id_col: lk.asof_values(slots, history, keys, ts, "ts", lookups, id_col, salts=1)
+
+
+def slot_means(history: DataFrame, keys, ts: str, values=("load", "price")):
+    """J2 for ``by_slot``: the 24 h mean of ``values``."""
+    return lambda slots, id_col: lk.interval_mean(slots, history, keys, ts, "ts", list(values), id_col)
+
+
 def request_features(requests: DataFrame, history: DataFrame, keys=("series_id",), ts: str = "ts",
-                     id_col: str = "request_id", lookups: dict | None = None) -> DataFrame:
-    """M3: features of each request row.
+                     lookups: dict | None = None) -> DataFrame:
+    """M3: features of each request row, for a history with rows on whole hours.
 
     Lags: value at ``ts - k h``, else the last history row before it, else
     the default.  Rolling: mean of history in ``[ts-24h, ts-1h]``; when that
@@ -38,9 +48,7 @@ def request_features(requests: DataFrame, history: DataFrame, keys=("series_id",
           .withColumn("month", F.month(ts)).withColumn("is_weekend", col.is_weekend(ts))
           .withColumn("hour_sin", col.cyclic(F.hour(ts), 24, "sin")).withColumn("hour_cos", col.cyclic(F.hour(ts), 24, "cos"))
           .withColumn("month_sin", col.cyclic(F.month(ts), 12, "sin")).withColumn("month_cos", col.cyclic(F.month(ts), 12, "cos")))
-    lags = lk.asof_values(requests, history, keys, ts, "ts", lookups, id_col)
-    avg = lk.interval_mean(requests, history, keys, ts, "ts", ["load", "price"], id_col)
-    out = r.join(lags, on=id_col, how="left").join(avg, on=id_col, how="left")
+    out = lk.by_slot(r, keys, ts, slot_lags(history, keys, ts, lookups), slot_means(history, keys, ts))
     has = F.coalesce(F.col("n_hist"), F.lit(0)) > 0
     return (out.withColumn("demand_avg_24h", F.when(has, F.col("avg_load")).otherwise(F.col("demand_lag_1h")))
                .withColumn("price_avg_24h", F.when(has, F.col("avg_price")).otherwise(F.col("price_lag_1h")))

@@ -7,7 +7,8 @@ from ..catalog import FEATURES_SQL, GRID_SQL, GRID1_SQL, R, register, ts_text
 from ..functions import columns as col
 from ..operators import lookup as lk
 from ..plans import features as fe
-from ..plans.requests import request_features
+from ..plans.requests import LAG_LOOKUPS, request_features, slot_lags, slot_means
+from ..session import cut_lineage
 from ..sources import tables as src
 
 
@@ -54,19 +55,20 @@ SELECT request_id, {R('demand_lag_1h')} AS demand_lag_1h, {R('demand_lag_24h')}
 def q_asof(spark, sf_dir):
     """Backward as-of lookups at ts-1h/24h/168h with defaults."""
     req = src.requests_from_events(spark, sf_dir)
-    hist = src.grid_hourly(spark, sf_dir)
-    from ..plans.requests import LAG_LOOKUPS
-    return lk.asof_values(req, hist, ["series_id"], "ts", "ts", LAG_LOOKUPS, "request_id")
+    hist = cut_lineage(src.grid_hourly(spark, sf_dir))
+    out = lk.by_slot(req, ["series_id"], "ts", slot_lags(hist, ["series_id"], "ts", LAG_LOOKUPS))
+    return out.select("request_id", *LAG_LOOKUPS)
 
 
 @register("j2_interval_mean", ASOF_SQL + f"""
 SELECT request_id, n_hist, {R9('avg_load')} AS avg_load, {R9('avg_price')} AS avg_price FROM iv
 """, digits=9)
 def q_interval(spark, sf_dir):
-    """Mean of history in [ts-24h, ts-1h] by a day-bucketed range join."""
+    """Mean of history in [ts-24h, ts-1h]; requests without history there are left out."""
     req = src.requests_from_events(spark, sf_dir)
     hist = src.grid_hourly(spark, sf_dir)
-    return lk.interval_mean(req, hist, ["series_id"], "ts", "ts", ["load", "price"], "request_id")
+    out = lk.by_slot(req, ["series_id"], "ts", slot_means(hist, ["series_id"], "ts"))
+    return out.where("n_hist > 0").select("request_id", "n_hist", "avg_load", "avg_price")
 
 
 @register("m3_request_features", ASOF_SQL + f"""
@@ -87,7 +89,7 @@ FROM r JOIN lags USING (request_id) LEFT JOIN iv USING (request_id)
 def q_request_features(spark, sf_dir):
     """M3: request feature extraction against the hourly history."""
     req = src.requests_from_events(spark, sf_dir)
-    hist = src.grid_hourly(spark, sf_dir)
+    hist = cut_lineage(src.grid_hourly(spark, sf_dir))      # hourly; read once per lookup
     out = request_features(req, hist)
     return out.drop("ts", "solar", "wind", "gas", "coal", "hydro")
 
@@ -166,3 +168,21 @@ def q_form_defaults(spark, sf_dir):
     spec = C.FeatureSpec(demand_lags=(1, 24), price_lags=(1, 24))
     lags = fe.add_lags(g, spec, ["series_id"], "ts")
     return fe.request_features_from_values(lags, C.DEMAND_FORM_DEFAULTS)
+
+
+@register("m4_price_form_defaults", f"""
+WITH g AS ({GRID_SQL}),
+l AS (SELECT lag(price, 1) OVER w AS price_lag_1h, lag(price, 12) OVER w AS price_lag_12h,
+        lag(load, 1) OVER w AS demand_lag_1h, lag(load, 12) OVER w AS demand_lag_12h,
+        avg(load) OVER (w ROWS BETWEEN 24 PRECEDING AND 1 PRECEDING) AS demand_avg_24h,
+        avg(price) OVER (w ROWS BETWEEN 24 PRECEDING AND 1 PRECEDING) AS price_avg_24h
+      FROM g WINDOW w AS (PARTITION BY series_id ORDER BY ts))
+SELECT {', '.join(f'{R(f"coalesce({c}, CAST({v} AS DOUBLE))" if "lag" in c or "avg" in c else f"CAST({v} AS DOUBLE)")} AS "{c}"'
+                  for c, v in C.PRICE_FORM_DEFAULTS.items())}
+FROM l
+""")
+def q_price_form_defaults(spark, sf_dir):
+    """M4: price form of the feature vector with its defaults."""
+    spec = C.FeatureSpec(demand_lags=(1, 12), price_lags=(1, 12))
+    lags = fe.add_lags(src.grid_hourly(spark, sf_dir), spec, ["series_id"], "ts")
+    return fe.request_features_from_values(lags, C.PRICE_FORM_DEFAULTS)

@@ -90,23 +90,24 @@ def profiles(spark, sf_dir):
                        "cluster", "hour_sin", "hour_cos", "month_sin", "month_cos", "renewable_pct", "is_weekend"), m
 
 
-_UNIT = R("pred_demand / sqrt(list_aggregate(list_transform(vec, lambda x: x * x), 'sum'))")
+_UNITS = ", ".join(f"{R(f'vec[{i}] / sqrt(list_aggregate(list_transform(vec, lambda x: x * x), {chr(39)}sum{chr(39)}))')} AS {c}_unit"
+                   for i, c in enumerate(rc.PROFILE_COLS, 1))
 
 
 @register("m29_profile_table", PROFILE_SQL + f"""
 SELECT {ts_text('ts')} AS ts, {R('pred_demand')} AS pred_demand, {R('pred_price')} AS pred_price,
   CAST(demand_class_enc AS BIGINT) AS demand_class_enc, CAST(price_class_enc AS BIGINT) AS price_class_enc,
   CAST(cluster AS BIGINT) AS cluster,
-  {_UNIT} AS pred_demand_unit
+  {_UNITS}
 FROM pv
 """)
 def q_profile_table(spark, sf_dir):
-    """Profile table (11 columns) with the L2-normalised first component."""
+    """Profile table with its eleven L2-normalised components."""
     from ..operators.similarity import l2_normalise
     p, _ = profiles(spark, sf_dir)
     v = l2_normalise(rc.profile_vector(p), "vec", "unit")
     return v.select("ts", "pred_demand", "pred_price", "demand_class_enc", "price_class_enc", "cluster",
-                    F.col("unit")[0].alias("pred_demand_unit"))
+                    *[F.col("unit")[i].alias(f"{c}_unit") for i, c in enumerate(rc.PROFILE_COLS)])
 
 
 @register("m28_recommend_by_index", PROFILE_SQL + """,
@@ -161,7 +162,8 @@ def q_recommend_from_requests(spark, sf_dir):
     vector -> exact cosine top-5 over stored profiles -> vote -> advice."""
     p, m = profiles(spark, sf_dir)
     req = src.requests_from_events(spark, sf_dir, n_series=1)
-    feats = request_features(req, src.grid_hourly(spark, sf_dir, n_series=1))
+    from ..session import cut_lineage
+    feats = request_features(req, cut_lineage(src.grid_hourly(spark, sf_dir, n_series=1)))
     q = _predict(feats, m)
     q = q.select("request_id", "pred_demand", "pred_price", "cluster",
                  col.class_code(col.three_class("pred_demand", m["d33"], m["d66"])).alias("demand_class_enc"),
