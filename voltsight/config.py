@@ -102,6 +102,10 @@ REC_DEFAULT = "No recommendation available."
 DEFAULT_DEMAND = 28000.0
 DEFAULT_PRICE = 50.0
 
+# ---- fixed values: bounds of the drift checks -------------------------------
+FEATURE_DRIFT_BELOW = 0.95
+LABEL_DRIFT_BELOW = 0.35
+
 # ---- fixed values: required columns of a new dataset -----------------------
 REQUIRED_COLUMNS = ("time", "total load actual", "price actual")
 

@@ -357,17 +357,25 @@ def silhouette(df: DataFrame, features, label: str) -> float:
     return float(ev.evaluate(assembler(features).transform(df)))
 
 
-def ks_drift(train: DataFrame, test: DataFrame, col: str) -> DataFrame:
-    """Two-sample Kolmogorov-Smirnov statistic.
+def ks_drift(rows: DataFrame, cols, split: str = "split") -> DataFrame:
+    """``column_name, ks`` - the two-sample Kolmogorov-Smirnov statistic
+    of every column, ``train`` against ``test`` rows.
 
-    Pooled ``groupBy(value)`` counts per side (partial aggregation), running
-    CDFs over the distinct-value table, max gap.  Nulls ignored.
+    The columns go through one unpivoted pass: counts per (column, value) and
+    side (partial aggregation), running CDFs over the distinct values, greatest
+    gap.  Nulls are ignored; a column without values on one side has a null.
     """
-    a = train.select(F.col(col).alias("v")).where(F.col("v").isNotNull()).withColumn("s", F.lit(0))
-    b = test.select(F.col(col).alias("v")).where(F.col("v").isNotNull()).withColumn("s", F.lit(1))
-    cnt = a.unionByName(b).groupBy("v").agg(F.count_if(F.col("s") == 0).alias("c0"), F.count_if(F.col("s") == 1).alias("c1"))
-    tot = cnt.agg(F.sum("c0").alias("n0"), F.sum("c1").alias("n1"))
-    t = scalars(tot)
-    cum = win.running_sums(cnt, [], "v", ["c0", "c1"])
-    cdf = cum.select((F.col("cum_c0") / t["n0"] - F.col("cum_c1") / t["n1"]).alias("gap"))
-    return cdf.agg(F.max(F.abs("gap")).alias("ks"))
+    values = rows.select(split, *[F.col(c).cast("double").alias(c) for c in cols]).unpivot(
+        [split], list(cols), "column_name", "v").where("v IS NOT NULL")
+    cnt = values.groupBy("column_name", "v").agg(F.count_if(F.col(split) == "train").alias("c0"),
+                                                 F.count_if(F.col(split) == "test").alias("c1"))
+    # one row per column
+    tot = F.broadcast(cnt.groupBy("column_name").agg(F.sum("c0").alias("n0"), F.sum("c1").alias("n1")))
+    cum = win.running_sums(cnt, ["column_name"], "v", ["c0", "c1"]).join(tot, "column_name")
+    gap = F.try_divide("cum_c0", "n0") - F.try_divide("cum_c1", "n1")
+    return cum.groupBy("column_name").agg(F.max(F.abs(gap)).alias("ks"))
+
+
+def drift_verdict(rows: DataFrame, cols, below: float, split: str = "split") -> DataFrame:
+    """``column_name, ks, passed`` (the statistic is less than ``below``)."""
+    return ks_drift(rows, cols, split).withColumn("passed", F.col("ks") < F.lit(below))

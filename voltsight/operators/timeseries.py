@@ -26,9 +26,36 @@ def resample_mean(df: DataFrame, keys, ts: str, cols, unit: str = "day", step: s
     return spine.join(agg, on=keys + [ts], how="left")
 
 
+def hourly_filled(df: DataFrame, x: str, keys=("series_id",), ts: str = "ts", block_size=None) -> DataFrame:
+    """``keys, ts, x`` at every hour between a series' first and last row;
+    missing hours and null values are interpolated linearly (W7)."""
+    keys = list(keys)
+    lay = win.layout(resample_mean(df, keys, ts, [x], "hour", "1 hour"), keys, ts, block_size=block_size)
+    return lay.finish(win.interpolate_linear(lay, lay.df, x, "_filled")).select(*keys, ts, F.col("_filled").alias(x))
+
+
+def _detrended(df: DataFrame, x: str, keys, ts: str, period: int, block_size) -> DataFrame:
+    keys, h = list(keys), period // 2
+    lay = win.layout(df, keys, ts, back=h, fwd=h, block_size=block_size)
+    d = lay.finish(lay.df.withColumn("trend", win.centred_ma(x, period, lay.window())), keep_idx=True)
+    return (d.withColumn("phase", (F.col(win.IDX) % period).cast("int"))
+             .withColumn("_det_a", F.col(x) - F.col("trend"))
+             .withColumn("_det_m", F.try_divide(F.col(x), F.col("trend"))))
+
+
+def _phase_table(detrended: DataFrame, keys) -> DataFrame:
+    """``keys, phase, seasonal_add, seasonal_mul``: one row per phase."""
+    ph = detrended.groupBy(*keys, "phase").agg(F.avg("_det_a").alias("_pa"), F.avg("_det_m").alias("_pm"))
+    wall = Window.partitionBy(*keys)
+    return (ph.withColumn("seasonal_add", F.col("_pa") - F.avg("_pa").over(wall))
+              .withColumn("seasonal_mul", F.try_divide(F.col("_pm"), F.avg("_pm").over(wall)))
+              .drop("_pa", "_pm"))
+
+
 def decompose(df: DataFrame, x: str, keys=("series_id",), ts: str = "ts", period: int = 24,
               block_size=None) -> DataFrame:
-    """Classical additive and multiplicative decomposition.
+    """Classical additive and multiplicative decomposition of a series
+    without gaps (``hourly_filled``).
 
     trend = centred 2x``period`` moving average (W8); phase = position mod
     ``period``; the seasonal figure is the per-phase mean of the detrended
@@ -37,18 +64,8 @@ def decompose(df: DataFrame, x: str, keys=("series_id",), ts: str = "ts", period
     aggregation of (series, phase) joined back - no per-series collect.
     """
     keys = list(keys)
-    h = period // 2
-    lay = win.layout(df, keys, ts, back=h, fwd=h, block_size=block_size)
-    w = lay.window()
-    d = lay.finish(lay.df.withColumn("trend", win.centred_ma(x, period, w)), keep_idx=True)
-    d = d.withColumn("phase", (F.col(win.IDX) % period).cast("int"))
-    d = d.withColumn("_det_a", F.col(x) - F.col("trend")) \
-         .withColumn("_det_m", F.try_divide(F.col(x), F.col("trend")))
-    ph = d.groupBy(*keys, "phase").agg(F.avg("_det_a").alias("_pa"), F.avg("_det_m").alias("_pm"))
-    wall = Window.partitionBy(*keys)
-    ph = (ph.withColumn("seasonal_add", F.col("_pa") - F.avg("_pa").over(wall))
-            .withColumn("seasonal_mul", F.try_divide(F.col("_pm"), F.avg("_pm").over(wall)))
-            .drop("_pa", "_pm"))
+    d = _detrended(df, x, keys, ts, period, block_size)
+    ph = _phase_table(d, keys)
     d = d.join(ph, on=keys + ["phase"], how="left")
     return (d.withColumn("resid_add", F.col(x) - F.col("trend") - F.col("seasonal_add"))
              .withColumn("resid_mul", F.try_divide(F.try_divide(F.col(x), F.col("seasonal_mul")), F.col("trend")))
@@ -57,8 +74,14 @@ def decompose(df: DataFrame, x: str, keys=("series_id",), ts: str = "ts", period
 
 def seasonal_profile(df: DataFrame, x: str, keys=("series_id",), ts: str = "ts", period: int = 24) -> DataFrame:
     """The ``period``-row seasonal figure per series."""
-    d = decompose(df, x, keys, ts, period)
-    return d.select(*keys, "phase", "seasonal_add", "seasonal_mul").dropDuplicates(list(keys) + ["phase"])
+    return _phase_table(_detrended(df, x, keys, ts, period, None), keys)
+
+
+def week_slice(df: DataFrame, keys=("series_id",), ts: str = "ts", hours: int = 168) -> DataFrame:
+    """The first ``hours`` hours of every series of a decomposition."""
+    first = df.groupBy(*keys).agg(F.min(ts).alias("_first"))
+    return df.join(first, list(keys)).where(
+        F.col(ts) < F.col("_first") + F.make_dt_interval(hours=F.lit(hours))).drop("_first")
 
 
 def long_form(df: DataFrame, keys, ts: str, measures) -> DataFrame:

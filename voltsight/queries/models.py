@@ -8,7 +8,8 @@ chain: split -> fit -> predict -> metrics -> pivot -> rank.
 
 from pyspark.sql import functions as F
 
-from ..catalog import FEATURES_SQL, GRID_SQL, GRID1_SQL, R, register
+from .. import config as C
+from ..catalog import FEATURE_COLS_DOUBLE, FEATURE_COLS_INT, FEATURES_SQL, GRID_SQL, GRID1_SQL, R, register
 from ..functions import columns as col
 from ..operators import ml
 from ..operators.profile import quantile_row, scalars
@@ -232,27 +233,28 @@ def q_class_summary(spark, sf_dir):
     return ml.classification_summary(_classes(spark, sf_dir), "label", "pred")
 
 
-def _ks_sql(colname):
+DRIFT_FEATURES = tuple(c for c in FEATURE_COLS_DOUBLE + FEATURE_COLS_INT if c not in fe.TARGETS)
+
+
+def _ks_sql(cols, below):
+    values = " UNION ALL ".join(f"SELECT '{c}' AS column_name, CAST({c} AS DOUBLE) AS v, split FROM sp WHERE {c} IS NOT NULL" for c in cols)
     return SPLIT_SQL + f"""
-, v AS (SELECT {colname} AS v, split FROM sp WHERE {colname} IS NOT NULL),
-c AS (SELECT v, count_if(split = 'train') AS c0, count_if(split = 'test') AS c1 FROM v GROUP BY v),
-tot AS (SELECT sum(c0) AS n0, sum(c1) AS n1 FROM c),
-cdf AS (SELECT sum(c0) OVER (ORDER BY v) / n0 - sum(c1) OVER (ORDER BY v) / n1 AS gap FROM c, tot)
-SELECT '{colname}' AS column_name, {R('max(abs(gap))')} AS ks FROM cdf
+, v AS ({values}),
+c AS (SELECT column_name, v, count_if(split = 'train') AS c0, count_if(split = 'test') AS c1 FROM v GROUP BY 1, 2),
+cdf AS (SELECT column_name, sum(c0) OVER w / sum(c0) OVER (PARTITION BY column_name)
+                            - sum(c1) OVER w / sum(c1) OVER (PARTITION BY column_name) AS gap
+        FROM c WINDOW w AS (PARTITION BY column_name ORDER BY v))
+SELECT column_name, {R('max(abs(gap))')} AS ks, max(abs(gap)) < {below} AS passed FROM cdf GROUP BY 1
 """
 
 
-@register("m32_feature_drift", _ks_sql("renewable_pct"))
+@register("m32_feature_drift", _ks_sql(DRIFT_FEATURES, C.FEATURE_DRIFT_BELOW))
 def q_feature_drift(spark, sf_dir):
-    """Two-sample KS drift score of a feature, train vs test split."""
-    sp = _prepared(spark, sf_dir)
-    ks = ml.ks_drift(sp.where(F.col("split") == "train"), sp.where(F.col("split") == "test"), "renewable_pct")
-    return ks.select(F.lit("renewable_pct").alias("column_name"), "ks")
+    """Two-sample KS drift score and verdict of every feature, train vs test split."""
+    return ml.drift_verdict(_prepared(spark, sf_dir), DRIFT_FEATURES, C.FEATURE_DRIFT_BELOW)
 
 
-@register("m33_label_drift", _ks_sql("price_12h"))
+@register("m33_label_drift", _ks_sql(fe.TARGETS, C.LABEL_DRIFT_BELOW))
 def q_label_drift(spark, sf_dir):
-    """KS drift score of the target, train vs test split."""
-    sp = _prepared(spark, sf_dir)
-    ks = ml.ks_drift(sp.where(F.col("split") == "train"), sp.where(F.col("split") == "test"), "price_12h")
-    return ks.select(F.lit("price_12h").alias("column_name"), "ks")
+    """KS drift score and verdict of both targets, train vs test split."""
+    return ml.drift_verdict(_prepared(spark, sf_dir), fe.TARGETS, C.LABEL_DRIFT_BELOW)

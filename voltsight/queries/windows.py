@@ -97,7 +97,15 @@ def q_interpolate(spark, sf_dir):
 
 _DECOMP_SQL = f"""
 WITH g AS ({GRID1_SQL}),
-p AS (SELECT series_id, ts, load, row_number() OVER (PARTITION BY series_id ORDER BY ts) - 1 AS idx FROM g),
+s AS (SELECT series_id, unnest(generate_series(min(ts), max(ts), INTERVAL 1 HOUR)) AS ts FROM g GROUP BY 1),
+h AS (SELECT s.series_id, s.ts, g.load, row_number() OVER (PARTITION BY s.series_id ORDER BY s.ts) - 1 AS idx
+      FROM s LEFT JOIN g ON s.series_id = g.series_id AND s.ts = g.ts),
+k AS (SELECT *, last_value(load IGNORE NULLS) OVER b AS pv, last_value(CASE WHEN load IS NOT NULL THEN idx END IGNORE NULLS) OVER b AS pi,
+             first_value(load IGNORE NULLS) OVER a AS nv, first_value(CASE WHEN load IS NOT NULL THEN idx END IGNORE NULLS) OVER a AS ni
+      FROM h WINDOW b AS (PARTITION BY series_id ORDER BY idx ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW),
+                    a AS (PARTITION BY series_id ORDER BY idx ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING)),
+p AS (SELECT series_id, ts, idx, CASE WHEN load IS NOT NULL THEN load WHEN pv IS NULL THEN NULL WHEN nv IS NULL THEN pv
+             ELSE pv + (nv - pv) * (CAST(idx - pi AS DOUBLE) / CAST(ni - pi AS DOUBLE)) END AS load FROM k),
 t AS (SELECT *, CAST(idx % 24 AS INTEGER) AS phase,
   CASE WHEN count(load) OVER (PARTITION BY series_id ORDER BY idx ROWS BETWEEN 12 PRECEDING AND 12 FOLLOWING) = 25
        THEN (sum(load) OVER (PARTITION BY series_id ORDER BY idx ROWS BETWEEN 12 PRECEDING AND 12 FOLLOWING)
@@ -109,25 +117,37 @@ ph AS (SELECT series_id, phase, pa - avg(pa) OVER (PARTITION BY series_id) AS se
 """
 
 
-@register("d1_decompose", _DECOMP_SQL + f"""
+_DECOMP_ROWS = f"""
 SELECT t.series_id, {ts_text('ts')} AS ts, CAST(t.phase AS BIGINT) AS phase, {R('load')} AS load, {R('trend')} AS trend,
   {R('seasonal_add')} AS seasonal_add, {R('seasonal_mul')} AS seasonal_mul,
   {R('load - trend - seasonal_add')} AS resid_add, {R('load / seasonal_mul / trend')} AS resid_mul
 FROM t JOIN ph USING (series_id, phase)
-""")
+"""
+
+
+def _hourly_load(spark, sf_dir):
+    return tsa.hourly_filled(src.grid_hourly(spark, sf_dir, n_series=1), "load", ["series_id"], "ts")
+
+
+@register("d1_decompose", _DECOMP_SQL + _DECOMP_ROWS)
 def q_decompose(spark, sf_dir):
-    """D1 (+W8): classical decomposition, period 24, of the single-series load."""
-    g = src.grid_hourly(spark, sf_dir, n_series=1).select("series_id", "ts", "load")
-    return tsa.decompose(g, "load", ["series_id"], "ts", 24)
+    """D1 (+W8): classical decomposition, period 24, of the gap-free single-series load."""
+    return tsa.decompose(_hourly_load(spark, sf_dir), "load", ["series_id"], "ts", 24)
 
 
 @register("d2_seasonal_profile", _DECOMP_SQL + f"""
 SELECT series_id, CAST(phase AS BIGINT) AS phase, {R('seasonal_add')} AS seasonal_add, {R('seasonal_mul')} AS seasonal_mul FROM ph
 """)
 def q_seasonal_profile(spark, sf_dir):
-    """24-phase daily seasonal figure."""
-    g = src.grid_hourly(spark, sf_dir, n_series=1).select("series_id", "ts", "load")
-    return tsa.seasonal_profile(g, "load", ["series_id"], "ts", 24)
+    """24-phase daily seasonal figure of the gap-free load."""
+    return tsa.seasonal_profile(_hourly_load(spark, sf_dir), "load", ["series_id"], "ts", 24)
+
+
+@register("d2_week_slice", _DECOMP_SQL + _DECOMP_ROWS + " WHERE idx < 168")
+def q_week_slice(spark, sf_dir):
+    """Decomposition of the first week (168 hours) of the load."""
+    d = tsa.decompose(_hourly_load(spark, sf_dir), "load", ["series_id"], "ts", 24)
+    return tsa.week_slice(d, ["series_id"], "ts", 168)
 
 
 @register("w9_average_rank", """
