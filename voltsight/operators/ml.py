@@ -268,10 +268,12 @@ def classifier(kind: str, label: str, n_features: int | None = None, **kw):
         return Cl.RandomForestClassifier(numTrees=kw.get("numTrees", 300), maxDepth=kw.get("maxDepth", 18),
                                         seed=42, **common)
     if kind == "gbt_ovr":
-        base = Cl.GBTClassifier(maxIter=kw.get("maxIter", 50), maxDepth=kw.get("maxDepth", 5), seed=42)
-        return Cl.OneVsRest(classifier=base, **common)
+        base = Cl.GBTClassifier(maxIter=kw.get("maxIter", 300), maxDepth=kw.get("maxDepth", 6),
+                                stepSize=kw.get("stepSize", 0.05), seed=42)
+        return Cl.OneVsRest(classifier=base, parallelism=kw.get("n_classes", 3), **common)
     if kind == "gbt":
-        return Cl.GBTClassifier(maxIter=kw.get("maxIter", 50), maxDepth=kw.get("maxDepth", 5), seed=42, **common)
+        return Cl.GBTClassifier(maxIter=kw.get("maxIter", 100), maxDepth=kw.get("maxDepth", 6),
+                                stepSize=kw.get("stepSize", 0.3), seed=42, **common)
     if kind == "mlp":
         layers = [n_features, 128, 64, 32, kw.get("n_classes", 3)]
         return Cl.MultilayerPerceptronClassifier(layers=layers, maxIter=kw.get("maxIter", 200), seed=42, **common)
@@ -286,6 +288,14 @@ def fit_classifier(train: DataFrame, features, label: str, kind: str, **kw):
     return Pipeline(stages=stages).fit(train)
 
 
+def run_parallel(tasks, parallelism: int = 8) -> list:
+    """Run independent fits as concurrent Spark jobs (as ``CrossValidator``'s
+    ``parallelism`` does); the results in the order of the tasks."""
+    from concurrent.futures import ThreadPoolExecutor
+    with ThreadPoolExecutor(max_workers=parallelism) as pool:
+        return list(pool.map(lambda t: t(), tasks))
+
+
 def pca_fit(df: DataFrame, features, k: int | None = None, variance: float | None = 0.95) -> dict:
     """M7: centred PCA from the covariance matrix of one Gram aggregation.
 

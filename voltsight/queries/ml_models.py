@@ -11,12 +11,13 @@ from pyspark.sql import functions as F
 from ..catalog import FEATURES_SQL, GRID_SQL, GRID1_SQL, register, ts_text
 from ..functions import columns as col
 from ..operators import ml
-from ..operators.profile import quantile_row, scalars
+from ..operators.profile import quantile_row
 from ..plans import features as fe
 from ..sources import tables as src
 
 DEMAND_X = [f for f in fe.DEMAND_FEATURES if f not in ("month_sin", "month_cos")]
 PRICE_X = [f for f in fe.PRICE_FEATURES if f not in ("month_sin", "month_cos")]
+TARGETS = (("demand", "demand_12h", DEMAND_X), ("price", "price_12h", PRICE_X))
 
 
 def _prepared(spark, sf_dir, n_series=1):
@@ -37,13 +38,9 @@ def _test_metrics(model, test, label, name):
         "target", F.lit(label))
 
 
-def _run_parallel(tasks, parallelism: int = 8):
-    """Run independent fits as concurrent Spark jobs (as CrossValidator's
-    ``parallelism`` does); each task returns a small list of metric rows."""
-    from concurrent.futures import ThreadPoolExecutor
-    with ThreadPoolExecutor(max_workers=parallelism) as pool:
-        results = list(pool.map(lambda t: t(), tasks))
-    return [r for rows in results for r in rows]
+def _run_parallel(tasks):
+    """Independent fits as concurrent jobs; each task returns a small list of metric rows."""
+    return [r for rows in ml.run_parallel(tasks) for r in rows]
 
 
 def _metric_rows(model, test, label, name, **extra):
@@ -79,12 +76,16 @@ def q_pca(spark, sf_dir):
 
 @register("m9_bayesian_ridge")
 def q_bayesian_ridge(spark, sf_dir):
-    """M9: Bayesian ridge coefficients (evidence maximisation on one Gram aggregation)."""
+    """M9: Bayesian ridge of both targets (evidence maximisation on one Gram
+    aggregation each); precisions and test-split metrics."""
     sp = _prepared(spark, sf_dir)
     train, test = _split(sp)
-    m = ml.bayesian_ridge(train, "demand_12h", DEMAND_X)
-    met = ml.regression_metrics(ml.linear_predict(test, m), "demand_12h", "prediction")
-    return met.withColumn("alpha", F.lit(m["alpha"])).withColumn("lambda", F.lit(m["lambda"]))
+
+    def task(label, feats):
+        m = ml.bayesian_ridge(train, label, feats)
+        row = ml.regression_metrics(ml.linear_predict(test, m), label, "prediction").first().asDict()
+        return [row | {"target": label, "alpha": m["alpha"], "lambda": m["lambda"]}]
+    return _rows_df(spark, _run_parallel([lambda label=label, feats=feats: task(label, feats) for _, label, feats in TARGETS]))
 
 
 @register("m8_m11_m12_regressors")
@@ -117,38 +118,43 @@ def q_gbt(spark, sf_dir):
 
 @register("m12_regularised_forest")
 def q_regularised_forest(spark, sf_dir):
-    """M12 regularised: depth 10, min 10 rows per leaf, 70 % of features per split."""
+    """M12 regularised, both targets: depth 10, min 10 rows per leaf, 70 % of features per split."""
     sp = _prepared(spark, sf_dir)
     train, test = _split(sp)
-    m = ml.fit_regressor(train, DEMAND_X, "demand_12h", "forest", numTrees=200, maxDepth=10,
-                         minInstancesPerNode=10, featureSubsetStrategy="0.7")
-    return _test_metrics(m, test, "demand_12h", "random_forest_regularised")
+    tasks = [lambda label=label, feats=feats: _metric_rows(
+        ml.fit_regressor(train, feats, label, "forest", numTrees=200, maxDepth=10, minInstancesPerNode=10,
+                         featureSubsetStrategy="0.7"), test, label, "random_forest_regularised")
+        for _, label, feats in TARGETS]
+    return _rows_df(spark, _run_parallel(tasks))
 
 
-def _class_frame(spark, sf_dir):
-    sp = _prepared(spark, sf_dir)
-    th = scalars(quantile_row(sp.where(F.col("split") == "train"), {"t1": ("demand_12h", 0.33), "t2": ("demand_12h", 0.66)}))
-    return sp.withColumn("demand_class", col.three_class("demand_12h", th["t1"], th["t2"])) \
-             .withColumn("label", col.class_code("demand_class").cast("double"))
+def _with_classes(df, train):
+    """Three-way classes (T2: bounds of the training split) of both targets, as
+    text and as the codes ``demand_label`` / ``price_label``."""
+    th = quantile_row(train, {f"{name}_{n}": (label, p) for name, label, _ in TARGETS
+                              for n, p in (("low", 0.33), ("high", 0.66))}).first().asDict()   # four numbers
+    for name, label, _ in TARGETS:
+        df = df.withColumn(f"{name}_class", col.three_class(label, F.lit(th[f"{name}_low"]), F.lit(th[f"{name}_high"])))
+        df = df.withColumn(f"{name}_label", col.class_code(f"{name}_class").cast("double"))
+    return df, th
 
 
 @register("m14_m16_classifiers")
 def q_classifiers(spark, sf_dir):
-    """M14 random forest (300 trees, depth 18), M15 one-vs-rest boosted
-    trees, M16 multilayer perceptron 128/64/32 on the demand classes;
-    accuracy and macro F1 on the test split."""
-    d = _class_frame(spark, sf_dir)
+    """M14 random forest (300 trees, depth 18), M15 one-vs-rest boosted trees
+    (300 rounds, depth 6, step 0.05), M16 multilayer perceptron 128/64/32 on the
+    classes of both targets; accuracy and macro F1 on the test split."""
+    sp = _prepared(spark, sf_dir)
+    d, _ = _with_classes(sp, _split(sp)[0])
     train, test = _split(d)
 
-    def task(name, kind, kw):
-        m = ml.fit_classifier(train, DEMAND_X, "label", kind, **kw)
-        row = ml.classification_summary(m.transform(test), "label", "prediction").first().asDict()
-        row["model"] = name
-        return [row]
-    specs = (("random_forest", "forest", {"numTrees": 300, "maxDepth": 18}),
-             ("gbt_one_vs_rest", "gbt_ovr", {"maxIter": 50, "maxDepth": 5}),
-             ("mlp", "mlp", {"maxIter": 200}))
-    return _rows_df(spark, _run_parallel([lambda s=s_: task(*s) for s_ in specs]))
+    def task(target, feats, name, kind, kw):
+        m = ml.fit_classifier(train, feats, f"{target}_label", kind, **kw)
+        row = ml.classification_summary(m.transform(test), f"{target}_label", "prediction").first().asDict()
+        return [row | {"model": name, "target": target}]
+    specs = (("gbt_one_vs_rest", "gbt_ovr", {"maxIter": 300, "maxDepth": 6, "stepSize": 0.05}),
+             ("random_forest", "forest", {"numTrees": 300, "maxDepth": 18}), ("mlp", "mlp", {"maxIter": 200}))
+    return _rows_df(spark, _run_parallel([lambda t=t, x=x, s=s: task(t, x, *s) for s in specs for t, _, x in TARGETS]))
 
 
 @register("m18_time_series_folds", FEATURES_SQL.replace(GRID_SQL, GRID1_SQL) + f"""
@@ -193,11 +199,14 @@ def q_binary_classifiers(spark, sf_dir):
     sp = _prepared(spark, sf_dir)
     d = median_split(sp, "demand_12h", "y_bin").withColumn("label", F.col("y_bin").cast("double"))
     train, test = _split(d)
-    out = []
-    for name, kind in (("random_forest", "forest"), ("gbt", "gbt")):
-        m = ml.fit_classifier(train, DEMAND_X, "label", kind, numTrees=100, maxDepth=8, maxIter=50)
-        out.append(ml.classification_summary(m.transform(test), "label", "prediction").withColumn("model", F.lit(name)))
-    return _union(out)
+
+    def task(name, kind, kw):
+        m = ml.fit_classifier(train, DEMAND_X, "label", kind, **kw)
+        return [ml.classification_summary(m.transform(test), "label", "prediction").first().asDict() | {"model": name}]
+    # library defaults: 100 trees of unlimited depth (30 is Spark's limit); 100 rounds, depth 6, step 0.3
+    specs = (("gbt", "gbt", {"maxIter": 100, "maxDepth": 6, "stepSize": 0.3}),
+             ("random_forest", "forest", {"numTrees": 100, "maxDepth": 30}))
+    return _rows_df(spark, _run_parallel([lambda s=s: task(*s) for s in specs]))
 
 
 CLUSTER_X = ["hour_sin", "hour_cos", "demand_lag_1h", "demand_lag_12h", "price_lag_1h", "price_lag_12h", "renewable_pct"]
@@ -257,32 +266,40 @@ def q_pca_map(spark, sf_dir):
 
 @register("m25_m26_batch_scoring")
 def q_batch_scoring(spark, sf_dir):
-    """M25 + M26: fit linear regressors and a forest classifier on the feature
-    table, then score every request row (features from M3) in one batch:
-    rounded demand/price predictions and the demand class."""
+    """M25 + M26: linear regressors and forest classifiers (300 trees, depth 18)
+    of both targets, fitted on the training split, score every request row
+    (features from M3) in one batch; the class thresholds are echoed."""
     from ..plans.requests import request_features
+    from ..session import cut_lineage
     sp = _prepared(spark, sf_dir)
-    train, _ = _split(sp)
+    d, th = _with_classes(sp, _split(sp)[0])
+    train, _ = _split(d)
     feats = ["hour_sin", "hour_cos", "is_weekend", "day_of_week", "demand_lag_1h", "demand_lag_24h",
              "price_lag_1h", "price_lag_24h", "renewable", "fossil", "nuclear", "renewable_pct",
              "demand_avg_24h", "price_avg_24h"]
-    md = ml.fit_regressor(train, feats, "demand_12h", "linear")
-    mp = ml.fit_regressor(train, feats, "price_12h", "linear")
-    th = scalars(quantile_row(train, {"t1": ("demand_12h", 0.33), "t2": ("demand_12h", 0.66)}))
-    req = request_features(src.requests_from_events(spark, sf_dir, n_series=1), src.grid_hourly(spark, sf_dir, n_series=1))
-    scored = md.transform(req).withColumnRenamed("prediction", "pred_demand").drop("features")
-    scored = mp.transform(scored).withColumnRenamed("prediction", "pred_price").drop("features")
-    return scored.select("request_id", F.bround("pred_demand", 1).alias("predicted_demand_12h"),
-                         F.bround("pred_price", 2).alias("predicted_price_12h"),
-                         col.three_class("pred_demand", th["t1"], th["t2"]).alias("demand_class"),
-                         th["t1"].alias("threshold_low"), th["t2"].alias("threshold_high"))
+    models = ml.run_parallel(
+        [lambda y=y: ml.fit_regressor(train, feats, y, "linear") for _, y, _ in TARGETS]
+        + [lambda t=t: ml.fit_classifier(train, feats, f"{t}_label", "forest") for t, _, _ in TARGETS])
+    req = request_features(src.requests_from_events(spark, sf_dir, n_series=1),
+                           cut_lineage(src.grid_hourly(spark, sf_dir, n_series=1)))
+    scored = req.fillna(0.0, feats)                                  # P17: a null input is 0.0
+    for model, out in zip(models, ("y_demand", "y_price", "c_demand", "c_price")):
+        scored = model.transform(scored).withColumnRenamed("prediction", out).drop(
+            "features", "scaled", "rawPrediction", "probability")
+    return scored.select("request_id", F.bround("y_demand", 1).alias("predicted_demand_12h"),
+                         F.bround("y_price", 2).alias("predicted_price_12h"),
+                         col.class_label(F.col("c_demand").cast("int")).alias("demand_class"),
+                         col.class_label(F.col("c_price").cast("int")).alias("price_class"),
+                         *[F.lit(v).alias(f"{k}_threshold") for k, v in th.items()])
 
 
 @register("m31_train_test_check")
 def q_train_test_check(spark, sf_dir):
-    """Random forest (100 trees) on the 80/20 split; R2, MAE, RMSE and pass if R2 > 0."""
+    """Random forest (100 trees, Spark's greatest depth 30) of both targets
+    on the 80/20 split; R2, MAE, RMSE and pass if R2 > 0."""
     sp = _prepared(spark, sf_dir)
     train, test = _split(sp)
-    m = ml.fit_regressor(train, PRICE_X, "price_12h", "forest", numTrees=100, maxDepth=10)
-    met = _test_metrics(m, test, "price_12h", "random_forest")
-    return met.withColumn("passed", F.col("r2") > 0)
+    tasks = [lambda label=label, feats=feats: _metric_rows(
+        ml.fit_regressor(train, feats, label, "forest", numTrees=100, maxDepth=30), test, label, "random_forest")
+        for _, label, feats in TARGETS]
+    return _rows_df(spark, _run_parallel(tasks)).withColumn("passed", F.col("r2") > 0)
