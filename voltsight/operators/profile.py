@@ -16,6 +16,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..functions.columns import with_generation_groups
 from ..session import cut_lineage
 from . import windows as win
 
@@ -148,6 +149,13 @@ def column_checks(df: DataFrame, cols) -> DataFrame:
     return out.select("column_name", (F.col("n_values") == 0).alias("all_null"), (F.col("single") == 1).alias("low_variance"))
 
 
+def integrity_verdict(findings: DataFrame) -> DataFrame:
+    """``n_issues, n_warnings, passed`` (no issue); a strict run stops
+    where ``passed`` is false, any other goes on."""
+    issues, warnings = (F.count_if(F.col("severity") == x) for x in ("issue", "warning"))
+    return findings.agg(issues.alias("n_issues"), warnings.alias("n_warnings"), (issues == 0).alias("passed"))
+
+
 def integrity_findings(df: DataFrame, target: str) -> DataFrame:
     """Issues and warnings of the integrity check as rows.
 
@@ -307,6 +315,19 @@ def median_split(df: DataFrame, x: str, out: str, keys=()) -> DataFrame:
     return d.withColumn(out, (F.col(x) > F.col("_med")).cast("int")).drop("_med")
 
 
+def generation_breakdown(df: DataFrame, keys, groups, other=()) -> DataFrame:
+    """Sums per generation group, the rest (``other``), their total and the
+    renewable share rounded half to even to one digit; nulls count as zero."""
+    d = with_generation_groups(df, groups)
+    rest = F.lit(0.0)
+    for c in other:
+        rest = rest + F.coalesce(F.col(c).cast("double"), F.lit(0.0))
+    total = F.col("renewable") + F.col("fossil") + F.col("nuclear") + rest
+    share = F.when(total > 0, F.col("renewable") / total * 100.0).otherwise(F.lit(0.0))
+    return d.select(*keys, "renewable", "fossil", "nuclear", rest.alias("other"), total.alias("total"),
+                    F.bround(share, 1).alias("renewable_share"))
+
+
 def generation_mix(df: DataFrame, keys, sources) -> DataFrame:
     """Negatives clamped to 0, share of each source in the row total
     (row-local: the total is a column expression, no shuffle)."""

@@ -111,3 +111,39 @@ def q_regime_labels(spark, sf_dir):
     g = src.grid_hourly(spark, sf_dir)
     q = exact_quantiles(g, "load", [.33, .66], ["series_id"])
     return g.join(q, "series_id").select("series_id", "ts", col.regime_label("load", F.col("q33"), F.col("q66")).alias("regime"))
+
+
+@register("s2_coerced_parse", f"""
+WITH g AS ({GRID_SQL.replace("CAST(user_id % 8 AS BIGINT)", "CAST(user_id % 1 AS BIGINT)")})
+SELECT CASE WHEN hour(ts) % 5 <> 0 THEN {ts_text('ts')} END AS ts, {R('load')} AS load FROM g
+""")
+def q_coerced_parse(spark, sf_dir):
+    """S2 coercing: every fifth hour's time is not a time in the file and comes back as null."""
+    import os
+    from ..sources.tables import read_energy_csv
+    from ..streaming.jobs import run_dir
+    g = src.grid_hourly(spark, sf_dir, n_series=1)
+    time = F.when(F.hour("ts") % 5 == 0, F.lit("not a time")).otherwise(F.date_format("ts", "yyyy-MM-dd HH:mm:ss'+00:00'"))
+    path = os.path.join(run_dir(spark, "coerced-csv"), "energy")
+    g.select(time.alias("time"), F.col("load").alias("total load actual")).write.mode("overwrite").option("header", True).csv(path)
+    df = read_energy_csv(spark, path, columns=["time", "total load actual"], coerce=True)
+    return df.select("ts", F.col("total load actual").alias("load"))
+
+
+@register("f14_clean_rule_text", """
+SELECT o_orderkey, o_orderpriority || ', ' || o_orderstatus || ', ' || o_orderpriority AS cleaned FROM orders
+""")
+def q_clean_rule_text(spark, sf_dir):
+    """pipes and line ends become commas, parts are trimmed, blanks dropped, order and repeats kept."""
+    o = src.read_table(spark, sf_dir, "orders").select("o_orderkey", "o_orderpriority", "o_orderstatus")
+    raw = F.concat(F.lit(" "), "o_orderpriority", F.lit(" | "), "o_orderstatus", F.lit("\n |"), "o_orderpriority", F.lit(" "))
+    return o.select("o_orderkey", col.clean_rule_text(raw).alias("cleaned"))
+
+
+@register("p4_drop_degenerate", f"""
+SELECT o_orderkey, {R('o_totalprice')} AS o_totalprice FROM orders
+""")
+def q_drop_degenerate(spark, sf_dir):
+    """An all-zero and a constant column are dropped."""
+    o = src.read_table(spark, sf_dir, "orders").select("o_orderkey", "o_totalprice")
+    return fe.drop_degenerate(o.withColumns({"zeros": F.col("o_orderkey") * 0, "constant": F.col("o_orderkey") * 0 + 7}))

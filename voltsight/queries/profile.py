@@ -2,6 +2,7 @@
 
 from pyspark.sql import functions as F
 
+from .. import config as C
 from ..catalog import FEATURE_COLS_DOUBLE, FEATURE_COLS_INT, FEATURES_SQL, GRID_SQL, GRID1_SQL, R, register, ts_text
 from ..operators import profile as pr
 from ..operators import windows as win
@@ -341,7 +342,21 @@ def q_generation_mix(spark, sf_dir):
     return pr.generation_mix(_grid(spark, sf_dir), ["series_id", "ts"], ["solar", "wind", "gas", "coal", "nuclear"])
 
 
-@register("m34_integrity", f"""
+@register("p18_generation_breakdown", f"""
+WITH g AS ({GRID_SQL}),
+b AS (SELECT series_id, ts, coalesce(solar, 0) + coalesce(wind, 0) AS renewable, coalesce(gas, 0) + coalesce(coal, 0) AS fossil,
+             coalesce(nuclear, 0) AS nuclear FROM g),
+t AS (SELECT *, renewable + fossil + nuclear AS total FROM b)
+SELECT series_id, {ts_text('ts')} AS ts, {R('renewable')} AS renewable, {R('fossil')} AS fossil, {R('nuclear')} AS nuclear,
+       CAST(0 AS DOUBLE) AS other, {R('total')} AS total,
+       round_even(CASE WHEN total > 0 THEN renewable / total * 100.0 ELSE 0 END, 1) AS renewable_share FROM t
+""")
+def q_generation_breakdown(spark, sf_dir):
+    """Generation by group per hour with the rounded renewable share."""
+    return pr.generation_breakdown(_grid(spark, sf_dir), ["series_id", "ts"], C.GRID_GROUPS)
+
+
+_INTEGRITY_SQL = f"""
 WITH g AS ({GRID_SQL}),
 nr AS ({' UNION ALL '.join(f"SELECT '{c}' AS column_name, avg(CAST({c} IS NULL AS DOUBLE)) AS r FROM g" for c in ("series_id", "ts") + GRID_MEASURES)}),
 cc AS ({' UNION ALL '.join(f"SELECT '{c}' AS column_name, count({c}) AS n, count(DISTINCT {c}) AS d FROM g" for c in ("series_id",) + GRID_MEASURES)}),
@@ -358,7 +373,25 @@ UNION ALL SELECT CASE WHEN n = 0 THEN 'issue' ELSE 'warning' END, CASE WHEN n =
        column_name, CASE WHEN n = 0 THEN printf('Column ''%s'' is entirely null', column_name)
                          ELSE printf('Column ''%s'' has only one unique value (low variance)', column_name) END
 FROM cc WHERE n = 0 OR d <= 1
+"""
+
+
+@register("m34_integrity_verdict", f"""
+SELECT 'price' AS target, count(*) FILTER (severity = 'issue') AS n_issues, count(*) FILTER (severity = 'warning') AS n_warnings,
+       count_if(severity = 'issue') = 0 AS passed FROM ({_INTEGRITY_SQL})
+UNION ALL
+SELECT 'load', count(*) FILTER (severity = 'issue'), count(*) FILTER (severity = 'warning'), count_if(severity = 'issue') = 0
+FROM ({_INTEGRITY_SQL.replace("count(price) AS n, stddev_samp(price) AS sd, count_if(price < 0)",
+                              "count(load) AS n, stddev_samp(load) AS sd, count_if(load < 0)")})
 """)
+def q_integrity_verdict(spark, sf_dir):
+    """Issues, warnings and the verdict for both targets."""
+    g = _grid(spark, sf_dir)
+    return pr.integrity_verdict(pr.integrity_findings(g, "price")).withColumn("target", F.lit("price")).unionByName(
+        pr.integrity_verdict(pr.integrity_findings(g, "load")).withColumn("target", F.lit("load")))
+
+
+@register("m34_integrity", _INTEGRITY_SQL)
 def q_integrity(spark, sf_dir):
     """Data-integrity findings (null ratios, duplicates, target and column checks)."""
     return pr.integrity_findings(_grid(spark, sf_dir), "price")
