@@ -37,10 +37,11 @@ def run_training_job(spark: SparkSession, sf_dir: str, out_dir: str):
         m = ml.fit_regressor(tr, feats, "demand_12h", kind, **kw)
         if i == 4:                                           # the fold with the longest history
             art.save_model(m, os.path.join(out_dir, f"regressor_{name}"))               # S8
-        return name, float(ml.regression_metrics(m.transform(te), "demand_12h", "prediction").first()["mae"])
+        return name, ml.regression_metrics(m.transform(te), "demand_12h", "prediction").first()["mae"]
 
     maes = ml.run_parallel([lambda n=n, i=i: cv(n, i) for i in reversed(range(5)) for n in kinds])
-    rows = [(f"cv_mae_{n}", sum(v for k, v in maes if k == n) / 5) for n in kinds]
+    scored = {n: [v for k, v in maes if k == n and v is not None] for n in kinds}      # a fold may hold no complete row
+    rows = [(f"cv_mae_{n}", sum(v) / len(v) if v else None) for n, v in scored.items()]
     split = ml.chrono_split_label(data, ["series_id"], "ts")
     lab = cut_lineage(pr.median_split(split, "demand_12h", "label").withColumn("label", F.col("label").cast("double")))
     train = lab.where(F.col("split") == "train")
@@ -50,7 +51,7 @@ def run_training_job(spark: SparkSession, sf_dir: str, out_dir: str):
         kind, kw = kinds[name]
         m = ml.fit_classifier(train, feats, "label", kind, **kw)
         art.save_model(m, os.path.join(out_dir, f"classifier_{name}"))
-        return f"accuracy_{name}", float(ml.classification_summary(m.transform(test), "label", "prediction").first()["accuracy"])
+        return f"accuracy_{name}", ml.classification_summary(m.transform(test), "label", "prediction").first()["accuracy"]
 
     rows += ml.run_parallel([lambda n=n: classify(n) for n in kinds])
     sc = ml.standard_scaler(data, feats)                                                # M22
