@@ -246,6 +246,27 @@ def test_frequent_long_lines_keep_their_first_place_only(spark):
     assert [got[i].deleted for i in range(40)] == [""] + ["1"] * 39
 
 
+def test_repeated_and_reordered_frequent_passages_equal_brute_force(spark):
+    rng = random.Random(14)
+    passages = ["\n".join(" ".join(f"p{i}{n}w{j}" for j in range(rng.choice([4, 7, 12]))) for n in range(3)) for i in range(4)]
+    p1, p2 = passages[:2]
+    fixed = [f"{p1}\n{p2}"] + [f"x{i}\n{p2}\n{p1}\ny{i}" for i in range(10)]
+    twice = [f"{p1}\ngap\n{p1}"] + [f"x{i}\n{p1}\ny{i}" for i in range(10)]
+    mixed = ["\n".join(rng.choice(passages + [f"own {i} {rng.random()}"]) for _ in range(rng.randint(1, 6))) for i in range(120)]
+    for texts in (fixed, twice, mixed):
+        got = by_id(linedup.deduplicated(docs_of(spark, texts)))
+        for i, t in enumerate(texts):
+            own, cut = t.split("\n"), set()
+            words = [len(x.split()) for x in own]
+            if t in texts[:i]:
+                cut = set(range(len(own))) if sum(words) >= linedup.MIN_WORDS else set()
+            else:
+                for u in texts[:i]:
+                    cut |= set(linedup.common_blocks(own, u.split("\n"), words))
+            assert got[i].deleted == ",".join(map(str, sorted(cut))), i
+    assert [r.n_deleted for r in sorted(by_id(linedup.deduplicated(docs_of(spark, fixed))).values())][1:] == [3] + [6] * 9
+
+
 def test_line_runs_cover_every_block():
     rng = random.Random(9)
     for _ in range(200):

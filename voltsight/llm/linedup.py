@@ -5,12 +5,17 @@ Documents that can share a block are found by line hashes.  A block needs
 lines that reach them - a line that is long enough by itself, or a short line
 with those after it or those before it.  Every line with words of a common
 block lies in such a run within that block.  A rare run (in at most ``RARE``
-distinct texts) links each text with every earlier one that has it; a frequent
-run links each text with the earliest one, which holds those lines as well, so
-links grow with occurrences, not with their square, and no run is left out.  Linked texts are
-aligned by patience diff (common head and tail, then lines unique on both
+distinct texts) links each text with every earlier one that has it.  A frequent
+run links each text with the earliest one; where that alignment leaves a line of
+the run, with the earliest of the texts left; and where that one leaves it too,
+with growing batches of all earlier texts that have the run, until the run is
+deleted or no such text is left.  Lines with words are thus deleted as if all pairs
+were aligned, while links grow with occurrences as long as the first texts align;
+a run that never aligns (twice in every text, say) costs all its pairs.  Linked
+texts are aligned by patience diff (common head and tail, then lines unique on both
 sides, longest increasing subsequence, and the gaps between), and an aligned
-common block of at least ``MIN_WORDS`` words is deleted from the later text.
+common block of at least ``MIN_WORDS`` words is deleted from the later text (a line
+without words at the edge of a block can stay if its neighbours went before).
 The first text that has a line never loses it to a later one.  Exact copies are
 one class: a later copy of a text is one common block with the first.
 
@@ -32,7 +37,7 @@ from pyspark.sql import functions as F
 
 from .common import SpanHasher, materialised, runs, same, text_key, utf8_chunks
 
-RARE, MIN_WORDS = 8, 10
+RARE, MIN_WORDS, GROWTH = 8, 10, 8
 
 
 def line_runs(words: np.ndarray, bounds: np.ndarray, least: int) -> tuple[np.ndarray, np.ndarray]:
@@ -143,29 +148,41 @@ def common_blocks(later: list, earlier: list, words: list[int], least: int = MIN
     return out
 
 
-def _links(classes: DataFrame, rare: int) -> DataFrame:
-    """``later, earlier``: keys of distinct texts to align."""
+def _keys(links: DataFrame) -> DataFrame:
+    return links.distinct().select(F.col("later.key").alias("later"), F.col("earlier.key").alias("earlier"))
+
+
+def _shared(classes: DataFrame) -> DataFrame:
+    """``run, rank, df, first``: runs of lines of more than one distinct text."""
     seen = classes.select("rank", F.explode(F.array_distinct("runs")).alias("run"))
     lines = seen.groupBy("run").agg(F.count("*").alias("df"), F.min("rank").alias("first")).where("df > 1")
-    shared = materialised(seen.join(lines, "run"))
+    return materialised(seen.join(lines, "run"))
+
+
+def _links(shared: DataFrame, rare: int) -> DataFrame:
+    """``later, earlier``: keys of distinct texts to align first."""
     frequent = shared.where((F.col("df") > rare) & (F.col("rank") != F.col("first"))).select(
         F.col("rank").alias("later"), F.col("first").alias("earlier"))
     few = shared.where(F.col("df") <= rare).groupBy("run").agg(F.collect_list("rank").alias("ranks"))   # at most `rare`
     few = few.select(F.explode("ranks").alias("later"), "ranks").select("later", F.explode("ranks").alias("earlier")).where(
         F.col("later") > F.col("earlier"))
-    return frequent.union(few).distinct().select(F.col("later.key").alias("later"), F.col("earlier.key").alias("earlier"))
+    return _keys(frequent.union(few))
 
 
-def deletions(docs: DataFrame, min_words: int = MIN_WORDS, rare: int = RARE) -> DataFrame:
-    """``key, lines``: lines to delete of each distinct text that loses any, and
-    ``copies_lose``: whether later exact copies lose everything; ``first`` is
-    the id of the row that is not a later copy."""
-    seqs = materialised(line_sequences(docs, min_words))
-    classes = seqs.groupBy("key").agg(F.min(F.struct(F.col("doc_id").isNull().alias("n"), "doc_id")).alias("first"),
-                                      F.first("hashes").alias("hashes"), F.first("words").alias("words"),
-                                      F.first("runs").alias("runs"))
-    classes = materialised(classes.withColumn("rank", F.struct(F.col("first.n").alias("n"), F.col("first.doc_id").alias("id"), "key")))
-    pairs = _links(classes, rare)
+def _further(left: DataFrame, frequent: DataFrame, turn: int) -> DataFrame:
+    """Links of the ``run, rank`` that are left: in turn 1 with the earliest of them,
+    then with one batch of the texts that have the run; every text is in one batch."""
+    if turn == 1:
+        partners = left.groupBy("run").agg(F.min("rank").alias("earlier"))
+    else:
+        place = F.col("df") * (F.pmod(F.xxhash64("run", "rank.key"), F.lit(1 << 30)) + 1) / (1 << 30)
+        batch = F.greatest(F.lit(2), F.floor(F.log(place) / F.log(F.lit(GROWTH))) + 1)
+        partners = frequent.where(batch == turn).select("run", F.col("rank").alias("earlier"))
+    return _keys(left.select("run", F.col("rank").alias("later")).join(partners, "run").where("later > earlier").select("later", "earlier"))
+
+
+def _aligned(pairs: DataFrame, classes: DataFrame, min_words: int) -> DataFrame:
+    """``key, lines``: lines that the later text of each pair loses, if any."""
     side = classes.select("key", "hashes", "words")
     both = pairs.join(side.select(F.col("key").alias("later"), F.col("hashes").alias("l"), "words"), "later").join(
         side.select(F.col("key").alias("earlier"), F.col("hashes").alias("e")), "earlier").select("later", "l", "words", "e")
@@ -180,10 +197,56 @@ def deletions(docs: DataFrame, min_words: int = MIN_WORDS, rare: int = RARE) ->
             yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(at, pa.int64())), pa.array(lines, pa.list_(pa.int32()))],
                                              ["key", "lines"])
 
-    found = both.mapInArrow(run, "key struct<a:bigint,b:bigint>, lines array<int>").groupBy("key").agg(
-        F.array_sort(F.array_distinct(F.flatten(F.collect_list("lines")))).alias("lines"))
+    return both.mapInArrow(run, "key struct<a:bigint,b:bigint>, lines array<int>")
+
+
+def _per_text(found: DataFrame) -> DataFrame:
+    return found.groupBy("key").agg(F.array_sort(F.array_distinct(F.flatten(F.collect_list("lines")))).alias("lines"))
+
+
+def _left(open_: DataFrame, found: DataFrame, classes: DataFrame, min_words: int) -> DataFrame:
+    """The ``run, rank`` of ``open_`` with a line that has words and isn't deleted."""
+
+    @F.arrow_udf("array<bigint>")
+    def kept(asked: pa.Array, runs_: pa.Array, words: pa.Array, lines: pa.Array) -> pa.Array:
+        out = []
+        for q, r, w, gone in zip(asked, runs_, words, lines):
+            w = w.values.to_numpy(zero_copy_only=False)
+            begin, end = line_runs(w, np.array([0, len(w)]), min_words)
+            stay = w > 0
+            stay[np.array(gone.as_py() or [], np.int64)] = False
+            total = np.concatenate([[0], np.cumsum(stay)])
+            keep = r.values.to_numpy(zero_copy_only=False)[total[end] > total[begin]]
+            asked_ = q.values.to_numpy(zero_copy_only=False)
+            out.append(asked_[np.isin(asked_, keep)])
+        return pa.array(out, pa.list_(pa.int64()))
+
+    asked = open_.groupBy("rank").agg(F.collect_list("run").alias("asked")).withColumn("key", F.col("rank.key"))   # of one text
+    texts = asked.join(classes.select("key", "runs", "words"), "key").join(_per_text(found), "key", "left")
+    return materialised(texts.select("rank", F.explode(kept("asked", "runs", "words", "lines")).alias("run")))
+
+
+def deletions(docs: DataFrame, min_words: int = MIN_WORDS, rare: int = RARE) -> DataFrame:
+    """``key, lines``: lines to delete of each distinct text that loses any, and
+    ``copies_lose``: whether later exact copies lose everything; ``first`` is
+    the id of the row that is not a later copy."""
+    seqs = materialised(line_sequences(docs, min_words))
+    classes = seqs.groupBy("key").agg(F.min(F.struct(F.col("doc_id").isNull().alias("n"), "doc_id")).alias("first"),
+                                      F.first("hashes").alias("hashes"), F.first("words").alias("words"),
+                                      F.first("runs").alias("runs"))
+    classes = materialised(classes.withColumn("rank", F.struct(F.col("first.n").alias("n"), F.col("first.doc_id").alias("id"), "key")))
+    shared = _shared(classes)
+    found = materialised(_aligned(_links(shared, rare), classes, min_words))
+    frequent = shared.where(F.col("df") > rare)
+    most = frequent.agg(F.max("df")).first()[0] or 0
+    left, turn = frequent.where(F.col("rank") != F.col("first")).select("rank", "run"), 0
+    while most:
+        left, turn = _left(left, found, classes, min_words), turn + 1
+        if left.isEmpty() or turn > 2 and GROWTH ** (turn - 1) > most:     # no batch is left
+            break
+        found = found.union(materialised(_aligned(_further(left, frequent, turn), classes, min_words)))
     copied = F.aggregate("words", F.lit(0).cast("bigint"), lambda s, w: s + w) >= min_words
-    return classes.select("key", F.col("first.doc_id").alias("first"), copied.alias("copies_lose")).join(found, "key", "left")
+    return classes.select("key", F.col("first.doc_id").alias("first"), copied.alias("copies_lose")).join(_per_text(found), "key", "left")
 
 
 def deduplicated(docs: DataFrame, min_words: int = MIN_WORDS, rare: int = RARE) -> DataFrame:
