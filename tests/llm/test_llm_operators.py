@@ -401,6 +401,38 @@ def test_loopy_messages_reach_a_distant_repeat():
     assert with_links[1].argmax() == pii.LABELS.index("phone") and without[1].argmax() == 0
 
 
+def _graph(text):
+    data = np.frombuffer(text.encode(), np.uint8)
+    return pii.Graph(pa.array([text]), 0, data, np.array([0, len(data)]))
+
+
+def test_every_repeat_of_a_long_document_gets_the_label():
+    n = len(pii.LABELS)
+    label = np.array([[900.0, 50, 50, 50, 50]])
+    field = pii.Field(np.ones((pii._FIRST[-1], n)) * 10, np.ones((n, n)) * 2, np.eye(n) * 500, label)
+    for before, after in ((0, 50), (50, 0), (25, 25)):
+        g = _graph("12345550101 is said; " * before + "call +1-234-555-0101 now" + " or 12345550101 later" * after)
+        assert len(g.skip) == 50 and g.label.sum() == pii.LABELS.index("phone")
+        assert (field.beliefs(g)[:, pii.LABELS.index("phone")] >= pii.BELIEF).all()
+
+
+def test_messages_settle_along_a_chain():
+    """A chain has an exact answer: forward and backward sums."""
+    n, rng = len(pii.LABELS), np.random.default_rng(3)
+    field = pii.Field(rng.random((pii._FIRST[-1], n)) * 50, np.eye(n) * 300 + 1, np.eye(n), np.ones((1, n)) * 50)
+    g = _graph("+1-234-555-0101 " + " ".join(f"x{i}" for i in range(10, 50)))
+    assert len(g.row) == 41 and len(g.chain) == 40 and not len(g.skip)
+    score = field.prior + field.unary[g.features].sum(1)
+    score[0] = np.where(np.arange(n) == g.label[0], 0, -np.inf)
+    forward, backward = [score[0]], [np.zeros(n)]
+    for i in range(1, 41):
+        forward.append(score[i] + np.logaddexp.reduce(forward[-1][:, None] + field.chain, axis=0))
+        backward.append(np.logaddexp.reduce((backward[-1] + score[41 - i])[None] + field.chain, axis=1))
+    exact = np.array(forward) + np.array(backward[::-1])
+    exact = np.exp(exact - np.logaddexp.reduce(exact, axis=1)[:, None])
+    assert np.abs(field.beliefs(g) - exact).max() < 1e-2
+
+
 # ---- 9 top-k ----------------------------------------------------------------------------------
 
 @pytest.mark.parametrize("block", [4096, 4])

@@ -3,8 +3,7 @@
 The field's nodes are the tokens (non-blank runs) that hold a digit or an ``@``;
 all other tokens are ``O`` by definition and cut the chain.  Its labels are
 ``O`` and the kinds of the base patterns.  Adjacent nodes share a chain
-potential; a node and the next node of the same document with the same key
-share a skip potential.  The key is what near-repeats have in common: the part
+potential; nodes of the same document with the same key share skip potentials.  The key is what near-repeats have in common: the part
 before ``@``, the digits of a token with at least ``MIN_DIGITS`` of them, or the
 folded token.  The factors are trained piecewise (each from its own counts of
 features and labels, tokens in base spans being labelled by their kind) over
@@ -13,8 +12,12 @@ document.  Nodes in base spans are observed.  Another node whose belief in a
 kind reaches ``BELIEF`` is an added span of that kind, so a number that occurs
 once in full and again without its prefix gets one label.
 
-Links go to the next node with the key only, so a token repeated m times costs
-m links, not all pairs.  Defined results: a null text counts as empty; with no
+A node is linked with the nearest observed node of its key before it, or else with
+the first observed one, or else with the first node, so a token repeated m times
+costs m links, not all pairs, and however long a document is, each repeat is one
+link from an observed mention.  Messages are passed until those of a document
+change by less than ``TOLERANCE``; where they swing, the step is halved every
+``PATIENCE`` rounds, so that they come to rest.  Defined results: a null text counts as empty; with no
 base span anywhere no potential favours a kind and nothing is added; repeated
 rows get equal results.
 """
@@ -39,7 +42,7 @@ IP = re.compile(r"(?<![0-9])([0-9]++)\.([0-9]++)\.([0-9]++)\.([0-9]++)")
 CARD = re.compile(r"[0-9](?:[ -]?[0-9])+")
 PHONE = re.compile(r"\+[0-9][ ().0-9-]+[0-9]")
 
-MIN_DIGITS, MIN_KEY, BELIEF, ROUNDS, SMOOTHING, OBSERVED = 7, 6, 0.9, 8, 0.5, 30.0
+MIN_DIGITS, MIN_KEY, BELIEF, SMOOTHING, TOLERANCE, PATIENCE = 7, 6, 0.9, 0.5, 1e-4, 100
 
 
 def luhn(digits: str) -> bool:
@@ -130,7 +133,7 @@ class Graph:
             for s, e, kind in spans:
                 inside = (self.span[own, 0] < e) & (self.span[own, 1] > s)
                 self.label[own][inside] = LABELS.index(kind)
-            last: dict[str, int] = {}
+            held: dict[str, list[int]] = {}
             for j in range(per_row[i], per_row[i + 1]):
                 s, e = self.span[j]
                 token = text[s:e]
@@ -140,9 +143,13 @@ class Graph:
                 self.span[j] = (s + lead, s + lead + len(trimmed))
                 key = _key(token)
                 if key is not None:
-                    if key in last:
-                        skip.append((last[key], j))
-                    last[key] = j
+                    held.setdefault(key, []).append(j)
+            for nodes in held.values():
+                root = hub = next((j for j in nodes if self.label[j]), nodes[0])
+                for j in nodes:
+                    if j != root:
+                        skip.append((hub, j))
+                    hub = j if self.label[j] else hub
         self.skip = np.array(skip, np.int64).reshape(-1, 2)
 
 
@@ -195,20 +202,27 @@ class Field:
         score = self.prior + self.unary[g.features].sum(1)
         score -= score.max(1, keepdims=True) if len(score) else 0
         seen = np.flatnonzero(g.label)
-        score[seen, g.label[seen]] += OBSERVED
+        kind = g.label[seen]
+        score[seen] = -np.inf
+        score[seen, kind] = 0
         links = np.concatenate([g.chain, g.skip])
         source = np.concatenate([links[:, 0], links[:, 1]])
         target = np.concatenate([links[:, 1], links[:, 0]])
         back = np.roll(np.arange(len(source)), len(links))
-        pot = np.concatenate([np.broadcast_to(self.chain, (len(g.chain), n, n)), np.broadcast_to(self.skip, (len(g.skip), n, n))])
-        pot = np.concatenate([pot, pot])
-        message = np.zeros((len(source), n))
-        for _ in range(ROUNDS):
+        factor = np.tile(np.repeat([0, 1], [len(g.chain), len(g.skip)]), 2)
+        both = np.stack([self.chain, self.skip])
+        message, live, step, turn = np.zeros((len(source), n)), np.arange(len(source)), 0.5, 0
+        while len(live):                                 # links of the documents that still change
             total = score.copy()
-            np.add.at(total, target, message)
-            out = total[source] - message[back]
-            new = np.logaddexp.reduce(out[:, :, None] + pot, axis=1)
-            message = 0.5 * message + 0.5 * (new - new.max(1, keepdims=True)) if len(new) else message
+            np.add.at(total, target[live], message[live])
+            out = total[source[live]] - message[back[live]]
+            new = np.logaddexp.reduce(out[:, :, None] + both[factor[live]], axis=1)
+            move = step * (new - new.max(1, keepdims=True) - message[live])
+            message[live] += move
+            most, row = np.zeros(g.row[-1] + 1), g.row[source[live]]
+            np.maximum.at(most, row, np.abs(move).max(1))
+            live, turn = live[most[row] >= TOLERANCE], turn + 1
+            step = step / 2 if turn % PATIENCE == 0 else step
         total = score.copy()
         np.add.at(total, target, message)
         p = np.exp(total - total.max(1, keepdims=True)) if len(total) else total
