@@ -433,6 +433,35 @@ def test_messages_settle_along_a_chain():
     assert np.abs(field.beliefs(g) - exact).max() < 1e-2
 
 
+def test_repeats_in_other_forms_are_added(spark):
+    rng = random.Random(21)
+    word = lambda: "".join(rng.choice("abcdefghij") for _ in range(6))
+    forms = [("+1 {a} 555 {b}", "1 {a} 555 {b}"), ("+1 {a} 555 {b}", "1{a}555{b}"), ("+1-{a}-555-{b}", "{a}-555-{b}"),
+             ("+1 ({a}) 555-{b}", "({a}) 555-{b}"), ("+1-{a}-555-{b}", "0{a}-555-{b}"), ("+1{a}555{b}", "{a} 555 {b}")]
+    texts, want = [], []
+    for i in range(240):
+        a, b = rng.randint(200, 999), rng.randint(1000, 9999)
+        full, bare = (f.format(a=a, b=b) for f in forms[i % len(forms)])
+        order = f"{rng.randint(200, 999)}-777-{rng.randint(1000, 9999)}"        # a number that repeats, but no base span
+        prose = [word() for _ in range(40)]
+        n = 50 if i < 6 else 1 if i % 4 == 0 else 0      # a repeat in few texts
+        texts.append(" ".join(prose[:10] + [full] + prose[10:20] + [order, "and 12 items"] + prose[20:] + [order, "done"]
+                              + [f"{word()} {bare} {word()}"] * n))
+        want.append((n, re.sub("[^0-9]", "", bare)))
+    got = by_id(pii.personal_data(docs_of(spark, texts)))
+    for i, (n, digits) in enumerate(want):
+        spans = [x.split(":") for x in set(got[i].spans.split(",")) - set(got[i].base.split(","))]
+        assert [k for k, _, _ in spans] == ["phone"] * n, (i, texts[i])
+        assert {re.sub("[^0-9]", "", texts[i][int(s):int(e)]) for _, s, e in spans} == ({digits} if n else set())
+
+
+def test_numbers_with_blanks_are_one_node():
+    g = _graph("pay 4111 1111 1111 1111 or, as 4 1111 1111, call +1 234 555 0101 or 7 234 555 0101 and 12 34")
+    assert g.label.tolist() == [pii.LABELS.index("card"), 0, 0, pii.LABELS.index("phone"), 0, 0, 0, 0]
+    assert [tuple(x) for x in g.skip.tolist()] == [(0, 2), (3, 5)]
+    assert _graph("+1 (578) 555-6437 4918187128635271").span.tolist() == [[0, 17], [18, 34]]
+
+
 # ---- 9 top-k ----------------------------------------------------------------------------------
 
 @pytest.mark.parametrize("block", [4096, 4])

@@ -1,30 +1,35 @@
 """Personal data: base patterns and a skip-chain conditional random field.
 
 The field's nodes are the tokens (non-blank runs) that hold a digit or an ``@``;
-all other tokens are ``O`` by definition and cut the chain.  Its labels are
-``O`` and the kinds of the base patterns.  Adjacent nodes share a chain
-potential; nodes of the same document with the same key share skip potentials.  The key is what near-repeats have in common: the part
-before ``@``, the digits of a token with at least ``MIN_DIGITS`` of them, or the
-folded token.  The factors are trained piecewise (each from its own counts of
-features and labels, tokens in base spans being labelled by their kind) over
-all documents; loopy belief propagation in log space then runs over each
-document.  Nodes in base spans are observed.  Another node whose belief in a
-kind reaches ``BELIEF`` is an added span of that kind, so a number that occurs
-once in full and again without its prefix gets one label.
+tokens of one base span are one node, and so are tokens of digits, parted by
+spaces, that together repeat the end of a base span's number or follow a ``+``.  All other tokens
+are ``O`` by definition and cut the chain.  Its labels are ``O`` and the kinds of
+the base patterns.  Adjacent nodes share a chain potential; nodes of the same
+document with the same key share skip potentials.  The key is what near-repeats
+have in common: the part before ``@``, the last ``MIN_DIGITS`` digits of a number
+with at least so many (an address of four numbers stays whole), or the folded
+token.  The factors are trained piecewise (each from its own counts of features
+and labels) over all documents.  There, nodes in base spans have their kind as
+label, and so have nodes linked with one by key: they are not known to be ``O``.
+Loopy belief propagation in log space then runs over each document.  Nodes in
+base spans are observed.  Another node whose belief in a kind reaches ``BELIEF``
+is an added span of that kind, so a number that occurs once in full and again
+without its prefix gets one label.
 
 A node is linked with the nearest observed node of its key before it, or else with
 the first observed one, or else with the first node, so a token repeated m times
 costs m links, not all pairs, and however long a document is, each repeat is one
 link from an observed mention.  Messages are passed until those of a document
 change by less than ``TOLERANCE``; where they swing, the step is halved every
-``PATIENCE`` rounds, so that they come to rest.  Defined results: a null text counts as empty; with no
-base span anywhere no potential favours a kind and nothing is added; repeated
-rows get equal results.
+``PATIENCE`` rounds, so that they come to rest.  Defined results: a null text
+counts as empty; with no base span anywhere no potential favours a kind and
+nothing is added; repeated rows get equal results.
 """
 
 from __future__ import annotations
 
 import re
+from itertools import accumulate
 
 import numpy as np
 import pyarrow as pa
@@ -42,7 +47,7 @@ IP = re.compile(r"(?<![0-9])([0-9]++)\.([0-9]++)\.([0-9]++)\.([0-9]++)")
 CARD = re.compile(r"[0-9](?:[ -]?[0-9])+")
 PHONE = re.compile(r"\+[0-9][ ().0-9-]+[0-9]")
 
-MIN_DIGITS, MIN_KEY, BELIEF, SMOOTHING, TOLERANCE, PATIENCE = 7, 6, 0.9, 0.5, 1e-4, 100
+MIN_DIGITS, MAX_DIGITS, LEAST_PHONE, MOST_PHONE, MIN_KEY, BELIEF, SMOOTHING, TOLERANCE, PATIENCE = 7, 19, 9, 15, 6, 0.9, 0.5, 1e-4, 100
 
 
 def luhn(digits: str) -> bool:
@@ -77,7 +82,7 @@ def base_spans(text: str) -> list[tuple[int, int, str]]:
             out.append((m.start(), m.end(), "card"))
     if "+" in text:
         out += [(m.start(), m.end(), "phone") for m in PHONE.finditer(text)
-                if 9 <= sum(c in "0123456789" for c in m.group()) <= 15]
+                if LEAST_PHONE <= sum(c in "0123456789" for c in m.group()) <= MOST_PHONE]
     return out
 
 
@@ -89,8 +94,16 @@ _FEATURES = (2, 9, 5, 2, 2, 2, 2, 3)                    # number of values of ea
 _FIRST = np.concatenate([[0], np.cumsum(_FEATURES)])
 
 
+_QUAD = re.compile(r"[0-9]{1,3}(?:\.[0-9]{1,3}){3}")
+_NUMBER = re.compile(r"[+().,;:0-9-]*[0-9][+().,;:0-9-]*")
+
+
+def _digits(token: str) -> str:
+    return "".join(c for c in token if c in "0123456789")
+
+
 def _features(token: str) -> list[int]:
-    digits = "".join(c for c in token if c in "0123456789")
+    digits = _digits(token)
     check = 1 + luhn(digits) if 13 <= len(digits) <= 19 else 0
     values = ("@" in token, int(np.searchsorted(_BUCKETS, len(digits), side="right")), min(token.count("."), 4),
               token.startswith("+"), "(" in token or ")" in token, "-" in token, any(c.isalpha() for c in token), check)
@@ -101,14 +114,58 @@ def _key(token: str) -> str | None:
     token = token.strip(_STRIP)
     if "@" in token:
         return token.split("@")[0].lower() or None
-    digits = "".join(c for c in token if c in "0123456789")
-    if len(digits) >= MIN_DIGITS and not any(c.isalpha() for c in token):
-        return digits
+    digits = _digits(token)
+    if len(digits) >= MIN_DIGITS and not any(c.isalpha() for c in token) and not _QUAD.fullmatch(token):
+        return digits[-MIN_DIGITS:]
     return token.lower() if len(token) >= MIN_KEY else None
 
 
+def _numbers(span: str, kind: str) -> set[str]:
+    """Digits of a base span.  A phone pattern takes in numbers that follow it, so
+    each of its blank-separated heads that is long enough counts."""
+    if kind == "phone":
+        return {h for h in accumulate(_digits(x) for x in span.split()) if len(h) >= LEAST_PHONE}
+    return {_digits(span)} if kind == "card" else set()
+
+
+def _opened(tokens: list[str], free: list[bool], joined: list[bool]) -> list[tuple[int, int]]:
+    """First and last of the free tokens that make up a number opened by ``+``, as long
+    as it can be a phone's: a longer number behind it doesn't hide it."""
+    out, i = [], 0
+    while i < len(tokens):
+        last, size = i, len(_digits(tokens[i]))
+        if free[i] and tokens[i].lstrip(_STRIP).startswith("+") and _NUMBER.fullmatch(tokens[i]):
+            while last + 1 < len(tokens) and free[last + 1] and joined[last + 1] and "+" not in tokens[last + 1] \
+                    and _NUMBER.fullmatch(tokens[last + 1]) and size + len(_digits(tokens[last + 1])) <= MOST_PHONE:
+                last += 1
+                size += len(_digits(tokens[last]))
+            if last > i and size >= LEAST_PHONE:
+                out.append((i, last))
+        i = last + 1
+    return out
+
+
+def _repeats(tokens: list[str], free: list[bool], joined: list[bool], numbers: dict[str, set[str]]) -> list[tuple[int, int]]:
+    """First and last of the free tokens that together are the end of a number in
+    ``numbers`` (by its key), the longest one; ``joined``: only spaces before the token."""
+    out, done = [], 0
+    for last in range(len(tokens)):
+        first, digits, i = None, "", last
+        while i >= done and free[i] and _NUMBER.fullmatch(tokens[i]) and len(digits) < MAX_DIGITS:
+            digits = _digits(tokens[i]) + digits
+            if any(x.endswith(digits) for x in numbers.get(digits[-MIN_DIGITS:], ())):
+                first = i
+            if not joined[i]:
+                break
+            i -= 1
+        if first is not None:
+            out.append((first, last))
+            done = last + 1
+    return out
+
+
 class Graph:
-    """Nodes of a chunk of rows: features, observed labels, chain and skip links."""
+    """Nodes of a chunk of rows: features, observed labels, labels to learn from, chain and skip links."""
 
     def __init__(self, texts: pa.Array, first: int, data: np.ndarray, bounds: np.ndarray):
         starts, ends = runs(~_BLANK[data], bounds)
@@ -116,11 +173,8 @@ class Graph:
         node = np.flatnonzero(marked[ends] > marked[starts])
         row = np.searchsorted(bounds, starts[node], side="right") - 1
         near = np.flatnonzero((np.diff(node) == 1) & (np.diff(row) == 0))
-        self.chain = np.stack([near, near + 1], 1)
-        self.row, self.span = row, np.zeros((len(node), 2), np.int64)
-        self.features, self.label = np.zeros((len(node), len(_FEATURES)), np.int64), np.zeros(len(node), np.int64)
-        self.base, skip = [], []
-        per_row = np.searchsorted(row, np.arange(len(bounds)))
+        span, label, glued = np.zeros((len(node), 2), np.int64), np.zeros(len(node), np.int64), np.zeros(len(node), bool)
+        self.base, per_row, keys = [], np.searchsorted(row, np.arange(len(bounds))), {}
         for i in range(len(bounds) - 1):
             text = texts[first + i].as_py() or ""
             spans = base_spans(text) if per_row[i] < per_row[i + 1] else []
@@ -129,28 +183,57 @@ class Graph:
                 continue
             own = slice(per_row[i], per_row[i + 1])
             at = np.stack([starts[node[own]], ends[node[own]]], 1) - bounds[i]
-            self.span[own] = to_codepoints(data[bounds[i]:bounds[i + 1]], at)
+            span[own] = to_codepoints(data[bounds[i]:bounds[i + 1]], at)
+            numbers: dict[str, set[str]] = {}
             for s, e, kind in spans:
-                inside = (self.span[own, 0] < e) & (self.span[own, 1] > s)
-                self.label[own][inside] = LABELS.index(kind)
-            held: dict[str, list[int]] = {}
-            for j in range(per_row[i], per_row[i + 1]):
-                s, e = self.span[j]
-                token = text[s:e]
-                self.features[j] = _features(token)
-                trimmed = token.strip(_STRIP)
-                lead = len(token) - len(token.lstrip(_STRIP))
-                self.span[j] = (s + lead, s + lead + len(trimmed))
-                key = _key(token)
-                if key is not None:
-                    held.setdefault(key, []).append(j)
-            for nodes in held.values():
-                root = hub = next((j for j in nodes if self.label[j]), nodes[0])
-                for j in nodes:
-                    if j != root:
-                        skip.append((hub, j))
-                    hub = j if self.label[j] else hub
-        self.skip = np.array(skip, np.int64).reshape(-1, 2)
+                inside = np.flatnonzero((span[own, 0] < e) & (span[own, 1] > s)) + per_row[i]
+                label[inside], glued[inside[1:]] = LABELS.index(kind), True
+                digits = _numbers(text[s:e], kind)
+                for d in digits:
+                    numbers.setdefault(d[-MIN_DIGITS:], set()).add(d)
+                keys.setdefault(inside[0], set()).update([d[-MIN_DIGITS:] for d in digits] or filter(None, [_key(text[s:e])]))
+            if numbers or "+" in text:
+                at = span[own].tolist()
+                tokens, free = [text[s:e] for s, e in at], (label[own] == 0).tolist()
+                joined = [False] + [not text[x[1]:y[0]].strip(" ") and text[x[1] - 1] not in ",;:!?" for x, y in zip(at, at[1:])]
+                groups = _opened(tokens, free, joined)
+                for a, b in groups:
+                    free[a:b + 1] = [False] * (b + 1 - a)
+                for a, b in groups + (_repeats(tokens, free, joined, numbers) if numbers else []):
+                    glued[per_row[i] + a + 1:per_row[i] + b + 1] = True
+        lead = np.flatnonzero(~glued)                    # first token of each node
+        of = np.cumsum(~glued) - 1
+        links = np.stack([of[near], of[near + 1]], 1)
+        self.chain = links[links[:, 0] < links[:, 1]]
+        self.row, self.label = row[lead], label[lead]
+        self.span = np.stack([span[lead, 0], span[np.append(lead[1:], len(node)) - 1, 1]], 1) if len(lead) else span
+        self.features = np.zeros((len(lead), len(_FEATURES)), np.int64)
+        held: dict[tuple, list[int]] = {}
+        own_keys: list[set] = [set() for _ in lead]
+        for j, found in keys.items():
+            own_keys[of[j]] |= found
+        for j, i in enumerate(self.row.tolist()):
+            if j == 0 or i != self.row[j - 1]:
+                text = texts[first + i].as_py()
+            s, e = self.span[j]
+            token = text[s:e]
+            self.features[j] = _features(token)
+            trimmed = token.strip(_STRIP)
+            before = len(token) - len(token.lstrip(_STRIP))
+            self.span[j] = (s + before, s + before + len(trimmed))
+            for key in own_keys[j] or filter(None, [_key(token)]):
+                held.setdefault((i, key), []).append(j)
+        skip, self.taught = set(), self.label.copy()
+        for nodes in held.values():
+            root = hub = next((j for j in nodes if self.label[j]), nodes[0])
+            for j in nodes:
+                if j != root:
+                    skip.add((hub, j))
+                if self.label[j]:
+                    hub = j
+                elif self.label[hub]:
+                    self.taught[j] = self.label[hub]
+        self.skip = np.array(sorted(skip), np.int64).reshape(-1, 2)
 
 
 def counts(docs: DataFrame) -> DataFrame:
@@ -164,11 +247,11 @@ def counts(docs: DataFrame) -> DataFrame:
             for first, data, bounds in utf8_chunks(b.column(0)):
                 g = Graph(b.column(0), first, data, bounds)
                 for f in range(len(_FEATURES)):
-                    np.add.at(total["feature"], (g.features[:, f], g.label), 1)
-                total["label"][0] += np.bincount(g.label, minlength=n)
+                    np.add.at(total["feature"], (g.features[:, f], g.taught), 1)
+                total["label"][0] += np.bincount(g.taught, minlength=n)
                 for name in ("chain", "skip"):
                     links = getattr(g, name)
-                    np.add.at(total[name], (g.label[links[:, 0]], g.label[links[:, 1]]), 1)
+                    np.add.at(total[name], (g.taught[links[:, 0]], g.taught[links[:, 1]]), 1)
         for name, t in total.items():
             i, j = np.nonzero(t)
             yield pa.RecordBatch.from_arrays([pa.array([name] * len(i), pa.string()), pa.array(i.astype(np.int32)),
