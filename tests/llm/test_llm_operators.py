@@ -161,6 +161,31 @@ def test_license_rules(spark):
     assert [i for i in range(len(texts)) if got[i].unknown] == [4, 9]
 
 
+def test_license_wordings(spark):
+    of = lambda *ids: "\n".join(licenses.SENTENCES[i] for i in ids)
+    bsd = of("bsd-grant", "bsd-source", "bsd-binary")
+    names = licenses.SENTENCES["bsd-names"]
+    google, marked = (names.replace("the copyright holder", x) for x in ("Google Inc.", "the University of Somewhere, its Regents"))
+    cases = [
+        (f"{bsd}\n{google}", ["BSD-3-Clause"]), (f"{bsd}\n\n3. {marked}\n", ["BSD-3-Clause"]), (bsd, ["BSD-2-Clause"]),
+        (f"{bsd}\n{google}".replace(" the ", "\n# the ").replace(" nor ", "\n# nor "), ["BSD-3-Clause"]),
+        (f"{bsd}\n3. {licenses.SENTENCES['bsd-advert']}\nThis product includes software developed by Foo.\n4. {google}", ["BSD-4-Clause"]),
+        (f"{bsd}\nThe name of Jo Doe may not be used to endorse or promote products derived from this software without specific "
+         "prior written permission.", ["BSD-3-Clause"]),
+        ("Foo is released under the MIT License.", ["MIT"]), ("The library Foo is distributed under the terms of the\nMIT license, see below.", ["MIT"]),
+        ("Foo is licensed under the MIT License or the Apache License, Version 2.0.", ["MIT", "Apache-2.0"]),
+        ("Bar is available under GPLv3 or later.", ["GPL-3.0-or-later"]), ("Bar is not released under the MIT License.", []),
+        ("Bar is released under the Foo Public License.", []), ("Copyright 2020 Foo Inc. Released under the MIT License.", ["MIT"]),
+        (of("gpl-free", "gpl-2-terms", "gpl-2-option"), ["GPL-2.0-or-later"]), (of("gpl-free", "gpl-3-terms"), ["GPL-3.0-or-later"]),
+        (of("lgpl-free", "lgpl-2.1-terms", "lgpl-2.1-option"), ["LGPL-2.1-or-later"]), (of("gpl-free", "agpl-3-terms"), ["AGPL-3.0-or-later"]),
+        (of("gpl-free", "lgpl-3-terms"), ["LGPL-3.0-or-later"]), (of("bsl-grant"), ["BSL-1.0"]), (of("cc-by-sa-4.0"), ["CC-BY-SA-4.0"]),
+        ("The bridge was released under the river.", [])]
+    got = by_id(licenses.licenses(docs_of(spark, [t for t, _ in cases])))
+    for i, (text, want) in enumerate(cases):
+        assert got[i].licenses == want, text
+    assert [cases[i][0] for i in range(len(cases)) if got[i].unknown] == [cases[10][0], cases[11][0]]
+
+
 # ---- 5 decontamination ------------------------------------------------------------------------
 
 def test_decontamination_equals_brute_force(spark):

@@ -6,7 +6,9 @@ is an ordered list of identifiers; going through a document's identifiers, the
 longest rule that matches in order (with at most ``GAP`` unknown sentences
 between two of its own) names a licence.  A sentence that wraps over lines is
 joined; inside a stretch without sentence ends the longest known run of lines
-is taken.
+is taken.  The holder named in a clause is a placeholder, and a list mark before a
+sentence is left out.  A licence is also declared by its name after "released",
+"licensed" ... "under" anywhere in a sentence ("not" before it, and it isn't).
 
 Defined results: a null or empty text has no licence; a document whose known
 sentences match no rule, or that only mentions a licence in unknown words, is
@@ -21,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-GAP = 2
+GAP, HOLDER = 2, 12                                     # unknown sentences in a rule, words of a holder's name
 
 # Sentences of public licence texts and notices.
 SENTENCES = {
@@ -38,19 +40,32 @@ SENTENCES = {
     "apache-copy": "You may obtain a copy of the License at http://www.apache.org/licenses/LICENSE-2.0",
     "apache-warranty": 'Unless required by applicable law or agreed to in writing, software distributed under the License is distributed on an "AS IS" BASIS, WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied.',
     "gpl-free": "This program is free software;",
-    "gpl-free-3": "This program is free software:",
     "gpl-2-later": "you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation; either version 2 of the License, or (at your option) any later version.",
     "gpl-2-terms": "you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation;",
     "gpl-2-option": "either version 2 of the License, or (at your option) any later version.",
     "gpl-3-terms": "you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version.",
     "mpl-2": "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0.",
+    "bsd-advert": "All advertising materials mentioning features or use of this software must display the following acknowledgement:",
+    "lgpl-free": "This library is free software;",
+    "lgpl-2.1-terms": "you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation;",
+    "lgpl-2.1-option": "either version 2.1 of the License, or (at your option) any later version.",
+    "lgpl-3-terms": "you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version.",
+    "agpl-3-terms": "you can redistribute it and/or modify it under the terms of the GNU Affero General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version.",
+    "bsl-grant": 'Permission is hereby granted, free of charge, to any person or organization obtaining a copy of the software and accompanying documentation covered by this license (the "Software") to use, reproduce, display, distribute, execute, and transmit the Software, and to prepare derivative works of the Software, and to permit third-parties to whom the Software is furnished to do so, all subject to the following:',
+    "lgpl-2.1-head": "GNU LESSER GENERAL PUBLIC LICENSE Version 2.1, February 1999",
+    "lgpl-3-head": "GNU LESSER GENERAL PUBLIC LICENSE Version 3, 29 June 2007",
+    "agpl-3-head": "GNU AFFERO GENERAL PUBLIC LICENSE Version 3, 19 November 2007",
     "unlicense": "This is free and unencumbered software released into the public domain.",
 }
+# Other wordings of such sentences.
+VARIANTS = [("bsd-names", "The name of the copyright holder may not be used to endorse or promote products derived from this software without specific prior written permission."),
+            ("bsd-names", "The names of its contributors may not be used to endorse or promote products derived from this software without specific prior written permission."),
+            ("bsd-names", "Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without prior written permission.")]
 # Names under which licences are declared, and the forms of a declaration.
 NAMES = {
     "MIT": ["MIT License", "MIT Licence", "MIT"], "Apache-2.0": ["Apache License, Version 2.0", "Apache License 2.0", "Apache 2.0 License", "Apache 2.0"],
-    "BSD-2-Clause": ["BSD 2-Clause License", "Simplified BSD License"], "BSD-3-Clause": ["BSD 3-Clause License", "New BSD License"],
-    "ISC": ["ISC License"], "MPL-2.0": ["Mozilla Public License, Version 2.0", "Mozilla Public License 2.0"],
+    "BSD-2-Clause": ["BSD 2-Clause License", "Simplified BSD License", "BSD 2-Clause", "2-Clause BSD License"], "BSD-3-Clause": ["BSD 3-Clause License", "New BSD License", "BSD 3-Clause", "3-Clause BSD License"],
+    "ISC": ["ISC License"], "Unlicense": ["Unlicense"], "MPL-2.0": ["Mozilla Public License, Version 2.0", "Mozilla Public License 2.0"],
     "GPL-2.0": ["GNU General Public License, version 2", "GNU General Public License v2.0", "GNU GPL v2"],
     "GPL-3.0": ["GNU General Public License, version 3", "GNU General Public License v3.0", "GNU GPL v3"],
     "LGPL-2.1": ["GNU Lesser General Public License, version 2.1"], "LGPL-3.0": ["GNU Lesser General Public License, version 3"],
@@ -65,6 +80,19 @@ for _kind in CC_KINDS:
         _long = "Creative Commons " + "-".join(CC_PARTS[x] for x in _kind.split("-")) + " " + _version
         NAMES[f"CC-{_kind}-{_version}"] = [f"CC {_kind} {_version}", f"CC {_kind} {_version} License", f"{_long} License",
                                            f"{_long} International License"]
+for _name in ("GPL-2.0", "GPL-3.0", "LGPL-2.1", "LGPL-3.0", "AGPL-3.0"):
+    _kind, _version = _name.split("-")
+    _whole = {"GPL": "", "LGPL": "Lesser ", "AGPL": "Affero "}[_kind]
+    _short = _version.removesuffix(".0")
+    NAMES[_name] += [f"GNU {_whole}General Public License{x} {_version}" for x in ("", " version", " v")]
+    NAMES[_name] += [f"GNU {_whole}General Public License v{_version}", f"GNU {_whole}General Public License v{_short}",
+                     f"GNU {_whole}General Public License version {_short}", f"{_name}", f"{_kind}v{_short}", f"{_kind} v{_short}", f"GNU {_kind} v{_short}"]
+    NAMES[_name + "-or-later"] = [f"{x}{later}" for x in NAMES[_name]
+                                  for later in (" or later", " or any later version", " or (at your option) any later version")]
+for _kind in CC_KINDS:
+    _long = "Creative Commons " + "-".join(CC_PARTS[x] for x in _kind.split("-")) + " 4.0 International Public License"
+    SENTENCES[f"cc-{_kind.lower()}-4.0"] = ("By exercising the Licensed Rights (defined below), You accept and agree to be bound by the "
+                                            f'terms and conditions of this {_long} ("Public License").')
 FORMS = ("Released under {}.", "Licensed under {}.", "Distributed under {}.", "Available under {}.",
          "This work is licensed under {}.", "Released under the {}.", "Licensed under the {}.", "Distributed under the {}.", "Available under the {}.",
          "This work is licensed under the {}.", "This work is licensed under a {}.", "This project is licensed under the {}.",
@@ -76,46 +104,95 @@ RULES = {
     "Apache-2.0": ["apache-grant", "apache-use", "apache-copy", "apache-warranty"],
     "Apache-2.0 (short)": ["apache-grant", "apache-use"], "GPL-2.0-or-later": ["gpl-free", "gpl-2-terms", "gpl-2-option"],
     "GPL-3.0-or-later": ["gpl-free", "gpl-3-terms"], "MPL-2.0": ["mpl-2"], "Unlicense": ["unlicense"],
+    "GPL-2.0-or-later (one sentence)": ["gpl-free", "gpl-2-later"],
+    "BSD-4-Clause": ["bsd-grant", "bsd-source", "bsd-binary", "bsd-advert", "bsd-names"],
+    "LGPL-2.1-or-later": ["lgpl-free", "lgpl-2.1-terms", "lgpl-2.1-option"], "LGPL-3.0-or-later": ["lgpl-free", "lgpl-3-terms"],
+    "LGPL-3.0-or-later (program)": ["gpl-free", "lgpl-3-terms"], "AGPL-3.0-or-later": ["gpl-free", "agpl-3-terms"],
+    "BSL-1.0": ["bsl-grant"], "LGPL-2.1": ["lgpl-2.1-head"], "LGPL-3.0": ["lgpl-3-head"], "AGPL-3.0": ["agpl-3-head"],
 }
+RULES |= {f"CC-{kind}-4.0": [f"cc-{kind.lower()}-4.0"] for kind in CC_KINDS}
 
 _FOLD = re.compile(r"[^a-z0-9]+")
-# A sentence ends at . ; : ? (and marks after it) before a blank, but not after "v.", or at an empty line.
-_END = re.compile(r"(?<=[.;:?])(?<!\s[vV]\.)[^\w\s]*(?=\s|$)|\n\s*\n")
-MENTION = re.compile(r"\blicen[sc]ed? under\b|\bcopyright\b|\bunder the terms of\b")
+# A sentence ends at . ; : ? (and marks after it) before a blank, but not after "v." or
+# in a holder's name ("Inc. nor the names ..."), or at an empty line.
+_END = re.compile(r"(?<=[.;:?])(?<!\s[vV]\.)(?!\W{1,40}+(?i:nor\W{1,40}+the\W{1,40}+names?)\b)[^\w\s]*(?=\s|$)|\n\s*\n")
+_MARK = re.compile(r"^(?:[0-9]{1,2}|[a-z]|[ivx]{2,4}) ")
+_HOLDERS = [(re.compile(r"^neither the names? of .+? nor the names? of (?:(?:its|the|their|any|other) )*contributors\b"),
+             "neither the name of holder nor the names of its contributors"),
+            (re.compile(r"^(?:the )?names? of .+? (?:may|must) not be used to endorse\b"), "the name of holder may not be used to endorse")]
+_UNDER = re.compile(r"\b((?:not|never)(?: \w+)? )?(?:released|licen[sc]ed|distributed|available|provided|published|covered|redistributed) "
+                    r"under (?:the |a |an |either )*(?:terms (?:and conditions )?of )?(?:the |a |an |either )*")
+_ALSO = re.compile(r" (?:and|or|and or)(?: under)?(?: the| a| an)? ")
+MENTION = re.compile(r"\b(?:released|distributed|available|provided|published|covered)\W+under\W+(?:\w+\W+){0,6}?licen[sc]e|\blicen[sc]ed? under\b|\bcopyright\b|\bunder the terms of\b")
 
 
 def normalised(sentence: str) -> str:
     return _FOLD.sub(" ", sentence.lower()).strip()
 
 
+def unnamed(sentence: str) -> str:
+    """A normalised sentence without list mark and holder."""
+    sentence = _MARK.sub("", sentence)
+    if " name" in sentence or sentence.startswith("name"):
+        for pattern, plain in _HOLDERS:
+            sentence = pattern.sub(plain, sentence)
+    return sentence
+
+
 class Rules:
     """Known sentences and ordered rules; more of either can be passed in."""
 
     def __init__(self, sentences: dict[str, str] = SENTENCES, rules: dict[str, list[str]] = RULES,
                  names: dict[str, list[str]] = NAMES, forms=FORMS):
-        self.known = {normalised(text): ident for ident, text in sentences.items()}
+        variants = [v for v in VARIANTS if v[0] in sentences]
+        self.known = {unnamed(normalised(text)): ident for ident, text in [*sentences.items(), *variants]}
+        self.titles: dict[str, list[tuple[str, str]]] = {}      # by first word, longest first
         self.rules = [(list(ids), name.split(" (")[0]) for name, ids in rules.items()]
         for name, titles in names.items():
             self.rules.append(([f"declares {name}"], name))
             for title in titles:
+                words = normalised(title)
+                self.titles.setdefault(words.split()[0], []).append((words, f"declares {name}"))
                 for form in forms:
                     self.known[normalised(form.format(title))] = f"declares {name}"
         self.rules.sort(key=lambda r: -len(r[0]))
-        self.longest = max(k.count(" ") + 1 for k in self.known)
+        for found in self.titles.values():
+            found.sort(key=lambda x: -len(x[0]))
+        self.longest = max(k.count(" ") + 1 for k in self.known) + HOLDER
         # every known sentence holds one of these; a text without them holds none
-        anchors = ("licen", "copyright", "permission", "redistribut", "warrant", "software", "mit", "gpl", "apache", "cc", "creative")
+        anchors = ("licen", "copyright", "permission", "redistribut", "warrant", "software", "mit", "gpl", "apache", "cc", "creative", "bsd")
         self.anchors = anchors if all(any(a in k for a in anchors) for k in self.known) else ("",)
 
+    def ident(self, sentence: str) -> str | None:
+        """Identifier of a normalised sentence."""
+        return self.known.get(sentence) or self.known.get(unnamed(sentence))
+
+    def declared(self, sentence: str) -> list[str]:
+        """Licences that a normalised sentence declares by name."""
+        out = []
+        for m in _UNDER.finditer(sentence) if " under " in sentence else ():
+            at, end = m.end(), m.group(1) is None
+            while end:
+                first = sentence[at:].split(" ", 1)[0]
+                end = next(((len(t), ident) for t, ident in self.titles.get(first, ())
+                            if sentence.startswith(t, at) and sentence[at + len(t):at + len(t) + 1] in ("", " ")), None)
+                if end:
+                    out.append(end[1])
+                    also = _ALSO.match(sentence, at + end[0])
+                    at, end = (also.end(), True) if also else (at, None)
+        return out
+
     def sentences(self, text: str):
         """``(identifier or None)`` of every sentence, in order."""
         for stretch in _END.split(text):
             whole = normalised(stretch)
             if not whole:
                 continue
-            if whole in self.known or "\n" not in stretch.strip():
-                yield self.known.get(whole)
+            ident = self.ident(whole)
+            if ident or "\n" not in stretch.strip():
+                yield from [ident] if ident else self.declared(whole) or [None]
                 continue
-            lines, i = [n for x in stretch.split("\n") if (n := normalised(x))], 0
+            lines, i, other = [n for x in stretch.split("\n") if (n := normalised(x))], 0, []
             while i < len(lines):
                 best, size, found, j = 1, 0, None, i
                 run = []
@@ -123,11 +200,17 @@ class Rules:
                     run.append(lines[j])
                     size += lines[j].count(" ") + 1
                     j += 1
-                    ident = self.known.get(" ".join(run)) if size <= self.longest else None
+                    ident = self.ident(" ".join(run)) if size <= self.longest else None
                     if ident:
                         best, found = j - i, ident
+                if found:
+                    yield from self.declared(" ".join(other))
+                    other = []
+                else:
+                    other.append(lines[i])
                 yield found
                 i += best
+            yield from self.declared(" ".join(other))
 
     def licenses(self, text: str | None) -> tuple[list[str], list[str], bool]:
         """Licences in order, known identifiers in order, and the unknown flag."""
