@@ -42,7 +42,7 @@ def test_query_columns(spark):
             "op8": ["doc_id", "n_email", "n_ip", "n_card", "n_phone", "base_sha256", "spans"],
             "op9": ["query_id", "rank", "vec_id", "score"], "op10": ["doc_id", "fingerprint", "component_id"]}
     names = {n.split("_")[0]: n for n in queries.QUERIES if n.startswith("op")}
-    assert sorted(names, key=lambda n: int(n[2:])) == [f"op{i}" for i in range(1, 11)]
+    assert sorted(names, key=lambda n: int(n[2:])) == [f"op{i}" for i in range(1, 14)]
     for n, want in head.items():
         df = queries.QUERIES[names[n]](spark, SF001)
         assert df.columns[:len(want)] == want

@@ -122,3 +122,13 @@ def materialised(df: DataFrame) -> DataFrame:
     """``df`` behind a reliable checkpoint in ``spark.checkpoint.dir``."""
     from voltsight.session import cut_lineage
     return cut_lineage(df)
+
+
+def written(df: DataFrame) -> DataFrame:
+    """``df`` as a compressed table of its own in the shared folder."""
+    import uuid
+
+    from voltsight.session import ensure_checkpoint_dir
+    path = f"{ensure_checkpoint_dir(df.sparkSession)}/table-{uuid.uuid4().hex}"
+    df.write.option("compression", "zstd").parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from . import decontam, langid, licenses, linedup, mixing, pii, secrets, sharding, simhash, sql, topk
+from . import alignment, decontam, fim, langid, licenses, linedup, mixing, packing, pii, secrets, sharding, simhash, sql, topk
 from .common import table
 
 #: Target weights of the mixing query.
@@ -93,6 +93,26 @@ def op10_simhash(spark, sf_dir):
         "doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
+@query
+def op11_packing(spark, sf_dir):
+    """All documents as pieces of sequences of at most 4096 ids."""
+    return packing.packed(table(spark, sf_dir, "documents"))
+
+
+@query
+def op12_token_alignment(spark, sf_dir):
+    """Two tokenizers' ids of every document, aligned by bytes."""
+    return alignment.aligned(table(spark, sf_dir, "documents"))
+
+
+@query
+def op13_fill_in_middle(spark, sf_dir):
+    """Every document as a fill-in-middle example."""
+    out = fim.fill_in_middle(table(spark, sf_dir, "documents"))
+    return out.select("doc_id", "n", "form", "prefix_chars", "middle_chars", _digest("output").alias("output_sha256"),
+                      F.sha2(fim.restored(), 256).alias("restored_sha256"))
+
+
 @query
 def pipeline(spark, sf_dir):
     """All stages of ``corpus_pipeline.py`` over the documents."""
@@ -101,4 +121,4 @@ def pipeline(spark, sf_dir):
 
 
 ORACLE |= {"op5_decontamination": sql.decontamination(decontam.GUARANTEE), "op7_source_mixing": sql.mixing(WEIGHTS, 4, 1.0, 17),
-           "op9_top_k": sql.top_k(topk.K)}
+           "op9_top_k": sql.top_k(topk.K), "op13_fill_in_middle": sql.fill_in_middle(fim.SEED, fim.FIM_PERCENT, fim.SPM_PERCENT)}
