@@ -7,9 +7,9 @@ end there.  Within a group every A token is expanded to the B tokens it overlaps
 (its links).  Links of an id pair are counted over the whole corpus, and each
 document gets its groups, its links, and how they do against these counts.
 
-Neither vocabulary has an entry with a space after printable ASCII (checked), so no
-token and no link crosses such a place.  Texts are cut
-there, and the distinct parts of a chunk of texts are encoded and aligned once.
+Neither vocabulary has an entry with a space or line end after printable ASCII, or a
+stop mark after an ASCII letter (checked), so no token and no link crosses such a place.
+Texts are cut there, and the distinct parts of a chunk of texts are encoded and aligned once.
 
 A chunk of documents is one row: its parts (numbered by falling frequency) per
 document, the parts' links, and its own pair totals.  Pair totals are summed over
@@ -38,11 +38,11 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import written
-from .dictionary import Encoded, distinct, flat_lists, gathered, pieces_model, spread, sums, tokenizer
+from .dictionary import Encoded, by_frequency, flat_lists, gathered, pieces_model, spread, sums, tokenizer
 
 A_PATH, B_PATH = "byte_bpe_50k.json", "piece_bpe_32k.model"
-CHUNK = 8 << 20
-_CUT, _END = rb"([!-~])( )", b"\xff"
+CHUNK = 3 << 20
+_CUTS, _END = (rb"([A-Za-z])([.,;:!?()])", rb"([!-~])([ \n])"), b"\xff"
 _SPACE = "▁"
 
 
@@ -58,8 +58,8 @@ class Side:
     """One tokenizer: ids of parts of texts, and the bytes of each id."""
 
     def __init__(self, encode, entries: list[bytes]):
-        if any(re.search(rb"[!-~] ", e) for e in entries):
-            raise ValueError("an entry has a space after printable ASCII: texts can't be cut there")
+        if any(re.search(cut, e) for e in entries for cut in _CUTS):
+            raise ValueError("an entry spans a place where texts are cut")
         self.ids, self.entries = Encoded(encode), pa.array(entries, pa.large_binary())
         self.sizes = np.array([len(e) for e in entries], np.int64)
 
@@ -82,9 +82,14 @@ def sides(a_path: str = A_PATH, b_path: str = B_PATH) -> tuple[Side, Side]:
     b_bytes = [bytes([int(n[3:5], 16)]) if b.is_byte(i) else n.replace(_SPACE, " ").encode()
                for i, n in ((i, b.id_to_piece(i)) for i in range(b.get_piece_size()))]
 
-    def encode_b(parts):  # every part starts with the space that B adds; B gives nothing for the bare space
-        bare = b.piece_to_id(_SPACE)
-        return [x or [bare] for x in b.encode([p[1:] for p in parts], num_threads=1)]
+    bare = b.piece_to_id(_SPACE)
+
+    def encode_b(parts):
+        """B adds a space: a part that starts with one is given without it (B has
+        nothing for the bare space), any other part after one letter."""
+        led = [p[0] == " " for p in parts]
+        found = b.encode([p[1:] if own else "a" + p for p, own in zip(parts, led)], num_threads=1)
+        return [x or [bare] if own else x[1:] for x, own in zip(found, led)]
 
     return (Side(lambda parts: [e.ids for e in a.encode_batch_fast(parts, add_special_tokens=False)], a_bytes),
             Side(encode_b, b_bytes))
@@ -166,7 +171,9 @@ def _cut(texts: pa.Array) -> pa.Array:
     given = pc.and_(pc.is_valid(texts), pc.greater(pc.binary_length(pc.fill_null(texts, "")), 0)).to_numpy(zero_copy_only=False)
     raw = pc.fill_null(texts, "").cast(pa.large_binary()).filter(pa.array(given))
     led = pc.binary_join_element_wise(pa.scalar(b" ", pa.large_binary()), raw, pa.scalar(b"", pa.large_binary()))
-    lists = pc.split_pattern(pc.replace_substring_regex(led, _CUT, b"\\1" + _END + b"\\2"), _END)
+    for cut in _CUTS:
+        led = pc.replace_substring_regex(led, cut, b"\\1" + _END + b"\\2")
+    lists = pc.split_pattern(led, _END)
     bounds, flat = flat_lists(lists)
     lengths = np.zeros(len(texts), np.int64)
     lengths[given] = np.diff(bounds)
@@ -177,12 +184,8 @@ def _aligned(texts: pa.Array, a: Side, b: Side):
     """Part numbers and bounds of every text, and the aligned parts; a text with a
     part that is not spelled exactly has no parts."""
     bounds, flat = flat_lists(_cut(texts))
-    vocabulary, at = distinct(flat)
-    order = np.argsort(-np.bincount(at, minlength=len(vocabulary)), kind="stable")
-    rank = np.empty(len(order), np.int64)
-    rank[order] = np.arange(len(order))
-    parts = Parts(vocabulary.take(pa.array(order)), a, b)
-    at = rank[at]
+    vocabulary, at = by_frequency(flat)
+    parts = Parts(vocabulary, a, b)
     good = sums(~parts.good[at], bounds) == 0
     at = at[np.repeat(good, np.diff(bounds))]
     return at, np.concatenate([[0], np.cumsum(np.where(good, np.diff(bounds), 0))]), parts
@@ -210,12 +213,26 @@ def groups(docs: DataFrame, a_path: str = A_PATH, b_path: str = B_PATH) -> DataF
 
 _DOC = "doc_id bigint, n_a bigint, n_b bigint, n_groups bigint, n_links bigint, groups_sha256 string"
 _CHUNK = f"""chunk bigint, docs array<struct<{_DOC.replace(' bigint', ':bigint').replace(' string', ':string')}>>,
-parts_of_doc array<int>, parts array<int>, links_of_part array<int>, links array<int>, pairs array<bigint>, totals array<bigint>"""
+parts_of_doc binary, parts binary, links_of_part binary, links binary, pairs array<bigint>, totals array<bigint>"""
+_ZSTD = "zstd"
+
+
+def _packed(values: np.ndarray) -> bytes:
+    """Numbers that only tasks of this module read: compressed 32-bit integers."""
+    raw = values.astype("<i4").tobytes()
+    return len(raw).to_bytes(8, "little") + (pa.compress(raw, _ZSTD, asbytes=True) if raw else b"")
+
+
+def _unpacked(data: pa.Scalar) -> np.ndarray:
+    data = data.as_buffer()
+    size = int.from_bytes(data[:8].to_pybytes(), "little")
+    return np.frombuffer(pa.decompress(data[8:], size, _ZSTD) if size else b"", "<i4")
 
 
 def chunks(docs: DataFrame, a_path: str = A_PATH, b_path: str = B_PATH) -> DataFrame:
     """One row per chunk of documents: their own columns, parts (flat, with counts per
-    document), links of the parts (flat, as places in ``pairs``), pair totals."""
+    document), links of the parts (flat, as places in ``pairs``), pair totals.  What
+    only ``aligned`` reads again is compressed."""
 
     def run(batches):
         a, b = sides(a_path, b_path)
@@ -230,11 +247,10 @@ def chunks(docs: DataFrame, a_path: str = A_PATH, b_path: str = B_PATH) -> DataF
             pairs, place = np.unique(parts.pair, return_inverse=True)
             times = np.repeat(np.bincount(at, minlength=len(parts.good)), parts.n_links)
             totals = np.bincount(place, weights=times, minlength=len(pairs)).astype(np.int64)
-            flat = [np.diff(bounds).astype(np.int32), at.astype(np.int32), parts.n_links.astype(np.int32), place.astype(np.int32), pairs, totals]
-            one = [pa.ListArray.from_arrays(pa.array([0, len(x)], pa.int32()), x if isinstance(x, pa.Array) else pa.array(x))
-                   for x in (of_docs, *flat)]
-            names = ["docs", "parts_of_doc", "parts", "links_of_part", "links", "pairs", "totals"]
-            yield pa.RecordBatch.from_arrays([pa.array([key]), *one], ["chunk", *names])
+            lists = [pa.ListArray.from_arrays(pa.array([0, len(x)], pa.int32()), x) for x in (of_docs, pa.array(pairs), pa.array(totals))]
+            blobs = [pa.array([_packed(x)], pa.binary()) for x in (np.diff(bounds), at, parts.n_links, place)]
+            yield pa.RecordBatch.from_arrays([pa.array([key]), lists[0], *blobs, *lists[1:]], [
+                "chunk", "docs", "parts_of_doc", "parts", "links_of_part", "links", "pairs", "totals"])
             key += 1
 
     return docs.select(F.col("doc_id").cast("bigint"), "text").mapInArrow(run, _CHUNK)
@@ -265,18 +281,16 @@ def aligned(docs: DataFrame, a_path: str = A_PATH, b_path: str = B_PATH) -> Data
     def run(batches):
         for batch in batches:
             for i in range(batch.num_rows):
-                row = {n: batch.column(n)[i].values for n in batch.schema.names if n != "chunk"}
-                n_doc, at, n_link, place = (row[n].to_numpy(zero_copy_only=False).astype(np.int64)
-                                            for n in ("parts_of_doc", "parts", "links_of_part", "links"))
-                count, best = np.zeros(0, np.int64), np.zeros(0, np.int64)
-                if row["answers"] is not None and len(row["answers"]):
-                    got = [row["answers"].field(n).to_numpy(zero_copy_only=False) for n in ("place", "count", "best")]
-                    count, best = np.zeros((2, len(got[0])), np.int64)
+                n_doc, at, n_link, place = (_unpacked(batch.column(n)[i]) for n in ("parts_of_doc", "parts", "links_of_part", "links"))
+                answers, own = batch.column("answers")[i].values, batch.column("docs")[i].values
+                count, best = np.zeros((2, 0 if answers is None else len(answers)), np.int64)
+                if len(count):
+                    got = [answers.field(n).to_numpy(zero_copy_only=False) for n in ("place", "count", "best")]
                     count[got[0]], best[got[0]] = got[1], got[2]
                 bounds, of_part = (np.concatenate([[0], np.cumsum(n)]) for n in (n_doc, n_link))
-                out = row["docs"].flatten()
+                out = own.flatten()
                 extra = [pa.array(sums(sums(x[place], of_part)[at], bounds)) for x in (best, count)]
-                yield pa.RecordBatch.from_arrays([*out, *extra], [*[f.name for f in row["docs"].type], "n_best", "count_sum"])
+                yield pa.RecordBatch.from_arrays([*out, *extra], [*[f.name for f in own.type], "n_best", "count_sum"])
 
     placed = ready.mapInArrow(run, f"{_DOC}, n_best bigint, count_sum bigint")
     return placed.select("doc_id", "n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum", "groups_sha256")

@@ -9,13 +9,14 @@ gathered over Arrow batches of one task.
 from __future__ import annotations
 
 import functools
+import itertools
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
 CHUNK = 8 << 20
-KEPT_WORDS = 150_000
+KEPT_WORDS = 200_000
 BLANKS = r"[\x20\x09-\x0D]"
 
 
@@ -49,6 +50,15 @@ def distinct(parts: pa.Array) -> tuple[pa.Array, np.ndarray]:
     return coded.dictionary, coded.indices.to_numpy(zero_copy_only=False).astype(np.int64)
 
 
+def by_frequency(parts: pa.Array) -> tuple[pa.Array, np.ndarray]:
+    """As ``distinct``, the most frequent value first."""
+    values, at = distinct(parts)
+    order = np.argsort(-np.bincount(at, minlength=len(values)), kind="stable")
+    rank = np.empty(len(order), np.int64)
+    rank[order] = np.arange(len(order))
+    return values.take(pa.array(order)), rank[at]
+
+
 def spread(lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """For consecutive groups of ``lengths``: group of each member, its number in the group."""
     group = np.repeat(np.arange(len(lengths)), lengths)
@@ -88,18 +98,33 @@ def pieces_model(path: str):
 
 
 class Encoded:
-    """Ids of parts of texts; the first ``KEPT_WORDS`` distinct parts a worker
-    meets are remembered (frequent ones come early), the others are encoded again."""
+    """Ids of parts of texts.  The first ``KEPT_WORDS`` distinct parts a worker meets
+    are remembered (callers give frequent parts first), the others encoded again."""
+
+    SLICE = 4096
 
     def __init__(self, encode):
-        self.encode, self.kept = encode, {}
+        self.encode, self.row = encode, {}
+        self.flat, self.first = np.zeros(0, np.int32), np.zeros(1, np.int64)
 
     def __call__(self, parts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """Number of ids of each part, and all ids in order."""
-        kept = self.kept
-        fresh = [p for p in parts if p not in kept]
-        found = dict(zip(fresh, (np.array(ids, np.int32).tobytes() for ids in self.encode(fresh))))
-        ids = [found[p] if p in found else kept[p] for p in parts]
-        room = max(0, KEPT_WORDS - len(kept))
-        kept.update(x for x in list(found.items())[:room] if len(x[0]) < 64)
-        return np.fromiter((len(i) // 4 for i in ids), np.int64, len(ids)), np.frombuffer(b"".join(ids), np.int32)
+        get = self.row.get
+        rows = np.fromiter((get(p, -1) for p in parts), np.int64, len(parts))
+        new = np.flatnonzero(rows < 0)
+        flat, sizes = [self.flat], []
+        for at in range(0, len(new), self.SLICE):       # a tokenizer's own results take a kilobyte a part
+            lists = self.encode([parts[i] for i in new[at:at + self.SLICE].tolist()])
+            sizes.append(np.fromiter(map(len, lists), np.int64, len(lists)))
+            flat.append(np.fromiter(itertools.chain.from_iterable(lists), np.int32, int(sizes[-1].sum())))
+        flat = np.concatenate(flat)
+        first = np.concatenate([self.first, self.first[-1] + np.cumsum(np.concatenate([np.zeros(0, np.int64), *sizes]))])
+        known = len(self.row)
+        rows[new] = known + np.arange(len(new))
+        kept = new[:max(0, KEPT_WORDS - known)].tolist()
+        self.row.update((parts[i], known + n) for n, i in enumerate(kept))
+        self.first = first[:known + len(kept) + 1].copy()
+        self.flat = flat[:self.first[-1]].copy()
+        lengths = np.diff(first)[rows]
+        part, nth = spread(lengths)
+        return lengths, flat[first[rows][part] + nth]

@@ -7,8 +7,8 @@ sequences.  In a block the differencing method splits the items into windows of
 near-equal sums: each item is a partial partition with one used window; the two
 partial partitions with the largest differences are merged so that the large
 windows of one meet the small windows of the other, until one is left.  The window
-count starts at the least that could hold the block and rises whenever the fullest
-window exceeds the capacity.  Items of at most ``BUNDLE`` ids are first strung to
+count starts at about the least that could hold the block and rises whenever the
+fullest window exceeds the capacity.  Items of at most ``BUNDLE`` ids are first strung to
 bundles of that size, so a block of very many tiny documents stays a small problem.
 
 One document in ``filler_every`` has its rest cut into parts of ``filler`` ids: these
@@ -29,6 +29,7 @@ from __future__ import annotations
 
 import heapq
 import math
+import re
 import zlib
 
 import numpy as np
@@ -39,28 +40,63 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import materialised, mix
-from .dictionary import BLANKS, Encoded, distinct, flat_lists, gathered, sums, tokenizer
+from .dictionary import BLANKS, Encoded, by_frequency, flat_lists, gathered, sums, tokenizer
 
 CAPACITY, END_ID, WINDOWS, BUNDLE = 4096, 2, 512, 32
-FILLER_EVERY, FILLER = 8, 128
+FILLER_EVERY, FILLER, SLACK = 8, 128, 8
 VOCABULARY = "word_bpe_49k.json"
+CHUNK = 12 << 20
+#: precomposed Latin letters (one form under NFC)
+_LETTERS = re.compile("[A-Za-zÀ-ÖØ-öø-ÿ]+")
+_STOPS = rb"([A-Za-z])([.,;:!?()])"
 _ENCODED: dict[str, Encoded] = {}
 
 
 def _encoded(path: str) -> Encoded:
     if path not in _ENCODED:
         own = tokenizer(path)
-        _ENCODED[path] = Encoded(lambda parts: [e.ids for e in own.encode_batch_fast(parts, add_special_tokens=False)])
+        names = [own.id_to_token(i) or "" for i in range(own.get_vocab_size())]
+        closes = np.array([n.endswith("</w>") for n in names])
+
+        def encode(parts):
+            """Words of letters are encoded as one text: each is one word of the
+            tokenizer, which ends at a token that closes a word."""
+            lists = [None] * len(parts)
+            plain = [i for i, p in enumerate(parts) if _LETTERS.fullmatch(p)]
+            other = [i for i, p in enumerate(parts) if not _LETTERS.fullmatch(p)]
+            text = " ".join([parts[i] for i in plain])
+            ids = np.array(own.encode_batch_fast([text], add_special_tokens=False)[0].ids, np.int64)
+            ends = np.flatnonzero(closes[ids]) + 1
+            if len(ends) != len(plain):
+                raise ValueError(f"{path} does not close every word")
+            ids, first = ids.tolist(), 0
+            for i, end in zip(plain, ends.tolist()):
+                lists[i], first = ids[first:end], end
+            for i, e in zip(other, own.encode_batch_fast([parts[i] for i in other], add_special_tokens=False)):
+                lists[i] = e.ids
+            return lists
+
+        _ENCODED[path] = Encoded(encode)
     return _ENCODED[path]
 
 
+def words(texts: pa.Array) -> pa.Array:
+    """Words of each text as lists: cut at blanks and between an ASCII letter and
+    stop marks after it, ASCII words in lower case.  The tokenizer drops blanks,
+    joins nothing over these cuts and folds case; words that may hold a special
+    token (``|``) keep theirs."""
+    marked = pc.replace_substring_regex(pc.fill_null(texts, "").cast(pa.large_binary()), _STOPS, b"\\1 \\2")
+    lists = pc.split_pattern_regex(marked.cast(pa.large_string()), f"{BLANKS}+")
+    bounds, flat = flat_lists(lists)
+    folds = pc.and_(pc.string_is_ascii(flat), pc.invert(pc.match_substring(flat, "|")))
+    return pa.LargeListArray.from_arrays(pa.array(bounds), pc.if_else(folds, pc.ascii_lower(flat), flat))
+
+
 def token_ids(texts: pa.Array, path: str = VOCABULARY, end_id: int = END_ID) -> tuple[np.ndarray, np.ndarray]:
-    """Ids of all texts in a row, each followed by ``end_id``, and the texts' bounds.
-    The tokenizer drops blanks and joins nothing over them, so each distinct word is
-    encoded once."""
-    lists = pc.split_pattern_regex(pc.fill_null(texts, "").cast(pa.large_string()), f"{BLANKS}+")
-    bounds, words = flat_lists(lists)
-    vocabulary, at = distinct(words)
+    """Ids of all texts in a row, each followed by ``end_id``, and the texts' bounds;
+    each distinct word is encoded once."""
+    bounds, flat = flat_lists(words(texts))
+    vocabulary, at = by_frequency(flat)
     lengths, ids = _encoded(path)(vocabulary.to_pylist())
     at = np.insert(at, bounds[1:], len(lengths))        # the end id is one more word
     offsets = np.concatenate([[0], np.cumsum(lengths), [len(ids) + 1]])
@@ -79,7 +115,7 @@ def pieces(docs: DataFrame, path: str = VOCABULARY, capacity: int = CAPACITY, en
 
     def run(batches):
         key = TaskContext.get().partitionId() << 33
-        for t in gathered(batches):
+        for t in gathered(batches, CHUNK):
             ids, bounds = token_ids(t["text"].combine_chunks(), path, end_id)
             n = np.diff(bounds)
             whole, rest = n // capacity, n % capacity
@@ -164,15 +200,15 @@ def difference(sizes: np.ndarray, k: int) -> np.ndarray:
 
 
 def windows_of(sizes: np.ndarray, capacity: int = CAPACITY, bundle: int = BUNDLE) -> np.ndarray:
-    """Window of every item; the count starts at ``ceil(total / capacity)`` and rises
-    until no window exceeds the capacity."""
+    """Window of every item; the count starts where ``SLACK`` places a window would
+    stay free and rises until no window exceeds the capacity."""
     small = sizes <= bundle
     strung = (np.cumsum(np.where(small, sizes, 0)) - 1) // bundle
     strung = np.where(small, np.unique(strung, return_inverse=True)[1], 0)
     n_bundles = int(strung[small].max()) + 1 if small.any() else 0
     item = np.where(small, strung, n_bundles + np.cumsum(~small) - 1)
     totals = np.bincount(item, weights=sizes).astype(np.int64)
-    k = math.ceil(int(sizes.sum()) / capacity)
+    k = math.ceil(int(sizes.sum()) / max(1, capacity - min(SLACK, capacity // 64)))
     while True:
         window = difference(totals, k)
         filled = np.bincount(window, weights=totals, minlength=k)
