@@ -333,29 +333,67 @@ def _fill(children, budget):
     return out
 
 
-@pytest.mark.parametrize("epochs,share", [(1, 0.6), (4, 1.0), (2, 5.0)])
-def test_mixing_equals_brute_force(spark, epochs, share):
+SHARES = {"domain": {"d0": 0.7, "d1": 0.3, "d2": 0.5, "d3": 0.5}, "language": {"en": 0.9, "es": 1.9}}
+NO_LANGUAGE = {"language": {"de": 0}, "domain": {"d1": 0.25}}
+NO_LEAF = {"leaf_source": {"src1": 0, "src2": 0.0, "src3": 0.01}, "domain": {"d3": 0}}
+
+
+@pytest.mark.parametrize("epochs,share,weights", [
+    (1, 0.6, {"domain": {"d0": 5, "d1": 1}, "language": {"en": 2, "es": 4}}), (4, 1.0, SHARES), (2, 5.0, SHARES), (1, 0.9, SHARES),
+    (4, 1.0, NO_LANGUAGE), (1, 1.0, NO_LANGUAGE), (3, 1.0, NO_LEAF), (1, 0.8, NO_LEAF), (2, 1.0, {"domain": dict.fromkeys(["d0", "d1", "d2", "d3"], 0)})])
+def test_mixing_equals_brute_force(spark, epochs, share, weights):
     docs = table(spark, SF001, "documents")
-    weights = {"domain": {"d0": 5, "d1": 1}, "language": {"en": 2, "es": 4}}
-    got = by_id(mixing.assignments(docs, weights=weights, epochs=epochs, share=share, seed=3))
+    docs = docs.unionByName(docs.where("doc_id < 60").withColumn("text", F.concat(F.lit("again "), "text")))
+    got = {(r.doc_id, r.quota is None): r for r in mixing.assignments(docs, weights=weights, epochs=epochs, share=share, seed=3).collect()}
+    copies = defaultdict(list)
+    for r in mixing.assignments(docs, weights=weights, epochs=epochs, share=share, seed=3).collect():
+        copies[r.doc_id].append(r.copies)
     tree, rows = defaultdict(lambda: defaultdict(lambda: defaultdict(list))), docs.collect()
     for r in rows:
         n = len(re.findall(mixing.WORD, r.text or ""))
-        tree[f"d{int(re.search('([0-9]*)$', r.source)[1] or 0) % 4}"][r.lang][r.source].append((r.doc_id, n))
-    tokens = lambda t: sum(n for _, n in t) if isinstance(t, list) else sum(map(tokens, t.values()))
+        key = hashlib.md5((r.text or "").encode()).hexdigest()
+        tree[f"d{int(re.search('([0-9]*)$', r.source)[1] or 0) % 4}"][r.lang][r.source].append((r.doc_id, n, key))
     weight = lambda level, n: weights.get(level, {}).get(n, 1)
-    top = _fill({d: (weight("domain", d), tokens(t) * epochs) for d, t in tree.items()}, tokens(tree) * share)
-    for d, languages in tree.items():
-        mid = _fill({x: (weight("language", x), tokens(t) * epochs) for x, t in languages.items()}, top[d])
-        for x, leaves in languages.items():
-            low = _fill({s: (1, tokens(t) * epochs) for s, t in leaves.items()}, mid[x])
-            for s, members in leaves.items():
-                assert got[members[0][0]].quota == pytest.approx(low[s], abs=1e-6)
-                epoch = int((low[s] + 1e-6) // max(1, tokens(members)))
-                rest, before = low[s] - epoch * tokens(members), 0
-                for i, n in sorted(members, key=lambda m: hashlib.md5(f"3:{epoch}:{m[0]}".encode()).hexdigest()):
-                    assert got[i].copies == epoch + (before < rest - 1e-6), (i, s)
+    tokens = lambda t: sum(m[1] for m in t) if isinstance(t, list) else sum(map(tokens, t.values()))
+    levels = ("domain", "language", "leaf_source")
+
+    def usable(t, level):
+        """Bottom-up: what the node's leaves can take, nothing through a weight of 0."""
+        if isinstance(t, list):
+            return tokens(t) * epochs
+        return sum(usable(x, level + 1) for n, x in t.items() if weight(levels[level], n) > 0)
+
+    def share_out(t, level, budget):
+        given = _fill({n: (weight(levels[level], n), usable(x, level + 1)) for n, x in t.items() if weight(levels[level], n) > 0}, budget)
+        return {n: given.get(n, 0.0) for n in t}
+
+    used, want = 0.0, defaultdict(list)
+    for d, budget in share_out(tree, 0, tokens(tree) * share).items():
+        for x, mid in share_out(tree[d], 1, budget).items():
+            for s, low in share_out(tree[d][x], 2, mid).items():
+                members = tree[d][x][s]
+                assert got[members[0][0], False].quota == pytest.approx(low, abs=1e-6)
+                used += low
+                epoch = int((low + 1e-6) // max(1, tokens(members)))
+                rest, before = low - epoch * tokens(members), 0
+                for i, n, key in sorted(members, key=lambda m: hashlib.md5(f"3:{epoch}:{m[0]}:{m[2]}".encode()).hexdigest()):
+                    want[i].append(epoch + (before < rest - 1e-6))
                     before += n
+    assert {i: sorted(c) for i, c in copies.items()} == {i: sorted(c) for i, c in want.items()}
+    assert used == pytest.approx(min(tokens(tree) * share, usable(tree, 0)))
+
+
+def test_mixing_refuses_bad_weights(spark, no_docs):
+    for bad in ({"source": {"src1": 2}}, {"domain": {"d0": -1}}, {"domain": {"d0": float("nan")}}, {"language": {"en": float("inf")}}):
+        with pytest.raises(ValueError):
+            mixing.assignments(no_docs, weights=bad)
+
+
+def test_mixing_keeps_names_that_clash(spark, odd_docs):
+    docs = odd_docs.withColumns({"_mix_copies": F.lit("mine"), "__mix_domain": F.lit("too")})
+    taken = mixing.take_mixed(docs, epochs=1, share=9.0)
+    assert taken.columns == docs.columns
+    assert taken.where("`_mix_copies` = 'mine' and `__mix_domain` = 'too'").count() == taken.count() > 5
 
 
 def test_mixing_keeps_columns_and_copies(spark, odd_docs):

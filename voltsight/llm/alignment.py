@@ -41,7 +41,7 @@ from .common import written
 from .dictionary import Encoded, by_frequency, flat_lists, gathered, pieces_model, spread, sums, tokenizer
 
 A_PATH, B_PATH = "byte_bpe_50k.json", "piece_bpe_32k.model"
-CHUNK = 3 << 20
+CHUNK = 3 << 19
 _CUTS, _END = (rb"([A-Za-z])([.,;:!?()])", rb"([!-~])([ \n])"), b"\xff"
 _SPACE = "▁"
 
@@ -252,6 +252,7 @@ def chunks(docs: DataFrame, a_path: str = A_PATH, b_path: str = B_PATH) -> DataF
             yield pa.RecordBatch.from_arrays([pa.array([key]), lists[0], *blobs, *lists[1:]], [
                 "chunk", "docs", "parts_of_doc", "parts", "links_of_part", "links", "pairs", "totals"])
             key += 1
+            pa.default_memory_pool().release_unused()
 
     return docs.select(F.col("doc_id").cast("bigint"), "text").mapInArrow(run, _CHUNK)
 

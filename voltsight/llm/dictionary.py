@@ -16,7 +16,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 
 CHUNK = 8 << 20
-KEPT_WORDS = 200_000
+KEPT_WORDS = 100_000
 BLANKS = r"[\x20\x09-\x0D]"
 
 

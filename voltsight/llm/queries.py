@@ -8,7 +8,7 @@ from . import alignment, decontam, fim, langid, licenses, linedup, mixing, packi
 from .common import table
 
 #: Target weights of the mixing query.
-WEIGHTS = {"domain": {"d0": 4, "d1": 3, "d2": 2, "d3": 1}, "language": {"en": 3, "de": 2}}
+WEIGHTS = {"domain": {"d0": 0.4, "d1": 0.3, "d2": 0.2, "d3": 0.1}, "language": {"en": 0.5, "de": 0.25, "fr": 0.125}}
 
 QUERIES, ORACLE = {}, {}
 

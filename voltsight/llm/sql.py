@@ -33,21 +33,24 @@ def _weight(weights: dict, level: str) -> str:
 def _level(n: int, weights: dict) -> str:
     name, keys, parents = LEVELS[n], ", ".join(LEVELS[:n + 1]), ", ".join(LEVELS[:n])
     part = f"PARTITION BY {parents}" if parents else ""
-    frame = f"({part} ORDER BY cap / w, {name} ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)"
+    usable = "cap"
+    for deeper in LEVELS[n + 1:]:
+        usable = f"CASE WHEN {_weight(weights, deeper)} > 0 THEN {usable} ELSE 0 END"
+    frame = f"({part} ORDER BY cap / nullif(w, 0) NULLS LAST, {name} ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)"
     join = f"JOIN g{n - 1} USING ({parents})" if n else "CROSS JOIN root"
     return f"""
-a{n} AS (SELECT {keys}, sum(cap) AS cap, sum(tokens) AS tokens, {_weight(weights, name)} AS w FROM leaf GROUP BY {keys}),
+a{n} AS (SELECT {keys}, sum({usable}) AS cap, sum(tokens) AS tokens, {_weight(weights, name)} AS w FROM leaf GROUP BY {keys}),
 r{n} AS (SELECT *, (budget - coalesce(sum(cap) OVER {frame}, 0))
-                   / (sum(w) OVER ({part}) - coalesce(sum(w) OVER {frame}, 0)) AS rate FROM a{n} {join}),
-f{n} AS (SELECT *, cap / w <= rate AS short, max(CASE WHEN cap / w > rate THEN rate END) OVER ({part}) AS even FROM r{n}),
-g{n} AS (SELECT {keys}, tokens AS t{n}, CAST(CASE WHEN short THEN cap ELSE even * w END AS DOUBLE) AS budget FROM f{n})"""
+                   / nullif(sum(w) OVER ({part}) - coalesce(sum(w) OVER {frame}, 0), 0) AS rate FROM a{n} {join}),
+f{n} AS (SELECT *, w > 0 AND cap / nullif(w, 0) <= rate AS short, max(CASE WHEN cap / nullif(w, 0) > rate THEN rate END) OVER ({part}) AS even FROM r{n}),
+g{n} AS (SELECT {keys}, tokens AS t{n}, CAST(CASE WHEN w = 0 THEN 0 WHEN short THEN cap ELSE even * w END AS DOUBLE) AS budget FROM f{n})"""
 
 
 def mixing(weights: dict, epochs: int, share: float, seed: int) -> str:
     """Water-filling per level, then the prefix of the last epoch of each leaf."""
     levels = ",".join(_level(n, weights) for n in range(3))
     return f"""
-WITH d AS (SELECT doc_id, CAST(len(regexp_extract_all(coalesce(text, ''), '{WORD}')) AS BIGINT) AS tokens,
+WITH d AS (SELECT doc_id, coalesce(text, '') AS text, CAST(len(regexp_extract_all(coalesce(text, ''), '{WORD}')) AS BIGINT) AS tokens,
                   coalesce('d' || (coalesce(TRY_CAST(regexp_extract(source, '([0-9]{{1,9}})$', 1) AS INT), 0) % 4), '?') AS domain,
                   coalesce(lang, '?') AS language, coalesce(source, '?') AS leaf_source FROM documents),
 leaf AS (SELECT domain, language, leaf_source, CAST(sum(tokens) AS BIGINT) AS tokens, CAST(sum(tokens) * {epochs} AS BIGINT) AS cap
@@ -56,7 +59,7 @@ root AS (SELECT CAST(sum(tokens) AS DOUBLE) * {share} AS budget FROM leaf),{leve
 q AS (SELECT d.*, budget AS quota, coalesce(CAST(floor(budget / nullif(t2, 0)) AS BIGINT), 0) AS epoch, t2
       FROM d JOIN g2 USING (domain, language, leaf_source)),
 o AS (SELECT *, coalesce(sum(tokens) OVER (PARTITION BY domain, language, leaf_source
-             ORDER BY md5('{seed}:' || epoch || ':' || coalesce(CAST(doc_id AS VARCHAR), '?')), doc_id
+             ORDER BY md5('{seed}:' || epoch || ':' || coalesce(CAST(doc_id AS VARCHAR), '?') || ':' || md5(text)), doc_id
              ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before FROM q)
 SELECT doc_id, domain, language, leaf_source, round(quota, 3) AS quota,
        CAST(epoch + CAST(before < quota - epoch * t2 AS INT) AS BIGINT) AS copies FROM o"""
