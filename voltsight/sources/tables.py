@@ -114,7 +114,11 @@ def requests_from_events(spark: SparkSession, sf_dir: str, n_series: int = 8) ->
     others keep their sub-second time (as-of fallback); the event value is
     the entered generation of the source its type plays, others default 0.
     """
-    ev = read_table(spark, sf_dir, "events").select("event_id", "ts", "user_id", "event_type", "value")
+    return requests_of(read_table(spark, sf_dir, "events").select("event_id", "ts", "user_id", "event_type", "value"), n_series)
+
+
+def requests_of(ev: DataFrame, n_series: int = 8) -> DataFrame:
+    """``requests_from_events`` for any table (or micro-batch) of events."""
     on_hour = F.col("event_type").isin("view", "click")
     cols = {name: F.when(F.col("event_type") == et, F.col("value")).otherwise(F.lit(0.0))
             for et, name in _EVENT_MEASURE.items()}

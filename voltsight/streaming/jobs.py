@@ -9,8 +9,7 @@
   gives strict semantics: per micro-batch, rows older than the job's
   watermark are dropped and partial aggregates are written idempotently per
   epoch; ``hourly_from_partials`` combines them.
-* K3 scoring: a request stream joined per micro-batch with the static
-  history (request features, M3) and a fitted model.
+* K3 scoring: see ``streaming.scoring``.
 
 Sinks and checkpoints live under the session's shared checkpoint folder
 (``spark.checkpoint.dir``), one fresh sub-folder per run, so a restarted
@@ -106,25 +105,3 @@ def latest_windows(spark: SparkSession, path: str) -> DataFrame:
     last = spark.read.parquet(path).groupBy("series_id", "ts").agg(
         F.max_by(F.struct(*src.GRID_MEASURES), "epoch").alias("m"))
     return last.select("series_id", "ts", "m.*")
-
-
-def run_request_scoring(spark: SparkSession, sf_dir: str, out_dir: str) -> str:
-    """K3: request stream x static history -> request features per batch."""
-    from ..plans.requests import request_features
-    history = src.grid_hourly(spark, sf_dir)
-    stream = event_stream(spark, sf_dir)
-    on_hour = F.col("event_type").isin("view", "click")
-    req = stream.select(
-        F.col("event_id").alias("request_id"), (F.col("user_id") % F.lit(8)).cast("bigint").alias("series_id"),
-        F.when(on_hour, F.date_trunc("hour", "ts")).otherwise(F.col("ts")).cast("timestamp_ntz").alias("ts"),
-        *[F.when(F.col("event_type") == et, F.col("value")).otherwise(F.lit(0.0)).alias(n)
-          for et, n in src._EVENT_MEASURE.items()], F.lit(0.0).alias("hydro"))
-
-    def batch(df: DataFrame, epoch: int) -> None:
-        feats = request_features(df, history)
-        feats.write.mode("overwrite").parquet(os.path.join(out_dir, "scored", f"epoch={epoch}"))
-
-    q = (req.writeStream.foreachBatch(batch).option("checkpointLocation", os.path.join(out_dir, "_ckpt"))
-            .trigger(availableNow=True).start())
-    _await(q)
-    return os.path.join(out_dir, "scored")
