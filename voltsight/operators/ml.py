@@ -15,6 +15,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import windows as win
+from .moments import centred_moments
 from .profile import quantile_row, scalars
 
 
@@ -175,35 +176,16 @@ def fit_linear_1d(train: DataFrame, y: str, x: str, keys=()) -> DataFrame:
     return train.groupBy(*keys).agg(F.regr_slope(y, x).alias("slope"), F.regr_intercept(y, x).alias("intercept"))
 
 
-def gram_moments(df: DataFrame, y: str, features) -> tuple:
-    """X'X, X'y, y'y, sum(x), sum(y), n from one aggregation (d is small)."""
-    fs = list(features)
-    aggs = [F.count(F.lit(1)).alias("n"), F.sum(y).alias("sy"), F.sum(F.col(y) * F.col(y)).alias("syy")]
-    aggs += [F.sum(f).alias(f"s_{i}") for i, f in enumerate(fs)]
-    aggs += [F.sum(F.col(f) * F.col(y)).alias(f"sy_{i}") for i, f in enumerate(fs)]
-    aggs += [F.sum(F.col(a) * F.col(b)).alias(f"g_{i}_{j}") for i, a in enumerate(fs) for j, b in enumerate(fs) if j >= i]
-    r = df.select(y, *fs).dropna().agg(*aggs).first().asDict()
-    d = len(fs)
-    G = np.zeros((d, d))
-    for i in range(d):
-        for j in range(i, d):
-            G[i, j] = G[j, i] = r[f"g_{i}_{j}"] or 0.0
-    return (G, np.array([r[f"sy_{i}"] or 0.0 for i in range(d)]), r["syy"] or 0.0,
-            np.array([r[f"s_{i}"] or 0.0 for i in range(d)]), r["sy"] or 0.0, int(r["n"]))
-
-
 def bayesian_ridge(df: DataFrame, y: str, features, n_iter: int = 300, tol: float = 1e-3) -> dict:
     """M9: Bayesian ridge by evidence maximisation (MacKay updates).
 
-    Centred Gram matrix from one distributed aggregation; the d x d
+    Centred moments from one distributed aggregation; the d x d
     fixed-point iteration runs on the driver.  Priors as scikit-learn's
     defaults (all 1e-6).
     """
-    G, Xy, yy, sx, sy, n = gram_moments(df, y, features)
-    mx, my = sx / n, sy / n
-    C = G - n * np.outer(mx, mx)
-    c = Xy - n * mx * my
-    syy = yy - n * my * my
+    m = centred_moments(df, [*features, y])
+    n, mx, my = m.n, m.mean[:-1], m.mean[-1]
+    C, c, syy = m.comoment[:-1, :-1], m.comoment[:-1, -1], m.comoment[-1, -1]
     a1 = a2 = l1 = l2 = 1e-6
     alpha, lam = 1.0 / max(syy / n, 1e-12), 1.0
     evals, evecs = np.linalg.eigh(C)
@@ -297,15 +279,14 @@ def run_parallel(tasks, parallelism: int = 8) -> list:
 
 
 def pca_fit(df: DataFrame, features, k: int | None = None, variance: float | None = 0.95) -> dict:
-    """M7: centred PCA from the covariance matrix of one Gram aggregation.
+    """M7: centred PCA from the covariance matrix of one pass of centred moments.
 
     Keeps the smallest k whose cumulative explained ratio exceeds
     ``variance`` (or a fixed k); component signs are fixed so the largest
     absolute loading is positive.
     """
-    G, _, _, sx, _, n = gram_moments(df.withColumn("_one", F.lit(1.0)), "_one", features)
-    mean = sx / n
-    cov = (G - n * np.outer(mean, mean)) / max(n - 1, 1)
+    m = centred_moments(df, features)
+    mean, cov = m.mean, m.covariance()
     evals, evecs = np.linalg.eigh(cov)
     order = np.argsort(evals)[::-1]
     evals, evecs = evals[order], evecs[:, order]

@@ -1,7 +1,7 @@
 """Stationarity tests (D4 ADF, D5 KPSS) as Spark aggregations.
 
 Row-level work (differences, lags, residuals, partial sums, lagged
-products) is distributed; what reaches the driver is a d x d Gram matrix or
+products) is distributed; what reaches the driver is a d x d matrix of moments or
 a few scalars, whose size depends on the lag order, never on the rows.
 """
 
@@ -14,6 +14,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import windows as win
+from .moments import centred_moments
 
 # ---- fixed values: ADF p-value approximation for the constant-only case ----
 # (MacKinnon 1994, one variable): tau bounds and polynomial coefficients.
@@ -40,33 +41,13 @@ def adf_pvalue(stat: float) -> float:
     return _norm_cdf(sum(c * stat ** i for i, c in enumerate(coef)))
 
 
-def _gram(df: DataFrame, cols) -> np.ndarray:
-    """Sum of outer products of ``cols`` over complete rows (one aggregation)."""
-    d = len(cols)
-    aggs = [F.sum(F.col(a) * F.col(b)).alias(f"g_{i}_{j}") for i, a in enumerate(cols) for j, b in enumerate(cols) if j >= i]
-    aggs.append(F.count(F.lit(1)).alias("n"))
-    r = df.select(*cols).dropna().agg(*aggs).first().asDict()
-    G = np.zeros((d, d))
-    for i in range(d):
-        for j in range(i, d):
-            G[i, j] = G[j, i] = r[f"g_{i}_{j}"] or 0.0
-    return G, int(r["n"])
-
-
-def _ols_from_gram(G: np.ndarray, n: int, ycol: int, xcols: list):
-    XtX = G[np.ix_(xcols, xcols)]
-    Xty = G[xcols, ycol]
-    beta = np.linalg.solve(XtX, Xty)
-    ssr = G[ycol, ycol] - 2 * beta @ Xty + beta @ XtX @ beta
-    return beta, max(float(ssr), 0.0), XtX
-
-
 def adf(df: DataFrame, x: str, keys=("series_id",), ts: str = "ts", maxlag: int | None = None) -> dict:
     """Augmented Dickey-Fuller test with a constant, lag order by AIC.
 
-    All candidate orders are fitted on the common sample from one Gram
-    aggregation (each order is a sub-block), then the chosen order is
-    refitted on its full sample with a second aggregation.
+    All candidate orders are fitted on the common sample from one pass of
+    centred moments (each order is a sub-block; centring stands for the
+    constant), then the chosen order is refitted on its full sample with a second
+    pass.  The result does not depend on the level of the series.
     """
     keys = list(keys)
     n = df.where(F.col(x).isNotNull()).count()
@@ -77,29 +58,28 @@ def adf(df: DataFrame, x: str, keys=("series_id",), ts: str = "ts", maxlag: int
     w = lay.window()
     dy = F.col(x) - F.lag(x, 1).over(w)
     d = lay.df.withColumn("_dy", dy)
-    cols = {"_one": F.lit(1.0), "_ylag": F.lag(x, 1).over(w)}
+    cols = {"_ylag": F.lag(x, 1).over(w)}
     for i in range(1, maxlag + 1):
         cols[f"_dl{i}"] = F.lag("_dy", i).over(w)
     d = lay.finish(d.withColumns(cols), keep_idx=True)
-    names = ["_dy", "_one", "_ylag"] + [f"_dl{i}" for i in range(1, maxlag + 1)]
-    G, nobs = _gram(d, names)
+    names = ["_dy", "_ylag"] + [f"_dl{i}" for i in range(1, maxlag + 1)]
+    moments = centred_moments(d, names)
+    nobs = moments.n
     best = None
     for p in range(0, maxlag + 1):
-        xcols = [1, 2] + [3 + i for i in range(p)]
-        _, ssr, _ = _ols_from_gram(G, nobs, 0, xcols)
-        k = len(xcols)
+        _, ssr, _ = moments.least_squares(0, list(range(1, p + 2)))
+        k = p + 2
         llf = -nobs / 2.0 * (math.log(2 * math.pi) + math.log(ssr / nobs) + 1.0)
         aic = -2.0 * llf + 2.0 * k
         if best is None or aic < best[0]:
             best = (aic, p)
     p = best[1]
-    names_p = ["_dy", "_one", "_ylag"] + [f"_dl{i}" for i in range(1, p + 1)]
-    G2, n2 = _gram(d, names_p)
-    xcols = list(range(1, len(names_p)))
-    beta, ssr, XtX = _ols_from_gram(G2, n2, 0, xcols)
-    sigma2 = ssr / (n2 - len(xcols))
-    se = math.sqrt(sigma2 * np.linalg.inv(XtX)[1, 1])
-    stat = float(beta[1] / se)
+    refit = centred_moments(d, names[:p + 2])
+    n2 = refit.n
+    beta, ssr, own = refit.least_squares(0, list(range(1, p + 2)))
+    sigma2 = ssr / (n2 - p - 2)
+    se = math.sqrt(sigma2 * np.linalg.inv(own)[0, 0])
+    stat = float(beta[0] / se)
     crit = {k: c[0] + c[1] / n2 + c[2] / n2 ** 2 + c[3] / n2 ** 3 for k, c in ADF_CRIT.items()}
     return {"adf_stat": stat, "p_value": adf_pvalue(stat), "used_lag": p, "nobs": n2, "critical": crit,
             "ic_best": float(best[0])}

@@ -1,16 +1,19 @@
 """Spark ML model queries.
 
 Fits are ``pyspark.ml`` estimators (distributed tree/linear/MLP/KMeans
-training) or one Gram-matrix aggregation plus a d x d driver solve.  Except
+training) or one pass of centred moments plus a d x d driver solve.  Except
 for the fold table (M18), results depend on estimator internals and have no
 SQL oracle: the driver records a rows-only check for them.
 """
 
+import math
+
 from pyspark.sql import functions as F
 
 from ..catalog import FEATURES_SQL, GRID_SQL, GRID1_SQL, register, ts_text
 from ..functions import columns as col
 from ..operators import ml
+from ..operators.moments import centred_moments
 from ..operators.profile import quantile_row
 from ..plans import features as fe
 from ..sources import tables as src
@@ -61,6 +64,29 @@ def _union(dfs):
     return out
 
 
+_MOMENT_COLS = ["load", "price", "renewable", "fossil", "demand_lag_1h", "demand_lag_24h", "demand_avg_24h", "price_lag_24h"]
+#: common offset of every column: the moments must not notice it
+_OFFSET = 1e8
+
+
+@register("m7_centred_moments", FEATURES_SQL + f", c AS (SELECT * FROM f WHERE {' AND '.join(f'{c} IS NOT NULL' for c in _MOMENT_COLS)}) SELECT * FROM ("  + " UNION ALL ".join(
+    f"SELECT '{a}' AS a, '{b}' AS b, CAST(count(*) AS BIGINT) AS n, round(avg({a}), 3) + 0.0 AS mean_a, round(corr({a}, {b}), 5) + 0.0 AS corr, "
+    f"round(ln(greatest(abs(covar_pop({a}, {b})), 1e-3)), 3) + 0.0 AS log_covar FROM c"
+    for i, a in enumerate(_MOMENT_COLS) for b in _MOMENT_COLS[i:]) + ")", digits=5)
+def q_centred_moments(spark, sf_dir):
+    """One pass of mergeable centred moments over the feature table,
+    each column moved by 1e8 first; SQL has them without the offset."""
+    f = fe.training_features(src.grid_hourly(spark, sf_dir))
+    m = centred_moments(f.select(*[(F.col(c) + F.lit(_OFFSET)).alias(c) for c in _MOMENT_COLS]), _MOMENT_COLS)
+    cov, rows = m.covariance(0), []
+    for i, a in enumerate(_MOMENT_COLS):
+        for j in range(i, len(_MOMENT_COLS)):
+            rows.append((a, _MOMENT_COLS[j], m.n, round(m.mean[i] - _OFFSET, 3), round(cov[i, j] / math.sqrt(cov[i, i] * cov[j, j]), 5),
+                         round(math.log(max(abs(cov[i, j]), 1e-3)), 3)))
+    return spark.createDataFrame([tuple(x.item() if hasattr(x, "item") else x for x in r) for r in rows],
+                                 "a string, b string, n bigint, mean_a double, corr double, log_covar double")
+
+
 @register("m7_pca")
 def q_pca(spark, sf_dir):
     """M7: centred PCA keeping 95 % variance on robust-scaled training features."""
