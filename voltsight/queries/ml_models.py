@@ -70,7 +70,7 @@ _OFFSET = 1e8
 
 
 @register("m7_centred_moments", FEATURES_SQL + f", c AS (SELECT * FROM f WHERE {' AND '.join(f'{c} IS NOT NULL' for c in _MOMENT_COLS)}) SELECT * FROM ("  + " UNION ALL ".join(
-    f"SELECT '{a}' AS a, '{b}' AS b, CAST(count(*) AS BIGINT) AS n, round(avg({a}), 3) + 0.0 AS mean_a, round(corr({a}, {b}), 5) + 0.0 AS corr, "
+    f"SELECT '{a}' AS a, '{b}' AS b, CAST(count(*) AS BIGINT) AS n, round(avg({a}), 5) + 0.0 AS mean_a, round(corr({a}, {b}), 5) + 0.0 AS corr, "
     f"round(ln(greatest(abs(covar_pop({a}, {b})), 1e-3)), 3) + 0.0 AS log_covar FROM c"
     for i, a in enumerate(_MOMENT_COLS) for b in _MOMENT_COLS[i:]) + ")", digits=5)
 def q_centred_moments(spark, sf_dir):
@@ -81,7 +81,7 @@ def q_centred_moments(spark, sf_dir):
     cov, rows = m.covariance(0), []
     for i, a in enumerate(_MOMENT_COLS):
         for j in range(i, len(_MOMENT_COLS)):
-            rows.append((a, _MOMENT_COLS[j], m.n, round(m.mean[i] - _OFFSET, 3), round(cov[i, j] / math.sqrt(cov[i, i] * cov[j, j]), 5),
+            rows.append((a, _MOMENT_COLS[j], m.n, round(m.mean[i] - _OFFSET, 5), round(cov[i, j] / math.sqrt(cov[i, i] * cov[j, j]), 5),
                          round(math.log(max(abs(cov[i, j]), 1e-3)), 3)))
     return spark.createDataFrame([tuple(x.item() if hasattr(x, "item") else x for x in r) for r in rows],
                                  "a string, b string, n bigint, mean_a double, corr double, log_covar double")
