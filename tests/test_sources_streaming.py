@@ -5,6 +5,7 @@ import tempfile
 import time
 
 import pandas as pd
+import pytest
 from pyspark.sql import functions as F
 
 from voltsight.sources import tables as src
@@ -12,14 +13,37 @@ from voltsight.streaming import jobs
 
 
 def test_validate_and_refresh(spark):
-    tmp = tempfile.mkdtemp(prefix="vs-refresh-")
+    from voltsight.sources import snapshots
+    path = os.path.join(tempfile.mkdtemp(prefix="vs-refresh-"), "history")
     good = spark.createDataFrame([("2020-01-01 00:00:00+00:00", 1.0, 2.0)], "time string, `total load actual` double, `price actual` double")
-    bad = spark.createDataFrame([("2020-01-01 00:00:00+00:00", 1.0)], "time string, `total load actual` double")
-    path = os.path.join(tmp, "history")
-    assert src.refresh_history(good, path)["replaced"]
-    status = src.refresh_history(bad, path)
-    assert not status["replaced"] and status["missing"] == ["price actual"]
-    assert spark.read.parquet(path).count() == 1          # old data kept
+    bad = good.drop("price actual")
+    assert src.validate_required(bad) == {"ok": False, "missing": ["price actual"]}
+    assert snapshots.refresh(bad, path) == {"replaced": False, "missing": ["price actual"], "version": None, "n_rows": None}
+    with pytest.raises(FileNotFoundError):
+        snapshots.current(spark, path)
+    assert snapshots.refresh(good, path)["version"] == 1
+    assert snapshots.refresh(bad, path) == {"replaced": False, "missing": ["price actual"], "version": 1, "n_rows": 1}
+    assert snapshots.current(spark, path).count() == 1          # old data kept
+
+
+def test_refresh_survives_failure_and_keeps_begun_readers(spark):
+    from voltsight.sources import snapshots
+    path = os.path.join(tempfile.mkdtemp(prefix="vs-refresh-"), "h")
+    first = spark.range(100).withColumn("v", F.col("id") * 2)
+    snapshots.refresh(first, path, ["id", "v"])
+    reader = snapshots.current(spark, path)
+    broken = first.withColumn("v", F.when(F.col("id") == 77, F.raise_error(F.lit("broken reading")).cast("bigint")).otherwise(F.col("v")))
+    with pytest.raises(Exception, match="broken reading"):
+        snapshots.refresh(broken, path, ["id", "v"])
+    assert snapshots.current(spark, path).count() == 100 and len(os.listdir(f"{path}/data")) == 1
+    # a version derived from the current one; a reader that has begun keeps its rows
+    status = snapshots.refresh(reader.where("id < 10"), path, ["id", "v"])
+    assert status == {"replaced": True, "missing": [], "version": 2, "n_rows": 10}
+    assert reader.count() == 100 and snapshots.current(spark, path).count() == 10
+    snapshots.refresh(first, path, ["id", "v"])
+    assert len(os.listdir(f"{path}/data")) == 2 and snapshots.current(spark, path).count() == 100
+    with pytest.raises(RuntimeError):
+        snapshots._publish(spark, path, {"version": 3, "folder": "other", "n_rows": 0, "columns": []})
 
 
 def _events(rows):

@@ -1,10 +1,14 @@
 """Smaller projections and scalar-function queries."""
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from ..catalog import GRID_SQL, R, register, ts_text
 from ..functions import columns as col
 from ..plans import features as fe
+from ..session import ensure_checkpoint_dir
+from ..sources import snapshots
 from ..sources import tables as src
 
 
@@ -147,3 +151,35 @@ def q_drop_degenerate(spark, sf_dir):
     """An all-zero and a constant column are dropped."""
     o = src.read_table(spark, sf_dir, "orders").select("o_orderkey", "o_totalprice")
     return fe.drop_degenerate(o.withColumns({"zeros": F.col("o_orderkey") * 0, "constant": F.col("o_orderkey") * 0 + 7}))
+
+
+_S5_REQUIRED = ["o_orderkey", "o_totalprice"]
+_S5_ALL = "count(*) AS n_rows, round(sum(o_totalprice), 2) AS total FROM orders"
+
+
+@register("s5_dataset_refresh", f"""
+SELECT CAST(1 AS BIGINT) AS step, TRUE AS replaced, '' AS missing, CAST(1 AS BIGINT) AS version, {_S5_ALL}
+UNION ALL SELECT 2, FALSE, 'o_totalprice', 1, {_S5_ALL}
+UNION ALL SELECT 3, TRUE, '', 2, {_S5_ALL} WHERE o_orderstatus = 'F'
+UNION ALL SELECT 4, FALSE, 'failed', 2, {_S5_ALL} WHERE o_orderstatus = 'F'
+""", digits=2)
+def q_dataset_refresh(spark, sf_dir):
+    """Four arrivals - valid, without a required column, valid, failing while
+    it is written - and what readers see after each."""
+    path = f"{ensure_checkpoint_dir(spark)}/refresh-{uuid.uuid4().hex}"
+    orders = src.read_table(spark, sf_dir, "orders").select("o_orderkey", "o_orderstatus", F.col("o_totalprice").cast("double"))
+    broken = F.when(F.col("o_orderkey") > 0, F.raise_error(F.lit("broken reading")).cast("double")).otherwise(F.col("o_totalprice"))
+    arrivals = [orders, orders.drop("o_totalprice"), orders.where("o_orderstatus = 'F'"), orders.withColumn("o_totalprice", broken)]
+    out = None
+    for step, new in enumerate(arrivals, 1):
+        try:
+            status = snapshots.refresh(new, path, _S5_REQUIRED)
+        except Exception as e:
+            if "broken reading" not in str(e):
+                raise
+            status = {"replaced": False, "missing": ["failed"], "version": snapshots.newest(spark, path).version}
+        seen = snapshots.current(spark, path).agg(F.count(F.lit(1)).alias("n_rows"), F.sum("o_totalprice").alias("total"))
+        row = seen.select(F.lit(step).cast("bigint").alias("step"), F.lit(status["replaced"]).alias("replaced"),
+                          F.lit(",".join(status["missing"])).alias("missing"), F.lit(status["version"]).alias("version"), "n_rows", "total")
+        out = row if out is None else out.unionByName(row)
+    return out

@@ -98,15 +98,6 @@ def validate_required(df: DataFrame, required=C.REQUIRED_COLUMNS) -> dict:
     return {"ok": not missing, "missing": missing}
 
 
-def refresh_history(new_df: DataFrame, path: str, required=C.REQUIRED_COLUMNS) -> dict:
-    """A newly arrived dataset replaces the stored history if it is valid."""
-    status = validate_required(new_df, required)
-    if status["ok"]:
-        new_df.write.mode("overwrite").parquet(path)
-    status["replaced"] = status["ok"]
-    return status
-
-
 def requests_from_events(spark: SparkSession, sf_dir: str, n_series: int = 8) -> DataFrame:
     """Scoring requests derived from ``events``: one request per event.
 
