@@ -28,7 +28,8 @@ ODD_ROWS = [
     (9, "Der Hund und die Katze sitzen auf der Matte und schlafen.", "de", "srcX", 1),
     (10, "日本語のテキスト é ü ß 🎉", None, "src5", 1),
 ]
-CLASH = ("shard", "fp", "key", "component_id", "score", "hits", "tokens", "domain", "quota", "lines", "n_hit", "size", "slot", "items")
+CLASH = ("shard", "fp", "key", "component_id", "score", "hits", "tokens", "domain", "quota", "lines", "n_hit", "size", "slot", "items",
+         "_id", "_hash", "_text_hash", "_bad", "_text_key", "_p", "_kept_id", "_kept_hash", "_bad_key")
 
 
 @pytest.fixture(scope="session")

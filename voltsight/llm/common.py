@@ -24,6 +24,14 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def fresh(docs: DataFrame, name: str) -> str:
+    """``name``, led by as many underscores as no column of ``docs`` has."""
+    taken = {c.lower() for c in docs.columns}
+    while name.lower() in taken:
+        name = "_" + name
+    return name
+
+
 def utf8_chunks(texts: pa.Array, limit: int = CHUNK):
     """Yield ``(first, data, bounds)``: rows ``first..`` as one uint8 array and
     their ``rows + 1`` byte bounds, about ``limit`` bytes a time.  Null is empty."""

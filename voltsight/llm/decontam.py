@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import SpanHasher, grams, materialised, runs, same, text_key, utf8_chunks
+from .common import SpanHasher, fresh, grams, materialised, runs, same, text_key, utf8_chunks
 
 GUARANTEE, K = 10, 6
 BITMAP_BITS = 23
@@ -222,9 +222,9 @@ def contamination(docs: DataFrame, benchmark: DataFrame, guarantee: int = GUARAN
 
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame, **how) -> DataFrame:
     """The documents without any hit word, all columns kept."""
-    bad = contamination(docs, benchmark, **how).where("n_hit > 0").select(F.col("key").alias("_bad")).distinct()
-    return docs.withColumn("_text_key", text_key()).join(
-        bad, same(F.col("_text_key"), F.col("_bad")), "left_anti").drop("_text_key")
+    key, bad_key = fresh(docs, "_text_key"), fresh(docs, "_bad_key")
+    bad = contamination(docs, benchmark, **how).where("n_hit > 0").select(F.col("key").alias(bad_key)).distinct()
+    return docs.withColumn(key, text_key()).join(bad, same(F.col(key), F.col(bad_key)), "left_anti").drop(key)
 
 
 def sha256_of(items: str = "items"):

@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import has_letter, utf8_chunks
+from .common import fresh, has_letter, utf8_chunks
 
 DIM_BITS = 13
 DIM = 1 << DIM_BITS
@@ -156,5 +156,6 @@ def identified(docs: DataFrame, model: Model | None = None) -> DataFrame:
 def keep_identified(docs: DataFrame, model: Model | None = None) -> DataFrame:
     """The documents with one clear language, all columns kept."""
     model = model or train(docs)
-    return docs.withColumn("_p", model.column()).where(
-        (F.col("_p.lang") != UNKNOWN) & ~F.col("_p.ambiguous")).drop("_p")
+    p = fresh(docs, "_p")
+    return docs.withColumn(p, model.column()).where(
+        (F.col(f"{p}.lang") != UNKNOWN) & ~F.col(f"{p}.ambiguous")).drop(p)

@@ -25,7 +25,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialised, same
+from .common import fresh, materialised, same
 from .components import connected_components
 
 SHINGLE, MAX_BITS, BLOCKS, PART, SEED = 3, 3, 6, 4096, 42
@@ -131,8 +131,9 @@ def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, max_bits: int = MAX
 def keep_one(docs: DataFrame, **how) -> DataFrame:
     """One document of every component (the one with the least id), all columns
     kept; of rows that repeat both id and text, one."""
+    key, own_id, own_hash = (fresh(docs, n) for n in ("_text_hash", "_kept_id", "_kept_hash"))
     chosen = near_duplicates(docs, **how).where("stays").select(
-        F.col("doc_id").alias("_id"), F.col("text_hash").alias("_hash")).distinct()
-    own = docs.withColumn("_text_hash", F.xxhash64("text"))
-    met = own.join(chosen, same(F.col("doc_id"), F.col("_id")) & (F.col("_text_hash") == F.col("_hash")), "left_semi")
-    return met.dropDuplicates(["doc_id", "_text_hash"]).drop("_text_hash")
+        F.col("doc_id").alias(own_id), F.col("text_hash").alias(own_hash)).distinct()
+    own = docs.withColumn(key, F.xxhash64("text"))
+    met = own.join(chosen, same(F.col("doc_id"), F.col(own_id)) & (F.col(key) == F.col(own_hash)), "left_semi")
+    return met.dropDuplicates(["doc_id", key]).drop(key)
