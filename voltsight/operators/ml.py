@@ -37,27 +37,52 @@ def chrono_split_label(df: DataFrame, keys, ts: str, frac: float = 0.8, guard: b
     return d.withColumn(out, F.when(F.col(win.IDX) < cut, "train").otherwise("test")).drop("_n", win.IDX)
 
 
-def time_series_folds(df: DataFrame, keys, ts: str, n_splits: int = 5) -> DataFrame:
-    """Expanding-window folds (scikit-learn ``TimeSeriesSplit`` layout).
-
-    ``test_size = n // (n_splits + 1)``; fold i tests rows
-    ``[n - (n_splits - i) * test_size, + test_size)`` and trains on every
-    earlier row.  Each row is copied once per fold it belongs to (at most
-    ``n_splits`` copies - a parameter, not data-sized).
-    """
+def fold_positions(df: DataFrame, keys, ts: str) -> DataFrame:
+    """Rows with their position ``_at`` in the series and its length ``_of``;
+    every fold of an expanding-window split is a range of positions."""
     keys = list(keys)
-    lay = win.layout(df, keys, ts)
-    d = lay.finish(keep_idx=True)
-    n = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"))
-    d = d.join(n, on=keys, how="inner")
-    tsz = F.floor(F.col("_n") / (n_splits + 1))
-    folds = []
+    d = win.layout(df, keys, ts).finish(keep_idx=True).withColumnRenamed(win.IDX, "_at")
+    return d.join(df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_of")), on=keys, how="inner")
+
+
+def fold_rows(positions: DataFrame, fold: int, role: str, n_splits: int = 5) -> DataFrame:
+    """The ``train`` or ``test`` rows of one fold (scikit-learn's
+    ``TimeSeriesSplit``): with ``size = n // (n_splits + 1)``, fold ``i`` tests
+    ``size`` rows from ``n - (n_splits - i) * size`` on and trains on all before them.
+    A filter over the one table of positions; no row is copied."""
+    size = F.floor(F.col("_of") / (n_splits + 1))
+    start = F.col("_of") - (n_splits - fold) * size
+    within = F.col("_at") < start if role == "train" else (F.col("_at") >= start) & (F.col("_at") < start + size)
+    return positions.where(within).drop("_at", "_of")
+
+
+def fold_segment(n_splits: int = 5):
+    """Column 0 for rows that no fold tests, else 1 + the fold that tests the
+    row: fold ``i`` trains on the segments up to ``i`` and tests segment ``i + 1``, so
+    statistics of all folds add up from one pass over the segments."""
+    size = F.floor(F.col("_of") / (n_splits + 1))
+    past = F.col("_at") - (F.col("_of") - n_splits * size)
+    return F.when(past < 0, 0).when(size > 0, F.floor(past / size) + 1).otherwise(0).cast("int")
+
+
+def fold_lines(segments: DataFrame, y: str, x: str, n_splits: int = 5) -> list:
+    """M8 + M18: ``(slope, intercept)`` of the least-squares line of every fold's
+    training rows.  ``segments`` has a column ``segment``; each segment gives its
+    centred moments once, which are merged from fold to fold (six small rows)."""
+    ok = F.col(x).isNotNull() & F.col(y).isNotNull()
+    parts = {r.segment: r for r in segments.where(ok).groupBy("segment").agg(
+        F.count(F.lit(1)).alias("n"), F.avg(x).alias("mx"), F.avg(y).alias("my"), F.var_pop(x).alias("vx"),
+        F.covar_pop(x, y).alias("cxy")).collect()}
+    lines, n, mx, my, sxx, sxy = [], 0, 0.0, 0.0, 0.0, 0.0
     for i in range(n_splits):
-        start = F.col("_n") - (n_splits - i) * tsz
-        role = F.when(F.col(win.IDX) < start, "train").when(F.col(win.IDX) < start + tsz, "test")
-        folds.append(F.when(role.isNotNull(), F.struct(F.lit(i).alias("fold"), role.alias("role"))))
-    d = d.withColumn("_f", F.explode(F.filter(F.array(*folds), lambda s: s.isNotNull())))
-    return d.select("*", "_f.fold", "_f.role").drop("_f", "_n")
+        p = parts.get(i)
+        if p is not None:
+            dx, dy, both = p.mx - mx, p.my - my, n + p.n
+            sxx += p.vx * p.n + dx * dx * n * p.n / both
+            sxy += p.cxy * p.n + dx * dy * n * p.n / both
+            mx, my, n = mx + dx * p.n / both, my + dy * p.n / both, both
+        lines.append((sxy / sxx, my - sxy / sxx * mx) if sxx > 0 else (None, None))
+    return lines
 
 
 # ----------------------------------------------------------------- M5 / M6
@@ -270,6 +295,16 @@ def fit_classifier(train: DataFrame, features, label: str, kind: str, **kw):
     return Pipeline(stages=stages).fit(train)
 
 
+def fit_clusters(df: DataFrame, features, k: int, seed: int = 42):
+    """Pipeline assemble -> robust scale (median, IQR) -> KMeans; ``prediction``
+    is the number of the nearest centre."""
+    from pyspark.ml.clustering import KMeans
+    from pyspark.ml.feature import RobustScaler
+    return Pipeline(stages=[assembler(features),
+                            RobustScaler(inputCol="features", outputCol="scaled", withCentering=True, withScaling=True),
+                            KMeans(k=k, seed=seed, maxIter=100, featuresCol="scaled", predictionCol="prediction")]).fit(df)
+
+
 def run_parallel(tasks, parallelism: int = 8) -> list:
     """Run independent fits as concurrent Spark jobs (as ``CrossValidator``'s
     ``parallelism`` does); the results in the order of the tasks."""
@@ -332,6 +367,8 @@ def assign_nearest(df: DataFrame, centres, features, out: str = "cluster") -> Da
     it is part of the fitted model, so it enters the plan as literals - no
     join and no per-row Python.  Ties go to the lower cluster index.
     """
+    if not len(centres):
+        raise ValueError("no centre to assign to")
     x = F.array(*[F.col(f).cast("double") for f in features])
     dists = []
     for ci, c in enumerate(centres):

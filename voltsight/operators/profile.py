@@ -233,20 +233,20 @@ def kde_curve(df: DataFrame, x: str, points: int = 64) -> DataFrame:
     """Gaussian kernel density on a fixed grid of ``points`` between
     min and max, Scott bandwidth ``1.06 * std * n^(-1/5)``.
 
-    Each row emits its kernel value at every grid point (``points`` is a
-    fixed parameter, not data-sized), then one grouped sum per grid point.
+    One aggregation with a sum per grid point (``points`` is a fixed parameter): rows
+    are added up where they are read, none is copied, and one row is shuffled per task.
     """
     st = df.agg(F.min(x).alias("_lo"), F.max(x).alias("_hi"), F.stddev_samp(x).alias("_sd"),
                 F.count(x).alias("_n"))
     st = st.withColumn("_h", F.col("_sd") * 1.06 * F.pow(F.col("_n").cast("double"), -0.2))
     sc = scalars(st)
     d = df.where(F.col(x).isNotNull()).select(x, *[sc[n].alias(n) for n in ("_lo", "_hi", "_n", "_h")])
-    grid = F.transform(F.sequence(F.lit(0), F.lit(points - 1)),
-                       lambda i: F.col("_lo") + i * (F.col("_hi") - F.col("_lo")) / (points - 1))
-    d = d.select("_n", "_h", F.posexplode(grid).alias("point", "at"), x)
-    k = F.exp(-0.5 * F.pow((F.col("at") - F.col(x)) / F.col("_h"), 2)) / math.sqrt(2 * math.pi)
-    return d.groupBy("point", "at", "_n", "_h").agg(F.sum(k).alias("_s")).select(
-        "point", "at", (F.col("_s") / (F.col("_n") * F.col("_h"))).alias("density"))
+    at = [F.col("_lo") + F.lit(i) * (F.col("_hi") - F.col("_lo")) / (points - 1) for i in range(points)]
+    sums = [F.sum(F.exp(-0.5 * F.pow((a - F.col(x)) / F.col("_h"), 2)) / math.sqrt(2 * math.pi)) for a in at]
+    one = d.groupBy("_lo", "_hi", "_n", "_h").agg(*[s.alias(f"_s{i}") for i, s in enumerate(sums)])
+    return one.select("_n", "_h", F.posexplode(F.array(*[
+        F.struct(a.alias("at"), F.col(f"_s{i}").alias("s")) for i, a in enumerate(at)])).alias("point", "v")).select(
+        "point", "v.at", (F.col("v.s") / (F.col("_n") * F.col("_h"))).alias("density"))
 
 
 # ----------------------------------------------------------------- A14, A20, P10

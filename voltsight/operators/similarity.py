@@ -28,6 +28,11 @@ def _blocks(n: int, rows: int) -> int:
     return max(1, int(math.ceil(n / rows)))
 
 
+def _usable(rows: DataFrame, id_col: str, vec: str) -> DataFrame:
+    bad = F.exists(F.col(vec).cast("array<double>"), lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf")))
+    return rows.where(F.col(id_col).isNotNull() & F.col(vec).isNotNull() & ~bad)
+
+
 def topk_similar(queries: DataFrame, profiles: DataFrame, qid: str, pid: str, qvec: str, pvec: str,
                  k: int = 5, metric: str = "cosine", exclude_self: bool = False,
                  block_rows: int = BLOCK_ROWS) -> DataFrame:
@@ -35,15 +40,20 @@ def topk_similar(queries: DataFrame, profiles: DataFrame, qid: str, pid: str, qv
 
     ``metric='cosine'`` scores by cosine similarity (higher first);
     ``'euclidean'`` by distance (lower first).  Ties go to the smaller
-    profile id.  ``exclude_self`` drops pairs with equal ids (J6).
+    profile id.  ``exclude_self`` drops pairs with equal ids (J6).  Rows without an id
+    and vectors that are null or hold a null or non-finite value take no part;
+    vectors of different lengths don't meet.
     """
     cosine = metric == "cosine"
+    queries, profiles = _usable(queries, qid, qvec), _usable(profiles, pid, pvec)
     npf, nq = profiles.count(), queries.count()
     QB, PB = _blocks(nq, block_rows), _blocks(npf, block_rows)
     q = (queries.select(F.col(qid).cast("bigint").alias("qid"), F.col(qvec).cast("array<double>").alias("v"))
+                .withColumn("_d", F.size("v"))
                 .withColumn("_qb", F.pmod(F.xxhash64("qid"), F.lit(QB)).cast("int"))
                 .withColumn("_pb", F.explode(F.sequence(F.lit(0), F.lit(PB - 1)))))
     p = (profiles.select(F.col(pid).cast("bigint").alias("pid"), F.col(pvec).cast("array<double>").alias("v"))
+                 .withColumn("_d", F.size("v"))
                  .withColumn("_pb", F.pmod(F.xxhash64("pid"), F.lit(PB)).cast("int"))
                  .withColumn("_qb", F.explode(F.sequence(F.lit(0), F.lit(QB - 1)))))
     chunk = QUERY_CHUNK
@@ -71,7 +81,7 @@ def topk_similar(queries: DataFrame, profiles: DataFrame, qid: str, pid: str, qv
                                        "score": np.asarray(sc, dtype=np.float64)}))
         return pd.concat(parts, ignore_index=True) if parts else empty
 
-    cand = q.groupBy("_qb", "_pb").cogroup(p.groupBy("_qb", "_pb")).applyInPandas(
+    cand = q.groupBy("_qb", "_pb", "_d").cogroup(p.groupBy("_qb", "_pb", "_d")).applyInPandas(
         score_block, "qid bigint, pid bigint, score double")
     o = F.col("score").desc() if cosine else F.col("score").asc()
     w = Window.partitionBy("qid").orderBy(o, F.col("pid"))
@@ -137,3 +147,62 @@ def knn_regress(queries: DataFrame, train: DataFrame, qid: str, pid: str, vec: s
                 F.sum(F.when(~zero, 1.0 / F.col("score"))))
     return j.groupBy(qid).agg(F.when(F.max(zero.cast("int")) == 1, F.avg(F.when(zero, F.col("_y"))))
                                .otherwise(inv_mean).alias("prediction"))
+
+
+def silhouette_rows(rows: DataFrame, id_col: str, vec: str, label: str, block_rows: int = BLOCK_ROWS) -> DataFrame:
+    """Exact Euclidean silhouette of every row: ``id, label, silhouette``.
+
+    ``(b - a) / max(a, b)`` with ``a`` the mean distance to the other rows of the own
+    cluster and ``b`` the least mean distance to another one; 0 in a cluster of one row.
+    Blocks of rows meet in pairs; a task adds up, per row and cluster, the distances of
+    a block pair from matrix products and returns sums only, which are added over the
+    blocks.  ``id_col`` is unique; rows without an id, a label or a finite vector take
+    no part, rows of different lengths don't meet.  With one cluster only it is null.
+    """
+    rows = _usable(rows, id_col, vec).where(F.col(label).isNotNull())
+    n = _blocks(rows.count(), block_rows)
+    base = rows.select(F.col(id_col).cast("bigint").alias("id"), F.col(vec).cast("array<double>").alias("v"),
+                       F.col(label).cast("bigint").alias("g")).withColumn("_d", F.size("v"))
+    own = F.pmod(F.xxhash64("id"), F.lit(n)).cast("int")
+    every = F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+    left = base.withColumn("_a", own).withColumn("_b", every)
+    right = base.withColumn("_b", own).withColumn("_a", every)
+    chunk = QUERY_CHUNK
+
+    def added(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
+        if a.empty or b.empty:
+            return pd.DataFrame({"id": pd.Series([], dtype="int64"), "g": pd.Series([], dtype="int64"),
+                                 "other": pd.Series([], dtype="int64"), "total": pd.Series([], dtype="float64")})
+        b = b.sort_values("g", kind="stable")
+        q = np.vstack(b["v"].to_numpy())
+        q2 = np.einsum("ij,ij->i", q, q)
+        groups, first = np.unique(b["g"].to_numpy(), return_index=True)
+        parts = []
+        for s0 in range(0, len(a), chunk):
+            part = a.iloc[s0:s0 + chunk]
+            p = np.vstack(part["v"].to_numpy())
+            p2 = np.einsum("ij,ij->i", p, p)
+            both = p2[:, None] + q2[None, :]
+            sq = both - 2.0 * (p @ q.T)
+            near = np.argwhere(sq <= 1e-6 * both)           # digits are lost there: from the differences
+            for at in range(0, len(near), 1 << 16):
+                i, j = near[at:at + (1 << 16)].T
+                sq[i, j] = np.sum((p[i] - q[j]) ** 2, axis=1)
+            total = np.add.reduceat(np.sqrt(sq), first, axis=1)
+            parts.append(pd.DataFrame({"id": np.repeat(part["id"].to_numpy(np.int64), len(groups)),
+                                       "g": np.repeat(part["g"].to_numpy(np.int64), len(groups)),
+                                       "other": np.tile(groups, len(part)), "total": total.ravel()}))
+        return pd.concat(parts, ignore_index=True)
+
+    sums = left.groupBy("_a", "_b", "_d").cogroup(right.groupBy("_a", "_b", "_d")).applyInPandas(
+        added, "id bigint, g bigint, other bigint, total double").groupBy("id", "g", "other").agg(F.sum("total").alias("total"))
+    sizes = base.groupBy(F.col("g").alias("other")).agg(F.count(F.lit(1)).alias("size"))       # one row per cluster
+    mean = sums.join(sizes, "other")
+    same = F.col("g") == F.col("other")
+    ab = mean.groupBy("id", "g").agg(
+        F.max(F.when(same, F.col("size"))).alias("own"),
+        F.max(F.when(same, F.try_divide(F.col("total"), F.col("size") - 1))).alias("a"),
+        F.min(F.when(~same, F.col("total") / F.col("size"))).alias("b"))
+    s = F.when(F.col("b").isNull(), F.lit(None)).when(F.col("own") == 1, F.lit(0.0)).otherwise(
+        F.coalesce(F.try_divide(F.col("b") - F.col("a"), F.greatest("a", "b")), F.lit(0.0)))
+    return ab.select(F.col("id").alias(id_col), F.col("g").alias(label), s.alias("silhouette"))

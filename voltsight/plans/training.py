@@ -26,13 +26,12 @@ def run_training_job(spark: SparkSession, sf_dir: str, out_dir: str):
     x = pr.auto_feature_matrix(f)                                                      # P7
     feats = [c for c in x.columns if c not in ("series_id",)]
     data = cut_lineage(f.select("ts", "series_id", "demand_12h", *[F.col(c) for c in feats if c in f.columns]))
-    folds = cut_lineage(ml.time_series_folds(data, ["series_id"], "ts", 5))           # M18
+    folds = cut_lineage(ml.fold_positions(data, ["series_id"], "ts"))                  # M18
     # library defaults: 100 trees of unlimited depth (30 is Spark's limit); 100 rounds, depth 6, step 0.3
     kinds = {"rf": ("forest", {"numTrees": 100, "maxDepth": 30}), "gbt": ("gbt", {"maxIter": 100, "maxDepth": 6, "stepSize": 0.3})}
 
     def cv(name, i):                                                                    # M19
-        tr = folds.where((F.col("fold") == i) & (F.col("role") == "train"))
-        te = folds.where((F.col("fold") == i) & (F.col("role") == "test"))
+        tr, te = (ml.fold_rows(folds, i, role) for role in ("train", "test"))
         kind, kw = kinds[name]
         m = ml.fit_regressor(tr, feats, "demand_12h", kind, **kw)
         if i == 4:                                           # the fold with the longest history

@@ -10,6 +10,7 @@ from . import models  # noqa: F401
 from . import extra  # noqa: F401
 from . import ml_models  # noqa: F401
 from . import recommend  # noqa: F401
+from . import registry  # noqa: F401
 from . import timeseries  # noqa: F401
 from . import streaming  # noqa: F401
 from . import artifacts  # noqa: F401

@@ -8,6 +8,7 @@ SQL oracle: the driver records a rows-only check for them.
 
 import math
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..catalog import FEATURES_SQL, GRID_SQL, GRID1_SQL, register, ts_text
@@ -202,11 +203,17 @@ SELECT CAST(fold AS BIGINT) AS fold, role, count(*) AS n_rows, {ts_text('min(ts)
 FROM r WHERE role IS NOT NULL GROUP BY 1, 2
 """)
 def q_folds(spark, sf_dir):
-    """Expanding-window CV fold table (5 splits)."""
+    """Expanding-window CV fold table (5 splits), from the six segments that the
+    folds are made of."""
     f = fe.training_features(src.grid_hourly(spark, sf_dir, n_series=1))
-    folds = ml.time_series_folds(f, ["series_id"], "ts", 5)
-    return folds.groupBy("fold", "role").agg(F.count(F.lit(1)).alias("n_rows"), F.min("ts").alias("first_ts"),
-                                             F.max("ts").alias("last_ts"))
+    parts = ml.fold_positions(f, ["series_id"], "ts").groupBy(ml.fold_segment().alias("segment")).agg(
+        F.count(F.lit(1)).alias("n_rows"), F.min("ts").alias("first_ts"), F.max("ts").alias("last_ts"))   # six rows
+    past = Window.orderBy("segment").rowsBetween(Window.unboundedPreceding, -1)
+    both = parts.select("segment", F.struct("n_rows", "first_ts", "last_ts").alias("test"), F.struct(
+        F.sum("n_rows").over(past).alias("n_rows"), F.min("first_ts").over(past).alias("first_ts"),
+        F.max("last_ts").over(past).alias("last_ts")).alias("train")).where("segment > 0")
+    return both.unpivot(["segment"], ["train", "test"], "role", "v").select(
+        (F.col("segment") - 1).alias("fold"), "role", "v.*")
 
 
 @register("m19_cv_regressors")
@@ -214,11 +221,10 @@ def q_cv_regressors(spark, sf_dir):
     """Mean MAE over 5 expanding folds for random forest and boosted trees."""
     from ..session import cut_lineage
     f = fe.training_features(src.grid_hourly(spark, sf_dir, n_series=1))
-    folds = cut_lineage(ml.time_series_folds(f, ["series_id"], "ts", 5))
+    folds = cut_lineage(ml.fold_positions(f, ["series_id"], "ts"))
     tasks = []
     for i in range(5):
-        tr = folds.where((F.col("fold") == i) & (F.col("role") == "train"))
-        te = folds.where((F.col("fold") == i) & (F.col("role") == "test"))
+        tr, te = (ml.fold_rows(folds, i, role) for role in ("train", "test"))
         # library defaults of the CV step: 100-tree forest, 100-round boosting (depth 6, step 0.3)
         for name, kind, kw in (("random_forest", "forest", {"numTrees": 100, "maxDepth": 30}),
                                ("gbt", "gbt", {"maxIter": 100, "maxDepth": 6, "stepSize": 0.3})):

@@ -78,6 +78,8 @@ def q_nearest_centre(spark, sf_dir):
     emb = _emb(spark, sf_dir)
     cents = label_centroids(emb)
     rows = sorted(cents.collect(), key=lambda r: r["label"])   # k centres: the model's size
+    if not rows:                                               # no centre, hence no row to assign
+        return emb.select("vec_id", F.lit(None).cast("bigint").alias("cluster")).limit(0)
     dim = len(rows[0]["v"])
     e = emb.select("vec_id", *[F.col("embedding")[i].cast("double").alias(f"f{i}") for i in range(dim)])
     out = ml.assign_nearest(e, [r["v"] for r in rows], [f"f{i}" for i in range(dim)])
@@ -98,3 +100,17 @@ def q_knn_weighted(spark, sf_dir):
     """k=20 inverse-distance weighted kNN regression (a zero distance takes all weight)."""
     emb = _emb(spark, sf_dir)
     return sim.knn_regress(emb, emb, "vec_id", "vec_id", "embedding", "label", k=20, weighted=True, exclude_self=True)
+
+
+@register("m21_euclidean_silhouette", f"""
+WITH d AS (SELECT a.vec_id, a.label, b.label AS other, sum(list_distance(CAST(a.embedding AS DOUBLE[]), CAST(b.embedding AS DOUBLE[]))) AS total
+           FROM embeddings a, embeddings b GROUP BY 1, 2, 3),
+n AS (SELECT label AS other, count(*) AS size FROM embeddings GROUP BY 1),
+ab AS (SELECT vec_id, label, max(size) FILTER (WHERE label = other) AS own,
+              max(total / nullif(size - 1, 0)) FILTER (WHERE label = other) AS a,
+              min(total / size) FILTER (WHERE label <> other) AS b FROM d JOIN n USING (other) GROUP BY 1, 2)
+SELECT vec_id, CAST(label AS BIGINT) AS label, {R('CASE WHEN own = 1 THEN 0.0 ELSE (b - a) / greatest(a, b) END')} AS silhouette FROM ab
+""")
+def q_euclidean_silhouette(spark, sf_dir):
+    """Exact Euclidean silhouette of every embedding, its label as the cluster."""
+    return sim.silhouette_rows(_emb(spark, sf_dir), "vec_id", "embedding", "label")
