@@ -133,11 +133,12 @@ def l2_normalise(df: DataFrame, vec: str, out: str) -> DataFrame:
 
 
 def knn_regress(queries: DataFrame, train: DataFrame, qid: str, pid: str, vec: str, target: str, k: int = 5,
-                weighted: bool = False, exclude_self: bool = False) -> DataFrame:
+                weighted: bool = False, exclude_self: bool = False, index=None) -> DataFrame:
     """K-nearest-neighbour regression on Euclidean distance; uniform
     mean, or inverse-distance weights where a zero distance takes all
-    weight."""
-    top = topk_similar(queries, train, qid, pid, vec, vec, k, "euclidean", exclude_self)
+    weight.  ``index``: a ``PivotIndex`` of the training rows, if there is one."""
+    top = index.search(queries, qid, vec, k, exclude_self) if index is not None else \
+        topk_similar(queries, train, qid, pid, vec, vec, k, "euclidean", exclude_self)
     t = train.select(F.col(pid).alias(f"neighbor_{pid}"), F.col(target).alias("_y"))
     j = top.join(t, on=f"neighbor_{pid}", how="inner")
     if not weighted:
