@@ -62,3 +62,27 @@ def test_kmeans_separates_planted_groups(spark):
     assert ml.silhouette(lab, ["p", "q"], "cluster") > 0.9
     plain = ml.assembler(["p", "q"]).transform(df)
     assert lab.select("cluster").exceptAll(km.transform(plain).select(F.col("prediction").alias("cluster"))).count() == 0
+
+
+@pytest.mark.parametrize("k,shift", [(2, 0.0), (3, 0.0), (2, 1e6)])
+def test_component_regressions_from_rotated_moments(spark, k, shift):
+    rng = np.random.default_rng(6)
+    x = rng.normal(size=(400, 3)) * [3.0, 1.0, 0.2]
+    y = x @ [1.0, -2.0, 4.0] + rng.normal(size=400)
+    df = spark.createDataFrame(pd.DataFrame(x + shift, columns=X).assign(y=y + shift)).repartition(3)
+    fit = ml.component_regressions(df, "y", X, k=k)
+    scores = (x - x.mean(0)) @ np.array(fit["pca"]["components"]).T
+    want = np.linalg.lstsq(np.c_[scores, np.ones(len(x))], y, rcond=None)[0]
+    got = ml.linear_predict(df, fit["linear"]).select("y", "prediction", *X).toPandas()
+    mine = (got[X].to_numpy() - shift - x.mean(0)) @ np.array(fit["pca"]["components"]).T
+    np.testing.assert_allclose(got.prediction - shift, np.c_[mine, np.ones(len(x))] @ want, atol=1e-5)
+    assert abs(mine.T @ (got.y - got.prediction).to_numpy()).max() < 1e-3
+    plain = ml.ridge_of(ml.centred_moments(ml.pca_transform(df, fit["pca"]), [f"pc{i + 1}" for i in range(k)] + ["y"]),
+                        [f"pc{i + 1}" for i in range(k)])
+    np.testing.assert_allclose(np.array(fit["pca"]["components"]) @ fit["bayesian"]["coef"], plain["coef"], rtol=1e-4, atol=1e-6)
+
+
+def test_component_without_a_spread_has_no_slope(spark):
+    df = spark.createDataFrame([(1.0, 5.0, 2.0), (2.0, 5.0, 4.0), (3.0, 5.0, 6.5)], "a double, b double, y double")
+    fit = ml.component_regressions(df, "y", ["a", "b"], k=2)
+    assert np.allclose(fit["linear"]["coef"], [2.25, 0.0])

@@ -96,6 +96,14 @@ def test_best_classifier_by_cv_else_macro_f1(spark):
     assert {(r.target, r["name"], r.score) for r in best} == {("demand", "b", 0.5), ("price", "a", 0.7)}
 
 
+def test_log_and_summary_by_task(spark, registry):
+    log = {(r.task, r.model, r.target): r.metrics for r in rg.experiment_log(registry.manifest).collect()}
+    assert len(log) == len(registry.rows) and ("classification_price", "forest", "price") in log and ("clustering", "kmeans", "") in log
+    rows = {tuple(r) for r in rg.summary_rows(registry.manifest).collect()}
+    assert {("best_model", "regression_demand", "linear"), ("best_model", "classification_price", "forest"),
+            ("clustering", "chosen_k", "3")} <= rows and len(rows) == 5
+
+
 def test_recommendation_equals_a_plain_search_over_the_scored_rows(registry, split):
     scored = registry.score(split.where("split = 'test'"), {"demand": "linear", "price": "tree"},
                             {"demand": "forest", "price": "forest"})

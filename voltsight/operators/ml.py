@@ -208,7 +208,11 @@ def bayesian_ridge(df: DataFrame, y: str, features, n_iter: int = 300, tol: floa
     fixed-point iteration runs on the driver.  Priors as scikit-learn's
     defaults (all 1e-6).
     """
-    m = centred_moments(df, [*features, y])
+    return ridge_of(centred_moments(df, [*features, y]), features, n_iter, tol)
+
+
+def ridge_of(m, features, n_iter: int = 300, tol: float = 1e-3) -> dict:
+    """Bayesian ridge from the moments of ``[*features, target]``."""
     n, mx, my = m.n, m.mean[:-1], m.mean[-1]
     C, c, syy = m.comoment[:-1, :-1], m.comoment[:-1, -1], m.comoment[-1, -1]
     a1 = a2 = l1 = l2 = 1e-6
@@ -320,7 +324,11 @@ def pca_fit(df: DataFrame, features, k: int | None = None, variance: float | Non
     ``variance`` (or a fixed k); component signs are fixed so the largest
     absolute loading is positive.
     """
-    m = centred_moments(df, features)
+    return pca_of(centred_moments(df, features), features, k, variance)
+
+
+def pca_of(m, features, k: int | None = None, variance: float | None = 0.95) -> dict:
+    """PCA from the moments of ``features``."""
     mean, cov = m.mean, m.covariance()
     evals, evecs = np.linalg.eigh(cov)
     order = np.argsort(evals)[::-1]
@@ -337,6 +345,28 @@ def pca_fit(df: DataFrame, features, k: int | None = None, variance: float | Non
             "features": list(features), "k": k}
 
 
+def component_regressions(df: DataFrame, y: str, features, k: int | None = None, variance: float | None = 0.95) -> dict:
+    """M8 + M9 on PCA scores: ``pca``, and ``linear`` and ``bayesian`` models of ``y`` on
+    its scores, written in terms of ``features`` for ``linear_predict``.
+
+    One pass of moments over features and target gives all three: the moments of the
+    scores are the rotated ones, so no score is computed to fit them."""
+    m, d = centred_moments(df, [*features, y]), len(features)
+    p = pca_of(type(m)(m.n, m.mean[:d], m.block(range(d))), features, k, variance)
+    comps = np.array(p["components"])
+    w = np.zeros((p["k"] + 1, d + 1))
+    w[:-1, :-1], w[-1, -1] = comps, 1.0
+    r = m.projected(w)
+    spread = np.diag(r.comoment)[:-1]
+    slopes = np.divide(r.comoment[:-1, -1], spread, out=np.zeros_like(spread), where=spread > 1e-12 * max(spread.max(), 1e-300))
+    bayes = ridge_of(r, [f"pc{i + 1}" for i in range(p["k"])])
+
+    def on_features(coef, intercept):
+        return {"coef": (comps.T @ coef).tolist(), "intercept": float(intercept), "features": list(features)}
+    return {"pca": p, "linear": on_features(slopes, r.mean[-1] - r.mean[:-1] @ slopes),
+            "bayesian": on_features(np.array(bayes["coef"]), bayes["intercept"]) | {"alpha": bayes["alpha"], "lambda": bayes["lambda"]}}
+
+
 def pca_transform(df: DataFrame, model: dict, prefix: str = "pc") -> DataFrame:
     cols = {}
     for i, comp in enumerate(model["components"]):

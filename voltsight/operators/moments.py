@@ -44,6 +44,10 @@ class Moments:
     def block(self, at) -> np.ndarray:
         return self.comoment[np.ix_(at, at)]
 
+    def projected(self, w: np.ndarray) -> Moments:
+        """Moments of the linear combinations ``w @ row``."""
+        return Moments(self.n, w @ self.mean, w @ self.comoment @ w.T)
+
     def covariance(self, ddof: int = 1) -> np.ndarray:
         return self.comoment / max(self.n - ddof, 1)
 

@@ -19,6 +19,8 @@ that need its block, not once per chunk of all queries.
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window
@@ -46,12 +48,14 @@ class PivotIndex:
     take no part; other lengths are an error.
     """
 
-    def __init__(self, rows: DataFrame, id_col: str, vec: str, pivots: int = PIVOTS, rings: int = RINGS,
+    def __init__(self, rows: DataFrame, id_col: str, vec: str, pivots: int | None = None, rings: int = RINGS,
                  part_rows: int = PART_ROWS):
         self.id_col, self.part_rows, self.pairs = id_col, part_rows, 0
         own = cut_lineage(_usable(rows, id_col, vec).select(
             F.col(id_col).cast("bigint").alias("pid"), F.col(vec).cast("array<double>").alias("v")))
-        lengths = own.agg(F.min(F.size("v")), F.max(F.size("v"))).first()
+        lengths = own.agg(F.min(F.size("v")), F.max(F.size("v")), F.count(F.lit(1))).first()
+        # about as many pivots as the rows of a block, at most PIVOTS; the result doesn't depend on it
+        pivots = pivots or min(PIVOTS, 1 + math.isqrt(lengths[2] // rings))
         if lengths[0] != lengths[1]:
             raise ValueError("vectors of different lengths")
         self.dim = lengths[0]

@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 from .. import config as C
 from ..functions import columns as col
 from . import windows as win
-from .profile import quantile_row
+from .profile import quantile_row, scalars
 
 TRANSACTION_COLS = ("demand_level", "price_level", "renewable_level", "fossil_level",
                     "time_period", "season", "weekend_flag")
@@ -168,3 +168,19 @@ def query_rules(rules: DataFrame, demand_level=None, price_level=None, renewable
 def rules_diagnostics(rules: DataFrame) -> DataFrame:
     """Row count and column count of the rule table."""
     return rules.agg(F.count(F.lit(1)).alias("rows")).withColumn("columns", F.lit(len(rules.columns)))
+
+
+def rules_sample(rules: DataFrame) -> DataFrame:
+    """Schema and sample row of the rule table: position, name and type of each
+    column with its value in the first rule (highest lift) as text or number, and
+    the number of rules; no row for an empty table."""
+    n = rules.agg(F.count(F.lit(1)).alias("rows"))
+    cells = []
+    for i, f in enumerate(rules.schema.fields):
+        number = f.dataType.typeName() in ("double", "float", "long", "integer")
+        text = F.concat_ws(", ", F.array_sort(f.name)) if f.dataType.typeName() == "array" else F.col(f.name).cast("string")
+        cells.append(F.struct(F.lit(i + 1).alias("position"), F.lit(f.name).alias("column_name"),
+                              F.lit(f.dataType.simpleString()).alias("type"),
+                              (F.lit(None).cast("string") if number else text).alias("text_value"),
+                              (F.col(f.name).cast("double") if number else F.lit(None).cast("double")).alias("number_value")))
+    return top_rules(rules, 1).select(F.inline(F.array(*cells))).withColumn("rows", scalars(n)["rows"])

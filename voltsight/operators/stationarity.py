@@ -13,6 +13,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..session import cut_lineage
 from . import windows as win
 from .moments import centred_moments
 
@@ -95,7 +96,7 @@ def kpss(df: DataFrame, x: str, keys=("series_id",), ts: str = "ts", nlags: int
     """
     keys = list(keys)
     lay = win.layout(df.select(*keys, ts, x).where(F.col(x).isNotNull()), keys, ts)
-    d = lay.finish(keep_idx=True)
+    d = cut_lineage(lay.finish(keep_idx=True))          # each of the passes reads it
     fit = d.agg(F.regr_slope(x, win.IDX).alias("b"), F.regr_intercept(x, win.IDX).alias("a"),
                 F.count(F.lit(1)).alias("n")).first()
     n = int(fit["n"])

@@ -141,6 +141,27 @@ def comparison(manifest: DataFrame, targets=("demand", "price")) -> DataFrame:
     return rank_sorted(p.withColumn("avg_r2", mean), "avg_r2", "model", "rank").withColumn("recommended", F.col("rank") == 1)
 
 
+def experiment_log(manifest: DataFrame) -> DataFrame:
+    """Run log by task: one row per stored model with its task (``regression``,
+    ``classification_<target>``, ``clustering``), target and metrics."""
+    task = F.when(F.col("role") == "classifier", F.concat(F.lit("classification_"), "target")).when(
+        F.col("role") == "regressor", "regression").otherwise("clustering")
+    return manifest.select(task.alias("task"), F.col("name").alias("model"), "target", F.col("metrics").alias("metrics"),
+                           F.col("params").alias("params"))
+
+
+def summary_rows(manifest: DataFrame) -> DataFrame:
+    """``section, task, model`` - the best model of every task and target, and
+    the number of clusters."""
+    best = best_regressors(manifest).select(F.lit("best_model").alias("section"), F.concat(F.lit("regression_"), "target").alias("task"),
+                                            F.col("name").alias("model"))
+    best = best.unionByName(best_classifiers(manifest).select(F.lit("best_model").alias("section"), F.concat(
+        F.lit("classification_"), "target").alias("task"), F.col("name").alias("model")))
+    return best.unionByName(manifest.where(F.col("role") == "cluster").select(
+        F.lit("clustering").alias("section"), F.lit("chosen_k").alias("task"),
+        F.col("params")["k"].cast("int").cast("string").alias("model")))
+
+
 class Registry:
     """The models of a registry folder, read once (one small row per model)."""
 

@@ -286,6 +286,25 @@ def q_sample(spark, sf_dir):
     return pr.deterministic_sample(li, 3000, ["l_orderkey", "l_linenumber"], seed=42)
 
 
+@register("p14_sample_properties", """
+WITH n AS (SELECT least(3000, count(*)) AS n FROM lineitem
+           WHERE l_orderkey IS NOT NULL AND l_linenumber IS NOT NULL AND l_extendedprice IS NOT NULL AND l_discount IS NOT NULL)
+SELECT n AS rows, n AS rows_of_the_table, n AS rows_repeated, TRUE AS other_seed_differs FROM n
+""")
+def q_sample_properties(spark, sf_dir):
+    """Size of the sample, how many of its rows the table holds, how many a
+    second draw over other partitions repeats, and that another seed draws others."""
+    li = _li(spark, sf_dir, ["l_orderkey", "l_linenumber", "l_extendedprice", "l_discount"]).dropna()
+    keys = ["l_orderkey", "l_linenumber"]
+    a, b, c = (pr.deterministic_sample(d, 3000, keys, seed=s) for d, s in ((li, 42), (li.repartition(7), 42), (li, 43)))
+
+    def in_both(x, y):
+        return pr.scalars(x.intersectAll(y).agg(F.count(F.lit(1)).alias("n")))["n"]
+    size = a.agg(F.count(F.lit(1)).alias("rows"))
+    return size.select("rows", in_both(a, li).alias("rows_of_the_table"), in_both(a, b).alias("rows_repeated"),
+                       (in_both(a, c) < F.col("rows")).alias("other_seed_differs"))
+
+
 @register("p15_median_split", f"""
 WITH g AS ({GRID_SQL}), m AS (SELECT series_id, median(load) AS med FROM g GROUP BY 1)
 SELECT g.series_id, {ts_text('ts')} AS ts, CAST(load > med AS BIGINT) AS load_high FROM g JOIN m USING (series_id)

@@ -13,11 +13,13 @@ from pyspark.sql import functions as F
 from ..catalog import R, register
 from ..functions import columns as col
 from ..operators import ml
+from ..operators.profile import scalars
 from ..plans import features as fe
 from ..plans import recommend as rc
 from ..plans import registry as rg
 from ..plans.requests import request_features
 from ..session import cut_lineage
+from ..sources import artifacts as art
 from ..sources import tables as src
 from ..streaming.jobs import run_dir
 from .models import SPLIT_SQL
@@ -123,6 +125,32 @@ def q_best(spark, sf_dir):
         rg.best_classifiers(m).withColumn("role", F.lit("classifier")))
 
 
+@register("s12_log_by_task")
+def q_log_by_task(spark, sf_dir):
+    """Run log by task of all stored models, written as JSON, read back and
+    flattened to one row per model and metric, with the best-model summary rows."""
+    _, reg = trained(spark, sf_dir)
+    path = art.write_json(rg.experiment_log(reg.manifest), os.path.join(run_dir(spark, "task-log"), "log"))
+    log = spark.read.schema("task string, model string, target string, metrics map<string,double>").json(path)
+    best = art.write_csv(rg.summary_rows(reg.manifest), os.path.join(run_dir(spark, "task-log"), "summary"))
+    summary = art.read_csv(spark, best, "section string, task string, model string")
+    rows = log.select(F.lit("trained_model").alias("section"), "task", "model", "target", F.explode("metrics").alias("metric", "value"))
+    return rows.unionByName(summary, allowMissingColumns=True)
+
+
+@register("a21_inventory_of_stored_models")
+def q_inventory(spark, sf_dir):
+    """Counted from the stored artifacts: models per role, distinct input
+    features, stored profiles, clusters."""
+    _, reg = trained(spark, sf_dir)
+    m = reg.manifest
+    feats = m.select(F.explode("features").alias("f")).agg(F.count_distinct("f").alias("n_features"))
+    n = m.agg(F.count_if(F.col("role") == "regressor").alias("n_regressors"), F.count_if(F.col("role") == "classifier").alias("n_classifiers"),
+              F.max(F.when(F.col("role") == "cluster", F.col("params")["k"])).cast("int").alias("n_clusters"))
+    stored = profiles(spark, sf_dir, reg).agg(F.count(F.lit(1)).alias("n_profiles"))
+    return n.select("*", scalars(feats)["n_features"].alias("n_features"), scalars(stored)["n_profiles"].alias("n_profiles"))
+
+
 # -------------------------------------------------- M18: macro F1 over expanding windows
 _BASE = {"demand": ("demand_12h", "demand_lag_24h"), "price": ("price_12h", "price_lag_24h")}
 

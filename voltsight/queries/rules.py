@@ -154,3 +154,44 @@ def q_rule_text_parse(spark, sf_dir):
                  F.array_join("consequents", " ; ").alias("plain"))
     parsed = {"raw": "parsed", "quoted": "parsed_quoted", "plain": "parsed_plain"}
     return t.select("*", *[F.array_join(col.parse_item_list(c), " & ").alias(n) for c, n in parsed.items()])
+
+
+_MEASURES = ("antecedent_support", "consequent_support", "support", "confidence", "lift", "leverage", "conviction", "zhangs_metric")
+
+
+@register("r7_rules_sample", TX_SQL + f"""
+, top AS (SELECT {_RULE_COLS} FROM rules ORDER BY lift DESC, array_to_string(ant, ', '), array_to_string(con, ', ') LIMIT 1),
+c AS (SELECT 1 AS position, 'antecedents' AS column_name, 'array<string>' AS type, antecedents AS text_value, CAST(NULL AS DOUBLE) AS number_value FROM top
+  UNION ALL SELECT 2, 'consequents', 'array<string>', consequents, NULL FROM top
+""" + "".join(f"  UNION ALL SELECT {i}, '{m}', 'double', NULL, {m} FROM top\n" for i, m in enumerate(_MEASURES, 3)) + """)
+SELECT CAST(position AS BIGINT) AS position, column_name, type, text_value, number_value, (SELECT count(*) FROM rules) AS rows FROM c
+""")
+def q_rules_sample(spark, sf_dir):
+    """Columns, types and first row of the rule table."""
+    return ru.rules_sample(ru.association_rules(ru.frequent_itemsets(_tx(spark, sf_dir))))
+
+
+_F9 = {"quantity": "l_quantity", "from_four": "greatest(l_linenumber, 4)", "constant": "l_linenumber * 0"}
+
+
+@register("f9_tercile_levels", "WITH x AS (" + " UNION ALL ".join(
+    f"SELECT '{n}' AS input, CAST({v} AS DOUBLE) AS v FROM lineitem" for n, v in _F9.items()) + """),
+w AS (SELECT input, v, rank() OVER (PARTITION BY input ORDER BY v) + (count(*) OVER (PARTITION BY input, v) - 1) / 2.0 AS r FROM x WHERE v IS NOT NULL),
+e AS (SELECT input, list_sort(list_distinct(quantile_cont(v, [0.0, 1.0 / 3, 2.0 / 3, 1.0]))) AS ev,
+             list_sort(list_distinct(quantile_cont(r, [0.0, 1.0 / 3, 2.0 / 3, 1.0]))) AS er FROM w GROUP BY 1),
+m AS (SELECT *, CASE WHEN len(ev) = 4 THEN 'values' WHEN len(er) = 4 THEN 'ranks' ELSE 'collapsed' END AS mode FROM e),
+l AS (SELECT input, mode, CASE WHEN mode = 'values' THEN len(list_filter(ev[2:], lambda q: q < v)) ELSE len(list_filter(er[2:], lambda q: q < r)) END AS i
+      FROM w JOIN m USING (input))
+SELECT input, mode, input || '_' || CASE i WHEN 0 THEN 'LOW' WHEN 1 THEN 'MED' ELSE 'HIGH' END AS level, count(*) AS rows FROM l GROUP BY ALL
+""")
+def q_tercile_levels(spark, sf_dir):
+    """tercile levels of a column with distinct edges, one with tied edges and a
+    constant one, with the way the levels were cut."""
+    li = src.read_table(spark, sf_dir, "lineitem").select("l_quantity", "l_linenumber")
+    out = None
+    for name, value in _F9.items():
+        rows, mode = ru.tercile_levels(li.select(F.expr(value).cast("double").alias("v")), "v", name, "level")
+        part = rows.where("level IS NOT NULL").groupBy("level").agg(F.count(F.lit(1)).alias("rows")).select(
+            F.lit(name).alias("input"), F.lit(mode).alias("mode"), "level", "rows")
+        out = part if out is None else out.unionByName(part)
+    return out

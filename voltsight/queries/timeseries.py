@@ -3,7 +3,7 @@ estimators, so the driver records rows-only checks."""
 
 from pyspark.sql import functions as F
 
-from ..catalog import register
+from ..catalog import GRID1_SQL, R, register
 from ..operators import stationarity as st
 from ..operators import stl
 from ..operators import windows as win
@@ -33,7 +33,26 @@ def q_adf(spark, sf_dir):
                                  "adf_stat double, p_value double, used_lag int, nobs int, crit_1 double, crit_5 double, crit_10 double")
 
 
-@register("d5_kpss")
+_CRIT = st.KPSS_CT_CRIT
+_KPSS_P = ((_CRIT["10%"], .1), (_CRIT["5%"], .05), (_CRIT["2.5%"], .025), (_CRIT["1%"], .01))
+
+
+@register("d5_kpss", f"""
+WITH t AS (SELECT load, CAST(row_number() OVER (ORDER BY ts) - 1 AS DOUBLE) AS i FROM ({GRID1_SQL}) WHERE load IS NOT NULL),
+f AS (SELECT regr_slope(load, i) AS b, regr_intercept(load, i) AS a, count(*) AS n FROM t),
+e AS (SELECT i, load - (a + b * i) AS e FROM t, f),
+eta AS (SELECT sum(c * c) AS c2 FROM (SELECT sum(e) OVER (ORDER BY i) AS c FROM e)),
+ac AS (SELECT x.i - y.i AS lag, sum(x.e * y.e) AS p FROM e x JOIN e y ON y.i <= x.i GROUP BY 1),
+s AS (SELECT n, max(p) FILTER (WHERE lag = 0) / n + coalesce(sum(2 * p / n) FILTER (WHERE lag BETWEEN 1 AND floor(pow(n, 2.0 / 9))), 0) AS s0,
+             coalesce(sum(lag * 2 * p / n) FILTER (WHERE lag BETWEEN 1 AND floor(pow(n, 2.0 / 9))), 0) AS s1 FROM ac, f GROUP BY n),
+l AS (SELECT n, least(floor(1.1447 * pow(pow(s1 / s0, 2), 1.0 / 3) * pow(n, 1.0 / 3)), n - 1) AS lags FROM s),
+v AS (SELECT l.n, lags, (max(p) FILTER (WHERE lag = 0) + coalesce(sum(2 * p * (1 - lag / (lags + 1))) FILTER (WHERE lag BETWEEN 1 AND lags), 0)) / l.n AS s
+      FROM ac, l GROUP BY l.n, lags),
+k AS (SELECT n, lags, c2 / (n * n) / s AS stat FROM v, eta)
+SELECT {R('stat')} AS kpss_stat, {R('CASE WHEN stat <= ' + str(_KPSS_P[0][0]) + ' THEN 0.1 ' + ' '.join(
+    f'WHEN stat <= {x1} THEN {p0} + (stat - {x0}) * ({p1} - {p0}) / ({x1} - {x0})' for (x0, p0), (x1, p1) in zip(_KPSS_P, _KPSS_P[1:])) + ' ELSE 0.01 END')} AS p_value,
+       CAST(lags AS BIGINT) AS lags, CAST(n AS BIGINT) AS nobs FROM k
+""")
 def q_kpss(spark, sf_dir):
     """KPSS test around a trend of the single-series load."""
     g = src.grid_hourly(spark, sf_dir, n_series=1).select("series_id", "ts", "load")
