@@ -5,7 +5,7 @@ import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
-from conftest import SF01
+from conftest import SF001, SF01
 from voltsight import catalog, queries  # noqa: F401
 from voltsight.operators import ml
 from voltsight.operators import similarity as sim
@@ -80,6 +80,11 @@ def test_a_failed_training_leaves_no_registry(spark, split, tmp_path):
         rg.Registry(spark, str(tmp_path / "r"))
 
 
+def test_no_training_row_is_an_error(split, tmp_path):
+    with pytest.raises(ValueError, match="no training rows"):
+        rg.train_registry(split.limit(0), TARGETS, REGRESSORS, CLASSIFIERS, ["a"], str(tmp_path))
+
+
 def test_unknown_model_is_an_error(registry, split):
     with pytest.raises(KeyError):
         registry.score(split, {"demand": "missing"}, {})
@@ -143,6 +148,12 @@ def test_folds_are_ranges_of_positions(spark, n):
             assert train == {k for k, s in seg.items() if s <= i} and test == {k for k, s in seg.items() if s == i + 1}
 
 
+def test_baselines_without_a_training_row(spark):
+    """sf0.001 has one complete feature row, which is a test row: nothing to fit on."""
+    assert {r.model for r in catalog.QUERIES["m18_cv_macro_f1"](spark, SF001).collect()} <= {"persistence"}
+    assert catalog.QUERIES["m10_knn_scaled_features"](spark, SF001).count() == 0
+
+
 def test_fold_table_copies_no_row(spark):
     plan = catalog.QUERIES["m18_cv_macro_f1"](spark, SF01)._jdf.queryExecution().optimizedPlan().toString()
     assert "Generate" not in plan and "CartesianProduct" not in plan

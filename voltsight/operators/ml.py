@@ -111,18 +111,19 @@ def fitted_stats(scaler: dict) -> dict:
         for c in scaler["cols"]:
             s = row[c]
             if scaler["kind"] == "robust":
-                center, spread = s[1], s[2] - s[0]
+                center, spread = s[1], None if s[1] is None else s[2] - s[0]
             else:
                 center, spread = s[0], s[1]
-            vals[c] = (float(center), 1.0 if (spread is None or spread == 0) else float(spread))
+            vals[c] = (None if center is None else float(center), 1.0 if (spread is None or spread == 0) else float(spread))
         scaler["values"] = vals
     return scaler["values"]
 
 
 def scale(df: DataFrame, scaler: dict, suffix: str = "") -> DataFrame:
-    """Apply a fitted scaler: ``(x - center) / spread`` with literal statistics."""
+    """Apply a fitted scaler: ``(x - center) / spread`` with literal statistics; null
+    for a column that had no value to fit on."""
     vals = fitted_stats(scaler)
-    return df.withColumns({c + suffix: (F.col(c) - F.lit(vals[c][0])) / F.lit(vals[c][1]) for c in scaler["cols"]})
+    return df.withColumns({c + suffix: (F.col(c) - F.lit(vals[c][0]).cast("double")) / F.lit(vals[c][1]) for c in scaler["cols"]})
 
 
 # ----------------------------------------------------------------- A15-A17

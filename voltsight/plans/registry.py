@@ -27,7 +27,6 @@ from ..sources import artifacts as art
 
 _MANIFEST = ("role string, target string, name string, folder string, features array<string>, "
              "params map<string,double>, metrics map<string,double>")
-MODEL_COLUMNS = ("features", "scaled", "rawPrediction", "probability")
 CLASS_BOUNDS = {"low": 0.33, "high": 0.66}
 N_CLUSTERS = 3
 
@@ -41,9 +40,10 @@ def with_classes(df: DataFrame, targets, bounds: dict) -> DataFrame:
 
 
 def class_bounds(train: DataFrame, targets) -> dict:
-    """Exact 33 % and 66 % quantiles of each target over the training rows."""
+    """Exact 33 % and 66 % quantiles of each target over the training rows (null
+    without any)."""
     row = quantile_row(train, {f"{t}_{n}": (label, p) for t, label, _ in targets for n, p in CLASS_BOUNDS.items()}).first()
-    return {t: {n: float(row[f"{t}_{n}"]) for n in CLASS_BOUNDS} for t, _, _ in targets}
+    return {t: {n: row[f"{t}_{n}"] for n in CLASS_BOUNDS} for t, _, _ in targets}
 
 
 def _finite(row, names) -> dict:
@@ -59,10 +59,13 @@ def train_registry(split: DataFrame, targets, regressors: dict, classifiers: dic
     ``series_id``.  ``targets``: (name, label column, features).  ``regressors`` and
     ``classifiers``: name -> (kind, parameters) of ``operators.ml``.  Classifiers get the
     mean macro F1 over ``n_splits`` expanding windows of the training rows as
-    ``cv_macro_f1`` (absent, if no window could be fitted).
+    ``cv_macro_f1`` (absent, if no window could be fitted).  Without a training row, or
+    without a value of a target, there is nothing to train: ``ValueError``.
     """
     spark = split.sparkSession
     bounds = class_bounds(split.where(F.col("split") == "train"), targets)
+    if any(v is None for b in bounds.values() for v in b.values()):
+        raise ValueError("no training rows")
     rows = cut_lineage(with_classes(split, targets, bounds))
     train, test = (rows.where(F.col("split") == s) for s in ("train", "test"))
     windows = cut_lineage(ml.fold_positions(train, ["series_id"], "ts"))

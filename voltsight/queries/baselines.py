@@ -26,7 +26,7 @@ def _neighbours(rows, label):
     out = test
     for name, k, weighted in (("k5", _K_UNIFORM, False), ("k20_weighted", _K_WEIGHTED, True)):
         p = sim.knn_regress(test, train, "id", "id", "v", label, k, weighted, index=index)
-        out = out.join(p.withColumnRenamed("prediction", name), "id", "left")
+        out = out.join(p.withColumnRenamed("prediction", name), "id")
     return out
 
 

@@ -178,7 +178,7 @@ fr AS (SELECT * FROM (SELECT *, CASE WHEN idx < c - (5 - fold) * (c // 6) THEN '
          WHEN idx < c - (5 - fold) * (c // 6) + c // 6 THEN 'test' END AS role
        FROM tn, (SELECT unnest(range(0, 5)) AS fold)) WHERE role IS NOT NULL),
 """ + ",".join(_cv_sql(t) for t in _BASE) + """,
-al AS (SELECT * FROM demand_c UNION ALL SELECT * FROM price_c),
+al AS (SELECT * FROM (SELECT * FROM demand_c UNION ALL SELECT * FROM price_c) WHERE label IS NOT NULL AND pred IS NOT NULL),
 seen AS (SELECT DISTINCT model, target, fold, cls FROM (SELECT model, target, fold, label AS cls FROM al UNION ALL SELECT model, target, fold, pred FROM al)),
 cm AS (SELECT seen.model, seen.target, seen.fold, cls, count_if(label = cls AND pred = cls) AS tp, count_if(label = cls) AS s, count_if(pred = cls) AS p
        FROM seen JOIN al ON al.model = seen.model AND al.target = seen.target AND al.fold = seen.fold GROUP BY 1, 2, 3, 4),
@@ -195,20 +195,21 @@ def _cv_baselines(spark, sf_dir):
     seg = cut_lineage(ml.fold_positions(train, ["series_id"], "ts").withColumn("segment", ml.fold_segment()))
     parts = []
     for target, (y, x) in _BASE.items():
-        cut = [F.lit(bounds[target][n]) for n in rg.CLASS_BOUNDS]
+        cut = [F.lit(bounds[target][n]).cast("double") for n in rg.CLASS_BOUNDS]
         lines = ml.fold_lines(seg, y, x)
         whole = train.agg(F.regr_slope(y, x).alias("s"), F.regr_intercept(y, x).alias("i")).first()
         folds = seg.where("segment > 0").withColumn("fold", F.col("segment") - 1)
-        line = F.coalesce(*[F.when(F.col("fold") == i, F.col(x) * F.lit(s) + F.lit(b)) for i, (s, b) in enumerate(lines)])
-        for rows, fitted in ((folds, line), (test.withColumn("fold", F.lit(5)), F.col(x) * F.lit(whole.s) + F.lit(whole.i))):
+        line = F.coalesce(*[F.when(F.col("fold") == i, F.col(x) * F.lit(s).cast("double") + F.lit(b).cast("double")) for i, (s, b) in enumerate(lines)])
+        for rows, fitted in ((folds, line), (test.withColumn("fold", F.lit(5)), F.col(x) * F.lit(whole.s).cast("double") + F.lit(whole.i).cast("double"))):
             for name, value in (("persistence", F.col(x)), ("linear_1d", fitted)):
                 parts.append(rows.select(F.lit(name).alias("model"), F.lit(target).alias("target"), "fold",
-                                         col.class_code(col.three_class(y, *cut)).alias("label"), value.alias("_v")).select(
+                                         col.class_code(col.three_class(y, *cut)).alias("label"), value.alias("_v")).where(
+                    "_v IS NOT NULL").select(
                     "model", "target", "fold", "label", col.class_code(col.three_class("_v", *cut)).alias("pred")))
     rows = parts[0]
     for p in parts[1:]:
         rows = rows.unionByName(p)
-    f1 = ml.classification_summary(rows, "label", "pred", ["model", "target", "fold"])
+    f1 = ml.classification_summary(rows.dropna(subset=["label", "pred"]), "label", "pred", ["model", "target", "fold"])
     held = F.col("fold") == 5
     return f1.groupBy("model", "target").agg(F.avg(F.when(~held, F.col("macro_f1"))).alias("cv_macro_f1"),
                                              F.count_if(~held).alias("folds"),
