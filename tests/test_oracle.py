@@ -11,7 +11,7 @@ from oracle import compare
 from voltsight import catalog, queries  # noqa: F401
 
 SLOW = {"m8_m11_m12_regressors", "m13_gbt_regressors", "m13_gbt_small_step", "m14_m16_classifiers", "m19_cv_regressors",
-        "m20_binary_classifiers", "m21_kmeans_sweep", "m35_training_job", "d3_stl", "m12_regularised_forest"}
+        "m20_binary_classifiers", "m21_kmeans_sweep", "m35_training_job", "d3_stl", "m12_regularised_forest", "m13_regularised_boosting"}
 RUN_SLOW = os.environ.get("VOLTSIGHT_SLOW") == "1"
 
 

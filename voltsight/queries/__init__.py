@@ -12,6 +12,7 @@ from . import ml_models  # noqa: F401
 from . import recommend  # noqa: F401
 from . import registry  # noqa: F401
 from . import baselines  # noqa: F401
+from . import boosted  # noqa: F401
 from . import timeseries  # noqa: F401
 from . import streaming  # noqa: F401
 from . import artifacts  # noqa: F401
