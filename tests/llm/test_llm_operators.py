@@ -186,6 +186,44 @@ def test_license_wordings(spark):
     assert [cases[i][0] for i in range(len(cases)) if got[i].unknown] == [cases[10][0], cases[11][0]]
 
 
+def test_license_held_out_wordings(spark):
+    """Wordings that stand in no list of the module: recall and no wrong name."""
+    of = lambda *ids: "\n".join(licenses.SENTENCES[i] for i in ids)
+    bsd = of("bsd-grant", "bsd-source", "bsd-binary")
+    names = "{} may be used to endorse or promote products derived from this software without {}."
+    wrap = lambda t, n=9: "\n * ".join(" ".join(t.split()[i:i + n]) for i in range(0, len(t.split()), n))
+    holders = ["Neither the names of the copyright holders nor the names of their contributors", "Neither the name of Foo Labs, LLC nor the names of any contributors",
+               "Neither the name of the University nor the names of its contributors", "Neither the name of the <ORGANIZATION> nor the names of its contributors"]
+    ways = ["specific written permission", "specific prior written permission from Foo Labs", "prior written consent", "express written permission of the authors"]
+    cases = [(f"{bsd}\n3. {names.format(h, w)}", ["BSD-3-Clause"]) for h in holders for w in ways]
+    cases += [(wrap(f"{bsd} {names.format(h, ways[0])}"), ["BSD-3-Clause"]) for h in holders]
+    cases += [
+        ("// SPDX-License-Identifier: MIT\nint main() {}", ["MIT"]), ("# SPDX-License-Identifier: (GPL-2.0-only OR BSD-3-Clause)\nx = 1", ["GPL-2.0", "BSD-3-Clause"]),
+        ("/* SPDX-License-Identifier: GPL-2.0+ */", ["GPL-2.0-or-later"]), ("SPDX-License-Identifier: Apache-2.0 AND ISC", ["Apache-2.0", "ISC"]),
+        ("                                 Apache License\n                           Version 2.0, January 2004\n                        "
+         "http://www.apache.org/licenses/\n\n   TERMS AND CONDITIONS FOR USE, REPRODUCTION, AND DISTRIBUTION\n\n   1. Definitions.\n", ["Apache-2.0"]),
+        ("                    GNU GENERAL PUBLIC LICENSE\n                       Version 3, 29 June 2007\n\n Everyone is permitted to copy.", ["GPL-3.0"]),
+        (wrap("This software is provided 'as-is', without any express or implied warranty. " + licenses.SENTENCES["zlib-grant"]
+              + " 1. The origin of this software must not be misrepresented;"), ["Zlib"]),
+        (wrap("This program is free software; you can redistribute it and/or modify it under the terms of the GNU General Public License version 2 "
+              "as published by the Free Software Foundation."), ["GPL-2.0"]),
+        ("Copyright (c) Jo.\n" + wrap("Permission to use, copy, modify, and distribute this software for any purpose with or without fee is hereby granted, "
+                                      "provided that the above copyright notice and this permission notice appear in all copies."), ["ISC"]),
+        (wrap(bsd + ' THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS "AS IS" AND ANY EXPRESS OR IMPLIED WARRANTIES, INCLUDING, BUT NOT '
+              "LIMITED TO, THE IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE DISCLAIMED. IN NO EVENT SHALL THE COPYRIGHT "
+              "HOLDER OR CONTRIBUTORS BE LIABLE FOR ANY DIRECT DAMAGES."), ["BSD-2-Clause"])]
+    # a clause in words that aren't known: no name of a shorter rule
+    odd = [f"{bsd}\n3. You must not use the names of its contributors to endorse or promote products derived from this software unless they allow it in writing.",
+           wrap(f"{bsd} All advertising materials that mention features or use of this software must display an acknowledgement of Foo.")]
+    got = by_id(licenses.licenses(docs_of(spark, [t for t, _ in cases] + odd + ["SPDX-License-Identifier: Foo-1.0"])))
+    right = [got[i].licenses == want for i, (_, want) in enumerate(cases)]
+    wrong = [(cases[i][0], got[i].licenses) for i, ok in enumerate(right) if not ok]
+    assert sum(right) >= 0.9 * len(cases), wrong
+    assert all(not names_ for _, names_ in wrong), wrong
+    for i in range(len(cases), len(cases) + 3):
+        assert (got[i].licenses, got[i].unknown) == ([], True)
+
+
 # ---- 5 decontamination ------------------------------------------------------------------------
 
 def test_decontamination_equals_brute_force(spark):

@@ -8,11 +8,20 @@ between two of its own) names a licence.  A sentence that wraps over lines is
 joined; inside a stretch without sentence ends the longest known run of lines
 is taken.  The holder named in a clause is a placeholder, and a list mark before a
 sentence is left out.  A licence is also declared by its name after "released",
-"licensed" ... "under" anywhere in a sentence ("not" before it, and it isn't).
+"licensed" ... "under" anywhere in a sentence ("not" before it, and it isn't), or by
+an SPDX-License-Identifier line.
+
+A rule does not name its licence if an unknown sentence within it, or among the
+``GAP + 2`` after it, resembles a clause of a longer rule of another licence (it holds
+``RESEMBLES`` of the clause's word pairs): the text is then flagged ``unknown``, not
+given the shorter rule's name.
 
 Defined results: a null or empty text has no licence; a document whose known
 sentences match no rule, or that only mentions a licence in unknown words, is
-flagged ``unknown``; repeated rows get equal results.
+flagged ``unknown``; a licence declared twice is listed twice; rules of equal length go
+in the order they are given; repeated rows get equal results.  Texts are read whole,
+however long; an empty table gives no rows; of ``docs`` only ``doc_id`` and ``text``
+are read, so other columns may have any name.
 """
 
 from __future__ import annotations
@@ -24,6 +33,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 GAP, HOLDER = 2, 12                                     # unknown sentences in a rule, words of a holder's name
+RESEMBLES = 0.4                                         # share of a known clause's word pairs in an altered one
 
 # Sentences of public licence texts and notices.
 SENTENCES = {
@@ -55,10 +65,22 @@ SENTENCES = {
     "lgpl-2.1-head": "GNU LESSER GENERAL PUBLIC LICENSE Version 2.1, February 1999",
     "lgpl-3-head": "GNU LESSER GENERAL PUBLIC LICENSE Version 3, 29 June 2007",
     "agpl-3-head": "GNU AFFERO GENERAL PUBLIC LICENSE Version 3, 19 November 2007",
+    "gpl-2-only": "you can redistribute it and/or modify it under the terms of version 2 of the GNU General Public License as published by the Free Software Foundation.",
+    "gpl-2-head": "GNU GENERAL PUBLIC LICENSE Version 2, June 1991",
+    "gpl-3-head": "GNU GENERAL PUBLIC LICENSE Version 3, 29 June 2007",
+    "gpl-3-only": "you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, version 3.",
+    "apache-head": "Apache License Version 2.0, January 2004",
+    "mpl-2-head": "Mozilla Public License Version 2.0",
+    "bsl-head": "Boost Software License - Version 1.0 - August 17th, 2003",
+    "zlib-grant": "Permission is granted to anyone to use this software for any purpose, including commercial applications, and to alter it and redistribute it freely, subject to the following restrictions:",
     "unlicense": "This is free and unencumbered software released into the public domain.",
 }
 # Other wordings of such sentences.
-VARIANTS = [("bsd-names", "The name of the copyright holder may not be used to endorse or promote products derived from this software without specific prior written permission."),
+VARIANTS = [("gpl-2-only", "you can redistribute it and/or modify it under the terms of the GNU General Public License version 2 as published by the Free Software Foundation."),
+            ("gpl-2-only", "you can redistribute it and/or modify it under the terms of the GNU General Public License, version 2, as published by the Free Software Foundation."),
+            ("gpl-2-only", "you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation; version 2."),
+            ("isc-grant", "Permission to use, copy, modify, and distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies."),
+            ("bsd-names", "The name of the copyright holder may not be used to endorse or promote products derived from this software without specific prior written permission."),
             ("bsd-names", "The names of its contributors may not be used to endorse or promote products derived from this software without specific prior written permission."),
             ("bsd-names", "Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without prior written permission.")]
 # Names under which licences are declared, and the forms of a declaration.
@@ -70,7 +92,7 @@ NAMES = {
     "GPL-3.0": ["GNU General Public License, version 3", "GNU General Public License v3.0", "GNU GPL v3"],
     "LGPL-2.1": ["GNU Lesser General Public License, version 2.1"], "LGPL-3.0": ["GNU Lesser General Public License, version 3"],
     "AGPL-3.0": ["GNU Affero General Public License, version 3"], "BSL-1.0": ["Boost Software License, Version 1.0"],
-    "CC0-1.0": ["CC0 1.0 Universal License", "CC0 1.0"],
+    "Zlib": ["zlib License", "zlib/libpng License"], "CC0-1.0": ["CC0 1.0 Universal License", "CC0 1.0"],
 }
 # Parts of the Creative Commons names, from which NAMES gets all kinds and versions.
 CC_PARTS = {"BY": "Attribution", "NC": "NonCommercial", "ND": "NoDerivatives", "SA": "ShareAlike"}
@@ -87,8 +109,9 @@ for _name in ("GPL-2.0", "GPL-3.0", "LGPL-2.1", "LGPL-3.0", "AGPL-3.0"):
     NAMES[_name] += [f"GNU {_whole}General Public License{x} {_version}" for x in ("", " version", " v")]
     NAMES[_name] += [f"GNU {_whole}General Public License v{_version}", f"GNU {_whole}General Public License v{_short}",
                      f"GNU {_whole}General Public License version {_short}", f"{_name}", f"{_kind}v{_short}", f"{_kind} v{_short}", f"GNU {_kind} v{_short}"]
+    NAMES[_name].append(f"{_name}-only")
     NAMES[_name + "-or-later"] = [f"{x}{later}" for x in NAMES[_name]
-                                  for later in (" or later", " or any later version", " or (at your option) any later version")]
+                                  if not x.endswith("-only") for later in (" or later", " or any later version", " or (at your option) any later version")]
 for _kind in CC_KINDS:
     _long = "Creative Commons " + "-".join(CC_PARTS[x] for x in _kind.split("-")) + " 4.0 International Public License"
     SENTENCES[f"cc-{_kind.lower()}-4.0"] = ("By exercising the Licensed Rights (defined below), You accept and agree to be bound by the "
@@ -108,7 +131,9 @@ RULES = {
     "BSD-4-Clause": ["bsd-grant", "bsd-source", "bsd-binary", "bsd-advert", "bsd-names"],
     "LGPL-2.1-or-later": ["lgpl-free", "lgpl-2.1-terms", "lgpl-2.1-option"], "LGPL-3.0-or-later": ["lgpl-free", "lgpl-3-terms"],
     "LGPL-3.0-or-later (program)": ["gpl-free", "lgpl-3-terms"], "AGPL-3.0-or-later": ["gpl-free", "agpl-3-terms"],
-    "BSL-1.0": ["bsl-grant"], "LGPL-2.1": ["lgpl-2.1-head"], "LGPL-3.0": ["lgpl-3-head"], "AGPL-3.0": ["agpl-3-head"],
+    "GPL-2.0 (notice)": ["gpl-free", "gpl-2-only"], "GPL-3.0 (notice)": ["gpl-free", "gpl-3-only"], "GPL-2.0 (text)": ["gpl-2-head"],
+    "GPL-3.0 (text)": ["gpl-3-head"], "Apache-2.0 (text)": ["apache-head"], "MPL-2.0 (text)": ["mpl-2-head"], "Zlib": ["zlib-grant"],
+    "BSL-1.0 (text)": ["bsl-head", "bsl-grant"], "BSL-1.0": ["bsl-grant"], "LGPL-2.1": ["lgpl-2.1-head"], "LGPL-3.0": ["lgpl-3-head"], "AGPL-3.0": ["agpl-3-head"],
 }
 RULES |= {f"CC-{kind}-4.0": [f"cc-{kind.lower()}-4.0"] for kind in CC_KINDS}
 
@@ -120,6 +145,8 @@ _MARK = re.compile(r"^(?:[0-9]{1,2}|[a-z]|[ivx]{2,4}) ")
 _HOLDERS = [(re.compile(r"^neither the names? of .+? nor the names? of (?:(?:its|the|their|any|other) )*contributors\b"),
              "neither the name of holder nor the names of its contributors"),
             (re.compile(r"^(?:the )?names? of .+? (?:may|must) not be used to endorse\b"), "the name of holder may not be used to endorse")]
+_PERMISSION = re.compile(r"\bwithout (?:(?:the|specific|prior|express|explicit) )*written (?:permission|consent|authori[sz]ation)(?: (?:of|from) .+)?$")
+_SPDX = re.compile(r"spdx-license-identifier:[ \t]*([a-z0-9.+() \t-]+)", re.IGNORECASE)
 _UNDER = re.compile(r"\b((?:not|never)(?: \w+)? )?(?:released|licen[sc]ed|distributed|available|provided|published|covered|redistributed) "
                     r"under (?:the |a |an |either )*(?:terms (?:and conditions )?of )?(?:the |a |an |either )*")
 _ALSO = re.compile(r" (?:and|or|and or)(?: under)?(?: the| a| an)? ")
@@ -136,9 +163,27 @@ def unnamed(sentence: str) -> str:
     if " name" in sentence or sentence.startswith("name"):
         for pattern, plain in _HOLDERS:
             sentence = pattern.sub(plain, sentence)
+        sentence = _PERMISSION.sub("without specific prior written permission", sentence)
     return sentence
 
 
+def _pairs(sentence: str) -> set:
+    words = sentence.split()
+    return set(zip(words, words[1:]))
+
+
+def _spelled(text: str) -> str:
+    """SPDX lines as sentences that declare the same licences."""
+    if "icense-" not in text and "ICENSE-" not in text:
+        return text
+    return _SPDX.sub(lambda m: "\n\nLicensed under " + m[1].replace("+", "-or-later").replace("(", "").replace(")", "").strip(" \t-") + ".\n\n", text)
+
+
+def _within(ids, more) -> bool:
+    rest = iter(more)
+    return all(x in rest for x in ids)
+
+
 class Rules:
     """Known sentences and ordered rules; more of either can be passed in."""
 
@@ -150,17 +195,23 @@ class Rules:
         self.rules = [(list(ids), name.split(" (")[0]) for name, ids in rules.items()]
         for name, titles in names.items():
             self.rules.append(([f"declares {name}"], name))
-            for title in titles:
+            for title in [*titles, name]:
                 words = normalised(title)
                 self.titles.setdefault(words.split()[0], []).append((words, f"declares {name}"))
                 for form in forms:
                     self.known[normalised(form.format(title))] = f"declares {name}"
         self.rules.sort(key=lambda r: -len(r[0]))
+        clauses: dict[str, list[set]] = {}
+        for sentence, ident in self.known.items():
+            clauses.setdefault(ident, []).append(_pairs(sentence))
+        # by rule: the clauses by which longer rules of other licences differ from it
+        self.further = {tuple(ids): [c for more, other in self.rules if len(more) > len(ids) and other != name and _within(ids, more)
+                                     for x in more if x not in ids for c in clauses.get(x, ())] for ids, name in self.rules}
         for found in self.titles.values():
             found.sort(key=lambda x: -len(x[0]))
         self.longest = max(k.count(" ") + 1 for k in self.known) + HOLDER
         # every known sentence holds one of these; a text without them holds none
-        anchors = ("licen", "copyright", "permission", "redistribut", "warrant", "software", "mit", "gpl", "apache", "cc", "creative", "bsd")
+        anchors = ("licen", "copyright", "permission", "redistribut", "warrant", "software", "mit", "gpl", "apache", "cc", "creative", "bsd", "isc", "zlib", "bsl", "mpl")
         self.anchors = anchors if all(any(a in k for a in anchors) for k in self.known) else ("",)
 
     def ident(self, sentence: str) -> str | None:
@@ -183,14 +234,16 @@ class Rules:
         return out
 
     def sentences(self, text: str):
-        """``(identifier or None)`` of every sentence, in order."""
+        """``(identifier or None, words of an unknown sentence)`` of every sentence, in
+        order; of an unknown sentence over several lines the first holds all its words."""
         for stretch in _END.split(text):
             whole = normalised(stretch)
             if not whole:
                 continue
             ident = self.ident(whole)
             if ident or "\n" not in stretch.strip():
-                yield from [ident] if ident else self.declared(whole) or [None]
+                for x in [ident] if ident else self.declared(whole) or [None]:
+                    yield x, "" if x else whole
                 continue
             lines, i, other = [n for x in stretch.split("\n") if (n := normalised(x))], 0, []
             while i < len(lines):
@@ -204,33 +257,50 @@ class Rules:
                     if ident:
                         best, found = j - i, ident
                 if found:
-                    yield from self.declared(" ".join(other))
+                    yield from self._unknown_run(other)
                     other = []
+                    yield found, ""
                 else:
                     other.append(lines[i])
-                yield found
                 i += best
-            yield from self.declared(" ".join(other))
+            yield from self._unknown_run(other)
+
+    def _unknown_run(self, lines: list[str]):
+        words = " ".join(lines)
+        for n in range(len(lines)):
+            yield None, "" if n else words
+        for name in self.declared(words):
+            yield name, ""
+
+    def _altered(self, ids, unknown: list[str]) -> bool:
+        """Whether an unknown sentence resembles a clause that the rule lacks."""
+        clauses = self.further[tuple(ids)]
+        return any(len(c & pairs) >= RESEMBLES * len(c) for text in unknown if clauses and text
+                   for pairs in [_pairs(text)] for c in clauses)
 
     def licenses(self, text: str | None) -> tuple[list[str], list[str], bool]:
         """Licences in order, known identifiers in order, and the unknown flag."""
         if not text:
             return [], [], False
-        low = text.lower()
-        if not any(a in low for a in self.anchors):
+        if not any(a in text.lower() for a in self.anchors):
             return [], [], False
-        found = [(n, ident) for n, ident in enumerate(self.sentences(text)) if ident]
-        out, i = [], 0
+        text = _spelled(text)
+        every = list(self.sentences(text))
+        found = [(n, ident) for n, (ident, _) in enumerate(every) if ident]
+        out, i, altered = [], 0, False
         while i < len(found):
             for ids, name in self.rules:
                 part = found[i:i + len(ids)]
                 if [x[1] for x in part] == ids and all(b[0] - a[0] <= GAP + 1 for a, b in zip(part, part[1:])):
-                    out.append(name)
+                    if self._altered(ids, [words for _, words in every[part[0][0]:part[-1][0] + GAP + 3]]):
+                        altered = True
+                    else:
+                        out.append(name)
                     i += len(ids)
                     break
             else:
                 i += 1
-        return out, [ident for _, ident in found], not out and (bool(found) or MENTION.search(low) is not None)
+        return out, [ident for _, ident in found], altered or not out and (bool(found) or MENTION.search(text.lower()) is not None)
 
 
 def licenses(docs: DataFrame, rules: Rules | None = None) -> DataFrame:

@@ -156,8 +156,8 @@ def _select(vectors: DataFrame, ids, queries, kth, need) -> DataFrame:
 def top_k(embeddings: DataFrame, is_query: Column, k: int = K, block: int = QUERY_BLOCK) -> DataFrame:
     """``query_id, rank, vec_id, score`` for every row that ``is_query`` (a
     condition on ``vec_id``), against every other row."""
-    vectors = materialised(quantised(embeddings))
-    asked = vectors.where(is_query).select("vec_id", "v").dropDuplicates(["vec_id"])
+    vectors = materialised(quantised(embeddings).withColumn("row", F.monotonically_increasing_id()))
+    asked = vectors.where(is_query)
     blocks = max(1, -(-asked.count() // block))
     dealt = asked.withColumn("b", F.pmod(F.xxhash64("vec_id"), F.lit(blocks)))
     dealt = materialised(dealt) if blocks > 1 else dealt
