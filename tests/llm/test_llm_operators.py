@@ -1,6 +1,7 @@
 """Corpus operators against brute-force versions, planted cases and odd rows."""
 
 import hashlib
+import math
 import random
 import re
 import zlib
@@ -586,6 +587,25 @@ def test_top_k_equals_brute_force(spark, block):
     assert not got
 
 
+def test_top_k_rows_of_one_id_and_large_scores(spark):
+    rows = [(100, [1.0, 0.0]), (100, [0.0, 1.0]), (100, [0.0, 1.0]), (1, [2.0, 0.5]), (2, [2.0, 0.5]), (2, [2.0, 0.5])]
+    df = spark.createDataFrame(rows, "vec_id bigint, embedding array<double>").repartition(3)
+    got = sorted((r.query_id, r["rank"], r.score, r.vec_id) for r in topk.top_k(df, F.col("vec_id") % 100 == 0, k=4).collect())
+    q = [np.floor(1024 * np.array(v)).astype(np.int64) for _, v in rows]
+    want = []
+    for i in range(3):
+        best = sorted((-int(q[i] @ q[j]), rows[j][0]) for j in range(len(rows)) if j != i)[:4]
+        want += [(100, n + 1, -s, j) for n, (s, j) in enumerate(best)]
+    assert got == sorted(want)
+    large = [(100, [2e6, 1.0]), (1, [2e6, -4e6]), (2, [-2e6, 3.0])]           # products beyond 2^53
+    df = spark.createDataFrame(large, "vec_id bigint, embedding array<double>")
+    v = {i: [math.floor(1024 * x) for x in e] for i, e in large}
+    assert [(r.vec_id, r.score) for r in topk.top_k(df, F.col("vec_id") % 100 == 0).collect()] == [
+        (j, sum(a * b for a, b in zip(v[100], v[j]))) for j in (1, 2)]
+    with pytest.raises(Exception, match="64 bits"):
+        topk.top_k(spark.createDataFrame([(100, [3e9]), (1, [3e9])], df.schema), F.col("vec_id") % 100 == 0).collect()
+
+
 # ---- 10 SimHash -------------------------------------------------------------------------------
 
 def plain_fingerprint(text):

@@ -14,7 +14,11 @@ however many vectors are equal.
 Defined results: vectors that are null or hold a null or a non-finite component
 take no part; vectors of different length don't meet; ids that are null take no
 part (they can't be named); repeated rows each count; a query with fewer than k
-candidates returns them all.
+candidates returns them all; of rows that share an id each asks for itself and is a
+candidate of the others, so such a ``query_id`` has one ranking per row; a score that
+64 bits can't hold is an error, as is a component beyond them; vectors of no
+components meet each other with score 0; an empty table gives no rows; other
+columns, of any name, are not read.
 """
 
 from __future__ import annotations
@@ -29,6 +33,7 @@ from .common import materialised
 SCALE, K, BINS = 1024, 10, 256
 QUERY_BLOCK = 4096
 _EXACT = float(1 << 53)
+_HOLDS = float(1 << 63) * (1 - 2.0 ** -40)              # rounding of the floating check stays below
 
 
 def quantised(embeddings: DataFrame, vec_id: str = "vec_id", embedding: str = "embedding") -> DataFrame:
@@ -40,13 +45,13 @@ def quantised(embeddings: DataFrame, vec_id: str = "vec_id", embedding: str = "e
                             ).select(F.col(vec_id).cast("bigint").alias("vec_id"), whole.alias("v"))
 
 
-def _matrices(ids: np.ndarray, lists: pa.Array):
-    """Per vector length: ids and int64 matrix."""
+def _matrices(lists: pa.Array):
+    """Per vector length: positions and int64 matrix."""
     off = np.asarray(lists.offsets)
     size, values = np.diff(off), np.asarray(lists.values)
     for d in np.unique(size):
         rows = np.flatnonzero(size == d)
-        yield int(d), ids[rows], values[off[rows][:, None] + np.arange(d)].reshape(len(rows), d).astype(np.int64)
+        yield int(d), rows, values[off[rows][:, None] + np.arange(d)].reshape(len(rows), d).astype(np.int64)
 
 
 def _scores(a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -54,38 +59,38 @@ def _scores(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     top = float(np.abs(a).max(initial=0)) * float(np.abs(b).max(initial=0)) * max(1, a.shape[1])
     if top < _EXACT:
         return (a.astype(float) @ b.T.astype(float)).astype(np.int64)
+    if top >= _HOLDS and a.size and b.size and np.abs(a.astype(float) @ b.T.astype(float)).max() >= _HOLDS:
+        raise OverflowError("a score does not fit in 64 bits")
     return a @ b.T
 
 
 def _score_blocks(batches, queries, rows: int):
-    """``(query positions, scores (candidates x queries), candidate ids)``, own rows masked
-    out by ``mask``; ``rows`` bounds the size of a score block."""
+    """``(query positions, scores (candidates x queries), candidate ids, mask)``; the mask
+    leaves out a query's own row, ``rows`` bounds the size of a score block."""
     for b in batches:
-        for d, ids, m in _matrices(b.column(0).to_numpy(), b.column(1)):
+        ids, own = b.column(0).to_numpy(), b.column(2).to_numpy()
+        for d, where, m in _matrices(b.column(1)):
             if d not in queries:
                 continue
-            at, q_ids, q = queries[d]
-            for i in range(0, len(ids), rows):
-                yield at, _scores(m[i:i + rows], q), ids[i:i + rows], ids[i:i + rows, None] != q_ids[None, :]
+            at, q_rows, q = queries[d]
+            for i in range(0, len(where), rows):
+                part = where[i:i + rows]
+                yield at, _scores(m[i:i + rows], q), ids[part], own[part, None] != q_rows[None, :]
 
 
-def _block(spark, block: DataFrame):
-    """The vectors of one query block (bounded by ``QUERY_BLOCK``), by length."""
-    t = block.orderBy("vec_id").toArrow().combine_chunks()
-    ids = t["vec_id"].to_numpy()
+def _block(block: DataFrame):
+    """The rows of one query block (bounded by ``QUERY_BLOCK``) and their vectors by length."""
+    t = block.orderBy("row").toArrow().combine_chunks()
+    rows = t["row"].to_numpy()
     lists = t["v"].combine_chunks() if isinstance(t["v"], pa.ChunkedArray) else t["v"]
     lists = lists.chunk(0) if isinstance(lists, pa.ChunkedArray) else lists
-    where = {}
-    off = np.asarray(lists.offsets)
-    for d, q_ids, q in _matrices(ids, lists):
-        where[d] = (np.flatnonzero(np.diff(off) == d), q_ids, q)
-    return ids, where
+    return rows, t["vec_id"].to_numpy(), {d: (at, rows[at], q) for d, at, q in _matrices(lists)}
 
 
-def _kth_scores(vectors: DataFrame, ids: np.ndarray, queries: dict, k: int) -> tuple[np.ndarray, np.ndarray]:
+def _kth_scores(vectors: DataFrame, n: int, queries: dict, k: int) -> tuple[np.ndarray, np.ndarray]:
     """Of each query the k-th highest score (the least one, if there are fewer
     candidates) and the number of results still needed at exactly that score."""
-    spark, n = vectors.sparkSession, len(ids)
+    spark = vectors.sparkSession
     rows = max(1, (1 << 21) // max(1, n))
 
     def extent(batches):
@@ -132,7 +137,7 @@ def _kth_scores(vectors: DataFrame, ids: np.ndarray, queries: dict, k: int) -> t
     return lo, need
 
 
-def _select(vectors: DataFrame, ids, queries, kth, need) -> DataFrame:
+def _select(vectors: DataFrame, asked, ids, queries, kth, need) -> DataFrame:
     """What beats the k-th score, and the ``need`` smallest ids that equal it."""
     n, rows = len(ids), max(1, (1 << 21) // max(1, len(ids)))
 
@@ -140,17 +145,17 @@ def _select(vectors: DataFrame, ids, queries, kth, need) -> DataFrame:
         ties: dict[int, np.ndarray] = {}
         for at, s, c_ids, other in _score_blocks(batches, queries, rows):
             c, q = np.nonzero(other & (s > kth[at]))
-            yield pa.RecordBatch.from_arrays([pa.array(ids[at[q]]), pa.array(c_ids[c]), pa.array(s[c, q])],
-                                             ["query_id", "vec_id", "score"])
+            yield pa.RecordBatch.from_arrays([pa.array(asked[at[q]]), pa.array(ids[at[q]]), pa.array(c_ids[c]), pa.array(s[c, q])],
+                                             ["row", "query_id", "vec_id", "score"])
             equal = other & (s == kth[at])
             for j in np.flatnonzero(equal.any(0)):
                 p = int(at[j])
                 ties[p] = np.sort(np.concatenate([ties.get(p, np.zeros(0, np.int64)), c_ids[equal[:, j]]]))[:need[p]]
         for p, found in ties.items():
-            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(found), ids[p])), pa.array(found),
-                                              pa.array(np.full(len(found), kth[p]))], ["query_id", "vec_id", "score"])
+            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(found), asked[p])), pa.array(np.full(len(found), ids[p])), pa.array(found),
+                                              pa.array(np.full(len(found), kth[p]))], ["row", "query_id", "vec_id", "score"])
 
-    return vectors.mapInArrow(run, "query_id bigint, vec_id bigint, score bigint")
+    return vectors.mapInArrow(run, "row bigint, query_id bigint, vec_id bigint, score bigint")
 
 
 def top_k(embeddings: DataFrame, is_query: Column, k: int = K, block: int = QUERY_BLOCK) -> DataFrame:
@@ -159,18 +164,19 @@ def top_k(embeddings: DataFrame, is_query: Column, k: int = K, block: int = QUER
     vectors = materialised(quantised(embeddings).withColumn("row", F.monotonically_increasing_id()))
     asked = vectors.where(is_query)
     blocks = max(1, -(-asked.count() // block))
-    dealt = asked.withColumn("b", F.pmod(F.xxhash64("vec_id"), F.lit(blocks)))
+    dealt = asked.withColumn("b", F.pmod(F.xxhash64("row"), F.lit(blocks)))
     dealt = materialised(dealt) if blocks > 1 else dealt
     found = None
     for i in range(blocks):
-        ids, queries = _block(vectors.sparkSession, dealt.where(F.col("b") == i).drop("b"))
-        if not len(ids):
+        rows, ids, queries = _block(dealt.where(F.col("b") == i).drop("b"))
+        if not len(rows):
             continue
-        kth, need = _kth_scores(vectors, ids, queries, k)
-        part = _select(vectors, ids, queries, kth, need)
+        kth, need = _kth_scores(vectors, len(rows), queries, k)
+        # written before the next block: the driver holds the vectors of one block
+        part = materialised(_select(vectors, rows, ids, queries, kth, need))
         found = part if found is None else found.union(part)
     if found is None:
         return vectors.sparkSession.createDataFrame([], "query_id bigint, rank int, vec_id bigint, score bigint")
-    order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
+    order = Window.partitionBy("row").orderBy(F.desc("score"), "vec_id")
     return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select(
         "query_id", "rank", "vec_id", "score")
