@@ -96,3 +96,28 @@ def test_position_with_quantile_buckets(spark):
     got["expect"] = got.groupby("series_id").cumcount()
     assert (got[win.IDX] == got["expect"]).all()
     assert got.groupby(["series_id"]).size().min() > 1000
+
+
+def test_average_rank_with_hot_value_and_nulls(spark):
+    rng = np.random.default_rng(11)
+    x = np.where(rng.random(4000) < 0.6, 7.0, rng.integers(0, 3000, 4000) / 2)
+    pdf = pd.DataFrame({"id": range(4000), "g": rng.integers(0, 2, 4000), "x": x})
+    pdf.loc[rng.random(4000) < 0.2, "x"] = np.nan
+    pdf.loc[:3, "x"] = [0.0, -0.0, -0.0, 0.5]
+    df = spark.createDataFrame(pdf).withColumn("x", F.when(~F.isnan("x"), F.col("x"))).repartition(6)
+    for keys in ([], ["g"]):
+        out = win.average_rank(df, "x", "r", keys=keys)
+        assert out.columns == ["id", "g", "x", "r"]
+        got = out.toPandas().set_index("id")["r"].sort_index()
+        want = (pdf.groupby("g")["x"] if keys else pdf["x"]).rank(method="average")
+        pd.testing.assert_series_equal(got, want, check_names=False)
+    assert win.average_rank(df.limit(0), "x", "r").count() == 0
+    # the rows of the hot value and the nulls, 70 % of all, are spread over the tasks
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        parts = win.average_rank(df, "x", "r").groupBy(F.spark_partition_id().alias("p")).count().toPandas()["count"]
+    finally:
+        spark.conf.set("spark.sql.adaptive.enabled", "true")
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    assert len(parts) > 1 and parts.max() < 0.4 * len(pdf)

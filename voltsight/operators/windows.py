@@ -27,6 +27,8 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..session import cut_lineage
+
 IDX, BLK, OWN = "_idx", "_blk", "_own"
 DEFAULT_BLOCK = 4096
 
@@ -300,19 +302,35 @@ def running_sums(df: DataFrame, keys, order: str, cols, inclusive: bool = True,
     return d.withColumns(out).drop("_rb", *[f"_o_{c}" for c in cols])
 
 
+#: a value with more than this part of all rows is hot; there are fewer of them than this
+HOT_VALUES = 1024
+
+
 def average_rank(df: DataFrame, x: str, out: str, keys=()) -> DataFrame:
     """``rank(method='average')``: ties share the mean of their ranks.
 
     Distributed form: distinct values with counts (partial aggregation keeps
-    the shuffle to one row per value and task, so a hot value costs
-    nothing), an exclusive running count over the distinct table
-    (``running_sums``), then a join back.  Null stays null.
+    the shuffle to one row per value and task), an exclusive running count over the
+    distinct table (``running_sums``), then ranks go back to the rows.  Values with more
+    than 1 / ``HOT_VALUES`` of all rows, so fewer than ``HOT_VALUES`` of them, go back by
+    broadcast; the others by a join in which rows that are done already, and nulls, are
+    spread over ``HOT_VALUES`` keys that match nothing.  Null stays null.
     """
     keys = list(keys)
     cnt = df.where(F.col(x).isNotNull()).groupBy(*keys, x).agg(F.count(F.lit(1)).alias("_c"))
-    ranks = running_sums(cnt, keys, x, ["_c"], inclusive=False)
-    ranks = ranks.select(*keys, x, (F.col("cum__c") + (F.col("_c") + 1) / 2.0).alias(out))
-    return df.join(ranks, on=keys + [x], how="left")
+    ranks = cut_lineage(running_sums(cnt, keys, x, ["_c"], inclusive=False).select(
+        *keys, x, "_c", (F.col("cum__c") + (F.col("_c") + 1) / 2.0).alias(out)))
+    many = (ranks.agg(F.sum("_c")).first()[0] or 0) / HOT_VALUES
+    # a part of the join key for all rows: a constant one would be dropped from it
+    spread = lambda c: F.pmod(c, F.lit(HOT_VALUES)).alias("_s")
+    hot = ranks.where(F.col("_c") > many).select(*keys, x, F.col(out).alias("_hot"))
+    rest = ranks.where(F.col("_c") <= many).select(*keys, F.col(x).alias("_x"), spread(F.xxhash64(x)), F.col(out).alias("_rest"))
+    done = F.col("_hot").isNotNull() | F.col(x).isNull()
+    rows = df.join(F.broadcast(hot), on=keys + [x], how="left")
+    rows = rows.withColumn("_x", F.when(~done, F.col(x))).withColumn(
+        "_s", spread(F.when(done, F.monotonically_increasing_id()).otherwise(F.xxhash64(x))))
+    return rows.join(rest, on=keys + ["_x", "_s"], how="left").select(
+        *df.columns, F.coalesce("_hot", "_rest").alias(out))
 
 
 def rank_sorted(df: DataFrame, score: str, name: str, out: str = "rank", ascending: bool = False) -> DataFrame:
