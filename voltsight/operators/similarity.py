@@ -31,6 +31,7 @@ QUERY_CHUNK = 1024
 # A task holds at most QUERY_CHUNK x BLOCK_ROWS scores (32 MB) at a time.
 SHARES, FEW_TASKS = 8, 64
 LABELS_HELD = 512
+FEW_HITS = 1 << 16
 
 
 def _blocks(n: int, rows: int) -> int:
@@ -194,7 +195,7 @@ def _score_rows(Q, qids, P, pids, k, cosine, exclude_self, bound=None):
     """Exact top-k of each query row against matrix P (ties to the smaller id, exact
     Euclidean ranking): query id, query row, id and score.  ``bound``: per query the worst
     key (negative cosine, squared distance) of interest; queries without one as good are
-    left out."""
+    left out, and few profiles as good are all returned, also more than ``k`` a query."""
     import numpy as np
     rows = np.arange(len(Q))
     if cosine:
@@ -211,6 +212,11 @@ def _score_rows(Q, qids, P, pids, k, cosine, exclude_self, bound=None):
     if bound is not None:
         rows = np.flatnonzero(np.fmin.reduce(key, axis=1) <= bound + slack)
         key, slack = key[rows], slack[rows]
+        hit = key <= (bound[rows] + slack)[:, None]
+        if np.count_nonzero(hit) <= FEW_HITS:
+            at, cand = np.nonzero(hit & np.isfinite(key))
+            score = -key[at, cand] if cosine else np.sqrt(np.sum((P[cand] - Q[rows[at]]) ** 2, axis=1))
+            return qids[rows[at]], rows[at], pids[cand], score
     kk = min(k, key.shape[1])
     idx = np.argpartition(key, kk - 1, axis=1)[:, :kk] if kk < key.shape[1] else \
         np.tile(np.arange(key.shape[1]), (key.shape[0], 1))
