@@ -8,6 +8,7 @@ from collections import Counter, defaultdict
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 import sentencepiece
 from llm_fixtures import SF001, no_docs, odd_docs  # noqa: F401
@@ -132,6 +133,22 @@ def test_window_count_rises_beyond_capacity():
     assert len(np.unique(packing.windows_of(np.full(20_000, 1), 4096))) <= 6
 
 
+ODD = ["a", "A", "E", "é", "É", "ß", "Ŷ", "ÿ", "×", "÷", "µ", "İ", "Σ", "W", "K", "ł", "\u030a", "\u0301", "\u0338", " ", " ", "\t", "\xa0", "\x85", "\x1c",
+       "'", "'S", "'re", "$$$", "&", "<", "|", "<|endoftext|>", "<|ENDOFTEXT|>", ",", ")", "7", "日", "🎉", "\x00", "The", "ver"]
+
+
+def test_packing_words_are_cut_at_marks_and_folded():
+    got = packing.words(pa.array(["Ciónr$$$ ÉA! abc,d", None, " It's\n", "A|B W\u030a, Êt\u0301", ""]))
+    assert got.to_pylist() == [["ciónr", "$$$", "éa", "!", "abc", ",d"], [], ["it", "'s"], ["A|B", "W\u030a,", "Êt\u0301"], []]
+    rng = random.Random(8)
+    texts = ["".join(rng.choice(ODD) for _ in range(rng.randint(0, 25))) for _ in range(4000)] + [None, ""]
+    own = Tokenizer.from_file(public_tokenizers.path(packing.VOCABULARY))
+    ids, bounds = packing.token_ids(pa.array(["before", *texts, "after"]).slice(1, len(texts)))
+    for i, text in enumerate(texts):
+        assert ids[bounds[i]:bounds[i + 1]].tolist() == [*own.encode(text or "", add_special_tokens=False).ids, packing.END_ID], text
+    assert packing.token_ids(pa.array([], pa.string()))[1].tolist() == [0]
+
+
 # ---- 12 alignment -----------------------------------------------------------------------------
 
 def plain_alignment(rows):
