@@ -87,19 +87,20 @@ def train_registry(split: DataFrame, targets, regressors: dict, classifiers: dic
     def macro_f1(scored, target):
         return ml.classification_summary(scored, f"{target}_label", "prediction").first()
 
+    def first_segments(target):
+        """First segment of the folds that holds each class: fold ``i`` trains on segments up to ``i``."""
+        y = f"{target}_label"
+        return [r.s for r in windows.where(F.col(y).isNotNull()).groupBy(y).agg(F.min(ml.fold_segment(n_splits)).alias("s")).collect()]
+
+    def fold(target, feats, name, i):
+        kind, kw = classifiers[name]
+        past, next_ = (ml.fold_rows(windows, i, role, n_splits).fillna(0.0, feats) for role in ("train", "test"))
+        return macro_f1(ml.fit_classifier(past, feats, f"{target}_label", kind, **kw).transform(next_), target)["macro_f1"]
+
     def classifier(target, _, feats, name):
         kind, kw = classifiers[name]
-        y, metrics, folds = f"{target}_label", {}, []
-        for i in range(n_splits):
-            past, next_ = (ml.fold_rows(windows, i, role, n_splits).fillna(0.0, feats) for role in ("train", "test"))
-            if past.agg(F.count_distinct(y)).first()[0] < 2:         # one class only: nothing to learn in this window
-                continue
-            folds.append(macro_f1(ml.fit_classifier(past, feats, y, kind, **kw).transform(next_), target)["macro_f1"])
-        folds = [f for f in folds if f is not None]
-        if folds:
-            metrics["cv_macro_f1"] = sum(folds) / len(folds)
-        m = ml.fit_classifier(train.fillna(0.0, feats), feats, y, kind, **kw)
-        metrics |= _finite(macro_f1(m.transform(test.fillna(0.0, feats)), target), ("accuracy", "macro_f1", "weighted_f1"))
+        m = ml.fit_classifier(train.fillna(0.0, feats), feats, f"{target}_label", kind, **kw)
+        metrics = _finite(macro_f1(m.transform(test.fillna(0.0, feats)), target), ("accuracy", "macro_f1", "weighted_f1"))
         return ("classifier", target, name, stored(m, "classifier", target, name), list(feats), bounds[target], metrics)
 
     def cluster():
@@ -109,7 +110,18 @@ def train_registry(split: DataFrame, targets, regressors: dict, classifiers: dic
 
     tasks = [lambda t=t, n=n: regressor(*t, n) for t in targets for n in regressors]
     tasks += [lambda t=t, n=n: classifier(*t, n) for t in targets for n in classifiers] + [cluster]
-    manifest = ml.run_parallel(tasks, parallelism)
+    # every window is a fit of its own; with one class only there is nothing to learn in it
+    seen = {t: first_segments(t) for t, _, _ in targets} if classifiers else {}
+    folds = [(t, f, n, i) for i in reversed(range(n_splits)) for t, _, f in targets for n in classifiers
+             if sum(s <= i for s in seen[t]) > 1]
+    done = ml.run_parallel(tasks + [lambda x=x: fold(*x) for x in folds], parallelism)
+    manifest, scores = done[:len(tasks)], {}
+    for (target, _, name, _), score in reversed(list(zip(folds, done[len(tasks):]))):
+        if score is not None:
+            scores.setdefault((target, name), []).append(score)
+    for role, target, name, *_, metrics in manifest:
+        if role == "classifier" and (target, name) in scores:
+            metrics["cv_macro_f1"] = sum(scores[target, name]) / len(scores[target, name])
     spark.createDataFrame(manifest, _MANIFEST).coalesce(1).write.mode("overwrite").parquet(os.path.join(out_dir, "manifest"))
     return out_dir
 
