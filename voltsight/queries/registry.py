@@ -105,7 +105,7 @@ def q_recommend(spark, sf_dir):
     q = cut_lineage(reg.score(requests(spark, sf_dir), *chosen(reg)).select(
         "request_id", "pred_demand", "pred_price", "demand_class_enc", "price_class_enc", "cluster",
         "hour_sin", "hour_cos", "month_sin", "month_cos", "renewable_pct", "is_weekend"))
-    r = rc.recommend_from_queries(q, cut_lineage(profiles(spark, sf_dir)), "request_id", "profile_id", 5)
+    r = rc.recommend_from_queries(q, cut_lineage(profiles(spark, sf_dir, reg)), "request_id", "profile_id", 5)
     return r.join(q.select("request_id", F.bround("pred_demand", 1).alias("predicted_demand_12h"),
                            F.bround("pred_price", 2).alias("predicted_price_12h"), "cluster"), "request_id")
 
