@@ -26,11 +26,8 @@ def chrono_split_label(df: DataFrame, keys, ts: str, frac: float = 0.8, guard: b
 
     With ``guard`` both sides keep at least one row when ``n >= 2``.
     """
-    keys = list(keys)
-    lay = win.layout(df, keys, ts)
-    d = lay.finish(keep_idx=True)
-    n = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"))
-    d = d.join(n, on=keys, how="inner")
+    # the length comes with the day table: a join by series would bring a series into one task
+    d = win.layout(df, list(keys), ts, length="_n").finish(keep_idx=True)
     cut = F.floor(F.col("_n") * frac)
     if guard:
         cut = F.when(F.col("_n") >= 2, F.least(F.greatest(cut, F.lit(1)), F.col("_n") - 1)).otherwise(cut)
@@ -40,9 +37,7 @@ def chrono_split_label(df: DataFrame, keys, ts: str, frac: float = 0.8, guard: b
 def fold_positions(df: DataFrame, keys, ts: str) -> DataFrame:
     """Rows with their position ``_at`` in the series and its length ``_of``;
     every fold of an expanding-window split is a range of positions."""
-    keys = list(keys)
-    d = win.layout(df, keys, ts).finish(keep_idx=True).withColumnRenamed(win.IDX, "_at")
-    return d.join(df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_of")), on=keys, how="inner")
+    return win.layout(df, list(keys), ts, length="_of").finish(keep_idx=True).withColumnRenamed(win.IDX, "_at")
 
 
 def fold_rows(positions: DataFrame, fold: int, role: str, n_splits: int = 5) -> DataFrame:

@@ -80,7 +80,8 @@ def _bucket(order: str, unit: str) -> Column:
     return F.date_trunc(unit, F.col(order)) if unit else F.lit(0)
 
 
-def with_position(df: DataFrame, keys, order: str = "ts", tiebreak=(), bucket_unit: str = "day") -> DataFrame:
+def with_position(df: DataFrame, keys, order: str = "ts", tiebreak=(), bucket_unit: str = "day",
+                  length: str | None = None) -> DataFrame:
     """Dense 0-based chronological position ``_idx`` within each series.
 
     The per-bucket count table has one row per (series, bucket); its running
@@ -88,6 +89,7 @@ def with_position(df: DataFrame, keys, order: str = "ts", tiebreak=(), bucket_un
     tiny (days, not rows).  ``bucket_unit='day'`` bounds a bucket by the
     grain (24 rows for the hourly table); ``'quantile'`` uses equal-count
     time ranges for inputs with no such bound (raw sub-second readings).
+    ``length`` names a column for the number of rows of the series.
     """
     keys = list(keys)
     bkt = "_bkt"
@@ -95,7 +97,8 @@ def with_position(df: DataFrame, keys, order: str = "ts", tiebreak=(), bucket_un
         df.withColumn(bkt, _bucket(order, bucket_unit))
     counts = d.groupBy(*keys, bkt).agg(F.count(F.lit(1)).alias("_n"))
     wrun = Window.partitionBy(*keys).orderBy(bkt).rowsBetween(Window.unboundedPreceding, -1)
-    offsets = counts.select(*keys, bkt, F.coalesce(F.sum("_n").over(wrun), F.lit(0)).alias("_off"))
+    total = [F.sum("_n").over(Window.partitionBy(*keys)).alias(length)] if length else []
+    offsets = counts.select(*keys, bkt, F.coalesce(F.sum("_n").over(wrun), F.lit(0)).alias("_off"), *total)
     # No broadcast hint: the offset table grows with series x days, so AQE
     # decides at runtime from its measured size; the shuffle it would
     # otherwise need is the one the row_number window below needs anyway.
@@ -106,13 +109,14 @@ def with_position(df: DataFrame, keys, order: str = "ts", tiebreak=(), bucket_un
 
 def layout(df: DataFrame, keys, order: str = "ts", back: int = 0, fwd: int = 0,
            block_size: int | None = None, tiebreak=(),
-           bucket_unit: str = "day") -> Layout:
-    """Lay ``df`` out for positional windows needing ``back``/``fwd`` rows of context."""
+           bucket_unit: str = "day", length: str | None = None) -> Layout:
+    """Lay ``df`` out for positional windows needing ``back``/``fwd`` rows of context;
+    ``length`` as in ``with_position``."""
     keys = list(keys)
     B = int(block_size or DEFAULT_BLOCK)
     if back > B or fwd > B:
         raise ValueError(f"block size {B} must be >= halo ({back} back, {fwd} forward)")
-    d = with_position(df, keys, order, tiebreak, bucket_unit)
+    d = with_position(df, keys, order, tiebreak, bucket_unit, length)
     blk = F.floor(F.col(IDX) / F.lit(B)).cast("bigint")
     pos = F.col(IDX) - blk * F.lit(B)
     copies = [F.struct(blk.alias("b"), F.lit(True).alias("o"))]
