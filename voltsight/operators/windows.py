@@ -99,10 +99,10 @@ def with_position(df: DataFrame, keys, order: str = "ts", tiebreak=(), bucket_un
     wrun = Window.partitionBy(*keys).orderBy(bkt).rowsBetween(Window.unboundedPreceding, -1)
     total = [F.sum("_n").over(Window.partitionBy(*keys)).alias(length)] if length else []
     offsets = counts.select(*keys, bkt, F.coalesce(F.sum("_n").over(wrun), F.lit(0)).alias("_off"), *total)
-    # No broadcast hint: the offset table grows with series x days, so AQE
-    # decides at runtime from its measured size; the shuffle it would
-    # otherwise need is the one the row_number window below needs anyway.
-    d = d.join(offsets, on=keys + [bkt], how="inner")
+    # Merged, never broadcast: with rows below the threshold AQE may broadcast them to the
+    # offsets, which lie by series, and then a series is in one task.  The shuffle is the
+    # one the row_number window below needs anyway.
+    d = d.join(offsets.hint("shuffle_merge"), on=keys + [bkt], how="inner")
     w = Window.partitionBy(*keys, bkt).orderBy(F.col(order), *[F.col(c) for c in tiebreak])
     return d.withColumn(IDX, (F.col("_off") + F.row_number().over(w) - 1).cast("bigint")).drop(bkt, "_off")
 
